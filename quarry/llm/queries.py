@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality
+from . import bpe, mixing, ngram_join, quality, substring
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,6 +76,14 @@ FROM r
 """
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(_read(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -83,6 +91,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op5_mixing": op5_mixing,
+    "op6_ngram_join": op6_ngram_join,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_bpe": op9_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
