@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, ngram_join, quality, substring
+from . import bit_sliced, bpe, licenses, mixing, ngram_join, quality, substring
 
 
 def tokenizer_path(name: str) -> str:
@@ -55,6 +55,46 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM f
 """
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
+def _op3_sql() -> str:
+    rows = [(i, label, text, share, phrase) for i, (label, text, share, phrase) in enumerate(licenses.templates())]
+    values = ", ".join(f"({i}, '{label}', {text!r}, {sorted(set(text))!r}, {share}, {str(phrase).lower()})" for i, label, text, share, phrase in rows)
+    return rf"""
+WITH t(id, label, seq, tokens, share, phrase) AS (VALUES {values}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT doc_id, k, ws[32 * k + 1:32 * k + 64] AS block FROM (SELECT doc_id, ws, unnest(range(0, (len(ws) + 31) // 32)) AS k FROM d)),
+m AS (SELECT doc_id, k, block, t.*, len(list_intersect(tokens, block)) AS common FROM b, t
+      WHERE list_has_any(tokens, block) AND len(list_intersect(tokens, block)) >= ceil(share * len(tokens) - 1e-9)),
+p AS (SELECT doc_id, label, phrase, common / len(tokens) AS score,
+             CASE WHEN phrase THEN list_transform(list_filter(range(0, 32), lambda s: block[s + 1:s + len(seq)] = seq), lambda s: s + 32 * k) END AS places FROM m),
+g AS (SELECT doc_id, coalesce(sum(len(places)), 0) AS n, min(list_min(places)) AS f, max(list_max(places)) AS l, max(score) AS score,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE phrase) AS base, string_agg(DISTINCT label, ',' ORDER BY label) AS every
+      FROM p WHERE NOT phrase OR len(places) > 0 GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,
+       coalesce(base, '') AS base_labels, coalesce(every, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    return bit_sliced.top_k(rows.where("vec_id % 100 = 0"), rows)
+
+
+OP4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS q FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+      FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_read(spark, sf_dir, "documents"))
 
@@ -90,6 +130,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_license_scan": op3_license_scan,
+    "op4_top_k": op4_top_k,
     "op5_mixing": op5_mixing,
     "op6_ngram_join": op6_ngram_join,
     "op7_substring_dedup": op7_substring_dedup,
@@ -97,5 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
+    "op3_license_scan": _op3_sql(),
+    "op4_top_k": OP4_SQL,
     "op5_mixing": OP5_SQL,
 }
