@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, bpe, licenses, mixing, ngram_join, quality, substring
+from . import bit_sliced, bpe, licenses, mixing, ngram_join, quality, substring, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +21,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))) % 3 == 1
+    model = toxicity.train(docs.select("doc_id", "text"), _read(spark, sf_dir, "labels").where(~held_out("doc_id")))
+    score = toxicity.score(docs, model)
+    return score.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = quality.ledger(_read(spark, sf_dir, "documents"))
     base_failed = ~quality.passes("base")
@@ -129,6 +137,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op3_license_scan": op3_license_scan,
     "op4_top_k": op4_top_k,
