@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, bpe, licenses, mixing, ngram_join, quality, substring, toxicity
+from . import bit_sliced, bpe, html_wrappers, licenses, mixing, ngram_join, quality, substring, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -136,6 +136,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -145,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_join": op6_ngram_join,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_bpe": op9_bpe,
+    "op10_html_text": op10_html_text,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
