@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, bpe, html_wrappers, licenses, mixing, ngram_join, quality, substring, toxicity
+from . import bit_sliced, bpe, html_wrappers, licenses, mixing, ngram_join, quality, substring, token_counts, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -132,6 +132,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(_read(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = token_counts.flat_blocks(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return token_counts.count(blocks).select(F.col("name").alias("doc_id"), "n_tokens")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -148,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_ngram_join": op6_ngram_join,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
     "op10_html_text": op10_html_text,
 }
