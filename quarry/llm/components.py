@@ -30,10 +30,11 @@ def components(links: DataFrame, folder: str, name: str = "components") -> DataF
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
-        state, turn = now, turn + 1
+        state, turn, n = now, turn + 1, now[0]
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lows = shared.stored(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), folder, f"{name}-{turn}-large-low")
-        large = shared.stored(_star(both.where("v > u"), lows, own=False), folder, f"{name}-{turn}-large")
-        lows = shared.stored(large.groupBy("u").agg(F.min("v").alias("low")), folder, f"{name}-{turn}-small-low")
-        edges = shared.stored(_star(large, lows, own=True), folder, f"{name}-{turn}")
+        lows = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+        lows = shared.stored(lows, folder, f"{name}-{turn}-large-low", 2 * n)
+        large = shared.stored(_star(both.where("v > u"), lows, own=False), folder, f"{name}-{turn}-large", n)
+        lows = shared.stored(large.groupBy("u").agg(F.min("v").alias("low")), folder, f"{name}-{turn}-small-low", n)
+        edges = shared.stored(_star(large, lows, own=True), folder, f"{name}-{turn}", 2 * n)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -17,11 +17,15 @@ similarity of at least ``num / den``.  Steps:
    size class, so they hold few shingles; partners differ by at most one class,
    and each set is indexed for both.
 4. In every index entry all members are compared with its first one; linked
-   sets merge into components.  Entries whose members then still lie in several
-   components are compared further, across components only, with ever more
-   members as centres until all pairs across are done.  So no link between
+   sets merge into components.  Entries with different members that then still
+   lie in several components are compared further, across components only:
+   small ones in one round, large ones with ever more members as centres, merging
+   in between, until all pairs across are done.  So no link between
    components is lost, and large groups of copies never make all their pairs.
-5. A comparison is exact over both whole sets (64-bit shingle hashes).
+5. A pair first compares the lowest third of both sets' hash range, shortened to
+   32 bits: shingles missing there bound the similarity from above, and most
+   pairs that share only a passage end here.  The rest are compared exactly over
+   both whole sets (64-bit shingle hashes), fetched for those documents alone.
 
 Defined cases: null, empty and word-less texts have 0 shingles and link with
 nothing; texts with fewer words than ``width`` have one shingle, the whole
@@ -49,7 +53,13 @@ RARE = 24
 FREQUENT_MOST = 1_000_000
 #: Frequent shingles per token group that a prefix is planned for.
 GROUP = 5
+#: Entries of up to so many members are compared across components in one round.
+SMALL = 32
 U64 = np.uint64
+#: Shingles are counted by the upper 44 bits of their hash; two that fall together only lend each other their counts.
+SHORT = U64(20)
+#: Shingles with a hash below this make a set's head.
+HEAD = U64((1 << 64) // 3)
 
 
 def _sets(block: bytes, width: int) -> Iterator[tuple[int, int | None, np.ndarray]]:
@@ -111,8 +121,9 @@ def _counted(batches: Iterator[pa.RecordBatch], width: int, n_buckets: int) -> I
             held = [s for _, s in _distinct_sets(block.as_py(), width)]
             if not held:
                 continue
-            key, count = np.unique(np.concatenate(held), return_counts=True)
-            out = [(b, shared.pack(shared.ordered(key[lo:hi]), count[lo:hi].astype(np.uint32))) for b, lo, hi in _ranges(key, n_buckets)]
+            key, count = np.unique(np.concatenate(held) >> SHORT, return_counts=True)
+            key = key << SHORT
+            out = [(b, shared.pack(shared.ordered(key[lo:hi] >> SHORT), count[lo:hi].astype(np.uint32))) for b, lo, hi in _ranges(key, n_buckets)]
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "block"])
 
 
@@ -121,7 +132,7 @@ def _summed(table: pa.Table, rare: int) -> pa.Table:
     keys, counts = [], []
     for block in table.column("block").to_pylist():
         key, count = shared.unpack(block, np.uint64, np.uint32)
-        keys.append(np.cumsum(key, dtype=U64))
+        keys.append(np.cumsum(key, dtype=U64))  # shortened
         counts.append(count)
     key, count = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(key, kind="stable")
@@ -133,7 +144,7 @@ def _summed(table: pa.Table, rare: int) -> pa.Table:
 
 
 def frequent_shingles(packed: DataFrame, width: int, n_buckets: int, folder: str) -> np.ndarray:
-    """Sorted hashes of the frequent class, at most FREQUENT_MOST of them."""
+    """Sorted shortened hashes of the frequent class, at most FREQUENT_MOST of them."""
     counted = packed.mapInArrow(partial(_counted, width=width, n_buckets=n_buckets), "bucket int, block binary")
     rare = RARE
 
@@ -184,8 +195,9 @@ def _indexed(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int,
         for packet, block in zip(batch.column(0).to_pylist(), batch.column(1)):
             entry, node, size = [], [], []
             for doc, shingles in _distinct_sets(block.as_py(), width):
-                at = np.minimum(np.searchsorted(known, shingles), max(len(known) - 1, 0))
-                often = known[at] == shingles if len(known) else np.zeros(len(shingles), dtype=bool)
+                short = shingles >> SHORT
+                at = np.minimum(np.searchsorted(known, short), max(len(known) - 1, 0))
+                often = known[at] == short if len(known) else np.zeros(len(shingles), dtype=bool)
                 sig = signatures(shingles, often, num, den)
                 entry.append(sig)
                 node.append(np.full(len(sig), doc, dtype=np.int64))
@@ -235,44 +247,79 @@ def _gathered(table: pa.Table) -> pa.Table:
     return pa.table({"entry": key.view(np.int64), "node": doc, "n": n.astype(np.int32), "centre": centre, "centre_n": centre_n.astype(np.int32)})
 
 
-def _picked(packed: pa.Table, wanted: pa.Table, width: int) -> pa.Table:
-    """Shingle sets of the wanted rows of one packet."""
-    node, block = [], []
+def _picked(packed: pa.Table, wanted: pa.Table, width: int, head: bool) -> pa.Table:
+    """Shingle sets, or their heads, of the wanted rows of one packet."""
+    node, size, block = [], [], []
     if packed.num_rows and wanted.num_rows:
         rows = set(wanted.column("row").to_pylist())
         for i, doc, shingles in _sets(packed.column("block")[0].as_py(), width):
             if i in rows:
                 node.append(doc)
-                block.append(shared.pack(shared.ordered(shingles)))
-    return pa.table({"node": pa.array(node, pa.int64()), "shingles": pa.array(block, pa.binary())})
+                size.append(len(shingles))
+                part = (shingles[shingles < HEAD] >> U64(32)).astype(np.uint32) if head else shingles
+                block.append(shared.pack(shared.ordered(part)))
+    return pa.table({"node": pa.array(node, pa.int64()), "size": pa.array(size, pa.int32()), "shingles": pa.array(block, pa.binary())})
 
 
-def _compared(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], num: int, den: int, head: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs that reach the threshold, or, from heads, that still may."""
+    kind = np.uint32 if head else np.uint64
+
     def opened(block: bytes) -> np.ndarray:
-        return np.cumsum(shared.unpack(block, np.uint64)[0], dtype=U64)
+        return np.cumsum(shared.unpack(block, kind)[0], dtype=kind)
+
+    def missing(x: np.ndarray, y: np.ndarray) -> int:
+        return len(x) - (int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0)
 
     for batch in batches:
         a, b = [], []
         last, held = None, None
-        for x, y, one, two in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+        for x, y, n, m, one, two in zip(*[batch.column(i).to_pylist() for i in range(6)]):
             if two != last:
                 last, held = two, opened(two)
             s = opened(one)
-            small, large = (s, held) if len(s) <= len(held) else (held, s)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            common = int((large[at] == small).sum())
-            if den * common >= num * (len(s) + len(held) - common):
+            common = n - missing(s, held)
+            if head:
+                common = min(common, m - missing(held, s))
+            if den * common >= num * (n + m - common):
                 a.append(x)
                 b.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) that reach the threshold."""
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two")
-    return both.mapInArrow(partial(_compared, num=num, den=den), "a bigint, b bigint")
+class _Sets:
+    """Fetches sets of chosen documents from their packets, and compares pairs by them."""
+
+    def __init__(self, packed: DataFrame, classes: DataFrame, folder: str, width: int, num: int, den: int):
+        self.packed, self.folder, self.width, self.num, self.den = packed, folder, width, num, den
+        self.where = classes.select("node", "packet", "row")
+
+    def fetched(self, nodes: DataFrame, head: bool, name: str) -> DataFrame:
+        width = self.width
+
+        def picked(packed: pa.Table, wanted: pa.Table) -> pa.Table:
+            return _picked(packed, wanted, width, head)
+
+        wanted = nodes.distinct().join(self.where, "node").select("packet", "row")
+        got = self.packed.groupBy("packet").cogroup(wanted.groupBy("packet")).applyInArrow(picked, "node bigint, size int, shingles binary")
+        return shared.stored(got, self.folder, name)
+
+    def passing(self, pairs: DataFrame, sets: DataFrame, head: bool) -> DataFrame:
+        one = sets.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("shingles").alias("one"))
+        two = sets.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("shingles").alias("two"))
+        both = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "one", "two")
+        return both.mapInArrow(partial(_compared, num=self.num, den=self.den, head=head), "a bigint, b bigint")
+
+    def links(self, pairs: DataFrame, heads: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs (a, b) that reach the threshold."""
+        near = shared.stored(self.passing(pairs, heads, head=True), self.folder, f"{name}-near")
+        if near.isEmpty():
+            return near
+        whole = self.fetched(near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))), False, f"{name}-sets")
+        found = shared.stored(self.passing(near, whole, head=False), self.folder, name)
+        shared.dropped(pairs.sparkSession, f"{self.folder}/{name}-sets")
+        _released(pairs.sparkSession)
+        return found
 
 
 def _released(spark) -> None:
@@ -311,38 +358,49 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     pairs = entries.where((F.col("node") != F.col("centre")) & near).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = shared.stored(pairs, folder, "pairs-0")
     wide = shared.stored(entries.select("entry", "node", "n").distinct(), folder, "wide")
-    counts = wide.groupBy("entry").agg(F.count("*").alias("c")).where("c > 2").select("entry", "c")
+    # Entries with the same members say the same: one of them is enough.
+    whose = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    counts = wide.groupBy("entry").agg(F.count("*").alias("c"), *whose).where("c > 2").groupBy("c", "x", "y").agg(F.min("entry").alias("entry")).select("entry", "c")
     wide = shared.stored(wide.join(counts, "entry"), folder, "members-of-entries")
     shared.dropped(spark, f"{folder}/wide")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(wide.select("node")).distinct()
-    wanted = wanted.join(classes.select("node", "packet", "row"), "node").select("packet", "row")
-    sets = shared.stored(packed.groupBy("packet").cogroup(wanted.groupBy("packet")).applyInArrow(partial(_picked, width=width), "node bigint, shingles binary"), folder, "sets")
-    shared.dropped(spark, f"{folder}/packets")
+    compare = _Sets(packed, classes, folder, width, num, den)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(wide.select("node"))
+    heads = compare.fetched(wanted, True, "heads")
     _released(spark)
 
-    links = shared.stored(_links(pairs, sets, num, den), folder, "links-0")
+    links = compare.links(pairs, heads, "links-0")
     labels = components(links, folder, "components-0")
-    turn, low, high = 0, 0, 64
+    turn, low, high, n_wide = 0, 0, 2, wide.count()
     while True:
         # Entries whose members are still apart; each round compares more of their members with all others across components.
         turn += 1
         told = wide.join(labels, "node", "left").select("entry", "c", "node", "n", F.coalesce("component", "node").alias("component"))
-        told = shared.stored(told, folder, f"told-{turn}")
+        told = shared.stored(told, folder, f"told-{turn}", n_wide)
         apart = told.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y")).where((F.col("x") < F.col("y"))).select("entry")
-        apart = shared.stored(apart, folder, f"apart-{turn}")
-        wide = shared.stored(told.join(apart, "entry").where(F.col("c") > low), folder, f"wide-{turn}")
-        if wide.isEmpty():
+        apart = shared.stored(apart, folder, f"apart-{turn}", n_wide)
+        wide = told.join(apart, "entry")
+        wide = shared.stored(wide if turn == 1 else wide.where((F.col("c") > low) & (F.col("c") > SMALL)), folder, f"wide-{turn}", n_wide)
+        n_wide = wide.count()
+        if not n_wide:
             break
         place = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) * F.col("c") / F.lit(1 << 40)  # a member's place in its entry, evenly from 0 to c
-        centre = wide.where((place >= low) & (place < high)).select("entry", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
+        centre = wide.where((F.col("c") <= SMALL) | ((place >= low) & (place < high))).select("entry", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
         across = wide.join(centre, "entry").where((F.col("component") != F.col("bc")) & (F.col("n") * den >= F.col("bn") * num) & (F.col("bn") * den >= F.col("n") * num))
         pairs = across.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        found = shared.stored(_links(pairs, sets, num, den), folder, f"links-{turn}")
+        found = compare.links(shared.stored(pairs, folder, f"pairs-{turn}"), heads, f"links-{turn}")
         if not found.isEmpty():
-            links = shared.stored(links.union(found), folder, f"all-links-{turn}")
-            labels = components(links, folder, f"components-{turn}")
+            # Links between components, then components of those: what is linked already is not walked again.
+            one = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+            two = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+            between = found.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            over = components(between, folder, f"components-{turn}").select(F.col("node").alias("component"), F.col("component").alias("over"))
+            # A component's name is a node of its own, so nodes without links so far come in as names.
+            known = labels.select("node", "component").union(over.select(F.col("component").alias("node"), "component")).distinct()
+            labels = known.join(over, "component", "left").select("node", F.coalesce("over", "component").alias("component")).distinct()
+            labels = shared.stored(labels, folder, f"labels-{turn}")
         wide = wide.drop("component")
-        low, high = high, 3 * high
+        low, high = high, 4 * high
         _released(spark)
+    shared.dropped(spark, f"{folder}/packets")
     labels = labels.select("node", "component")
     return members.join(labels, "node", "left").select("doc_id", "n_shingles", "node", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))

@@ -30,9 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: its lineage ends there."""
+def stored(df: DataFrame, folder: str, name: str, rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it again: its lineage ends there.
+
+    Where an upper bound of its (narrow) rows is known, it is written by one task per 100,000 rows at most.
+    """
     path = f"{folder}/{name}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // 100_000)))
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
