@@ -5,10 +5,11 @@ nested items; equal neighbours, single or as groups, fold into one repeated
 item, and the page is then a union-free expression: tags, text slots, repeated
 and optional groups.  Expressions of a host's pages are aligned one after
 another: items in common order are merged, an item only one side has becomes
-optional, a text that differs becomes a variable slot.  The result is the
-host's wrapper.  Its slots are judged once per host: the content root is the
+optional, a text that differs becomes a variable slot.  Constant slots carry
+the number of pages that hold them.  The result is the host's wrapper.  Its slots are judged once per host: the content root is the
 article, else the main element, else an element named as content, else the
-element whose variable slots hold most text; menus, headers, footers,
+element whose variable slots hold most text, where a constant text on nearly
+all of three or more pages (``TEMPLATE_SHARE``) is the template's; menus, headers, footers,
 sidebars, notices, adverts, forms and comments are left out by element, role
 or name.  Each page is then read through its host's wrapper.
 
@@ -30,8 +31,9 @@ import html
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +48,8 @@ HOSTS_A_TASK = 2000
 #: Pairs of items an alignment weighs; larger ones are aligned greedily.
 ALIGN_CELLS = 250_000
 PERIODS = (2, 3, 4)
+#: A constant text is the template's if at least this share of a host's pages with content holds it.
+TEMPLATE_SHARE = 0.9
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -159,7 +163,7 @@ class Reader:
         return 0
 
 
-# An item is [label, optional, repeated, children]; a text slot is ["#", optional, repeated, text hash or 0 if variable, characters];
+# An item is [label, optional, repeated, children]; a text slot is ["#", optional, repeated, text hash or 0 if variable, characters, pages];
 # a repeated group is ["()", optional, 1, items].
 
 
@@ -182,7 +186,7 @@ def expression(page: str) -> list:
         if kind == "#":
             text = " ".join(html.unescape(value).split())
             if text:
-                stack[-1][3].append(["#", 0, 0, _hash(text), len(text)])
+                stack[-1][3].append(["#", 0, 0, _hash(text), len(text), 1])
         elif kind == "+":
             leave(reader.opened(tag))
             item = [value, 0, 0, []]
@@ -202,7 +206,7 @@ def fold(items: list) -> list:
     out: list = []
     for item in items:
         if out and out[-1][0] == item[0]:
-            out[-1] = merge(out[-1], item)
+            out[-1] = merge(out[-1], item, max)
             out[-1][2] = 1
         else:
             out.append(item)
@@ -216,7 +220,7 @@ def fold(items: list) -> list:
             if times > 1:
                 body = out[at : at + period]
                 for t in range(1, times):
-                    body = [merge(a, b) for a, b in zip(body, out[at + t * period : at + (t + 1) * period])]
+                    body = [merge(a, b, max) for a, b in zip(body, out[at + t * period : at + (t + 1) * period])]
                 folded.append(["()", 0, 1, body])
                 at += times * period
             else:
@@ -226,22 +230,22 @@ def fold(items: list) -> list:
     return out
 
 
-def merge(a: list, b: list) -> list:
-    """The least expression of this kind that covers two items of one label."""
+def merge(a: list, b: list, pages: Callable[[int, int], int] = add) -> list:
+    """The least expression of this kind that covers two items of one label; pages: add for different pages, max where they may be the same."""
     optional, repeated = a[1] | b[1], a[2] | b[2]
     if a[0] == "#":
-        return ["#", optional, repeated, a[3] if a[3] == b[3] else 0, a[4] + b[4]]
-    return [a[0], optional, repeated, align(a[3], b[3])]
+        return ["#", optional, repeated, a[3] if a[3] == b[3] else 0, a[4] + b[4], pages(a[5], b[5])]
+    return [a[0], optional, repeated, align(a[3], b[3], pages)]
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, pages: Callable[[int, int], int] = add) -> list:
     """Merge two sequences: common items in order, the others optional."""
     if [x[0] for x in a] == [x[0] for x in b]:
-        return [merge(x, y) for x, y in zip(a, b)]
+        return [merge(x, y, pages) for x, y in zip(a, b)]
     out: list = []
     lead = 0
     while lead < min(len(a), len(b)) and a[lead][0] == b[lead][0]:
-        out.append(merge(a[lead], b[lead]))
+        out.append(merge(a[lead], b[lead], pages))
         lead += 1
     tail = 0
     while tail < min(len(a), len(b)) - lead and a[-1 - tail][0] == b[-1 - tail][0]:
@@ -250,10 +254,10 @@ def align(a: list, b: list) -> list:
     i = j = 0
     for p, q in _common([v[0] for v in x], [v[0] for v in y]):
         out += [[v[0], 1, *v[2:]] for v in x[i:p]] + [[v[0], 1, *v[2:]] for v in y[j:q]]
-        out.append(merge(x[p], y[q]))
+        out.append(merge(x[p], y[q], pages))
         i, j = p + 1, q + 1
     out += [[v[0], 1, *v[2:]] for v in x[i:]] + [[v[0], 1, *v[2:]] for v in y[j:]]
-    out += [merge(v, w) for v, w in zip(a[len(a) - tail :], b[len(b) - tail :])] if tail else []
+    out += [merge(v, w, pages) for v, w in zip(a[len(a) - tail :], b[len(b) - tail :])] if tail else []
     # Optional neighbours of one label are one repeated item.
     return fold(out)
 
@@ -290,18 +294,18 @@ def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Slots:
-    """A wrapper's elements by path, each with whether its text is content and which constant texts it holds."""
+    """A wrapper's elements by path, each with whether its text is content and on how many pages it holds which constant text."""
 
     __slots__ = ("content", "fixed", "kids", "label", "out", "weight")
 
     def __init__(self, label: str, out: bool):
-        self.label, self.out, self.kids, self.content, self.fixed, self.weight = label, out, {}, False, set(), 0
+        self.label, self.out, self.kids, self.content, self.fixed, self.weight = label, out, {}, False, {}, 0
 
     def take(self, items: list) -> None:
         for item in items:
             if item[0] == "#":
                 if item[3]:
-                    self.fixed.add(item[3])
+                    self.fixed[item[3]] = max(self.fixed.get(item[3], 0), item[5])
                 else:
                     self.weight += item[4]
             elif item[0] == "()":
@@ -343,6 +347,8 @@ def compiled(wrapper: list, pages: int) -> tuple[Slots, bool]:
 
     for s in roots:
         mark(s)
+    for s in root.every():
+        s.fixed = {h: n for h, n in s.fixed.items() if n >= TEMPLATE_SHARE * pages}
     return root, constant
 
 
@@ -402,10 +408,11 @@ def _inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for url, page in zip(batch.column(0), batch.column(1)):
             host, own = host_of(url.as_py()), expression(page.as_py() or "")
+            some = int(bool(own[3]))
             if host in held:
-                held[host] = [merge(held[host][0], own), held[host][1] + 1]
+                held[host] = [merge(held[host][0], own), held[host][1] + some]
             else:
-                held[host] = [own, 1]
+                held[host] = [own, some]
             if len(held) >= HOSTS_A_TASK:
                 yield out()
     if held:
@@ -414,15 +421,15 @@ def _inferred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _merged(table: pa.Table) -> pa.Table:
     texts = sorted(zip(table.column("wrapper").to_pylist(), table.column("pages").to_pylist()))
-    whole, pages = json.loads(texts[0][0]), 0
-    for text, n in texts:
-        whole = merge(whole, json.loads(text)) if pages else whole
+    whole, pages = json.loads(texts[0][0]), texts[0][1]
+    for text, n in texts[1:]:
+        whole = merge(whole, json.loads(text))
         pages += n
     return pa.table({"host": pa.array([table.column("host")[0].as_py()]), "wrapper": pa.array([json.dumps(whole, separators=(",", ":"), ensure_ascii=False)]), "pages": pa.array([pages], pa.int64())})
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, wrapper (an expression as JSON), pages: one row per host."""
+    """host, wrapper (an expression as JSON), pages (those with content): one row per host."""
     shared.attach(pages.sparkSession)
     schema = "host string, wrapper string, pages bigint"
     parts = pages.select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html")).mapInArrow(_inferred, schema)
