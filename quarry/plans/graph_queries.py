@@ -301,11 +301,11 @@ def e20(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w11_first_fit_windows")
 def w11(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "lineitem").where("l_orderkey <= 300").selectExpr("concat('o', l_orderkey % 25) AS file", "l_orderkey * 10 + l_linenumber AS rank", "l_orderkey % 500 AS first", "l_orderkey % 500 + l_linenumber AS last")
+    a = table(spark, d, "lineitem").selectExpr("concat('o', l_orderkey % 25) AS file", "l_orderkey * 10 + l_linenumber AS rank", "l_orderkey % 500 AS first", "l_orderkey % 500 + l_linenumber AS last")
     return intervals.first_fit_windows(a)
 
 
 @query("u11_distinct_spans")
 def u11(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "lineitem").where("l_orderkey <= 300").selectExpr("concat('o', l_orderkey % 25) AS file", "l_orderkey * 10 + l_linenumber AS rank", "l_orderkey % 500 AS first", "l_orderkey % 500 + l_linenumber AS last")
+    a = table(spark, d, "lineitem").selectExpr("concat('o', l_orderkey % 25) AS file", "l_orderkey * 10 + l_linenumber AS rank", "l_orderkey % 500 AS first", "l_orderkey % 500 + l_linenumber AS last")
     return intervals.distinct_spans(a)
