@@ -238,7 +238,7 @@ def g21(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g21_communities")
 def g21_communities(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d).where(_SMALL)
+    n = nodes(spark, d)
     return graph.label_communities(graph.induced(edges(spark, d), n), n, 4)
 
 

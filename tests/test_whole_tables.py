@@ -1,9 +1,13 @@
 """Queries without SQL against brute force over whole tables."""
 
+from collections import Counter, defaultdict
+
 import duckdb
 import pytest
 
 from quarry import catalog
+from quarry.operators import graph
+from quarry.plans.views import GRAPH_SQL
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +48,34 @@ def test_distinct_spans_reads_every_order(spark, sf_dir, anchors):
                 want.append((file, rank, first, last))
     got = [(r.file, r["rank"], r["first"], r["last"]) for r in catalog.QUERIES["u11_distinct_spans"](spark, sf_dir).collect()]
     assert sorted(got) == sorted(want)
+
+
+def communities(vids, edges, rounds):
+    """Each node takes the commonest label of its neighbours, the smallest among equals, all at once."""
+    near = defaultdict(list)
+    for src, dst in edges:
+        if src != dst:
+            near[src].append(dst)
+            near[dst].append(src)
+    label = {v: v for v in vids}
+    for _ in range(rounds):
+        votes = {v: Counter(label[w] for w in near[v]) for v in vids if near[v]}
+        label |= {v: min(c, key=lambda x: (-c[x], x)) for v, c in votes.items()}
+    return label
+
+
+def test_communities_of_a_small_graph(spark):
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 4), (4, 5), (7, 7)]
+    nodes = spark.createDataFrame([(v,) for v in range(1, 9)], "vid bigint")
+    got = graph.label_communities(spark.createDataFrame(edges, "src bigint, dst bigint"), nodes, 3)
+    assert {r.vid: r.community for r in got.collect()} == communities(range(1, 9), edges, 3)
+
+
+def test_communities_take_every_node_and_edge(spark, sf_dir):
+    c = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem".split():
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    vids = [v for (v,) in c.sql(f"WITH {GRAPH_SQL} SELECT vid FROM nodes").fetchall()]
+    edges = c.sql(f"WITH {GRAPH_SQL} SELECT src, dst FROM edges WHERE src IN (SELECT vid FROM nodes) AND dst IN (SELECT vid FROM nodes)").fetchall()
+    got = {r.vid: r.community for r in catalog.QUERIES["g21_communities"](spark, sf_dir).collect()}
+    assert got == communities(vids, edges, 4)
