@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -65,6 +67,27 @@ def search_batch(rows: DataFrame, queries: DataFrame, k: int, vec: str, key: str
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", key, "score", "rank")
 
 
+def fit_centres(rows: DataFrame, n_lists: int, vec: str, key: str, sample: int = 4096, rounds: int = 20) -> list[list[float]]:
+    """At most ``n_lists`` centres by k-means on the ``sample`` rows of smallest key hash, however large the table; starts lie far apart, copies count once."""
+    held = rows.where(F.col(vec).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample).select(vec).collect()
+    points = np.unique(np.array([r[0] for r in held], float), axis=0) if held else np.empty((0, 0))
+    if not len(points):
+        return []
+    chosen = [points[0]]
+    gap = ((points - chosen[0]) ** 2).sum(1)
+    while len(chosen) < min(n_lists, len(points)):
+        chosen.append(points[gap.argmax()])
+        gap = np.minimum(gap, ((points - chosen[-1]) ** 2).sum(1))
+    centres = np.array(chosen)
+    for _ in range(rounds):
+        cell = ((centres**2).sum(1) - 2 * points @ centres.T).argmin(1)
+        moved = np.array([points[cell == i].mean(0) if (cell == i).any() else c for i, c in enumerate(centres)])
+        if np.allclose(moved, centres):
+            break
+        centres = moved
+    return centres.tolist()
+
+
 def inverted_lists(rows: DataFrame, centres: Sequence[Sequence[float]], vec: str) -> DataFrame:
     """Each row with the number of its nearest centre."""
     near = F.array(*[F.struct(squared_l2(F.col(vec), vector(c)).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])
@@ -77,6 +100,24 @@ def probe(lists: DataFrame, centres: Sequence[Sequence[float]], query: Sequence[
     return search(lists.where(F.col("cell").isin(ranked[:n_probe])), query, k, vec, tie)
 
 
+def probe_until_sure(lists: DataFrame, centres: Sequence[Sequence[float]], query: Sequence[float], n_probe: int, k: int, vec: str, tie: str) -> DataFrame:
+    """As ``probe``, then every list that may still hold one of the k largest inner products: recall is 1.
+
+    A row of a list scores at most query . centre + |query| * the list's radius.
+    """
+    if not centres:
+        return search(lists, query, k, vec, tie)
+    ranked = sorted(range(len(centres)), key=lambda i: sum((a - b) ** 2 for a, b in zip(centres[i], query)))
+    first = [r["score"] for r in search(lists.where(F.col("cell").isin(ranked[:n_probe])), query, k, vec, tie).select("score").collect()]
+    least = min(first) if len(first) == k else -math.inf
+    own = F.element_at(F.array(*[vector(c) for c in centres]), F.col("cell") + 1)
+    radius = {r["cell"]: math.sqrt(r["r"]) for r in lists.where(F.col(vec).isNotNull()).groupBy("cell").agg(F.max(squared_l2(F.col(vec), own)).alias("r")).collect()}
+    length = math.sqrt(sum(a * a for a in query))
+    most = {i: sum(a * b for a, b in zip(centres[i], query)) + length * r for i, r in radius.items()}
+    cells = ranked[:n_probe] + [i for i in ranked[n_probe:] if most.get(i, -math.inf) >= least - 1e-5]  # scores are rounded to 6 digits
+    return search(lists.where(F.col("cell").isin(cells)), query, k, vec, tie)
+
+
 def rerank_by_index(candidates: DataFrame, rows: DataFrame, query: Sequence[float], vec: str, key: str, rank: str, k: int | None = None) -> DataFrame:
     """Candidates by their indexed vectors; those without one follow in their old order."""
     out = candidates.drop("score").join(scored(rows, query, vec).select(key, "score"), key, "left")

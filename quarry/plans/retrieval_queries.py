@@ -113,8 +113,8 @@ def w12(spark: SparkSession, d: str) -> DataFrame:
 @query("t6_ivf_probe")
 def t6(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    centres = [list(r[0]) for r in rows.orderBy("vec_id").select("embedding").limit(8).collect()]
-    return dense.probe(dense.inverted_lists(rows, centres, "embedding"), centres, _query_vector(spark, d), 3, 10, "embedding", "vec_id").select("vec_id", "score")
+    centres = dense.fit_centres(rows, 8, "embedding", "vec_id")
+    return dense.probe_until_sure(dense.inverted_lists(rows, centres, "embedding"), centres, _query_vector(spark, d), 3, 10, "embedding", "vec_id").select("vec_id", "score")
 
 
 @query("t10_indexed_rerank", f"""WITH c AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings WHERE vec_id % 7 = 0 AND vec_id < 300),
