@@ -61,10 +61,10 @@ def first_chunks(chunks: DataFrame, key: list[str], order: str) -> DataFrame:
     return chunks.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(order))).where("_n = 1").drop("_n")
 
 
-def grep(nodes: DataFrame, pattern: str, content: Column, *, use_regex: bool = True, case_sensitive: bool = False, where: Column | None = None) -> DataFrame:
-    """Rows whose first 8000 characters match; pre-filters come first so they reach the scan."""
+def grep(nodes: DataFrame, pattern: str, content: Column, *, use_regex: bool = True, case_sensitive: bool = False, where: Column | None = None, max_chars: int | None = None) -> DataFrame:
+    """Rows whose text matches, or its first ``max_chars`` characters; pre-filters come first so they reach the scan."""
     rows = nodes if where is None else nodes.where(where)
-    body = F.substring(content, 1, 8000)
+    body = content if max_chars is None else F.substring(content, 1, max_chars)
     if use_regex:
         return rows.where(body.rlike(pattern if case_sensitive else f"(?i){pattern}"))
     return rows.where(body.contains(pattern) if case_sensitive else F.lower(body).contains(pattern.lower()))

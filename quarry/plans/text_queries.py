@@ -142,7 +142,7 @@ def p22(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f12_regex_grep", "SELECT doc_id FROM documents WHERE lang = 'en' AND regexp_matches(substr(text, 1, 8000), '(?i)(apache|mit) licen[sc]e')")
 def f12(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.grep(table(spark, d, "documents"), "(apache|mit) licen[sc]e", F.col("text"), where=F.col("lang") == "en").select("doc_id")
+    return sparse.grep(table(spark, d, "documents"), "(apache|mit) licen[sc]e", F.col("text"), where=F.col("lang") == "en", max_chars=8000).select("doc_id")
 
 
 @query("f13_identifier_occurrences", """SELECT doc_id, len(regexp_extract_all(text, '\\bthe\\s*\\('))::INTEGER AS calls FROM documents

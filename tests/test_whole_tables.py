@@ -1,12 +1,14 @@
-"""Queries without SQL against brute force over whole tables."""
+"""Queries without SQL, and grep, against brute force over whole tables and texts."""
 
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from quarry import catalog
-from quarry.operators import graph
+from quarry.operators import graph, sparse
 from quarry.plans.views import GRAPH_SQL
 
 
@@ -79,3 +81,10 @@ def test_communities_take_every_node_and_edge(spark, sf_dir):
     edges = c.sql(f"WITH {GRAPH_SQL} SELECT src, dst FROM edges WHERE src IN (SELECT vid FROM nodes) AND dst IN (SELECT vid FROM nodes)").fetchall()
     got = {r.vid: r.community for r in catalog.QUERIES["g21_communities"](spark, sf_dir).collect()}
     assert got == communities(vids, edges, 4)
+
+
+@pytest.mark.parametrize("kind", [{}, {"use_regex": False}, {"case_sensitive": True}, {"use_regex": False, "case_sensitive": True}])
+def test_grep_reads_whole_texts(spark, kind):
+    df = spark.createDataFrame([(1, "x" * 9000 + " MIT License"), (2, "MIT License"), (3, "none"), (4, None)], "doc_id bigint, text string")
+    assert {r.doc_id for r in sparse.grep(df, "MIT License", F.col("text"), **kind).collect()} == {1, 2}
+    assert {r.doc_id for r in sparse.grep(df, "MIT License", F.col("text"), max_chars=8000, **kind).collect()} == {2}
