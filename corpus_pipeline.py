@@ -21,22 +21,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by similarity one stays, that of the smallest id; a repeated id stays once."""
-    groups = ngram_join.join(docs).select("doc_id", "component_id")
-    groups = shared.stored(groups.where("doc_id is not null"), shared.shared_folder(spark), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    """Of each group of documents linked by similarity one stays, that of the smallest id (null last); equal rows of one id and text stay once.
+
+    Rows are known by id and text, so another text of a repeated id is a document of its own.
+    """
+    key = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"), 1)
+    folder = shared.shared_folder(spark)
+    linked = ngram_join.join(docs.select(key.alias("_key"), "text"), "_key").select(F.col("doc_id").alias("_key"), "n_shingles", "component_id")
+    linked = shared.stored(linked, folder, "groups")
+    ids = docs.select(key.alias("_key"), "doc_id").distinct()
+    groups = shared.stored(linked.distinct().join(ids, "_key"), folder, "ids-of-groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("first"))
+    gone = groups.join(first, "component_id").where("_key <> first").select("_key").distinct()
+    rows = docs.withColumn("_key", key)
+    kept = rows.join(gone, "_key", "left_anti")
+    # Rows without id and without shingles are not linked to anything, equal or not.
+    again = linked.groupBy("_key").agg(F.count("*").alias("n"), F.max("n_shingles").alias("m")).where("n > 1")
+    again = again.join(ids, "_key").where("doc_id is not null or m > 0").select("_key").distinct()
     if not again.isEmpty():
-        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
+        once = kept.join(again, "_key", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(again, "_key", "left_anti").unionByName(once)
     return kept.select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in windows of 35 that start elsewhere too go; the rest of such a text is joined by single spaces."""
+    """Words in windows of 35 that start elsewhere too go; the rest of such a text is joined by single spaces, other texts stay as they are."""
     out = substring.dedup(docs, carry="_row", texts=True)
-    made = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}
+    lost = F.col("n_removed") > 0
+    made = {"text": F.col("kept_text"), "n_chars": F.when(lost, F.char_length("kept_text").cast("long")).otherwise(F.col("_row.n_chars"))}
     return out.select(*[(made[c] if c in made else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 

@@ -111,7 +111,7 @@ def _removed(packed: pa.Table, answers: pa.Table, width: int, texts: bool) -> pa
         joined = b" ".join(parts)
         digest.append(hashlib.sha256(joined).hexdigest())
         if texts:
-            kept.append(joined.decode())
+            kept.append(joined.decode() if n_removed[i] else text.as_py())
     out = {table.column_names[i]: table.column(i) for i in range(table.num_columns - 1)}
     out |= {"n_words": pa.array(np.diff(rows)), "n_removed": pa.array(n_removed), "kept_sha256": pa.array(digest, pa.string())}
     if texts:
@@ -120,7 +120,7 @@ def _removed(packed: pa.Table, answers: pa.Table, width: int, texts: bool) -> pa
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, carry: str | None = None, texts: bool = False) -> DataFrame:
-    """id, n_words, n_removed, kept_sha256 per row; ``texts`` adds kept_text, ``carry`` a struct of all input columns but the text."""
+    """id, n_words, n_removed, kept_sha256 per row; ``texts`` adds kept_text (the text itself where n_removed is 0), ``carry`` a struct of all input columns but the text."""
     spark = docs.sparkSession
     shared.attach(spark)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
