@@ -4,34 +4,39 @@ Two documents link when their sets of ``width``-word shingles have a Jaccard
 similarity of at least ``num / den``.  Steps:
 
 1. Documents with equal shingle sets form one class; its node is the smallest
-   document id.
-2. All shingles are counted.  Those held by more than ``rare`` sets are the
-   frequent class; the bound is doubled until at most ``FREQUENT_MOST`` remain,
-   so what is broadcast has a fixed size.  The global order is rare before
-   frequent, then by hash.  Any bound gives the same links.
-3. A set of n shingles may miss t = n - ceil(n * num / den) of a partner's.  Its
-   prefix goes on until rare shingles, plus the frequent ones of each token
-   group beyond the first, number t + 1: then any partner shares a rare
-   shingle or two frequent ones of one group.  Rare shingles are indexed singly,
-   frequent ones as pairs within their group.  Groups are set by hash and by
-   size class, so they hold few shingles; partners differ by at most one class,
-   and each set is indexed for both.
-4. In every index entry all members are compared with its first one; linked
-   sets merge into components.  Entries with different members that then still
-   lie in several components are compared further, across components only:
-   small ones in one round, large ones with ever more members as centres, merging
-   in between, until all pairs across are done.  So no link between
-   components is lost, and large groups of copies never make all their pairs.
-5. A pair first compares the lowest third of both sets' hash range, shortened to
-   32 bits: shingles missing there bound the similarity from above, and most
-   pairs that share only a passage end here.  The rest are compared exactly over
-   both whole sets (64-bit shingle hashes), fetched for those documents alone.
+   document id, and only one set of a class goes on.
+2. Every shingle is counted over all classes.  Each packet of documents sends
+   its sorted shingles by hash range and gets their counts back in the same
+   order, so nothing is broadcast.  The global order of tokens is by count,
+   then hash.
+3. A set of n shingles may miss t = n - ceil(n * num / den) of a partner's.
+   Shingles of count 1 are in no partner, so a set with more than t of them has
+   none and ends here.  The others index their prefix.  Tokens fall into
+   classes by count: up to RARE single tokens are indexed, up to RARE ** 2
+   pairs, beyond that triples, within small token groups.  A group of
+   k-combinations may hide k - 1 shared tokens, so the prefix is extended by
+   that for every group it touches: it ends where its tokens, less those,
+   number t + 1.  Two linked sets then share a combination that lies in both
+   prefixes.  Groups are set by hash and by size class; partners differ by at
+   most one size class, and each set is indexed for both.
+4. An index entry carries a positional bound: how many tokens up to its last
+   one a partner, which first meets the set there, must miss.  With the sizes
+   this bounds the overlap of a pair, and pairs that cannot reach the threshold
+   are not made.  At the first common entry of a pair the bound holds for sure.
+5. In every entry the member with the smallest share of shingles of its own
+   (an original rather than an edited copy) is compared with all others, and
+   linked sets merge into components.  In large entries whose members are then
+   still apart a member of another component is compared with the rest, a few
+   rounds long.  At last all pairs of members of different components are
+   compared, so no link between components is lost, while groups of copies
+   never make all their pairs.
+6. Pairs are compared exactly on both whole sets (64-bit shingle hashes).
 
 Defined cases: null, empty and word-less texts have 0 shingles and link with
 nothing; texts with fewer words than ``width`` have one shingle, the whole
 sequence; a row without id has no component; rows that share an id count as
-one document; empty tables give empty results.  Only the id and text columns
-are read.
+one document; empty tables give empty results; ids are integers, others raise
+TypeError.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -45,21 +50,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import packets, shared, words
 from .components import components
 
+#: Tokens of up to so many sets are indexed singly, of up to its square in pairs, others in triples.
 RARE = 24
-FREQUENT_MOST = 1_000_000
-#: Frequent shingles per token group that a prefix is planned for.
+#: Tokens per group that a prefix is planned for.
 GROUP = 5
-#: Entries of up to so many members are compared across components in one round.
+#: Entries with more members than this get some rounds of one member against the rest before all pairs across components.
 SMALL = 32
+ROUNDS = 2
 U64 = np.uint64
-#: Shingles are counted by the upper 44 bits of their hash; two that fall together only lend each other their counts.
-SHORT = U64(20)
-#: Shingles with a hash below this make a set's head.
-HEAD = U64((1 << 64) // 3)
 
 
 def _sets(block: bytes, width: int) -> Iterator[tuple[int, int | None, np.ndarray]]:
@@ -85,18 +88,6 @@ def _key(shingles: np.ndarray) -> tuple[int, int]:
     return int(one.astype(np.int64)), int(two.astype(np.int64))
 
 
-def _distinct_sets(block: bytes, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(smallest id, shingles) of the packet's different sets."""
-    found: dict[tuple, tuple[int, np.ndarray]] = {}
-    for _, doc, shingles in _sets(block, width):
-        if doc is None or not len(shingles):
-            continue
-        key = (*_key(shingles), len(shingles))
-        if key not in found or doc < found[key][0]:
-            found[key] = doc, shingles
-    yield from found.values()
-
-
 def _keys(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for packet, block in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -105,302 +96,245 @@ def _keys(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], ["doc_id", "n", "k1", "k2", "packet", "row"])
 
 
-def _ranges(key: np.ndarray, n_buckets: int) -> Iterator[tuple[int, int, int]]:
-    """Cuts of sorted hashes at the bounds of their ranges: (range, from, to)."""
-    if len(key):
-        bucket = ((key >> U64(32)) * U64(n_buckets)) >> U64(32)
+def _chosen(packed: pa.Table, told: pa.Table, width: int) -> list[tuple[int, np.ndarray]]:
+    """(id, shingles) of the rows of one packet that stand for their class."""
+    rows = set(told.column("row").drop_null().to_pylist())
+    if not rows or not packed.num_rows:
+        return []
+    return [(doc, s) for i, doc, s in _sets(packed.column("block")[0].as_py(), width) if i in rows]
+
+
+def _shortened(held: list[tuple[int, np.ndarray]], shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shortened shingles of some sets, and in how many of the sets each is."""
+    return np.unique(np.concatenate([s for _, s in held]) >> U64(shift), return_counts=True)
+
+
+SENT = "bucket int, packet bigint, block binary"
+
+
+def _counted(packed: pa.Table, told: pa.Table, width: int, shift: int, n_buckets: int) -> pa.Table:
+    """Per hash range: the packet's sorted shingles and in how many of its sets each is."""
+    held = _chosen(packed, told, width)
+    out = []
+    if held:
+        key, count = _shortened(held, shift)
+        bucket = ((key << U64(shift) >> U64(32)) * U64(n_buckets)) >> U64(32)
         cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=U64(1 << 40))), len(key))
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            yield int(bucket[lo]), int(lo), int(hi)
+            out.append((int(bucket[lo]), shared.pack(shared.ordered(key[lo:hi]), count[lo:hi].astype(np.uint32))))
+    packet = packed.column("packet")[0].as_py() if packed.num_rows else 0
+    return pa.table([pa.array([b for b, _ in out], pa.int32()), pa.array([packet] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], ["bucket", "packet", "block"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch], width: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per packet and hash range: its shingles and in how many of its sets each is."""
-    for batch in batches:
-        for block in batch.column(1):
-            held = [s for _, s in _distinct_sets(block.as_py(), width)]
-            if not held:
-                continue
-            key, count = np.unique(np.concatenate(held) >> SHORT, return_counts=True)
-            key = key << SHORT
-            out = [(b, shared.pack(shared.ordered(key[lo:hi] >> SHORT), count[lo:hi].astype(np.uint32))) for b, lo, hi in _ranges(key, n_buckets)]
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "block"])
-
-
-def _summed(table: pa.Table, rare: int) -> pa.Table:
-    """One hash range: shingles held by more than ``rare`` sets."""
+def _totalled(table: pa.Table) -> pa.Table:
+    """One hash range: each packet's shingles get their counts over all packets, in the order they came in."""
     keys, counts = [], []
     for block in table.column("block").to_pylist():
         key, count = shared.unpack(block, np.uint64, np.uint32)
-        keys.append(np.cumsum(key, dtype=U64))  # shortened
+        keys.append(np.cumsum(key, dtype=U64))
         counts.append(count)
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    key, count = key[order], count[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    total = np.add.reduceat(count.astype(np.int64), first)
-    often = total > rare
-    return pa.table({"shingle": pa.array(key[first][often].view(np.int64)), "n": pa.array(total[often])})
-
-
-def frequent_shingles(packed: DataFrame, width: int, n_buckets: int, folder: str) -> np.ndarray:
-    """Sorted shortened hashes of the frequent class, at most FREQUENT_MOST of them."""
-    counted = packed.mapInArrow(partial(_counted, width=width, n_buckets=n_buckets), "bucket int, block binary")
-    rare = RARE
-
-    def summed(table: pa.Table) -> pa.Table:
-        return _summed(table, rare)
-
-    often = counted.groupBy("bucket").applyInArrow(summed, "shingle bigint, n bigint")
-    often = shared.stored(often, folder, "frequent")
-    sizes = {r["p"]: r["c"] for r in often.groupBy(F.floor(F.log2(F.col("n") / rare)).alias("p")).agg(F.count("*").alias("c")).collect()}
-    power = 0
-    while sum(c for p, c in sizes.items() if p >= power) > FREQUENT_MOST:
-        power += 1
-    got = often.where(F.floor(F.log2(F.col("n") / rare)) >= power).select("shingle").toPandas()["shingle"].to_numpy(dtype=np.int64)
-    return np.sort(got.view(U64))
-
-
-def signatures(shingles: np.ndarray, often: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Index entries of one set; ``often`` marks its frequent shingles."""
+    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(which, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.uint32)[which]
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    blocks = [shared.pack(part) for part in np.split(total, ends)]
+    return pa.table([table.column("bucket"), table.column("packet"), pa.array(blocks, pa.binary())], ["bucket", "packet", "block"])
+
+
+def _scheme(size_class: int, num: int, den: int) -> int:
+    """Token groups of each kind of combination for sets of this size class or the next; 0 if such sets are too small for combinations."""
+    least = math.ceil((den / num) ** size_class - 1e-9)
+    groups = max(1, int(least * (den - num) / den / GROUP))
+    return groups if -(-least * num // den) - 1 >= 3 * groups else 0
+
+
+def signatures(shingles: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index entries of one set, and for each how many of the set's tokens a partner first met there misses."""
     n = len(shingles)
     need = n - (-(-n * num // den)) + 1
-    single = shingles[~often][:need]
-    out = [words.mix(single + U64(7))]
-    if len(single) < need and n > 1:
-        dear = shingles[often]
-        size_class = math.floor(math.log(n) / math.log(den / num)) if num < den else n
-        for scheme in (size_class, size_class - 1):
-            plan = (den / num) ** max(scheme, 0) if num < den else n
-            groups = max(1, int(plan * (den - num) / den / GROUP))
-            group = (dear >> U64(20)) % U64(groups)
-            fresh = np.zeros(len(dear), dtype=bool)
-            fresh[np.unique(group, return_index=True)[1]] = True
-            reach = np.searchsorted(np.cumsum(~fresh), need - len(single)) + 1
-            part, group = dear[:reach], group[:reach]
-            order = np.argsort(group, kind="stable")
-            part, group = part[order], group[order]
-            for step in range(1, len(part)):
-                same = group[step:] == group[:-step]
-                if not same.any():
-                    break
-                out.append(words.mix(words.mix(part[:-step][same]) * words.STEP + part[step:][same]))
-    return np.unique(np.concatenate(out))
-
-
-def _indexed(batches: Iterator[pa.RecordBatch], width: int, num: int, den: int, n_buckets: int, frequent) -> Iterator[pa.RecordBatch]:
-    """Per packet and hash range, packed (entry, node, size); entries with several nodes in the packet also as local stars."""
-    known = frequent.value
-    for batch in batches:
-        for packet, block in zip(batch.column(0).to_pylist(), batch.column(1)):
-            entry, node, size = [], [], []
-            for doc, shingles in _distinct_sets(block.as_py(), width):
-                short = shingles >> SHORT
-                at = np.minimum(np.searchsorted(known, short), max(len(known) - 1, 0))
-                often = known[at] == short if len(known) else np.zeros(len(shingles), dtype=bool)
-                sig = signatures(shingles, often, num, den)
-                entry.append(sig)
-                node.append(np.full(len(sig), doc, dtype=np.int64))
-                size.append(np.full(len(sig), len(shingles), dtype=np.uint32))
-            if not entry:
-                continue
-            key, doc, n = map(np.concatenate, (entry, node, size))
-            order = np.lexsort((doc, key))
-            key, doc, n = key[order], doc[order], n[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            count = np.diff(np.append(first, len(key)))
-            out = []
-            several = np.repeat(count > 1, count)
-            if several.any():
-                centre = np.repeat(first, count)[several]
-                local = (shared.ordered(key[several]), doc[several], n[several], doc[centre], n[centre], np.ones(int(several.sum()), np.uint8))
-                out.append((packet % n_buckets, shared.pack(*local)))
-            key, doc, n, many = key[first], doc[first], n[first], (count > 1).astype(np.uint8)
-            for b, lo, hi in _ranges(key, n_buckets):
-                none = np.zeros(hi - lo, np.int64)
-                out.append((b, shared.pack(shared.ordered(key[lo:hi]), doc[lo:hi], n[lo:hi], none, none.astype(np.uint32), np.zeros(hi - lo, np.uint8))))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "block"])
-
-
-ENTRIES = "entry bigint, node bigint, n int, centre bigint, centre_n int"
-
-
-def _gathered(table: pa.Table) -> pa.Table:
-    """One hash range: members of entries with several nodes, each with the entry's first node; local stars pass through."""
-    cols = [[] for _ in range(6)]
-    for block in table.column("block").to_pylist():
-        got = shared.unpack(block, np.uint64, np.int64, np.uint32, np.int64, np.uint32, np.uint8)
-        got[0] = np.cumsum(got[0], dtype=U64)
-        for held, x in zip(cols, got):
-            held.append(x)
-    key, doc, n, centre, centre_n, local = map(np.concatenate, cols)
-    rest = local == 0
-    k, d, m = key[rest], doc[rest], n[rest]
-    order = np.lexsort((d, k))
-    k, d, m = k[order], d[order], m[order]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    count = np.diff(np.append(first, len(k)))
-    several = np.repeat(count > 1, count)
-    lead = np.repeat(first, count)[several]
-    parts = [(key[~rest], k[several]), (doc[~rest], d[several]), (n[~rest], m[several]), (centre[~rest], d[lead]), (centre_n[~rest], m[lead])]
-    key, doc, n, centre, centre_n = map(np.concatenate, parts)
-    return pa.table({"entry": key.view(np.int64), "node": doc, "n": n.astype(np.int32), "centre": centre, "centre_n": centre_n.astype(np.int32)})
-
-
-def _picked(packed: pa.Table, wanted: pa.Table, width: int, head: bool) -> pa.Table:
-    """Shingle sets, or their heads, of the wanted rows of one packet."""
-    node, size, block = [], [], []
-    if packed.num_rows and wanted.num_rows:
-        rows = set(wanted.column("row").to_pylist())
-        for i, doc, shingles in _sets(packed.column("block")[0].as_py(), width):
-            if i in rows:
-                node.append(doc)
-                size.append(len(shingles))
-                part = (shingles[shingles < HEAD] >> U64(32)).astype(np.uint32) if head else shingles
-                block.append(shared.pack(shared.ordered(part)))
-    return pa.table({"node": pa.array(node, pa.int64()), "size": pa.array(size, pa.int32()), "shingles": pa.array(block, pa.binary())})
-
-
-def _compared(batches: Iterator[pa.RecordBatch], num: int, den: int, head: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs that reach the threshold, or, from heads, that still may."""
-    kind = np.uint32 if head else np.uint64
-
-    def opened(block: bytes) -> np.ndarray:
-        return np.cumsum(shared.unpack(block, kind)[0], dtype=kind)
-
-    def missing(x: np.ndarray, y: np.ndarray) -> int:
-        return len(x) - (int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0)
-
+    order = np.lexsort((shingles, counts))
+    token, count = shingles[order], counts[order]
+    lone = int(np.searchsorted(count, 2))
+    kind = 1 + (count > RARE).astype(np.int64) + (count > RARE * RARE)
+    size_class = math.floor(math.log(n) / math.log(den / num) + 1e-9)
+    entries, places = [], []
+    for scheme in {max(size_class, 0), max(size_class - 1, 0)}:
+        groups = _scheme(scheme, num, den)
+        k = kind if groups else np.ones(n, np.int64)
+        dealt = ((token >> U64(20)) % U64(max(groups, 1))).astype(np.int64)
+        group = np.where(k > 1, k * max(groups, 1) + dealt, -1)
+        hides = np.zeros(n, np.int64)
+        fresh = np.unique(group, return_index=True)[1]
+        hides[fresh] = k[fresh] - 1
+        slack = np.cumsum(hides)
+        place = np.maximum(np.arange(n) - slack, lone)
+        enough = np.flatnonzero(np.arange(1, n + 1) - slack >= need)
+        reach = int(enough[0]) + 1 if len(enough) else n
+        single = np.flatnonzero(k[:reach] == 1)
+        single = single[single >= lone]
+        entries.append(words.mix(token[single] + U64(7)))
+        places.append(place[single])
+        for size in (2, 3):
+            part = np.flatnonzero(k[:reach] == size)
+            part = part[np.argsort(group[part], kind="stable")]
+            chain, last = words.mix(token[part]), np.arange(len(part))
+            for _ in range(size - 1):
+                chain, last = _longer(chain, last, token[part], group[part])
+            entries.append(chain)
+            places.append(place[part[last]])
+    entry, place = np.concatenate(entries), np.concatenate(places)
+    order = np.lexsort((place, entry))
+    entry, place = entry[order], place[order]
+    first = np.append(True, entry[1:] != entry[:-1])[: len(entry)]
+    return entry[first], place[first]
+
+
+def _longer(chain: np.ndarray, last: np.ndarray, token: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every combination with each later token of its group added; tokens lie sorted by group."""
+    chains, lasts = [chain[:0]], [last[:0]]
+    for step in range(1, len(token)):
+        more = last + step
+        fits = more < len(token)
+        fits[fits] = group[more[fits]] == group[last[fits]]
+        if not fits.any():
+            break
+        chains.append(words.mix(chain[fits] * words.STEP + token[more[fits]]))
+        lasts.append(more[fits])
+    return np.concatenate(chains), np.concatenate(lasts)
+
+
+SURVIVORS = "node bigint, n int, lone int, shingles binary, entry array<bigint>, place array<int>"
+
+
+def _surviving(packed: pa.Table, told: pa.Table, width: int, shift: int, num: int, den: int) -> pa.Table:
+    """The packet's sets that may have a partner, with their index entries."""
+    held = _chosen(packed, told, width)
+    out = []
+    if held:
+        key = _shortened(held, shift)[0]
+        answers = sorted((b, x) for b, x in zip(told.column("bucket").to_pylist(), told.column("block").to_pylist()) if x is not None)
+        total = np.concatenate([shared.unpack(x, np.uint32)[0] for _, x in answers])
+        for doc, shingles in held:
+            n = len(shingles)
+            count = total[np.searchsorted(key, shingles >> U64(shift))]
+            lone = int((count == 1).sum())
+            if lone <= n - (-(-n * num // den)):
+                entry, place = signatures(shingles, count, num, den)
+                out.append((doc, n, lone, shared.pack(shared.ordered(shingles)), entry.view(np.int64), place.astype(np.int32)))
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    return pa.table([pa.array([r[i] for r in out], kinds[i]) for i in range(6)], ["node", "n", "lone", "shingles", "entry", "place"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole sets that reach the threshold."""
     for batch in batches:
         a, b = [], []
         last, held = None, None
-        for x, y, n, m, one, two in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+        for x, y, one, two in zip(*[batch.column(i).to_pylist() for i in range(4)]):
             if two != last:
-                last, held = two, opened(two)
-            s = opened(one)
-            common = n - missing(s, held)
-            if head:
-                common = min(common, m - missing(held, s))
-            if den * common >= num * (n + m - common):
+                last, held = two, np.cumsum(shared.unpack(two, np.uint64)[0], dtype=U64)
+            s = np.cumsum(shared.unpack(one, np.uint64)[0], dtype=U64)
+            common = int((held[np.minimum(np.searchsorted(held, s), len(held) - 1)] == s).sum())
+            if den * common >= num * (len(s) + len(held) - common):
                 a.append(x)
                 b.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-class _Sets:
-    """Fetches sets of chosen documents from their packets, and compares pairs by them."""
-
-    def __init__(self, packed: DataFrame, classes: DataFrame, folder: str, width: int, num: int, den: int):
-        self.packed, self.folder, self.width, self.num, self.den = packed, folder, width, num, den
-        self.where = classes.select("node", "packet", "row")
-
-    def fetched(self, nodes: DataFrame, head: bool, name: str) -> DataFrame:
-        width = self.width
-
-        def picked(packed: pa.Table, wanted: pa.Table) -> pa.Table:
-            return _picked(packed, wanted, width, head)
-
-        wanted = nodes.distinct().join(self.where, "node").select("packet", "row")
-        got = self.packed.groupBy("packet").cogroup(wanted.groupBy("packet")).applyInArrow(picked, "node bigint, size int, shingles binary")
-        return shared.stored(got, self.folder, name)
-
-    def passing(self, pairs: DataFrame, sets: DataFrame, head: bool) -> DataFrame:
-        one = sets.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("shingles").alias("one"))
-        two = sets.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("shingles").alias("two"))
-        both = pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "one", "two")
-        return both.mapInArrow(partial(_compared, num=self.num, den=self.den, head=head), "a bigint, b bigint")
-
-    def links(self, pairs: DataFrame, heads: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs (a, b) that reach the threshold."""
-        near = shared.stored(self.passing(pairs, heads, head=True), self.folder, f"{name}-near")
-        if near.isEmpty():
-            return near
-        whole = self.fetched(near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))), False, f"{name}-sets")
-        found = shared.stored(self.passing(near, whole, head=False), self.folder, name)
-        shared.dropped(pairs.sparkSession, f"{self.folder}/{name}-sets")
-        _released(pairs.sparkSession)
-        return found
-
-
 def _released(spark) -> None:
     """Let Spark delete the shuffle files of finished steps."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def _candidates(packed: DataFrame, classes: DataFrame, n_buckets: int, shift: int, width: int, num: int, den: int) -> DataFrame:
+    """Sets that may have a partner: node, n, lone, shingles, entry, place."""
+    reps = classes.select("packet", "row")
+    counted = packed.groupBy("packet").cogroup(reps.groupBy("packet")).applyInArrow(partial(_counted, width=width, shift=shift, n_buckets=n_buckets), SENT)
+    answers = counted.groupBy("bucket").applyInArrow(_totalled, SENT)
+    none = F.lit(None)
+    told = reps.select("packet", "row", none.cast("int").alias("bucket"), none.cast("binary").alias("block"))
+    told = told.union(answers.select("packet", none.cast("bigint"), "bucket", "block"))
+    return packed.groupBy("packet").cogroup(told.groupBy("packet")).applyInArrow(partial(_surviving, width=width, shift=shift, num=num, den=den), SURVIVORS)
+
+
+def _linked(classes: DataFrame, members: DataFrame, packed: DataFrame, folder: str, n_buckets: int, shift: int, width: int, num: int, den: int) -> DataFrame:
+    """(node, component) of every class that has a link."""
+    spark = packed.sparkSession
+    drop = lambda name: shared.dropped(spark, f"{folder}/{name}")
+    sets = shared.stored(_candidates(packed, classes, n_buckets, shift, width, num, den), folder, "candidates")
+    _released(spark)
+    drop("packets")
+    drop("classes")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
+        two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("two"))
+        both = pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "one", "two")
+        return shared.stored(both.mapInArrow(partial(_compared, num=num, den=den), "a bigint, b bigint"), folder, name)
+
+    def may_reach(n, place, m, other):
+        return (num + den) * F.least(n - place, m - other) >= num * (n + m)
+
+    rows = sets.select("node", "n", (F.col("lone") / F.col("n")).alias("own"), F.explode(F.arrays_zip("entry", "place")).alias("e"))
+    rows = rows.select("e.entry", "node", "n", "e.place", "own")
+    leads = rows.groupBy("entry").agg(F.count("*").alias("c"), F.min(F.struct("own", "node", "n", "place")).alias("lead")).where("c > 1")
+    rows = shared.stored(rows.join(leads, "entry"), folder, "entries")
+    star = rows.where((F.col("node") != F.col("lead.node")) & may_reach(F.col("n"), F.col("place"), F.col("lead.n"), F.col("lead.place")))
+    found = linked(star.select(F.col("node").alias("a"), F.col("lead.node").alias("b")), "links-0")
+    # An id with several texts is one document: its classes are linked.
+    several = members.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("high")).where("b < high")
+    found = found.union(members.join(several, "doc_id").select(F.col("node").alias("a"), "b"))
+    labels = components(found, folder, "components-0")
+    rows = rows.drop("lead")
+    for turn in range(1, ROUNDS + 2):
+        told = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        apart = told.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("entry")
+        rows = shared.stored(told.join(apart, "entry"), folder, f"apart-{turn}")
+        drop(f"apart-{turn - 1}" if turn > 1 else "entries")
+        wide = rows.where(F.col("c") > SMALL)
+        last = turn > ROUNDS or wide.isEmpty()
+        if last:
+            if rows.isEmpty():
+                break
+            other = rows.select("entry", *[F.col(x).alias(f"b_{x}") for x in ("node", "n", "place", "component")])
+            apart = (F.col("component") < F.col("b_component")) & may_reach(F.col("n"), F.col("place"), F.col("b_n"), F.col("b_place"))
+            pairs = rows.join(other, "entry").where(apart).select(F.col("node").alias("a"), F.col("b_node").alias("b"))
+        else:
+            # One member of some component, another one each turn, against the members of all others.
+            lead = wide.groupBy("entry").agg(F.min(F.struct(F.xxhash64("component", F.lit(turn)), "own", "node", "n", "place", "component")).alias("lead"))
+            apart = (F.col("component") != F.col("lead.component")) & may_reach(F.col("n"), F.col("place"), F.col("lead.n"), F.col("lead.place"))
+            pairs = wide.join(lead, "entry").where(apart).select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
+        found = linked(pairs, f"links-{turn}")
+        if not found.isEmpty():
+            known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            labels = components(known.union(found), folder, f"components-{turn}")
+        rows = rows.drop("component")
+        if last:
+            break
+    drop("candidates")
+    return labels
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, folder: str | None = None) -> DataFrame:
     """doc_id, n_shingles, node (its class), component_id: one row per row of ``docs``."""
     spark = docs.sparkSession
     shared.attach(spark)
-    folder = shared.shared_folder(spark)
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    n_buckets = shared.buckets_for(rows, "text")
+    if not isinstance(docs.select(f"`{id_col}`").schema[0].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be an integer column")
+    folder = folder or shared.shared_folder(spark)
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    n_buckets, n_bytes = shared.buckets_for(rows, "text")
+    # Hashes are shortened for counting; at this length few of them fall together, and those only lend each other their counts.
+    shift = max(0, 64 - 14 - max(1, n_bytes).bit_length())
     packed = packets.packets(rows, folder)
     keys = shared.stored(packed.mapInArrow(partial(_keys, width=width), "doc_id bigint, n bigint, k1 bigint, k2 bigint, packet bigint, row bigint"), folder, "keys")
     classes = keys.where("doc_id is not null and n > 0").groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "packet", "row")).alias("first"))
     classes = shared.stored(classes.select("k1", "k2", "n", F.col("first.doc_id").alias("node"), "first.packet", "first.row"), folder, "classes")
     same = ["k1", "k2", "n"]
     members = shared.stored(keys.join(classes.select(*same, "node"), same, "left").select("doc_id", F.col("n").alias("n_shingles"), "node"), folder, "members")
-
-    frequent = spark.sparkContext.broadcast(frequent_shingles(packed, width, n_buckets, folder))  # at most 8 bytes times FREQUENT_MOST
-    _released(spark)
-    indexed = packed.mapInArrow(partial(_indexed, width=width, num=num, den=den, n_buckets=n_buckets, frequent=frequent), "bucket int, block binary")
-    entries = indexed.groupBy("bucket").applyInArrow(_gathered, ENTRIES)
-    entries = shared.stored(entries, folder, "entries")
-    _released(spark)
-    moved = shared.stored(members.where("doc_id <> node").select("doc_id", "node").distinct(), folder, "moved")  # copies in other packets stand for their class
-    to = moved.select(F.col("doc_id").alias("node"), F.col("node").alias("to"))
-    to_centre = moved.select(F.col("doc_id").alias("centre"), F.col("node").alias("to_centre"))
-    entries = entries.join(to, "node", "left").join(to_centre, "centre", "left")
-    entries = entries.select("entry", F.coalesce("to", "node").alias("node"), "n", F.coalesce("to_centre", "centre").alias("centre"), "centre_n")
-    near = F.col("n") * den >= F.col("centre_n") * num
-    near = near & (F.col("centre_n") * den >= F.col("n") * num)
-    pairs = entries.where((F.col("node") != F.col("centre")) & near).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    pairs = shared.stored(pairs, folder, "pairs-0")
-    wide = shared.stored(entries.select("entry", "node", "n").distinct(), folder, "wide")
-    # Entries with the same members say the same: one of them is enough.
-    whose = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
-    counts = wide.groupBy("entry").agg(F.count("*").alias("c"), *whose).where("c > 2").groupBy("c", "x", "y").agg(F.min("entry").alias("entry")).select("entry", "c")
-    wide = shared.stored(wide.join(counts, "entry"), folder, "members-of-entries")
-    shared.dropped(spark, f"{folder}/wide")
-    compare = _Sets(packed, classes, folder, width, num, den)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(wide.select("node"))
-    heads = compare.fetched(wanted, True, "heads")
-    _released(spark)
-
-    links = compare.links(pairs, heads, "links-0")
-    labels = components(links, folder, "components-0")
-    turn, low, high, n_wide = 0, 0, 2, wide.count()
-    while True:
-        # Entries whose members are still apart; each round compares more of their members with all others across components.
-        turn += 1
-        told = wide.join(labels, "node", "left").select("entry", "c", "node", "n", F.coalesce("component", "node").alias("component"))
-        told = shared.stored(told, folder, f"told-{turn}", n_wide)
-        apart = told.groupBy("entry").agg(F.min("component").alias("x"), F.max("component").alias("y")).where((F.col("x") < F.col("y"))).select("entry")
-        apart = shared.stored(apart, folder, f"apart-{turn}", n_wide)
-        wide = told.join(apart, "entry")
-        wide = shared.stored(wide if turn == 1 else wide.where((F.col("c") > low) & (F.col("c") > SMALL)), folder, f"wide-{turn}", n_wide)
-        n_wide = wide.count()
-        if not n_wide:
-            break
-        place = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) * F.col("c") / F.lit(1 << 40)  # a member's place in its entry, evenly from 0 to c
-        centre = wide.where((F.col("c") <= SMALL) | ((place >= low) & (place < high))).select("entry", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-        across = wide.join(centre, "entry").where((F.col("component") != F.col("bc")) & (F.col("n") * den >= F.col("bn") * num) & (F.col("bn") * den >= F.col("n") * num))
-        pairs = across.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        found = compare.links(shared.stored(pairs, folder, f"pairs-{turn}"), heads, f"links-{turn}")
-        if not found.isEmpty():
-            # Links between components, then components of those: what is linked already is not walked again.
-            one = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-            two = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-            between = found.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            over = components(between, folder, f"components-{turn}").select(F.col("node").alias("component"), F.col("component").alias("over"))
-            # A component's name is a node of its own, so nodes without links so far come in as names.
-            known = labels.select("node", "component").union(over.select(F.col("component").alias("node"), "component")).distinct()
-            labels = known.join(over, "component", "left").select("node", F.coalesce("over", "component").alias("component")).distinct()
-            labels = shared.stored(labels, folder, f"labels-{turn}")
-        wide = wide.drop("component")
-        low, high = high, 4 * high
-        _released(spark)
-    shared.dropped(spark, f"{folder}/packets")
-    labels = labels.select("node", "component")
+    shared.dropped(spark, f"{folder}/keys")
+    if num < den:
+        labels = _linked(classes, members, packed, folder, n_buckets, shift, width, num, den).select("node", "component")
+    else:  # equal sets only
+        labels = classes.select("node", F.col("node").alias("component"))
     return members.join(labels, "node", "left").select("doc_id", "n_shingles", "node", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))

@@ -49,11 +49,11 @@ def dropped(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def buckets_for(df: DataFrame, column: str, bytes_each: int = 16 << 20) -> int:
-    """How many hash ranges keep about ``bytes_each`` of text in each, for a table of any size."""
+def buckets_for(df: DataFrame, column: str, bytes_each: int = 16 << 20) -> tuple[int, int]:
+    """How many hash ranges keep about ``bytes_each`` of text in each, for a table of any size, and its bytes."""
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(least, -(-int(total) // bytes_each))
+    return max(least, -(-int(total) // bytes_each)), int(total)
 
 
 def pack(*arrays: np.ndarray) -> bytes:

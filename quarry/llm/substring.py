@@ -119,15 +119,15 @@ def _removed(packed: pa.Table, answers: pa.Table, width: int, texts: bool) -> pa
     return pa.table(out)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, carry: str | None = None, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, carry: str | None = None, texts: bool = False, folder: str | None = None) -> DataFrame:
     """id, n_words, n_removed, kept_sha256 per row; ``texts`` adds kept_text (the text itself where n_removed is 0), ``carry`` a struct of all input columns but the text."""
     spark = docs.sparkSession
     shared.attach(spark)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     kept = [F.col(f"`{id_col}`").alias("doc_id")] + ([F.struct(*rest).alias(carry)] if carry else [])
     rows = docs.select(*kept, F.col(f"`{text_col}`").alias("text"))
-    n_buckets = shared.buckets_for(rows, "text")
-    packed = packets.packets(rows, shared.shared_folder(spark))
+    n_buckets, _ = shared.buckets_for(rows, "text")
+    packed = packets.packets(rows, folder or shared.shared_folder(spark))
     anchors = packed.mapInArrow(partial(_anchors, width=width, n_buckets=n_buckets), packets.RECORDS)
     windows = packets.with_answers(packed, packets.repeated(anchors), partial(_extended, width=width, n_buckets=n_buckets), packets.RECORDS)
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]

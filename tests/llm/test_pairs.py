@@ -69,25 +69,48 @@ def test_join_of_an_empty_table(frame):
     assert ngram_join.join(frame([])).count() == 0
 
 
-def test_every_partner_shares_a_signature():
+def test_every_partner_shares_a_signature(monkeypatch):
+    """Linked sets meet in an entry whose positional bounds let them pass, whatever the counts of their tokens."""
     import numpy as np
 
     from quarry.llm import words
 
+    monkeypatch.setattr(ngram_join, "RARE", 3)
     r = np.random.default_rng(3)
-    for n in (2, 5, 8, 40, 300):
-        for _ in range(20):
-            x = np.unique(words.mix(r.integers(0, 1 << 60, n).astype(np.uint64)))
-            drop = r.integers(0, n // 9 + 1)
-            y = np.unique(np.concatenate((r.permutation(x)[drop:], words.mix(r.integers(0, 1 << 60, drop).astype(np.uint64)))))
-            if 100 * len(np.intersect1d(x, y)) < 80 * len(np.union1d(x, y)):
-                continue
-            for share in (0, 3, 1):  # none, some, all frequent
-                often = lambda s: (s % np.uint64(share + 1)) == 0 if share != 1 else np.ones(len(s), bool)
-                if share == 0:
-                    often = lambda s: np.zeros(len(s), bool)
-                if len(x) > 1 or share == 0:
-                    assert len(np.intersect1d(ngram_join.signatures(x, often(x), 80, 100), ngram_join.signatures(y, often(y), 80, 100))) or len(np.setxor1d(x, y)) == 0
+    met = 0
+    for num, den in ((80, 100), (50, 100), (9, 10)):
+        for n in (4, 5, 8, 40, 300):
+            for most in (2, 4, 30):  # mostly rare tokens, some pairs, mostly triples
+                for _ in range(20):
+                    x = np.unique(words.mix(r.integers(0, 1 << 60, n).astype(np.uint64)))
+                    drop = r.integers(0, 1 + n * (den - num) // den)
+                    y = np.unique(np.concatenate((r.permutation(x)[drop:], words.mix(r.integers(0, 1 << 60, drop // 2).astype(np.uint64)))))
+                    common = len(np.intersect1d(x, y))
+                    if den * common < num * len(np.union1d(x, y)) or len(np.setxor1d(x, y)) == 0:
+                        continue
+                    counts = dict(zip(np.union1d(x, y).tolist(), r.integers(2, 2 + most, len(np.union1d(x, y))).tolist()))
+                    for s in np.setxor1d(x, y).tolist():
+                        counts[s] = int(r.integers(1, 2 + most))
+                    found = []
+                    for s in (x, y):
+                        entry, place = ngram_join.signatures(s, np.array([counts[t] for t in s.tolist()]), num, den)
+                        found.append(dict(zip(entry.tolist(), place.tolist())))
+                    at = [(found[0][e], found[1][e]) for e in found[0].keys() & found[1].keys()]
+                    assert any((num + den) * min(len(x) - p, len(y) - q) >= num * (len(x) + len(y)) for p, q in at)
+                    met += 1
+    assert met > 300
+
+
+def test_one_id_with_two_texts_is_one_document(frame):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(7, one, "en", "s", 0), (3, one, "en", "s", 0), (7, two, "en", "s", 0), (9, two, "en", "s", 0), (8, "c d e f g h", "en", "s", 0)]
+    got = {(r.doc_id, r.component_id) for r in ngram_join.join(frame(rows)).collect()}
+    assert got == {(7, 3), (3, 3), (9, 3), (8, 8)}
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(TypeError):
+        ngram_join.join(spark.createDataFrame([("a", "x y")], "doc_id string, text string"))
 
 
 def removed(rows, width=35):
