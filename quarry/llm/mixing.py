@@ -1,13 +1,17 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every document of a source is served in a fixed shuffled order, again and
-again until the source has its target.  A document's virtual finish time is
-the words its source has served up to its end, divided by the source's target.
-Documents sorted by that time over all sources form the mix; since the targets
-add up to the budget, the budget is used up at virtual time 1, where the order
-is cut.  ``cut="words"`` also serves the words before the cut of the document
-that each source is then serving; ``cut="documents"`` serves it whole if at
-least half of it lies before the cut.
+Every document of a source is served in a fixed shuffled order, up to ``most``
+times over.  A turn's virtual finish time is the words its source has served up
+to the turn's end, divided by the source's target.  The turns of all sources
+are range-sorted by that time, running sums are taken over the ranges and
+within each, and the order is cut where the words reach the total budget; what
+lies before the cut is the mix.
+
+``cut="words"`` splits the turn that a source is serving at virtual time 1 (its
+target) into a part before and a part after, and the turn at the cut itself;
+so a source's words equal its target but for a few words a source.
+``cut="documents"`` keeps every turn whole; the one at the cut is in the mix if
+at least half of it lies before.
 
 Targets: weights by the source's place in code point order (null last), as
 shares of all words; none above ``most`` times its source's words, the excess
@@ -15,10 +19,11 @@ going to the others by weight until none is above.
 
 No task gets a whole source: its documents fall into about sqrt(rows) ranges
 of the shuffle key, ranges are summed first, and running sums are taken over
-the sums and then within each range.
+the sums and then within each range; the global order is treated likewise.  The
+shuffle key holds the text too, so rows without id, or of one id, spread.
 
 Defined cases: null and empty texts have no words and are never taken; null is
-a source of its own; rows equal in every used column are interchangeable;
+a source of its own; rows equal in id, source and text are interchangeable;
 empty tables give empty results.  Other columns travel in one struct.
 """
 
@@ -28,7 +33,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +42,8 @@ from . import shared, words
 
 #: Up to so many sources their targets are broadcast (about 100 bytes each); beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 50_000
+#: The virtual time of turns of a source without target.
+NEVER = 1e300
 
 
 def word_counts(column: pa.Array) -> np.ndarray:
@@ -46,6 +53,12 @@ def word_counts(column: pa.Array) -> np.ndarray:
     return out
 
 
+def _key(doc_id: Column, source: Column, text: Column) -> Column:
+    """The shuffle key: md5 over id, source and text."""
+    whose = F.when(source.isNull(), "").otherwise(F.concat(F.lit("s"), source))
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), whose, F.lit("|"), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         last = batch.num_columns - 1
@@ -53,12 +66,11 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(last)], pa.array(word_counts(batch.column(last)))], [*names, "size"])
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: bool = False) -> DataFrame:
-    """doc_id, source, text_key, size (words) and, with ``carry``, ``_row``: all columns of the input."""
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """doc_id, source, key, size (words)."""
     shared.attach(docs.sparkSession)
-    text = F.col(f"`{text_col}`")
-    kept = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), F.xxhash64(text).alias("text_key")]
-    rows = docs.select(*kept, *([F.struct("*").alias("_row")] if carry else []), text.alias("text"))
+    doc_id, source, text = F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.col(f"`{text_col}`")
+    rows = docs.select(doc_id.alias("doc_id"), source.alias("source"), _key(doc_id, source, text).alias("key"), text.alias("text"))
     return rows.mapInArrow(_sized, T.StructType([*rows.schema.fields[:-1], T.StructField("size", T.LongType())]))
 
 
@@ -79,58 +91,75 @@ def targets(rows: DataFrame, weights: Sequence[float], share: float = 1.0, most:
     return each.select("source", "source_size", target.alias("target"))
 
 
+def _running(rows: DataFrame, value: str, by: list[str], part: str, order: list, name: str, extra: dict[str, Column] | None = None) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over all rows before, in the order of ``part`` and then ``order``, for each ``by``.
+
+    Parts are summed first, so a task gets the sums or one part's rows.
+    """
+    sums = rows.groupBy(*by, part).agg(F.sum(value).alias("_sum"))
+    ahead = F.sum("_sum").over(W.partitionBy(*by).orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(part).alias("_part"), F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    own = W.partitionBy(*by, part).orderBy(*order)
+    upto = F.sum(value).over(own.rowsBetween(W.unboundedPreceding, W.currentRow))
+    out = rows.withColumns({"_upto": upto} | {k: c.over(own) for k, c in (extra or {}).items()})
+    same = F.col(part) == F.col("_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return out.join(sums, same).withColumn(name, F.col("_ahead") + F.col("_upto") - F.col(value)).drop("_upto", "_ahead", "_part", *[f"_{c}" for c in by])
+
+
 def served(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: int = 3, cut: str = "words", folder: str | None = None) -> DataFrame:
-    """Per row of ``sized``: source_size, target and ``serves``: for each pass its virtual finish time and words taken."""
+    """The turns of the rows of ``sized`` with ``finish`` (virtual time), ``words`` and ``taken``: the words before the global cut.
+
+    source, range and nth name a turn's row; a row has ``most`` turns, a split one counts as two.
+    """
+    if cut not in ("words", "documents"):
+        raise ValueError(f"unknown cut {cut}")
     spark = rows.sparkSession
     folder = folder or shared.shared_folder(spark)
     rows = shared.stored(rows, folder, "sizes")  # ids and numbers, no texts
     goals = shared.stored(targets(rows, weights, share, most), folder, "targets")
-    n_rows, n_sources = rows.count(), goals.count()
+    n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    n_sources, budget = goals.count(), int(total * share)
     ranges = max(1, int(n_rows**0.5))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    keyed = rows.withColumn("key", key).withColumn("range", F.floor(place * F.lit(ranges) / F.lit(1 << 32)).cast("long"))
-    sums = keyed.groupBy("source", "range").agg(F.sum("size").alias("n"))
-    ahead = F.sum("n").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
-    sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(ahead, F.lit(0)).alias("ahead"))
-    order = W.partitionBy("source", "range").orderBy("key", "doc_id", "size", "text_key").rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = keyed.withColumn("upto", F.sum("size").over(order))
-    run = run.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    run = run.withColumn("end", F.col("ahead") + F.col("upto"))
+    keyed = rows.withColumn("range", F.floor(place * F.lit(ranges) / F.lit(1 << 32)).cast("long"))
+    run = _running(keyed, "size", ["source"], "range", ["key", "doc_id", "size"], "before", {"nth": F.row_number()})
     goals = goals.withColumnRenamed("source", "g")
-    run = run.join(F.broadcast(goals) if n_sources <= BROADCAST_SOURCES else goals, F.col("source").eqNullSafe(F.col("g")))
-    passes = []
-    for p in range(most):
-        finish = F.col("end") + F.lit(p) * F.col("source_size")
-        before = F.greatest(F.round("target").cast("long") - (finish - F.col("size")), F.lit(0))
-        part = F.least(before, F.col("size"))
-        if cut == "documents":
-            part = F.when(2 * part >= F.col("size"), F.col("size")).otherwise(F.lit(0)).cast("long")
-        time = F.when(F.col("target") > 0, finish / F.col("target"))
-        passes.append(F.struct(time.alias("finish"), part.alias("words")))
-    return run.select("doc_id", "source", "text_key", "size", "source_size", "target", F.array(*passes).alias("serves"))
+    run = run.join(F.broadcast(goals) if n_sources <= BROADCAST_SOURCES else goals, F.col("source").eqNullSafe(F.col("g"))).drop("g")
+    turns = run.withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: F.col("before") + p * F.col("source_size"))))
+    end, goal = F.col("start") + F.col("size"), F.floor("target").cast("long")
+    part = lambda a, b: F.struct(a.alias("start"), (b - a).alias("words"), F.when(F.col("target") > 0, b / F.col("target")).otherwise(NEVER).alias("finish"))
+    whole = F.array(part(F.col("start"), end))
+    if cut == "words":
+        whole = F.when((F.col("start") < goal) & (goal < end), F.array(part(F.col("start"), goal), part(goal, end))).otherwise(whole)
+    turns = turns.withColumn("turn", F.explode(whole)).drop("start").select("*", "turn.*").drop("turn", "before")
+    # Finish times run evenly through a source's words, so equal spans of time hold about as many rows.
+    turns = turns.withColumn("span", F.floor(F.least("finish", F.lit(1e6)) * ranges).cast("long"))
+    turns = _running(turns, "words", [], "span", ["finish", F.col("source").asc_nulls_last(), "start", "key"], "ahead")
+    taken = F.greatest(F.least(F.lit(budget) - F.col("ahead"), "words"), F.lit(0)).cast("long")
+    if cut == "documents":
+        taken = F.when(2 * taken >= F.col("words"), F.col("words")).otherwise(F.lit(0)).cast("long")
+    return turns.withColumn("taken", taken)
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row per row of ``docs``."""
-    out = served(sized(docs, id_col, text_col, source_col), **options)
-    total = F.aggregate("serves", F.lit(0).cast("long"), lambda a, x: a + x["words"])
-    return out.select("doc_id", "size", "source_size", "target", total.alias("taken"))
+    turns = served(sized(docs, id_col, text_col, source_col), **options)
+    out = turns.groupBy("source", "range", "nth", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: whole rows of ``docs`` in order of virtual finish time, range-sorted over all sources.
 
     A document taken several times stands there several times.  Rows equal in id, source and text count as one
-    and keep all their turns.
+    and keep all their turns.  Texts move twice: to their turns, and into order.
     """
-    full = sized(docs, id_col, text_col, source_col, carry=True)
-    turns = served(sized(docs, id_col, text_col, source_col), cut="documents", **options)
-    turns = turns.where(F.exists("serves", lambda x: x["words"] > 0)).select("doc_id", "source", "text_key", F.explode("serves").alias("turn")).where("turn.words > 0")
-    turns = turns.groupBy("doc_id", "source", "text_key").agg(F.collect_list("turn.finish").alias("turns"))
-    turns = turns.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("text_key").alias("k"), "turns")
-    same = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("text_key") == F.col("k"))
-    once = full.join(turns, same)
-    first = F.row_number().over(W.partitionBy("i", "s", "k").orderBy("size"))
-    once = once.withColumn("_nth", first).where("_nth = 1").select("_row", "doc_id", F.explode("turns").alias("_time"))
-    return once.orderBy("_time", "doc_id").select("_row.*")
+    turns = served(sized(docs, id_col, text_col, source_col), cut="documents", **options).where("taken > 0")
+    turns = turns.groupBy("key").agg(F.array_sort(F.collect_list("finish")).alias("_times"))
+    full = docs.select(_key(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.col(f"`{text_col}`")).alias("key"), F.struct("*").alias("_row"))
+    # The join leaves rows by key, so the window needs no further shuffle.
+    nth = F.row_number().over(W.partitionBy("key").orderBy("key"))
+    once = full.join(turns, "key").withColumn("_nth", nth).where("_nth = 1").select("_row", "key", F.explode("_times").alias("_time"))
+    return once.orderBy("_time", F.col(f"_row.`{source_col}`").asc_nulls_last(), "key").select("_row.*")

@@ -108,19 +108,23 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+             md5(coalesce(doc_id::VARCHAR, '') || '|' || CASE WHEN source IS NULL THEN '' ELSE 's' || source END || '|' || md5(coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight,
              (3 * source_size)::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE AS budget FROM s),
 l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, least(cap, weight * (SELECT arg_min(level, cap / weight) FROM l WHERE cap >= level * weight)) AS target FROM l),
-r AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size) - size AS before
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-       (greatest(0, least(size, round(target)::BIGINT - before)) + greatest(0, least(size, round(target)::BIGINT - before - source_size))
-        + greatest(0, least(size, round(target)::BIGINT - before - 2 * source_size)))::BIGINT AS taken
-FROM r
+r AS (SELECT d.*, t.source_size, t.target, row_number() OVER o AS nth, sum(size) OVER o - size AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source WINDOW o AS (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, floor(target)::BIGINT AS goal, before + unnest([0, 1, 2]) * source_size AS s0 FROM r),
+g AS (SELECT *, s0 AS a, CASE WHEN s0 < goal AND goal < s0 + size THEN goal ELSE s0 + size END AS b FROM p
+      UNION ALL SELECT *, goal, s0 + size FROM p WHERE s0 < goal AND goal < s0 + size),
+f AS (SELECT *, b - a AS words, CASE WHEN target > 0 THEN b / target ELSE 1e300 END AS finish FROM g),
+h AS (SELECT *, sum(words) OVER (ORDER BY finish, source NULLS LAST, a, key ROWS UNBOUNDED PRECEDING) - words AS ahead FROM f)
+SELECT doc_id, size::BIGINT AS size, source_size, target, sum(greatest(0, least(words, (SELECT sum(size) FROM d) - ahead)))::BIGINT AS taken
+FROM h GROUP BY source, nth, doc_id, size, source_size, target
 """
 
 
