@@ -1,7 +1,8 @@
 """A corpus pipeline over ``documents``: quality, near copies, repeated passages, mixture, tokens.
 
 Each stage takes the table its predecessor wrote and returns the next one; all
-but the last return the columns of ``documents``.  A stage works on every row
+but the last return the columns of ``documents``.  A stage's result must be
+written before the next stage is called: that one deletes its tables.  A stage works on every row
 it gets.  Null texts and empty tables pass through each stage as its operator
 says; extra columns are kept until the last stage.
 """
@@ -15,6 +16,18 @@ from quarry.llm import bpe, mixing, ngram_join, quality, shared, substring
 from quarry.llm.queries import tokenizer_path
 
 
+#: Folders of a stage's tables, deleted when a later stage begins.
+_scratch: list[str] = []
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder for the tables of the stage that begins; those of stages before it go, as their results are written by now."""
+    while _scratch:
+        shared.dropped(spark, _scratch.pop())
+    _scratch.append(shared.shared_folder(spark))
+    return _scratch[-1]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the policy go."""
     return quality.keep_good(docs, "v1")
@@ -26,8 +39,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are known by id and text, so another text of a repeated id is a document of its own.
     """
     key = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"), 1)
-    folder = shared.shared_folder(spark)
-    linked = ngram_join.join(docs.select(key.alias("_key"), "text"), "_key").select(F.col("doc_id").alias("_key"), "n_shingles", "component_id")
+    folder = _folder(spark)
+    linked = ngram_join.join(docs.select(key.alias("_key"), "text"), "_key", folder=folder).select(F.col("doc_id").alias("_key"), "n_shingles", "component_id")
     linked = shared.stored(linked, folder, "groups")
     ids = docs.select(key.alias("_key"), "doc_id").distinct()
     groups = shared.stored(linked.distinct().join(ids, "_key"), folder, "ids-of-groups")
@@ -46,7 +59,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of 35 that start elsewhere too go; the rest of such a text is joined by single spaces, other texts stay as they are."""
-    out = substring.dedup(docs, carry="_row", texts=True)
+    out = substring.dedup(docs, carry="_row", texts=True, folder=_folder(spark))
     lost = F.col("n_removed") > 0
     made = {"text": F.col("kept_text"), "n_chars": F.when(lost, F.char_length("kept_text").cast("long")).otherwise(F.col("_row.n_chars"))}
     return out.select(*[(made[c] if c in made else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
@@ -54,7 +67,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of the mix, as often as it takes them."""
-    return mixing.mix(docs)
+    return mixing.mix(docs, folder=_folder(spark))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,4 +95,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = shared.stored(docs, folder, f"{k}-{name}")
+            if k:
+                shared.dropped(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
