@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
+import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 import numpy as np
@@ -12,20 +15,41 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOT = str(Path(__file__).resolve().parents[2])
+_PACKAGE = Path(__file__).resolve().parents[1]
+#: Python workers give freed arrays back to the system instead of keeping them for later.
+_WORKER_ENV = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
+def _is_local(spark: SparkSession) -> bool:
+    """Driver and workers share one machine and its folders."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
 
 
 def attach(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
+    """Let Python workers import this package: by the driver's path on one machine, else shipped to every executor."""
+    context = spark.sparkContext
+    env = context.environment
+    for key, value in _WORKER_ENV.items():
+        env.setdefault(key, value)
+    if _is_local(spark):
+        root = str(_PACKAGE.parent)
+        if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    elif not getattr(context, "_quarry_shipped", False):
+        target = Path(tempfile.mkdtemp(prefix="quarry-")) / f"{_PACKAGE.name}.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+            for path in sorted(_PACKAGE.rglob("*.py")):
+                out.write(path, path.relative_to(_PACKAGE.parent))
+        context.addPyFile(str(target))  # Spark sends the driver's file to all executors, also to those that join later
+        context._quarry_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where that setting is absent (tests)."""
+    """A new folder below spark.checkpoint.dir; a local one only where that is unset and all runs on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not _is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         base = f"file:///tmp/checkpoints/{os.getpid()}"
     return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
 
