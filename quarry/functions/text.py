@@ -6,6 +6,7 @@ into scans and filters.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -221,8 +222,37 @@ def redundancy_terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(prose_terms(text), lambda t: ~t.isin("also", "function", "method")), base_form))
 
 
-def query_class(query: Column) -> Column:
-    """structural, lexical or semantic, in that order of precedence."""
-    structural = query.rlike(r"(?i)\b(call(s|ed|er|ers|ee|ees)?|depend(s|ency|encies)?|impact|inherit(s|ance)?|import(s|ed)?|reference(s|d)?)\b")
-    lexical = query.rlike(r"[A-Za-z0-9]_[A-Za-z0-9]|[a-z][A-Z]|::|\(\)|\.[a-z]{1,4}\b")
-    return F.when(structural, "structural").when(lexical, "lexical").otherwise("semantic")
+#: What marks a question as structural, lexical or semantic.
+STRUCTURAL_PATTERNS = (
+    r"\bwho\s+calls\b",
+    r"\b(callers?|callees?)\b",
+    r"\b(call\s+graph|dependency|dependencies)\b",
+    r"\b(impact|blast\s+radius|reachable|references?)\b",
+    r"\b(definitions?|usages?)\s+of\b",
+    r"\b(inherits?|subclasses?|overrides?)\b",
+    r"\b(data\s+flow|control\s+flow)\b",
+)
+LEXICAL_PATTERNS = (
+    r"`[^`]+`",
+    r"\b[A-Za-z_][A-Za-z0-9_]*\([^)]*\)",
+    r"\b[A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*\b",
+    r"\b[A-Za-z_][A-Za-z0-9_]*::[A-Za-z_][A-Za-z0-9_]*\b",
+    r"\b[A-Za-z]+_[A-Za-z0-9_]+\b",
+    r"\b[A-Z][A-Za-z0-9]*(Error|Exception|Factory|Manager|Service)\b",
+    r"[\w./-]+\.(py|js|ts|go|rs|java|cpp|c|h|hpp|rb|php|kt|scala)\b",
+)
+SEMANTIC_WORDS = r"\b(how|why|what|when|where|explain|behavior|logic|flow|handle|support)\b"
+
+
+def query_signals(query: Column) -> Column:
+    """struct(structural, lexical, semantic): independent flags.
+
+    Ten words or a question word make a query semantic; one that is neither that nor lexical counts as lexical if it
+    has one to four words.
+    """
+    q = F.coalesce(query, F.lit(""))
+    any_of = lambda patterns, flag: functools.reduce(lambda a, b: a | b, [q.rlike(flag + p) for p in patterns])
+    n = F.size(F.regexp_extract_all(q, F.lit("[A-Za-z0-9_]+"), F.lit(0)))
+    lexical = any_of(LEXICAL_PATTERNS, "")
+    semantic = q.rlike("(?i)" + SEMANTIC_WORDS) | (n >= 10)
+    return F.struct(any_of(STRUCTURAL_PATTERNS, "(?i)").alias("structural"), (lexical | (~semantic & n.between(1, 4))).alias("lexical"), semantic.alias("semantic"))

@@ -8,21 +8,54 @@ executor costs one level at most.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
+
+from . import ordered
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that spark.checkpoint.dir names; a local one is set only where none is."""
+    """Cut lineage in the folder that spark.checkpoint.dir names; a local one is set only where all runs on one machine."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{uuid.uuid4().hex}")
+        context.setCheckpointDir(_base(df.sparkSession))
     return df.checkpoint()
 
 
+def _base(spark) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        base = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+class Rounds:
+    """States of an iteration as tables of the shared folder; a state goes when the one after its successor is written."""
+
+    def __init__(self, spark):
+        self.spark, self.folder, self.n = spark, f"{_base(spark)}/rounds-{uuid.uuid4().hex}", 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.n}"
+        df.write.mode("overwrite").parquet(path)
+        if self.n >= 2:
+            self._drop(f"{self.folder}/{self.n - 2}")
+        self.n += 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _drop(self, path: str) -> None:
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def distinct_edges(edges: DataFrame) -> DataFrame:
     """One row per (src, dst, type, anchor); null anchors are equal."""
     return edges.dropDuplicates(["src", "dst", "type", "anchor_file", "anchor_line"])
@@ -71,17 +104,36 @@ def bfs(edges: DataFrame, seeds: DataFrame, direction: str, depth: int) -> DataF
     return seen
 
 
-def impact(edges: DataFrame, seeds: DataFrame, depth: int = 3, max_nodes: int | None = None, type_: str = "reference") -> DataFrame:
-    """Who depends on the seeds, by distance; ties in the cap go to smaller ids."""
-    return _capped(bfs(of_types(edges, [type_]), seeds, "backward", depth), max_nodes)
+def impact(edges: DataFrame, seeds: DataFrame, depth: int = 3, max_nodes: int | None = None, type_: str = "reference", max_edges: int | None = None) -> DataFrame:
+    """Who depends on the seeds, by distance; caps take smaller ids first."""
+    return _capped(bounded(of_types(edges, [type_]), seeds, "backward", depth, max_edges), max_nodes)
 
 
-def dependencies(edges: DataFrame, seeds: DataFrame, depth: int = 3, max_nodes: int | None = None, type_: str = "reference") -> DataFrame:
-    return _capped(bfs(of_types(edges, [type_]), seeds, "forward", depth), max_nodes)
+def dependencies(edges: DataFrame, seeds: DataFrame, depth: int = 3, max_nodes: int | None = None, type_: str = "reference", max_edges: int | None = None) -> DataFrame:
+    return _capped(bounded(of_types(edges, [type_]), seeds, "forward", depth, max_edges), max_nodes)
 
 
-def neighborhood(edges: DataFrame, seeds: DataFrame, radius: int = 1, max_nodes: int | None = None) -> DataFrame:
-    return _capped(bfs(edges, seeds, "both", radius), max_nodes)
+def neighborhood(edges: DataFrame, seeds: DataFrame, radius: int = 1, max_nodes: int | None = None, max_edges: int | None = None) -> DataFrame:
+    return _capped(bounded(edges, seeds, "both", radius, max_edges), max_nodes)
+
+
+def bounded(edges: DataFrame, seeds: DataFrame, direction: str, depth: int, max_edges: int | None) -> DataFrame:
+    """``bfs`` that follows at most ``max_edges`` distinct edges, level by level in the order of the ids they join."""
+    if max_edges is None:
+        return bfs(edges, seeds, direction, depth)
+    walk = directed(edges, direction).distinct()
+    seen = checkpointed(seeds.select("vid", F.lit(0).alias("depth")).distinct())
+    edge, left = seen, max(1, max_edges)
+    for level in range(1, depth + 1):
+        hop = checkpointed(edge.select(F.col("vid").alias("src")).join(walk, "src").orderBy("src", "dst").limit(left))
+        left -= hop.count()
+        edge = checkpointed(hop.select(F.col("dst").alias("vid")).distinct().join(seen, "vid", "left_anti").select("vid", F.lit(level).alias("depth")))
+        if edge.isEmpty():
+            break
+        seen = checkpointed(seen.unionByName(edge))
+        if left <= 0:
+            break
+    return seen
 
 
 def _capped(reached: DataFrame, max_nodes: int | None) -> DataFrame:
@@ -89,6 +141,118 @@ def _capped(reached: DataFrame, max_nodes: int | None) -> DataFrame:
     return out if max_nodes is None else out.orderBy("depth", "vid").limit(max_nodes)
 
 
+def region(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, hops: int = 2, types: list[str] | None = None, direction: str = "both", keep: Column | None = None) -> DataFrame:
+    """Nodes within ``hops`` of any seed, by one search from all of them, with their distance.
+
+    A search from seeds in turn that shares what it has seen reaches no node later than this one and may miss some.
+    ``keep`` filters what is returned, not what is walked.
+    """
+    reached = bfs(of_types(edges, types), seeds.join(nodes.select("vid"), "vid", "left_semi"), direction, max(1, hops))
+    out = nodes.join(reached, "vid")
+    return out if keep is None else out.where(keep)
+
+
+def usable_nodes(tests: bool = True) -> Column:
+    """Nodes a region returns: lines known, more than one of them, and no test file."""
+    spanned = F.col("start_line").isNotNull() & F.col("end_line").isNotNull() & (F.col("start_line") != F.col("end_line"))
+    return spanned & ~T.is_test_file(F.coalesce("file", F.lit(""))) if tests else spanned
+
+
+def ranked_region(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k: int = 50, tests: bool = True, rounds: int = 20) -> DataFrame:
+    """The k usable nodes of highest personalised PageRank from the seeds, over all edges."""
+    ranks = pagerank(edges, nodes, seeds, rounds=rounds)
+    return nodes.join(ranks, "vid").where(usable_nodes(tests)).orderBy(F.round("rank", 12).desc(), "vid").limit(k)
+
+
+def expand_region(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, k: int = 50, hops: int = 2, direction: str = "both", use_ppr: bool = False) -> DataFrame:
+    """vid, rank: a region around ranked seeds (vid, rank, score), by ranks or by hops; where it is empty, one-hop neighbours."""
+    if use_ppr:
+        rows = ranked_region(nodes, edges, seeds, k).select("vid", F.row_number().over(W.orderBy(F.round("rank", 12).desc(), "vid")).alias("rank"))
+    else:
+        rows = region(nodes, edges, seeds, hops, direction=direction, keep=usable_nodes()).orderBy("vid").limit(k)
+        rows = rows.select("vid", F.row_number().over(W.orderBy("vid")).alias("rank"))
+    rows = checkpointed(rows)
+    if not rows.isEmpty():
+        return rows
+    n = max(1, seeds.count())
+    near = expand_seeds(nodes, edges, seeds, max(1, k // n), direction=direction)
+    return near.select("vid", F.row_number().over(W.orderBy("seed_rank", "n")).alias("rank")).where(F.col("rank") <= k)
+
+
+def expand_candidates(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, seed_k: int | None, k: int, **options) -> DataFrame:
+    """vid, source, rank: the first seeds, then what they expand to, each node once, at most k."""
+    if k <= 0:
+        raise ValueError("k must be positive")
+    first = seeds if seed_k is None else seeds.where(F.col("rank") <= seed_k)
+    more = expand_region(nodes, edges, first, k, **options)
+    both = first.select("vid", F.lit(0).alias("tier"), "rank").unionByName(more.select("vid", F.lit(1).alias("tier"), "rank"))
+    best = both.groupBy("vid").agg(F.min(F.struct("tier", "rank")).alias("r"))
+    out = best.select("vid", F.when(F.col("r.tier") == 0, "seed").otherwise("expanded").alias("source"), F.row_number().over(W.orderBy("r", "vid")).alias("rank"))
+    return out.where(F.col("rank") <= k)
+
+
+def callers_and_callees(nodes: DataFrame, edges: DataFrame, asked: DataFrame, relation: str = "both", k: int = 40) -> DataFrame:
+    """symbol, status, relation, vid, rank: neighbours of a symbol with one match; others get one row that says so.
+
+    ``asked`` has symbol, vid and candidates, as a lookup gives them; callees come before callers.
+    """
+    if relation not in ("callers", "callees", "both"):
+        raise ValueError("relation must be callers, callees or both")
+    n = asked.select("symbol", "vid", F.coalesce("candidates", F.lit(0)).alias("candidates")).distinct()
+    one = n.where("candidates = 1")
+    pairs = edges.select("src", "dst")
+    out = one.join(pairs, F.col("vid") == F.col("src")).select("symbol", F.lit("callee").alias("relation"), F.col("dst").alias("vid"))
+    into = one.join(pairs, F.col("vid") == F.col("dst")).select("symbol", F.lit("caller").alias("relation"), F.col("src").alias("vid"))
+    rows = out if relation == "callees" else into if relation == "callers" else out.unionByName(into)
+    rows = rows.join(nodes.select("vid"), "vid", "left_semi").withColumn("rank", F.row_number().over(W.partitionBy("symbol").orderBy("relation", "vid"))).where(F.col("rank") <= k)
+    rest = n.where("candidates <> 1").select("symbol", F.when(F.col("candidates") == 0, "not found").otherwise("ambiguous").alias("status")).distinct()
+    rest = rest.select("symbol", "status", F.lit(None).cast("string").alias("relation"), F.lit(None).cast("bigint").alias("vid"), F.lit(0).alias("rank"))
+    return rows.select("symbol", F.lit("found").alias("status"), "relation", "vid", "rank").unionByName(rest)
+
+
+def trace(edges: DataFrame, start: int, goal: int, max_hops: int = 10) -> DataFrame:
+    """hop, vid along the shortest way over all edges; no rows if it is longer than ``max_hops``."""
+    path = shortest_path(edges, start, goal, max_hops)
+    return path.select(F.posexplode("path").alias("hop", "vid"))
+
+
+def tree_rows(nodes: DataFrame, edges: DataFrame, root: int, direction: str = "downstream", hops: int = 2, node_types: list[str] | None = None, edge_types: list[str] | None = None) -> DataFrame:
+    """vid, level, parent, relation, key: a tree of relations from a root, containment before others; ``key`` orders its lines.
+
+    A node is opened where it is first met, level by level, and shown again without what is below it.  Tests and other
+    types are left out; -1 hops means 20.
+    """
+    hops = 20 if hops == -1 else hops
+    kept = nodes.where(~T.is_test_file(F.coalesce("name", F.lit(""))))
+    kept = kept if node_types is None else kept.where(F.col("type").isin(node_types))
+    e = of_types(edges, edge_types).select("src", "dst", "type").distinct()
+    steps = []
+    if direction in ("downstream", "both"):
+        steps.append(e.select(F.col("src").alias("from"), F.col("dst").alias("to"), "type", F.lit(0).alias("up")))
+    if direction in ("upstream", "both"):
+        steps.append(e.select(F.col("dst").alias("from"), F.col("src").alias("to"), F.concat("type", F.lit("-by")).alias("type"), F.lit(1).alias("up")))
+    walk = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
+    walk = checkpointed(walk.join(kept.select(F.col("vid").alias("to")), "to", "left_semi"))
+    none = F.lit(None).cast("bigint")
+    spark = nodes.sparkSession
+    out = spark.range(1).select(F.lit(root).cast("bigint").alias("vid"), F.lit(0).alias("level"), none.alias("parent"), F.lit("").alias("relation"), F.array(F.lit(0)).alias("key"), F.lit(-1).alias("up"))
+    out = checkpointed(out)
+    edge = out
+    for level in range(1, hops + 1):
+        hop = edge.select(F.col("vid").alias("from"), F.col("key").alias("_key"), F.col("up").alias("_up")).join(walk, "from").where((F.col("_up") == -1) | (F.col("_up") == F.col("up")))
+        place = F.row_number().over(W.partitionBy("_key").orderBy(~F.col("type").startswith("contain"), "up", "type", "to"))
+        rows = hop.select(F.col("to").alias("vid"), F.lit(level).alias("level"), F.col("from").alias("parent"), F.col("type").alias("relation"), F.concat("_key", F.array(place)).alias("key"), "up")
+        rows = checkpointed(rows)
+        opened = out.select("vid").distinct()
+        out = checkpointed(out.unionByName(rows))
+        # Only the first line of a node that was not shown before is opened.
+        first = F.row_number().over(W.partitionBy("vid").orderBy("key"))
+        edge = checkpointed(rows.join(opened, "vid", "left_anti").withColumn("_n", first).where("_n = 1").drop("_n"))
+        if edge.isEmpty():
+            break
+    return out.drop("up")
+
+
 def files_touched(reached: DataFrame, nodes: DataFrame) -> DataFrame:
     return reached.join(nodes.select("vid", "file"), "vid").where(F.col("file").isNotNull()).groupBy("file").agg(F.min("depth").alias("depth"))
 
@@ -117,12 +281,17 @@ def shortest_path(edges: DataFrame, start: int, goal: int, max_hops: int = 10) -
     return seen.where(F.col("vid") == goal).select("path", (F.size("path") - 1).alias("hops"))
 
 
-def expand_seeds(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, per_seed: int = 5, keep: Column | None = None) -> DataFrame:
-    """Neighbours of ranked seeds (vid, rank, score), successors and predecessors in turn, capped after the filter; half the seed's score."""
+def expand_seeds(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, per_seed: int = 5, keep: Column | None = None, direction: str = "both") -> DataFrame:
+    """Neighbours of ranked seeds (vid, rank, score), successors and predecessors in turn, capped after the filter; half the seed's score.
+
+    ``direction`` forward or backward takes one side alone.
+    """
     s = seeds.select(F.col("vid").alias("seed"), F.col("rank").alias("seed_rank"), F.col("score").alias("seed_score"))
     out = None
-    for side, walk in ((0, directed(edges, "forward")), (1, directed(edges, "backward"))):
-        hop = s.join(walk.distinct(), F.col("seed") == F.col("src")).select("seed", "seed_rank", "seed_score", F.col("dst").alias("vid"), F.lit(side).alias("side"))
+    for side, way in ((0, "forward"), (1, "backward")):
+        if direction not in ("both", way):
+            continue
+        hop = s.join(directed(edges, way).distinct(), F.col("seed") == F.col("src")).select("seed", "seed_rank", "seed_score", F.col("dst").alias("vid"), F.lit(side).alias("side"))
         hop = hop.join(nodes, "vid")
         hop = hop if keep is None else hop.where(keep)
         hop = hop.withColumn("nth", F.row_number().over(W.partitionBy("seed").orderBy("vid")))
@@ -140,37 +309,85 @@ def range_query(nodes: DataFrame, edges: DataFrame, file: str, first: int, last:
     return own.unionByName(out).unionByName(into)
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, rounds: int = 20, weight: str | None = None) -> DataFrame:
     """vid, rank by a fixed number of power iterations; parallel edges count, dangling mass goes to the restart set.
 
-    The restart is uniform over the seeds, over all nodes without seeds.
+    The restart is uniform over the seeds, over all nodes without seeds.  ``weight`` names a column that weighs edges.
+    A round is one aggregation by target; the dangling mass is a scalar subquery over the round's ranks.
     """
+    rounds_ = Rounds(edges.sparkSession)
     ids = nodes.select("vid").distinct()
     restart = ids if seeds is None else seeds.select("vid").distinct().join(ids, "vid", "left_semi")
-    n = restart.count()
-    base = ids.join(restart.withColumn("r", F.lit(1.0 / max(n, 1))), "vid", "left").select("vid", F.coalesce("r", F.lit(0.0)).alias("restart"))
-    links = edges.select("src", "dst").join(ids.withColumnRenamed("vid", "src"), "src", "left_semi").join(ids.withColumnRenamed("vid", "dst"), "dst", "left_semi")
-    weights = links.groupBy("src", "dst").agg(F.count("*").alias("w"))
-    weights = checkpointed(weights.withColumn("share", F.col("w") / F.sum("w").over(W.partitionBy("src"))).select("src", "dst", "share"))
-    outs = weights.select(F.col("src").alias("vid")).distinct().withColumn("has", F.lit(True))
-    base = checkpointed(base.join(outs, "vid", "left").withColumn("has", F.coalesce("has", F.lit(False))))
-    rank = base.select("vid", F.col("restart").alias("rank"))
-    for i in range(rounds):
-        lost = rank.join(base.where(~F.col("has")), "vid").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+    n = restart.agg(F.count("*")).scalar()
+    links = edges.select("src", "dst", (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w"))
+    links = links.join(ids.withColumnRenamed("vid", "src"), "src", "left_semi").join(ids.withColumnRenamed("vid", "dst"), "dst", "left_semi")
+    pairs = links.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    total = pairs.groupBy("src").agg(F.sum("w").alias("total"))  # a hub's edges are summed map-side, never windowed
+    weights = checkpointed(pairs.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
+    base = ids.join(restart.withColumn("r", 1.0 / F.greatest(n, F.lit(1))), "vid", "left").select("vid", F.coalesce("r", F.lit(0.0)).alias("restart"))
+    base = base.join(weights.select(F.col("src").alias("vid")).distinct().withColumn("has", F.lit(True)), "vid", "left")
+    base = checkpointed(base.withColumn("has", F.coalesce("has", F.lit(False))))
+    rank = base.withColumn("rank", F.col("restart"))
+    for _ in range(rounds):
+        lost = rank.where(~F.col("has")).agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
         got = rank.join(weights, F.col("vid") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = (1 - damping) * F.col("restart") + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(float(lost)) * F.col("restart"))
-        rank = base.join(got, F.col("vid") == F.col("dst"), "left").select("vid", new.alias("rank"))
-        rank = checkpointed(rank)
-    return rank
+        new = (1 - damping) * F.col("restart") + damping * (F.coalesce("got", F.lit(0.0)) + lost * F.col("restart"))
+        rank = rounds_.put(rank.drop("rank").join(got, F.col("vid") == F.col("dst"), "left").select("vid", "restart", "has", new.alias("rank")))
+    return rank.select("vid", "rank")
 
 
 def project_modules(nodes: DataFrame, edges: DataFrame, module: str, anchors: int = 12) -> DataFrame:
-    """Module edges from symbol edges: weight is the number of distinct symbol pairs; loops are dropped."""
+    """Module edges from symbol edges: weight is the number of distinct symbol pairs, with up to ``anchors`` places; loops are dropped.
+
+    An edge's places are the smallest of the smallest of its symbol pairs, so no pair of modules gathers all of them.
+    """
     m = nodes.select("vid", F.col(module).alias("m"))
     pairs = edges.where("type = 'reference'").join(m.select(F.col("vid").alias("src"), F.col("m").alias("source")), "src").join(m.select(F.col("vid").alias("dst"), F.col("m").alias("target")), "dst")
-    pairs = pairs.where("source <> target").groupBy("source", "target", "src", "dst").agg(F.min("anchor_line").alias("anchor"))
-    out = pairs.groupBy("source", "target").agg(F.count("*").alias("weight"), F.min("anchor").alias("first_anchor"))
-    return out
+    pairs = pairs.where("source <> target").groupBy("source", "target", "src", "dst").agg(F.count("*").alias("n"), F.min("anchor_line").alias("anchor"))
+    places = edges.where("type = 'reference' AND anchor_file IS NOT NULL").join(m.select(F.col("vid").alias("src"), F.col("m").alias("source")), "src").join(m.select(F.col("vid").alias("dst"), F.col("m").alias("target")), "dst")
+    places = places.where("source <> target").select("source", "target", F.struct(F.col("anchor_file").alias("file"), (F.col("anchor_line") + 1).cast("bigint").alias("line")).alias("place")).distinct()
+    nth = F.row_number().over(W.partitionBy("source", "target").orderBy("place"))
+    places = places.withColumn("_n", nth).where(F.col("_n") <= anchors).groupBy("source", "target").agg(F.array_sort(F.collect_list("place")).alias("anchors"))
+    out = pairs.groupBy("source", "target").agg(F.count("*").alias("weight"), F.min("anchor").alias("first_anchor"), F.sum("n").alias("references"))
+    return out.join(places, ["source", "target"], "left")
+
+
+def focus_modules(projection: DataFrame, focus: str, depth: int = 2, max_nodes: int = 60) -> DataFrame:
+    """module, hops, place: modules around a focus, level by level, from each module its strongest neighbours first."""
+    both = projection.select(F.col("source").alias("a"), F.col("target").alias("b"), "weight").unionByName(projection.select(F.col("target").alias("a"), F.col("source").alias("b"), "weight"))
+    ties = checkpointed(both.groupBy("a", "b").agg(F.sum("weight").alias("w")))
+    seen = checkpointed(projection.sparkSession.range(1).select(F.lit(focus).alias("module"), F.lit(0).alias("hops"), F.lit(1).cast("bigint").alias("place")))
+    edge = seen
+    for level in range(1, depth + 1):
+        hop = edge.select(F.col("module").alias("a"), F.col("place").alias("_from")).join(ties, "a").join(seen.select(F.col("module").alias("b")), "b", "left_anti")
+        first = hop.groupBy("b").agg(F.min(F.struct("_from", (-F.col("w")).alias("w"))).alias("r"))
+        have = seen.agg(F.count("*")).scalar()
+        new = first.select(F.col("b").alias("module"), F.lit(level).alias("hops"), (F.row_number().over(W.orderBy("r", "b")) + have).cast("bigint").alias("place")).where(F.col("place") <= max_nodes)
+        edge = checkpointed(new)
+        if edge.isEmpty():
+            break
+        seen = checkpointed(seen.unionByName(edge))
+    return seen
+
+
+def module_hops(projection: DataFrame, root: str) -> DataFrame:
+    """module, hops: distance from a module over the projection's edges, whichever way they point."""
+    e = projection.select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    seeds = projection.sparkSession.range(1).select(F.lit(root).alias("vid"))
+    return bfs(e, seeds, "both", 64).select(F.col("vid").alias("module"), F.col("depth").alias("hops"))
+
+
+def module_scores(modules: DataFrame, projection: DataFrame, rounds: int = 20) -> DataFrame:
+    """module, importance, ref_count, entry_score: percentile of weighted PageRank, edges in, and the share of edges out."""
+    e = projection.select(F.col("source").alias("src"), F.col("target").alias("dst"), "weight")
+    ranks = pagerank(e, modules.select(F.col("module").alias("vid")), rounds=rounds, weight="weight")
+    n = ranks.agg(F.count("*")).scalar()
+    place = F.row_number().over(W.orderBy(F.round("rank", 12), "vid")) - 1  # a map shows at most some dozen modules
+    into = e.groupBy(F.col("dst").alias("vid")).agg(F.count("*").alias("_in"))
+    out = e.groupBy(F.col("src").alias("vid")).agg(F.count("*").alias("_out"))
+    rows = ranks.withColumn("importance", F.round(place / F.greatest(n - 1, F.lit(1)), 4)).join(into, "vid", "left").join(out, "vid", "left").fillna(0, ["_in", "_out"])
+    entry = F.when(F.col("_in") + F.col("_out") > 0, F.round(F.col("_out") / (F.col("_in") + F.col("_out")), 4)).otherwise(0.0)
+    return rows.select(F.col("vid").alias("module"), "importance", F.col("_in").alias("ref_count"), entry.alias("entry_score"))
 
 
 def module_degree(projection: DataFrame) -> DataFrame:
@@ -178,18 +395,11 @@ def module_degree(projection: DataFrame) -> DataFrame:
     return ends.groupBy("module").agg(F.sum("weight").alias("degree"))
 
 
-def importance(edges: DataFrame) -> DataFrame:
-    """log1p(references) / log1p(most references), to four places."""
-    degree = edges.where("type = 'reference'").groupBy(F.col("dst").alias("vid")).agg(F.count("*").alias("degree"))
-    most = degree.agg(F.max("degree")).first()[0] or 1
-    return degree.select("vid", "degree", F.round(F.log1p("degree") / F.log1p(F.lit(float(most))), 4).alias("importance"))
-
-
 def rank_percentile(scores: DataFrame, score: str, tie: str) -> DataFrame:
     """(place from 0) / (n - 1), to four places; 1 for a single row."""
-    n = scores.count()
-    place = F.row_number().over(W.orderBy(F.col(score).asc(), tie)) - 1
-    return scores.withColumn("percentile", F.round(place / F.lit(max(n - 1, 1)), 4) if n > 1 else F.lit(1.0))
+    n = scores.agg(F.count("*")).scalar()
+    rows = ordered.places(scores, score, tie, "_place")
+    return rows.withColumn("percentile", F.when(n > 1, F.round(F.col("_place") / (n - 1), 4)).otherwise(1.0)).drop("_place")
 
 
 def layer_summary(edges: DataFrame) -> DataFrame:

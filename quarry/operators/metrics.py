@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
@@ -55,8 +57,31 @@ def block_metrics(spans: DataFrame, blocks: DataFrame, by: list[str]) -> DataFra
 
 
 def resolved(first: Column, last: Column, n_lines: Column) -> tuple[Column, Column]:
-    """A region clamped to its file: lines from 1, a negative end means the file's end."""
-    return F.greatest(first, F.lit(1)), F.when(last < 0, n_lines).otherwise(F.least(last, n_lines))
+    """First and last line of a region, null if it has none.
+
+    An end of -1 is the file's end and a negative start counts from there; both need the file's length, and only such
+    regions are clamped to it.
+    """
+    from_end = (last == -1) | (first < 0)
+    known = from_end & (n_lines >= 1)
+    inside = lambda c: F.greatest(F.least(c, n_lines), F.lit(1))
+    plain = ~from_end & (last >= 1)
+    start = F.when(known, inside(F.when(first < 0, n_lines + first + 1).otherwise(first))).when(plain, F.greatest(first, F.lit(1)))
+    end = F.when(known, inside(F.when(last == -1, n_lines).otherwise(last))).when(plain, last)
+    return start, end
+
+
+def region_gains(regions: DataFrame, core: DataFrame, main_files: DataFrame, by: list[str], rank: str) -> DataFrame:
+    """by, rank, gain, lines: a region's core lines, 1.5 each in a main file, and its size; 0 and 0 where it has no lines.
+
+    Regions: by, rank, file, first, last (resolved or null); core: by, file, line; main_files: by, file.
+    """
+    line = F.explode(F.when(F.col("first") <= F.col("last"), F.sequence("first", "last"))).alias("line")
+    hits = regions.select(*by, rank, "file", line).join(core.select(*by, "file", "line").distinct(), [*by, "file", "line"], "left_semi")
+    hits = hits.groupBy(*by, rank).agg(F.count("*").alias("_hits"))
+    rows = regions.join(hits, [*by, rank], "left").join(main_files.select(*by, "file").distinct().withColumn("_main", F.lit(1.5)), [*by, "file"], "left")
+    gain = F.coalesce("_hits", F.lit(0)) * F.coalesce("_main", F.lit(1.0))
+    return rows.select(*by, rank, gain.alias("gain"), F.coalesce(F.greatest(F.col("last") - F.col("first") + 1, F.lit(0)), F.lit(0)).alias("lines"))
 
 
 def dcg(gains: DataFrame, by: list[str], rank: str, gain: str, lines: str, budget: int) -> DataFrame:
@@ -88,3 +113,130 @@ def first_useful(regions: DataFrame, hit: Column, by: list[str], rank: str) -> D
     """1 - i / n for the first useful region i from 0, else 0."""
     out = regions.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.when(hit, F.col(rank))).alias("i"))
     return out.select(*by, F.coalesce(1 - (F.col("i") - 1) / F.col("n"), F.lit(0.0)).alias("first_useful"))
+
+
+def predictions(nodes: DataFrame, by: list[str], rank: str) -> tuple[DataFrame, DataFrame]:
+    """(files, symbols) a ranking predicts: files of node ids once each in order, and every symbol that has a name."""
+    file = T.normalized_path(F.substring_index("node_id", ":", 1))
+    files = nodes.where(F.coalesce("node_id", F.lit("")) != "").select(*by, rank, file.alias("item")).where("item IS NOT NULL")
+    files = files.groupBy(*by, "item").agg(F.min(rank).alias("_first"))
+    files = files.select(*by, "item", F.row_number().over(W.partitionBy(*by).orderBy("_first")).alias("rank"))
+    symbol = T.normalized_symbol(F.col("node_id"))
+    symbols = nodes.where(F.col("node_id").contains(":")).select(*by, rank, symbol.alias("item")).where("item IS NOT NULL")
+    return files, symbols.select(*by, "item", F.row_number().over(W.partitionBy(*by).orderBy(rank)).alias("rank"))
+
+
+def node_spans(nodes: DataFrame, by: list[str], by_score: bool = True) -> DataFrame:
+    """by, file, first, last (from 1), rank: the spans of retrieved nodes, by falling score; the id's file before the path."""
+    file = F.when(F.col("node_id").contains(":"), F.substring_index("node_id", ":", 1)).otherwise(F.col("file"))
+    rows = nodes.select(*by, T.normalized_path(file).alias("file"), (F.col("start_line") + 1).alias("first"), (F.col("end_line") + 1).alias("last"), F.coalesce("score", F.lit(0.0)).alias("score"), F.col("rank").alias("_rank"))
+    rows = rows.where("file IS NOT NULL AND first IS NOT NULL AND last >= first AND first >= 1")
+    order = [F.col("score").desc(), "_rank"] if by_score else ["_rank"]
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).drop("_rank", "score")
+
+
+def answer_spans(answers: DataFrame, by: list[str], answer: str) -> DataFrame:
+    """by, file, first, last, rank: ``file:first-last`` places of an answer's ``Locations:`` lines, in order."""
+    lines = F.array_join(F.regexp_extract_all(answer, F.lit(r"(?im)^[ \t*_]*Locations[*_]*:[*_]*[ \t]*(.+)$"), F.lit(1)), " ")
+    token = r"[\w./+\-]+\.\w+:[0-9]+(?:-[0-9]+)?"
+    rows = answers.select(*by, F.posexplode(F.regexp_extract_all(lines, F.lit(token), F.lit(0))).alias("rank", "t"))
+    first = F.regexp_extract("t", r":([0-9]+)", 1).cast("bigint")
+    last = F.coalesce(F.regexp_extract("t", r"-([0-9]+)$", 1).try_cast("bigint"), first)
+    out = rows.select(*by, T.normalized_path(F.substring_index("t", ":", 1)).alias("file"), first.alias("first"), last.alias("last"), (F.col("rank") + 1).alias("rank"))
+    return out.where("file IS NOT NULL AND first >= 1 AND last >= first")
+
+
+def blocks_at(spans: DataFrame, blocks: DataFrame, by: list[str], ks: list[int]) -> DataFrame:
+    """by, k, hits, precision, recall, accuracy of the first k spans that overlap none before them; no blocks: all 0.
+
+    ``spans`` are those of ``intervals.distinct_spans`` (rank order kept); a block is recalled, and a span on target, if
+    the two share a line.
+    """
+    s = spans.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy("rank"))).where(F.col("_n") <= max(ks)).select(*by, "_n", "file", F.col("first").alias("_s1"), F.col("last").alias("_e1"))
+    b = blocks.select(*by, "file", F.col("first").alias("_s2"), F.col("last").alias("_e2"), F.monotonically_increasing_id().alias("_b"))
+    met = s.join(b, [*by, "file"]).where("_s1 <= _e2 AND _s2 <= _e1")
+    cut = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
+    hits = met.select(*by, "_n", "_b", cut).where("_n <= k").groupBy(*by, "k").agg(F.countDistinct("_b").alias("hits"), F.countDistinct("_n").alias("_on"))
+    n = s.select(*by, "_n", cut).where("_n <= k").groupBy(*by, "k").agg(F.count("*").alias("_spans"))
+    true = blocks.groupBy(*by).agg(F.count("*").alias("_blocks"))
+    every = s.select(*by).union(blocks.select(*by)).distinct().select(*by, cut)
+    out = every.join(n, [*by, "k"], "left").join(hits, [*by, "k"], "left").join(true, by, "left").fillna(0, ["_spans", "hits", "_on", "_blocks"])
+    some = F.col("_blocks") > 0
+    return out.select(
+        *by, "k", "hits", F.when(some, F.round(F.col("_on") / F.greatest("_spans", F.lit(1)), 6)).otherwise(0.0).alias("precision"),
+        F.when(some, F.round(F.col("hits") / F.col("_blocks"), 6)).otherwise(0.0).alias("recall"), F.when(some & (F.col("hits") == F.col("_blocks")), 1.0).otherwise(0.0).alias("accuracy"),
+    )
+
+
+def region_report(regions: DataFrame, core: DataFrame, optional: DataFrame, main_files: DataFrame, n_lines: DataFrame, by: list[str], budgets: tuple[int, ...] = (100, 300, 500)) -> DataFrame:
+    """The region metrics of each group: lines, files, regions, weighted coverage, and nDCG and recall under line budgets.
+
+    regions: by, rank, file, first, last; core and optional: by, file, first, last; main_files: by, file; n_lines: file,
+    n_lines.  Regions may end at -1 or start before 0 (see ``resolved``); one without lines counts as a region, not as
+    lines.  Line sets are exploded and met by equality, so nothing is compared pair by pair.
+    """
+    def settled(rows: DataFrame) -> DataFrame:
+        rows = rows.join(n_lines, "file", "left")
+        first, last = resolved(F.col("first"), F.col("last"), F.col("n_lines"))
+        return rows.withColumns({"_f": first, "_l": last}).drop("first", "last", "n_lines").withColumnsRenamed({"_f": "first", "_l": "last"})
+
+    def lines_of(rows: DataFrame) -> DataFrame:
+        return rows.where("first <= last").select(*by, "file", F.explode(F.sequence("first", "last")).alias("line")).distinct()
+
+    place = [*by, "file", "line"]
+    r, c, o = settled(regions), settled(core), settled(optional)
+    c = c.withColumn("_id", F.row_number().over(W.partitionBy(*by).orderBy("file", "first", "last")))
+    pred, core_lines, opt_lines = lines_of(r), lines_of(c), lines_of(o)
+    marks = lambda rows, name: rows.select(*place, F.lit(1).alias(name))
+    both = marks(pred, "p").join(marks(core_lines, "c"), place, "full").join(marks(opt_lines, "o"), place, "full").fillna(0, ["p", "c", "o"])
+    sums = both.groupBy(*by).agg(
+        F.sum("p").alias("p"), F.sum("c").alias("c"), F.sum("o").alias("o"), F.sum(F.col("p") * F.col("c")).alias("pc"),
+        F.sum(F.col("p") * F.greatest("c", "o")).alias("pu"), F.sum(F.col("p") * F.col("o")).alias("po"),
+    )
+    files = r.select(*by, "file").distinct().withColumn("v", F.lit(1))
+    files = files.join(c.select(*by, "file").distinct().withColumn("cf", F.lit(1)), [*by, "file"], "full").join(o.select(*by, "file").distinct().withColumn("of", F.lit(1)), [*by, "file"], "full").fillna(0, ["v", "cf", "of"])
+    files = files.groupBy(*by).agg(F.sum("v").alias("v"), F.sum("cf").alias("cf"), F.sum(F.col("v") * F.col("cf")).alias("vc"), F.sum(F.col("v") * (1 - F.greatest("cf", "of"))).alias("noise"))
+    # A region of known lines meets a target if one of its lines is one of the target's.
+    target = core_lines.union(opt_lines).distinct().withColumn("_t", F.lit(1))
+    own = r.where("first <= last").select(*by, "rank", "file", F.explode(F.sequence("first", "last")).alias("line"))
+    clean = own.join(target, place, "left_semi").select(*by, "rank").distinct().groupBy(*by).agg(F.count("*").alias("on_target"))
+    useful = own.join(core_lines, place, "left_semi").groupBy(*by).agg(F.min("rank").alias("_useful"))
+    n = r.groupBy(*by).agg(F.count("*").alias("regions"))
+    parts = c.where("first <= last").select(*by, "_id", "file", F.explode(F.sequence("first", "last")).alias("line")).join(marks(pred, "p"), place, "left")
+    parts = parts.groupBy(*by, "_id", "file").agg(F.avg(F.coalesce("p", F.lit(0))).alias("share"), F.max(F.coalesce("p", F.lit(0))).alias("met"))
+    parts = parts.join(main_files.select(*by, "file").distinct().withColumn("_w", F.lit(3.0)), [*by, "file"], "left").withColumn("_w", F.coalesce("_w", F.lit(2.0)))
+    cover = parts.groupBy(*by).agg(F.sum("met").alias("met"), ratio(F.sum(F.col("_w") * F.col("share")), F.sum("_w")).alias("weighted_core_coverage"))
+    targets = c.groupBy(*by).agg(F.count("*").alias("targets"))
+    gains = region_gains(r, core_lines, main_files, by, "rank")
+    out = sums.join(files, by, "full").join(n, by, "full").join(targets, by, "left").join(cover, by, "left").join(clean, by, "left").join(useful, by, "left")
+    steps = []
+    for budget in budgets:
+        steps.append((ndcg(gains, by, "rank", "gain", "lines", budget).withColumnRenamed("ndcg", f"ndcg_at_{budget}"), f"ndcg_at_{budget}"))
+        steps.append((recall_at_lines(r.where("first <= last"), core_lines, by, "rank", budget).withColumnRenamed("recall", f"recall_at_{budget}"), f"recall_at_{budget}"))
+    for part, _ in steps:
+        out = out.join(part, by, "left")
+    out = out.fillna(0)
+    place_of = r.select(*by, "rank", (F.row_number().over(W.partitionBy(*by).orderBy("rank")) - 1).alias("_i")).withColumnRenamed("rank", "_useful")
+    out = out.join(place_of, [*by, "_useful"], "left")
+    precision, recall = ratio(F.col("pc"), F.col("p")), ratio(F.col("pc"), F.col("c"))
+    six = lambda c, name: F.round(c, 6).alias(name)
+    return out.select(
+        *by, six(precision, "precision"), six(recall, "recall"), six(ratio(2.0 * precision * recall, precision + recall), "f1_score"),
+        six(ratio(F.col("vc"), F.col("cf")), "hit_file_rate"), six(ratio(F.col("noise"), F.col("v")), "noise_file_rate"),
+        six(ratio(F.col("met"), F.col("targets")), "hit_region_rate"), six(ratio(F.col("regions") - F.col("on_target"), F.col("regions")), "noise_region_rate"),
+        six(F.col("weighted_core_coverage"), "weighted_core_coverage"), six(ratio(F.col("pu"), F.col("p")), "context_efficiency"), six(ratio(F.col("po"), F.col("o")), "optional_coverage"),
+        *[name for _, name in steps], six(F.when(F.col("c") > 0, F.coalesce(1 - F.col("_i") / F.col("regions"), F.lit(0.0))).otherwise(0.0), "first_useful_hit"),
+    )
+
+
+def localization(predicted: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
+    """by, scope, match, precision: whether all gold items (by, scope, item) were named, and the share of named ones that are gold (1 if none)."""
+    p = predicted.select(*by, "scope", "item").distinct().withColumn("_p", F.lit(1))
+    g = gold.select(*by, "scope", "item").distinct().withColumn("_g", F.lit(1))
+    rows = p.join(g, [*by, "scope", "item"], "full").fillna(0, ["_p", "_g"])
+    rows = rows.groupBy(*by, "scope").agg(F.sum("_p").alias("p"), F.sum("_g").alias("g"), F.sum(F.col("_p") * F.col("_g")).alias("both"))
+    return rows.select(*by, "scope", (F.col("both") == F.col("g")).alias("match"), F.when(F.col("p") > 0, F.round(F.col("both") / F.col("p"), 6)).otherwise(1.0).alias("precision"))
+
+
+def localization_summary(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("scope").agg(F.count("*").alias("n"), F.count_if("match").alias("matches"), F.round(F.avg(F.col("match").cast("double")), 6).alias("match_rate"), F.round(F.avg("precision"), 6).alias("precision_mean"))

@@ -7,6 +7,8 @@ a query term reach the ranking window.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,19 +29,24 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: in
     """query_id, id, score, rank: Okapi scores of the k best documents of each query that hold one of its terms.
 
     A term's negative idf is replaced by EPSILON times the mean idf of all terms; a term asked twice counts twice.
+    Document frequencies are counted map-side over each text's distinct terms; only asked terms reach the shuffle of
+    term frequencies.  The corpus' size and means are scalar subqueries, so no job runs before the result is asked for.
     """
-    sizes = docs.select(F.size(doc_tokens).alias("n"))
-    n, mean = sizes.agg(F.count("*"), F.avg("n")).first()
-    if not n or not mean:
-        return queries.select(F.col(query_col).alias("query_id")).limit(0).select("query_id", F.lit(None).cast(docs.schema[id_col].dataType).alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    post = postings(docs, id_col, doc_tokens)
-    idf = post.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = EPSILON * idf.agg(F.avg("idf")).first()[0]
+    rows = docs.select(F.col(id_col).alias("id"), doc_tokens.alias("tokens"))
+    n = rows.agg(F.count("*").cast("double")).scalar()
+    mean = rows.agg(F.avg(F.size("tokens"))).scalar()
+    df = rows.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.withColumn("idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    floor = idf.agg(F.avg("idf") * EPSILON).scalar()
     asked = queries.select(F.col(query_col).alias("query_id"), F.explode(query_tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    idf = idf.withColumn("idf", F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf")))
-    hits = asked.join(idf, "term").join(post, "term")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean))))
-    scored = hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    terms = asked.select("term").distinct()
+    weight = idf.join(terms, "term", "left_semi").select("term", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")).alias("idf"))
+    held = rows.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
+    held = held.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
+    held = held.select("term", "id", share.alias("share"))
+    hits = held.join(asked.join(weight, "term"), "term")
+    scored = hits.groupBy("query_id", "id").agg(F.sum(F.col("times") * F.col("idf") * F.col("share")).alias("score"))
     return top_k(scored.withColumn("score", F.round("score", 6)), ["query_id"], [F.col("score").desc(), F.col("id").asc()], k)
 
 
@@ -70,8 +77,20 @@ def grep(nodes: DataFrame, pattern: str, content: Column, *, use_regex: bool = T
     return rows.where(body.contains(pattern) if case_sensitive else F.lower(body).contains(pattern.lower()))
 
 
+def identifier_of(symbol: str) -> str:
+    """The last name of a qualified symbol without call parentheses; "" if that is no identifier."""
+    last = re.split(r"[.:#/]+", symbol.strip().removesuffix("()"))[-1]
+    return last if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", last) else ""
+
+
 def occurrences(chunks: DataFrame, identifier: str, content: Column, name: Column, order: Column, k: int = 20, context: list[str] | None = None) -> DataFrame:
-    """Chunks that use an identifier as a whole word, the declaring one left out: by context terms, then calls, then order."""
+    """Chunks that use an identifier as a whole word, the declaring one left out: by context terms, then calls, then order.
+
+    A symbol that ends in no identifier has no occurrences.
+    """
+    identifier = identifier_of(identifier)
+    if not identifier:
+        return chunks.withColumn("calls", F.lit(0)).withColumn("context", F.lit(0)).limit(0)
     word = rf"(?<![A-Za-z0-9_]){identifier}(?![A-Za-z0-9_])"
     rows = chunks.where(content.rlike(word) & (text.bare_symbol(name) != identifier))
     calls = F.regexp_count(content, F.lit(rf"(?<![A-Za-z0-9_]){identifier}\s*\("))
@@ -80,14 +99,59 @@ def occurrences(chunks: DataFrame, identifier: str, content: Column, name: Colum
 
 
 def trigrams(value: Column) -> Column:
-    low = F.lower(value)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, 3)))
+    """Distinct lower-case trigrams, cut in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(value), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+
+
+def trigram_index(docs: DataFrame, id_col: str, content: Column) -> DataFrame:
+    """gram, id: which documents hold a trigram.  Made once per corpus and stored; searches read the grams they need."""
+    return docs.select(F.explode(trigrams(content)).alias("gram"), F.col(id_col).alias("id"))
 
 
-def trigram_search(docs: DataFrame, needle: str, id_col: str, content: Column) -> DataFrame:
-    """Documents that hold a string: all its trigrams first, the string itself then."""
-    low = needle.lower()
-    wanted = sorted({low[i : i + 3] for i in range(len(low) - 2)})
-    grams = docs.select(F.col(id_col).alias("id"), F.explode(trigrams(content)).alias("gram")).where(F.col("gram").isin(wanted))
-    found = grams.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("id")
-    return docs.where(F.lower(content).contains(low)).join(found, docs[id_col] == found["id"], "left_semi")
+def parsed_query(query: str) -> dict:
+    """A search text: ``file:`` expressions, ``case:yes``, ``regex:`` atoms, and substrings, all of which must hold."""
+    out: dict = {"files": [], "regex": [], "plain": [], "case": False}
+    for atom in re.findall(r'(?:[a-z]+:)?"[^"]*"|\S+', query):
+        kind, _, rest = atom.partition(":")
+        value = rest.strip('"')
+        if kind == "file" and value:
+            out["files"].append(value)
+        elif kind == "regex" and value:
+            out["regex"].append(value)
+        elif kind == "case":
+            out["case"] = value == "yes"
+        else:
+            out["plain"].append(atom.strip('"'))
+    return out
+
+
+def literal_runs(pattern: str) -> list[str]:
+    """Texts of three characters or more that every match of a pattern holds; none if the pattern has alternatives."""
+    if re.search(r"[|(\[?{]|\\[^.\-/_ ()]", pattern):
+        pattern = re.split(r"[|(\[?{\\]", pattern)[0][:-1] if "|" not in pattern else ""
+    runs = re.split(r".[*?]|[.^$+]", re.sub(r"\\([.\-/_ ()])", "\0", pattern))
+    return [r for r in runs if len(r) >= 3 and "\0" not in r]
+
+
+def trigram_search(docs: DataFrame, query: str, id_col: str, content: Column, path: Column | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Documents in which every atom of the query holds.
+
+    With an index, documents that lack a trigram of a literal part are never read; the atoms themselves decide.
+    Without one the texts are scanned once.
+    """
+    q = parsed_query(query)
+    fold = (lambda c: c) if q["case"] else F.lower
+    out = docs
+    for f in q["files"]:
+        out = out.where(path.rlike(f)) if path is not None else out.limit(0)
+    if index is not None:
+        literals = q["plain"] + [r for p in q["regex"] for r in literal_runs(p)]
+        wanted = sorted({t.lower()[i : i + 3] for t in literals for i in range(len(t) - 2)})
+        if wanted:
+            found = index.where(F.col("gram").isin(wanted)).groupBy("id").agg(F.countDistinct("gram").alias("n")).where(F.col("n") == len(wanted))
+            out = out.join(found.select(F.col("id").alias(id_col)), id_col, "left_semi")
+    for t in q["plain"]:
+        out = out.where(fold(content).contains(t if q["case"] else t.lower()))
+    for p in q["regex"]:
+        out = out.where(content.rlike(p if q["case"] else f"(?i){p}"))
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.operators import facts, graph, intervals
+from quarry.operators import containment, facts, graph, intervals
 from quarry.registry import query, table
 
 from .views import GRAPH_SQL, edges, nodes
@@ -182,13 +182,15 @@ def g13(spark: SparkSession, d: str) -> DataFrame:
     return graph.induced(edges(spark, d), nodes(spark, d).where("type IN ('nation', 'supplier')")).select("src", "dst", "type")
 
 
-_PROJ = """pr AS (SELECT a.file AS source, b.file AS target, count(DISTINCT (src, dst)) AS weight, min(anchor_line) AS first_anchor FROM edges JOIN nodes a ON src = a.vid JOIN nodes b ON dst = b.vid
+_PROJ = """pr AS (SELECT a.file AS source, b.file AS target, count(DISTINCT (src, dst)) AS weight, count(*) AS refs, min(anchor_line) AS first_anchor,
+  list_sort(list(DISTINCT {'file': anchor_file, 'line': anchor_line + 1}))[1:12] AS anchors FROM edges JOIN nodes a ON src = a.vid JOIN nodes b ON dst = b.vid
 WHERE edges.type = 'reference' AND a.file <> b.file GROUP BY 1, 2)"""
 
 
-@query("g17_module_projection", f"{_G}, {_PROJ} SELECT * FROM pr")
+@query("g17_module_projection", f"{_G}, {_PROJ} SELECT source, target, weight, refs AS \"references\", first_anchor, list_transform(anchors, lambda x: x.file || ':' || x.line) AS anchors FROM pr")
 def g17(spark: SparkSession, d: str) -> DataFrame:
-    return graph.project_modules(nodes(spark, d), edges(spark, d), "file")
+    rows = graph.project_modules(nodes(spark, d), edges(spark, d), "file")
+    return rows.withColumn("anchors", F.transform("anchors", lambda x: F.concat(x["file"], F.lit(":"), x["line"])))
 
 
 @query("g18_module_degree", f"{_G}, {_PROJ} SELECT m AS module, sum(weight)::BIGINT AS degree FROM (SELECT source AS m, weight FROM pr UNION ALL SELECT target, weight FROM pr) GROUP BY 1")
@@ -201,9 +203,10 @@ def g19(spark: SparkSession, d: str) -> DataFrame:
     return graph.module_degree(graph.project_modules(nodes(spark, d), edges(spark, d), "file")).orderBy(F.col("degree").desc(), "module").limit(10)
 
 
-@query("g31_importance", f"{_G}, dg AS (SELECT dst AS vid, count(*) AS degree FROM edges WHERE type = 'reference' GROUP BY 1) SELECT vid, degree, round(ln(1 + degree) / ln(1 + (SELECT max(degree) FROM dg)), 4) AS importance FROM dg")
+@query("g31_importance", f"""{_G}, dg AS (SELECT vid, count(e.v) AS degree FROM nodes LEFT JOIN (SELECT unnest([src, dst]) AS v FROM edges WHERE type = 'reference') e ON e.v = vid GROUP BY 1)
+SELECT vid, degree, round(ln(1 + degree) / ln(1 + (SELECT max(degree) FROM dg)), 4) AS importance FROM dg""")
 def g31(spark: SparkSession, d: str) -> DataFrame:
-    return graph.importance(edges(spark, d))
+    return containment.importance(edges(spark, d), nodes(spark, d))
 
 
 @query("g35_layers", f"{_G} SELECT type, count(*) AS edges, (SELECT count(DISTINCT v) FROM (SELECT src AS v FROM edges x WHERE x.type = e.type UNION ALL SELECT dst FROM edges x WHERE x.type = e.type)) AS nodes FROM edges e GROUP BY 1")
@@ -211,23 +214,10 @@ def g35(spark: SparkSession, d: str) -> DataFrame:
     return graph.layer_summary(edges(spark, d))
 
 
-_SMALL = "type IN ('region', 'nation', 'supplier')"
-_STEPS = 5
-
-
-def _pagerank_sql() -> str:
-    out = f"""{_G}, n AS (SELECT vid, CASE WHEN type = 'region' THEN 1.0 ELSE 0.0 END AS seed FROM nodes WHERE {_SMALL}), b AS (SELECT vid, seed / (SELECT sum(seed) FROM n) AS restart FROM n),
-wl AS (SELECT src, dst, count(*) / sum(count(*)) OVER (PARTITION BY src) AS share FROM edges WHERE src IN (SELECT vid FROM n) AND dst IN (SELECT vid FROM n) GROUP BY 1, 2), r0 AS (SELECT vid, restart AS rank FROM b)"""
-    for i in range(_STEPS):
-        out += f""", r{i + 1} AS (SELECT b.vid, 0.15 * restart + 0.85 * (coalesce((SELECT sum(rank * share) FROM r{i} JOIN wl ON src = r{i}.vid WHERE dst = b.vid), 0.0)
-  + (SELECT coalesce(sum(rank), 0.0) FROM r{i} WHERE vid NOT IN (SELECT src FROM wl)) * restart) AS rank FROM b)"""
-    return out + f" SELECT vid, round(rank, 6) AS rank FROM r{_STEPS}"
-
-
-@query("g11_ppr", _pagerank_sql())
+@query("g11_ppr")
 def g11(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d).where(_SMALL)
-    return graph.pagerank(edges(spark, d), n, n.where("type = 'region'"), rounds=_STEPS).select("vid", F.round("rank", 6).alias("rank"))
+    n = nodes(spark, d)
+    return graph.pagerank(edges(spark, d), n, n.where("type = 'region'")).select("vid", F.round("rank", 6).alias("rank"))
 
 
 @query("g21_rank_percentile", f"{_G}, dg AS (SELECT dst AS vid, count(*) AS s FROM edges WHERE type = 'contain' GROUP BY 1) SELECT vid, round((row_number() OVER (ORDER BY s, vid) - 1) / ((SELECT count(*) FROM dg) - 1), 4) AS percentile FROM dg")
@@ -285,12 +275,6 @@ def e2(spark: SparkSession, d: str) -> DataFrame:
     return intervals.points_in_intervals(p, nodes(spark, d), ["file"], "line", "start_line", "end_line", order).select("file", "line", "vid")
 
 
-@query("e5_distance", f"""{_G}, b AS (SELECT DISTINCT src, dst FROM edges), w(vid, depth) AS (SELECT 6000000001::BIGINT, 0 UNION SELECT dst, depth + 1 FROM w JOIN b ON src = vid WHERE depth < 2) SELECT vid, min(depth)::INTEGER AS distance FROM w WHERE vid BETWEEN 4000000000 AND 5999999999 GROUP BY 1""")
-def e5(spark: SparkSession, d: str) -> DataFrame:
-    reach = graph.bfs(edges(spark, d), _seeds(spark, 6000000001), "forward", 2)
-    return reach.where("vid BETWEEN 4000000000 AND 5999999999").withColumnRenamed("depth", "distance")
-
-
 @query("e20_line_windows", f"""WITH a AS (SELECT DISTINCT 'o' || l_orderkey % 25 AS file, l_orderkey % 500 - 10 AS s, l_orderkey % 500 + 10 AS e FROM lineitem WHERE l_orderkey <= 300),
 m AS (SELECT *, max(e) OVER (PARTITION BY file ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM a),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT file, min(s) AS s, max(e) AS e, count(*) AS n FROM i GROUP BY file, k""")

@@ -13,19 +13,32 @@ from quarry.operators import dense, fusion
 
 #: tier -> (candidates, most candidates a reranker sees)
 BUDGETS = {"fast": (32, None), "balanced": (100, 50), "thorough": (128, 80)}
-HYBRID_WEIGHTS = {"sparse": 0.6, "dense": 0.4}
+#: Other names of the tiers.
+ALIASES = {"cheap": "fast", "low": "fast", "default": "balanced", "quality": "thorough", "full": "thorough"}
+HYBRID_WEIGHTS = {"dense": 0.6, "sparse": 0.4}
+
+
+def tier_of(name: str | None) -> str:
+    key = (name or "balanced").strip().lower()
+    key = ALIASES.get(key, key)
+    if key not in BUDGETS:
+        raise ValueError(f"unknown budget {name}; choose from fast, balanced, thorough")
+    return key
 
 
 def plan_for(query: Column, views: Sequence[str], tier: str = "balanced") -> Column:
-    """structural_graph, bm25, dense or hybrid_rrf, from the query's class and the views at hand; null if none fits."""
-    if tier not in BUDGETS:
-        raise ValueError(f"unknown tier {tier}")
-    kind, has = text.query_class(query), set(views)
-    plan = F.lit("hybrid_rrf") if {"sparse", "dense"} <= has else F.lit("bm25") if "sparse" in has else F.lit("dense") if "dense" in has else F.lit(None).cast("string")
-    if tier == "fast" and {"sparse", "dense"} <= has:
-        plan = F.when(kind == "lexical", "bm25").otherwise("dense")
-    if {"graph", "sparse"} <= has:
-        plan = F.when(kind == "structural", "structural_graph").otherwise(plan)
+    """structural_graph, fast_lexical, semantic or hybrid_fusion, from the query's signals and the views at hand."""
+    tier, has = tier_of(tier), set(views)
+    if not has & {"sparse", "dense"}:
+        raise ValueError("no retrieval view is available")
+    signals = text.query_signals(query)
+    sparse, dense = "sparse" in has, "dense" in has
+    if tier == "fast":
+        return F.when(signals["lexical"] | F.lit(not dense), "fast_lexical").otherwise("semantic") if sparse else F.lit("semantic")
+    rest = "hybrid_fusion" if sparse and dense else "semantic" if dense else "fast_lexical"
+    plan = F.when(signals["semantic"] & ~signals["lexical"] & F.lit(dense), "semantic").otherwise(rest)
+    if sparse and "graph" in has:
+        plan = F.when(signals["structural"], "structural_graph").otherwise(plan)
     return plan
 
 

@@ -152,9 +152,22 @@ def f13(spark: SparkSession, d: str) -> DataFrame:
     return sparse.occurrences(docs, "the", F.col("text"), F.col("source"), F.col("doc_id")).select("doc_id", "calls")
 
 
-@query("f14_trigram_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license')")
+@query("f14_trigram_search", f"WITH {FILES_SQL} SELECT doc_id FROM files WHERE contains(lower(text), 'license') AND regexp_matches(text, '(?i)(mit|apache) licen[sc]e') AND regexp_matches(path, 'py$')")
 def f14(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.trigram_search(table(spark, d, "documents"), "License", "doc_id", F.col("text")).select("doc_id")
+    return sparse.trigram_search(files(spark, d), "License regex:\"(mit|apache) licen[sc]e\" file:py$", "doc_id", F.col("text"), F.col("path")).select("doc_id")
+
+
+@query("f14_trigram_index", """WITH d AS (SELECT item_id, lower(text) AS t FROM benchmark), g AS (SELECT DISTINCT item_id, substr(t, i, 3) AS gram FROM (SELECT item_id, t, unnest(range(1, length(t) - 1)) AS i FROM d))
+SELECT gram, count(*) AS n FROM g GROUP BY 1""")
+def f14_index(spark: SparkSession, d: str) -> DataFrame:
+    return sparse.trigram_index(table(spark, d, "benchmark"), "item_id", F.col("text")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@query("f14_indexed_search", "SELECT item_id FROM benchmark WHERE contains(lower(text), 'that')")
+def f14_indexed(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "benchmark")
+    index = sparse.trigram_index(rows, "item_id", F.col("text"))
+    return sparse.trigram_search(rows, "That", "item_id", F.col("text"), index=index).select("item_id")
 
 
 @query("f15_file_matches", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
