@@ -128,8 +128,56 @@ def is_declaration_file(path: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+#: Where generated files lie and how they end, and what supports evidence rather than being it.
+GENERATED_DIRS = ("dist", "build", "out", "node_modules", "vendor")
+GENERATED_SUFFIXES = (".min.js", ".d.ts", ".d.cts", ".d.mts", ".map", ".snap")
+SUPPORT_DIRS = ("doc", "docs", "documentation", "example", "examples", "benchmark", "benchmarks", "scripts")
+DOCUMENT_SUFFIXES = (".md", ".mdx", ".rst", ".txt", ".adoc")
+
+
+def _path_parts(path: Column) -> Column:
+    return F.filter(F.split(F.lower(posix(F.substring_index(path, ":", 1))), "/"), lambda p: p != "")
+
+
+def _in_dirs(parts: Column, names: Iterable[str]) -> Column:
+    return F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: p.isin(*names))
+
+
+def is_generated_file(path: Column) -> Column:
+    """A build product or a copy of real source, by its directory or its ending."""
+    parts = _path_parts(path)
+    name = F.try_element_at(parts, F.lit(-1))
+    return F.coalesce(_in_dirs(parts, GENERATED_DIRS) | functools.reduce(lambda a, b: a | b, [name.endswith(s) for s in GENERATED_SUFFIXES]), F.lit(False))
+
+
+def is_supporting(path: Column) -> Column:
+    """Tests, generated files, documents and what lies beside the source: good to corroborate, not to answer."""
+    parts = _path_parts(path)
+    name = F.try_element_at(parts, F.lit(-1))
+    document = functools.reduce(lambda a, b: a | b, [name.endswith(s) for s in DOCUMENT_SUFFIXES])
+    return F.coalesce(is_test_file(path) | is_generated_file(path) | _in_dirs(parts, SUPPORT_DIRS) | document, F.lit(False))
+
+
+def path_allowed(path: Column, target: str | None = None, exclude: Iterable[str] = (), target_ancestors: bool = False, ignored: Iterable[str] = ()) -> Column:
+    """Below the target directory (or, if asked, above it), in no ignored directory and matched by no exclusion; ``x/**`` also excludes x."""
+    plain = F.regexp_replace(posix(path), r"^(\./)+", "")
+    ok = plain != ""
+    if target:
+        own = target.strip("/")
+        inside = (plain == own) | plain.startswith(own + "/")
+        ok = ok & (inside | F.lit(own).startswith(F.concat(plain, F.lit("/"))) if target_ancestors else inside)
+    if ignored:
+        ok = ok & ~F.exists(F.split(plain, "/"), lambda p: p.isin(*ignored))
+    for g in exclude:
+        hit = plain.rlike(glob_pattern(g))
+        if g.endswith("/**"):
+            hit = hit | (plain == g[:-3]) | plain.startswith(g[:-2])
+        ok = ok & ~hit
+    return F.coalesce(ok, F.lit(False))
+
+
 def file_class(path: Column) -> Column:
-    return F.when(is_declaration_file(path), "declaration").when(is_test_path(path), "test").when(is_source_file(path), "source").otherwise("other")
+    return F.when(is_declaration_file(path), "declaration").when(is_generated_file(path), "generated").when(is_test_path(path), "test").when(is_source_file(path), "source").otherwise("other")
 
 
 def bare_symbol(symbol: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
+
 
 def normalized_fusion(name: str | None) -> str:
     return {"rrf": "rrf", "reciprocal": "rrf"}.get((name or "weighted").lower(), "weighted")
@@ -92,3 +94,50 @@ def has_span(file: str = "file", start: str = "start_line", end: str = "end_line
 
 def has_content(content: str = "content") -> Column:
     return F.coalesce(F.col(content).rlike(r"\S"), F.lit(False))
+
+
+#: Node types that are symbols.
+SYMBOL_TYPES = ("symbol", "class", "function", "method", "field")
+
+
+def is_symbol(type_: str = "type") -> Column:
+    return F.coalesce(F.col(type_).isin(*SYMBOL_TYPES), F.lit(False))
+
+
+def candidate_filters(require_span: bool = False, require_content: bool = False, symbol_only: bool = False, drop_tests: bool = False, include_exts: list[str] | None = None, exclude_globs: list[str] | None = None, file: str = "file") -> list[Column]:
+    """The predicates that options ask for, cheap ones first; a row without a file passes the glob exclusion and no extension list."""
+    out: list[Column] = []
+    if require_span:
+        out.append(has_span(file))
+    if symbol_only:
+        out.append(is_symbol())
+    if include_exts:
+        out.append(T.has_extension(F.col(file), include_exts))
+    if exclude_globs:
+        out.append(~T.matches_any(F.col(file), exclude_globs))
+    if drop_tests:
+        out.append(~T.is_test_path(F.col(file)))
+    if require_content:
+        out.append(has_content())
+    return out
+
+
+def run_stages(branches: list[DataFrame], weights: list[float] | None, k: int, *, fusion: str = "weighted", rrf_k: int = 60, by: list[str] | None = None, key: str = "key") -> DataFrame:
+    """Retrieval branches (key, rank, score, by) as one ranking: a single branch as it is, several fused."""
+    if not branches:
+        raise ValueError("no retrieval stage")
+    by = by or []
+    if len(branches) == 1:
+        return branches[0].where(F.col("rank") <= k).select(*by, key, "score", "rank")
+    rows = None
+    for i, b in enumerate(branches):
+        part = b.select(*by, key, F.lit(i).alias("branch"), "rank", "score")
+        rows = part if rows is None else rows.unionByName(part)
+    return fuse(rows, weights, k, fusion=fusion, rrf_k=rrf_k, by=by, key=key).select(*by, key, "score", "rank")
+
+
+def hybrid_lists(sparse: DataFrame, dense: DataFrame, key: list[str], weights: tuple[float, float] = (0.5, 0.5), k: int = 10) -> DataFrame:
+    """Weighted fusion of two lists made elsewhere (key columns, rank, score); a candidate is its file, name and lines."""
+    both = sparse.withColumn("branch", F.lit(0)).unionByName(dense.withColumn("branch", F.lit(1))).withColumn("key", F.struct(*key))
+    out = fuse(both.select("key", "branch", "rank", "score"), list(weights), k)
+    return out.select("key.*", "score", "rank")

@@ -65,6 +65,26 @@ def of_types(edges: DataFrame, types: list[str] | None) -> DataFrame:
     return edges.where(F.col("type").isin(types)) if types else edges
 
 
+#: Edge types of each layer; None takes all.
+LAYERS = {"all": None, "containment": ("contain",), "dependency": ("reference", "import", "type_use"), "reference": ("reference",), "import": ("import",), "type_use": ("type_use",)}
+
+
+def of_layer(edges: DataFrame, layer: str) -> DataFrame:
+    key = (layer or "").strip().lower()
+    if key not in LAYERS:
+        raise ValueError(f"unknown graph layer {layer}; supported: {', '.join(sorted(LAYERS))}")
+    return edges if LAYERS[key] is None else edges.where(F.col("type").isin(*LAYERS[key]))
+
+
+def selected(nodes: DataFrame, edges: DataFrame, paths: DataFrame, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, report): what belongs to the chosen paths (column ``path``), and the counts before and after."""
+    kept = nodes.join(paths.select(path).distinct(), path, "left_semi")
+    inner = induced(edges, kept)
+    count = lambda df: df.agg(F.count("*")).scalar()
+    report = nodes.sparkSession.range(1).select(count(nodes).alias("nodes_before"), count(kept).alias("nodes_after"), count(edges).alias("edges_before"), count(inner).alias("edges_after"))
+    return kept, inner, report
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"src": F.col("dst"), "dst": F.col("src")})
 
