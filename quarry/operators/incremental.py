@@ -99,10 +99,12 @@ def shift_anchors(edges: DataFrame, file: str, after: int, by: int) -> DataFrame
     return edges.withColumn("anchor_line", F.when(moved, F.col("anchor_line") + by).otherwise(F.col("anchor_line")))
 
 
-def edges_outside(edges: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Edges whose anchor lies in none of the (file, first, last) ranges."""
-    hit = (F.col("anchor_file") == F.col("file")) & F.col("anchor_line").between(F.col("first"), F.col("last"))
-    return edges.join(ranges, hit, "left_anti")
+def edges_outside(edges: DataFrame, ranges: DataFrame, bucket: int = 64) -> DataFrame:
+    """Edges whose anchor lies in none of the (file, first, last) ranges; both meet by file and bucket of lines."""
+    r = ranges.where("first <= last").withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("first") / bucket), F.floor(F.col("last") / bucket))))
+    e = edges.withColumn("_bucket", F.floor(F.col("anchor_line") / bucket))
+    hit = (e["anchor_file"] == r["file"]) & (e["_bucket"] == r["_bucket"]) & e["anchor_line"].between(r["first"], r["last"])
+    return e.join(r, hit, "left_anti").drop("_bucket")
 
 
 def changes_with_renames(old: DataFrame, new: DataFrame, path: str, digest: str) -> DataFrame:

@@ -6,6 +6,7 @@ file may hold many intervals, with the bounds as a residual condition.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,14 +58,18 @@ def references(points: DataFrame, occurrences: DataFrame, include_declaration: b
     return _related(points, occurrences, F.lit(True) if include_declaration else F.col("roles").bitwiseAND(1) == 0, k)
 
 
-def at_position(points: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """query_id and the narrowest occurrence that holds its position (end exclusive within a line)."""
-    p = points.select("query_id", F.col("file").alias("p_file"), "line", "character")
+def at_position(points: DataFrame, occurrences: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """query_id and the narrowest occurrence that holds its position (end exclusive within a line).
+
+    Points and occurrences meet by file and bucket of lines, so a file with many of both is spread.
+    """
+    p = points.select("query_id", F.col("file"), "line", "character").withColumn("_bucket", F.floor(F.col("line") / bucket))
+    o = occurrences.where("start_line <= end_line").withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start_line") / bucket), F.floor(F.col("end_line") / bucket))))
     after = (F.col("start_line") < F.col("line")) | ((F.col("start_line") == F.col("line")) & (F.col("start_char") <= F.col("character")))
     before = (F.col("line") < F.col("end_line")) | ((F.col("line") == F.col("end_line")) & (F.col("character") < F.col("end_char")))
-    held = p.join(occurrences, (F.col("p_file") == F.col("file")) & after & before)
+    held = p.join(o, ["file", "_bucket"]).where(after & before)
     narrow = [F.col("end_line") - F.col("start_line"), F.col("end_char") - F.col("start_char"), "start_line", "start_char", "symbol"]
-    return held.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(*narrow))).where("_n = 1").drop("_n", "p_file", "line", "character")
+    return held.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(*narrow))).where("_n = 1").drop("_n", "line", "character", "_bucket")
 
 
 def _related(points: DataFrame, occurrences: DataFrame, keep: Column, k: int) -> DataFrame:
@@ -106,19 +111,27 @@ def first_fit_windows(anchors: DataFrame, gap: int = 8, most: int = 200) -> Data
     return anchors.groupBy("file").applyInPandas(fit, "file string, first bigint, last bigint")
 
 
-def distinct_spans(spans: DataFrame) -> DataFrame:
-    """Spans (file, rank, first, last) that overlap no span kept before them."""
+def distinct_spans(spans: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Spans (file, rank, first, last) that overlap no span kept before them, for each file (or each ``by``).
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: list[tuple[int, int]] = []
-        rows = []
-        for row in pdf.sort_values("rank").itertuples(index=False):
-            if not any(row.first <= e and s <= row.last for s, e in held):
-                held.append((row.first, row.last))
-                rows.append(row)
-        return pd.DataFrame(rows, columns=pdf.columns)
+    Kept spans are disjoint, so a new one is compared with its two neighbours alone.
+    """
 
-    return spans.groupBy("file").applyInPandas(keep, spans.schema)
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        firsts: list[int] = []
+        lasts: list[int] = []
+        kept = []
+        pdf = pdf.sort_values("rank")
+        for i, (first, last) in enumerate(zip(pdf["first"], pdf["last"])):
+            at = bisect.bisect_right(firsts, last)
+            if at and lasts[at - 1] >= first:
+                continue
+            firsts.insert(at, first)
+            lasts.insert(at, last)
+            kept.append(i)
+        return pdf.iloc[kept]
+
+    return spans.groupBy(*(by or ["file"])).applyInPandas(keep, spans.schema)
 
 
 def chunk_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

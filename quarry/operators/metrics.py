@@ -240,3 +240,11 @@ def localization(predicted: DataFrame, gold: DataFrame, by: list[str]) -> DataFr
 
 def localization_summary(scores: DataFrame) -> DataFrame:
     return scores.groupBy("scope").agg(F.count("*").alias("n"), F.count_if("match").alias("matches"), F.round(F.avg(F.col("match").cast("double")), 6).alias("match_rate"), F.round(F.avg("precision"), 6).alias("precision_mean"))
+
+
+def flattened(results: DataFrame, items: str, k: int | None = None) -> DataFrame:
+    """Rows with ``rank`` (from 1) and ``item`` for each entry of a ranked list, at most k a row."""
+    kept = F.col(items) if k is None else F.slice(items, 1, k)
+    rest = [c for c in results.columns if c != items]
+    out = results.select(*rest, F.posexplode(kept).alias("_pos", "item"))
+    return out.select(*rest, (F.col("_pos") + 1).alias("rank"), "item")

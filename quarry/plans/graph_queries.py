@@ -78,8 +78,8 @@ def j11(spark: SparkSession, d: str) -> DataFrame:
 
 
 _OCC = """occ AS (SELECT 'o' || l_orderkey % 25 AS file, (l_orderkey % 300)::INTEGER AS start_line, (l_linenumber * 8)::INTEGER AS start_char, (l_orderkey % 300)::INTEGER AS end_line,
-  (l_linenumber * 8 + 5)::INTEGER AS end_char, CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS roles, CASE WHEN l_partkey % 3 = 0 THEN 'local ' || l_partkey % 20 ELSE 'sym' || l_partkey % 40 END AS symbol FROM lineitem WHERE l_orderkey <= 2000),
-pt AS (SELECT l_orderkey AS query_id, 'o' || l_orderkey % 25 AS pf, l_orderkey % 300 AS line, l_linenumber * 8 + 2 AS ch FROM lineitem WHERE l_orderkey <= 200 AND l_linenumber = 2),
+  (l_linenumber * 8 + 5)::INTEGER AS end_char, CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS roles, CASE WHEN l_partkey % 3 = 0 THEN 'local ' || l_partkey % 20 ELSE 'sym' || l_partkey % 40 END AS symbol FROM lineitem),
+pt AS (SELECT l_orderkey AS query_id, 'o' || l_orderkey % 25 AS pf, l_orderkey % 300 AS line, l_linenumber * 8 + 2 AS ch FROM lineitem WHERE l_linenumber = 2),
 held AS (SELECT * FROM (SELECT query_id, file, symbol, row_number() OVER (PARTITION BY query_id ORDER BY end_line - start_line, end_char - start_char, start_line, start_char, symbol) AS n FROM pt JOIN occ ON pf = file
   WHERE (start_line < line OR start_line = line AND start_char <= ch) AND (line < end_line OR line = end_line AND ch < end_char)) WHERE n = 1)"""
 _OCC_OUT = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY file, start_line, start_char, end_line, end_char)::INTEGER AS rank FROM
@@ -87,12 +87,12 @@ _OCC_OUT = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
 
 
 def _occurrences(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, d, "lineitem").where("l_orderkey <= 2000")
+    rows = table(spark, d, "lineitem")
     occ = rows.selectExpr(
         "concat('o', l_orderkey % 25) AS file", "int(l_orderkey % 300) AS start_line", "int(l_linenumber * 8) AS start_char", "int(l_orderkey % 300) AS end_line", "int(l_linenumber * 8 + 5) AS end_char",
         "if(l_linenumber = 1, 1, 0) AS roles", "if(l_partkey % 3 = 0, concat('local ', l_partkey % 20), concat('sym', l_partkey % 40)) AS symbol",
     )
-    points = rows.where("l_orderkey <= 200 AND l_linenumber = 2").selectExpr("l_orderkey AS query_id", "concat('o', l_orderkey % 25) AS file", "int(l_orderkey % 300) AS line", "int(l_linenumber * 8 + 2) AS character")
+    points = rows.where("l_linenumber = 2").selectExpr("l_orderkey AS query_id", "concat('o', l_orderkey % 25) AS file", "int(l_orderkey % 300) AS line", "int(l_linenumber * 8 + 2) AS character")
     return points, occ
 
 
@@ -112,11 +112,11 @@ def j16(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("j17_edge_resolution", """WITH f AS (SELECT p_partkey AS symbol, p_type || p_size % 5 AS moniker FROM part), u AS (SELECT moniker, min(symbol) AS symbol FROM f GROUP BY 1 HAVING count(*) = 1),
-e AS (SELECT l_orderkey, l_linenumber, p_type || p_size % 5 AS moniker FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey <= 500)
+e AS (SELECT l_orderkey, l_linenumber, p_type || p_size % 5 AS moniker FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT l_orderkey, l_linenumber, u.symbol AS target, CASE WHEN u.symbol IS NULL THEN 'unresolved' ELSE 'exact' END AS provenance FROM e LEFT JOIN u USING (moniker)""")
 def j17(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").selectExpr("p_partkey", "concat(p_type, p_size % 5) AS moniker")
-    e = table(spark, d, "lineitem").where("l_orderkey <= 500").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "moniker")
+    e = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "moniker")
     return facts.resolve_edges(e, part.withColumnRenamed("p_partkey", "symbol"), "moniker", "symbol").select("l_orderkey", "l_linenumber", "target", "provenance")
 
 
@@ -275,11 +275,11 @@ def e2(spark: SparkSession, d: str) -> DataFrame:
     return intervals.points_in_intervals(p, nodes(spark, d), ["file"], "line", "start_line", "end_line", order).select("file", "line", "vid")
 
 
-@query("e20_line_windows", f"""WITH a AS (SELECT DISTINCT 'o' || l_orderkey % 25 AS file, l_orderkey % 500 - 10 AS s, l_orderkey % 500 + 10 AS e FROM lineitem WHERE l_orderkey <= 300),
+@query("e20_line_windows", f"""WITH a AS (SELECT DISTINCT 'o' || l_orderkey % 25 AS file, l_orderkey % 500 - 10 AS s, l_orderkey % 500 + 10 AS e FROM lineitem),
 m AS (SELECT *, max(e) OVER (PARTITION BY file ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM a),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT file, min(s) AS s, max(e) AS e, count(*) AS n FROM i GROUP BY file, k""")
 def e20(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "lineitem").where("l_orderkey <= 300").selectExpr("concat('o', l_orderkey % 25) AS file", "l_orderkey % 500 - 10 AS s", "l_orderkey % 500 + 10 AS e").distinct()
+    a = table(spark, d, "lineitem").selectExpr("concat('o', l_orderkey % 25) AS file", "l_orderkey % 500 - 10 AS s", "l_orderkey % 500 + 10 AS e").distinct()
     return intervals.islands(a, ["file"], "s", "e", 1)
 
 

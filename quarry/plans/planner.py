@@ -51,6 +51,6 @@ def cascade(mask: DataFrame, vectors: DataFrame, query: Sequence[float], vec: st
 
 def hybrid(branches: DataFrame, k: int, by: list[str], tier: str = "balanced") -> DataFrame:
     """Reciprocal rank fusion of the sparse (branch 0) and dense (branch 1) results of each query."""
-    most, _ = BUDGETS[tier]
+    most, _ = BUDGETS[tier_of(tier)]
     weights = [HYBRID_WEIGHTS["sparse"], HYBRID_WEIGHTS["dense"]]
     return fusion.fuse(branches.where(F.col("rank") <= most), weights, k, fusion="rrf", by=by)

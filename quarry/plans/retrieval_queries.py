@@ -230,6 +230,24 @@ def q3(spark: SparkSession, d: str) -> DataFrame:
     return planner.cascade(mask, table(spark, d, "embeddings"), _query_vector(spark, d), "embedding", "vec_id", 50)
 
 
-@query("q_plan_choice", """SELECT item_id, CASE WHEN regexp_matches(text, '(?i)\\b(call(s|ed|er|ers|ee|ees)?|depend(s|ency|encies)?|impact|inherit(s|ance)?|import(s|ed)?|reference(s|d)?)\\b') THEN 'structural_graph' ELSE 'hybrid_rrf' END AS plan FROM benchmark""")
+_ANY = lambda patterns, flag="": " OR ".join(f"regexp_matches(text, '{flag}{p}')" for p in patterns)
+SIGNALS_SQL = f"""sg AS (SELECT item_id, ({_ANY(text.STRUCTURAL_PATTERNS, '(?i)')}) AS structural, ({_ANY(text.LEXICAL_PATTERNS)}) AS lex, regexp_matches(text, '(?i){text.SEMANTIC_WORDS}') OR len(regexp_extract_all(text, '[A-Za-z0-9_]+')) >= 10 AS semantic,
+  len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS n FROM bq), sq AS (SELECT item_id, structural, lex OR (NOT semantic AND n BETWEEN 1 AND 4) AS lexical, semantic FROM sg)"""
+_BQ = """bq AS (SELECT item_id, CASE item_id % 6 WHEN 0 THEN text WHEN 1 THEN 'definitions of bar' WHEN 2 THEN 'parse_config' WHEN 3 THEN 'reachable from Foo.bar' WHEN 4 THEN 'callback url import map' ELSE left(text, 12) END AS text FROM benchmark)"""
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    asked = F.expr("CASE item_id % 6 WHEN 0 THEN text WHEN 1 THEN 'definitions of bar' WHEN 2 THEN 'parse_config' WHEN 3 THEN 'reachable from Foo.bar' WHEN 4 THEN 'callback url import map' ELSE left(text, 12) END")
+    return table(spark, d, "benchmark").select("item_id", asked.alias("text"))
+
+
+@query("x_query_signals", f"WITH {_BQ}, {SIGNALS_SQL} SELECT * FROM sq")
+def query_signals(spark: SparkSession, d: str) -> DataFrame:
+    return _questions(spark, d).select("item_id", text.query_signals(F.col("text")).alias("s")).select("item_id", "s.*")
+
+
+@query("q_plan_choice", f"""WITH {_BQ}, {SIGNALS_SQL} SELECT item_id, CASE WHEN structural THEN 'structural_graph' WHEN semantic AND NOT lexical THEN 'semantic' ELSE 'hybrid_fusion' END AS plan,
+  CASE WHEN lexical THEN 'fast_lexical' ELSE 'semantic' END AS fast FROM sq""")
 def q_plan(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", planner.plan_for(F.col("text"), views=("sparse", "dense", "graph"), tier="balanced").alias("plan"))
+    views = ("sparse", "dense", "graph")
+    return _questions(spark, d).select("item_id", planner.plan_for(F.col("text"), views, "balanced").alias("plan"), planner.plan_for(F.col("text"), views, "cheap").alias("fast"))

@@ -97,10 +97,10 @@ def sc23(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.line_window(F.col("text"), 2, 4).alias("content"))
 
 
-@query("p9_numbered_lines", """WITH l AS (SELECT doc_id, string_split(text, chr(10))[1:3] AS ls FROM documents)
+@query("p9_numbered_lines", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
 SELECT doc_id, array_to_string(list_transform(range(1, len(ls) + 1), lambda i: lpad((i + 8)::VARCHAR, length((8 + len(ls))::VARCHAR)::INTEGER, ' ') || ' | ' || ls[i]), chr(10)) AS content FROM l""")
 def p9(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.numbered(F.slice(text.lines_of(F.col("text")), 1, 3), F.lit(9)).alias("content"))
+    return table(spark, d, "documents").select("doc_id", text.numbered(text.lines_of(F.col("text")), F.lit(9)).alias("content"))
 
 
 _PATCH = "'--- a/src/a' || doc_id || '.py' || chr(10) || '+++ b/src/b' || doc_id || '.py' || chr(10) || '@@ -1,2 +' || (doc_id % 90 + 1) || ',' || (doc_id % 4) || ' @@' || chr(10) || '+x' || chr(10) || '-y' || chr(10) || '@@ -9 +' || (doc_id % 7 + 100) || ' @@' || chr(10) || '+z'"
@@ -186,9 +186,3 @@ def f21(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "benchmark")
     target = text.lexical_tokens(F.concat(F.substring("text", 1, 60), F.lit(" zzz yyy")))
     return reports.leaks(rows, F.col("text"), target).select("item_id", "overlap", "leaks")
-
-
-@query("x_query_class", """SELECT item_id, CASE WHEN regexp_matches(text, '(?i)\\b(call(s|ed|er|ers|ee|ees)?|depend(s|ency|encies)?|impact|inherit(s|ance)?|import(s|ed)?|reference(s|d)?)\\b') THEN 'structural'
-  WHEN regexp_matches(text, '[A-Za-z0-9]_[A-Za-z0-9]|[a-z][A-Z]|::|\\(\\)|\\.[a-z]{1,4}\\b') THEN 'lexical' ELSE 'semantic' END AS class FROM benchmark""")
-def query_class(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select("item_id", text.query_class(F.col("text")).alias("class"))
