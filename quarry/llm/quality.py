@@ -127,6 +127,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
     return measured.select("*", failures())
 
 
+def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger written to a folder and read again: policies and ablations then read numbers, never texts."""
+    return shared.stored(ledger(docs, id_col, text_col), folder, "ledger")
+
+
 def passes(policy: str | int) -> Column:
     """True where a ledger row fails none of a policy's rules."""
     mask = POLICIES[policy] if isinstance(policy, str) else policy
@@ -134,7 +139,7 @@ def passes(policy: str | int) -> Column:
 
 
 def ablations(table: DataFrame, policy: str = "v1") -> DataFrame:
-    """Per rule of a policy: rows failing it, rows failing nothing else, and rows kept without the rule.
+    """Per rule of a policy: rows failing it, rows failing nothing else, and rows kept without the rule; from a ledger, best a stored one.
 
     One pass counts each distinct bit pattern (at most 2 ** rules of them); the rest is arithmetic on those.
     """

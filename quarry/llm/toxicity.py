@@ -9,12 +9,16 @@ offensive in a document.
 Features of a sentence are hashes of its lower-cased words and of their first
 4, 5 and 6 bytes, kept as full 64-bit keys, so unknown words never share a
 weight with known ones.  The classifier is fitted on a bounded sample of the
-labelled documents (``SAMPLE_ROWS`` rows of each label, ``SAMPLE_BYTES`` of text
-in all, picked by a hash of the id); every document is scored in whole.
+labelled documents (``SAMPLE_ROWS`` ids of each label and ``SAMPLE_BYTES`` of text
+in all, half for each label, in the order of a hash of the id); every document
+is scored in whole.  A feature takes part if it stands in ``LEAST_DOCS`` toxic
+documents of the sample and is ``LEAST_RATIO`` (in log odds) likelier there; at
+most the ``MOST_FEATURES`` most telling ones do, which bounds what is broadcast.
 
 Defined cases: null and empty texts have no sentence and score 0; labels that
 are null or whose document is missing teach nothing; several labels of one
-document count as their maximum; without both labels the model has no features
+document count as their maximum; of several texts of one id the one of smallest
+hash teaches, once; without both labels the model has no features
 and a low constant; repeated rows score alike; empty tables give empty results.
 """
 
@@ -35,6 +39,7 @@ from . import shared, words
 SAMPLE_ROWS = 2500
 SAMPLE_BYTES = 12 << 20
 MOST_FEATURES = 20_000
+LEAST_DOCS, LEAST_RATIO = 3, 2.0
 PREFIXES = (4, 5, 6)
 U64 = np.uint64
 
@@ -137,9 +142,8 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 200, rate: float = 0.3
     held = np.diff(np.append(first, len(k)))
     bad = np.add.reduceat(y[d], first)
     good = held - bad
-    least_docs = 3 if y.sum() >= 300 else 2
     ratio = np.log((bad + 0.1) / (y.sum() + 0.2)) - np.log((good + 0.1) / ((1 - y).sum() + 0.2))
-    chosen = np.flatnonzero((bad >= least_docs) & (ratio > 2.0))
+    chosen = np.flatnonzero((bad >= LEAST_DOCS) & (ratio > LEAST_RATIO))
     chosen = chosen[np.argsort(-(bad * ratio)[chosen], kind="stable")][:MOST_FEATURES]
     model = Model(np.sort(k[first][chosen]))
     at = np.minimum(np.searchsorted(model.keys, key), len(model.keys) - 1) if len(model.keys) else np.zeros(0, np.int64)
@@ -174,18 +178,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     schema = T.StructType([T.StructField("id", known.schema["id"].dataType), T.StructField("y", T.IntegerType()), T.StructField("order", T.StringType())])
     few = F.broadcast(spark.createDataFrame([(r["id"], int(r["y"]), r["order"]) for r in ids], schema))  # at most 2 * SAMPLE_ROWS rows
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).join(few, "id")
-    sizes = texts.select("order", "y", F.octet_length("text").alias("size")).limit(8 * SAMPLE_ROWS).collect()
+    # One text an id, so there are at most as many rows as ids, however often a document repeats.
+    texts = texts.select("order", "y", "text", F.xxhash64("text").alias("hash"))
+    sizes = texts.groupBy("order", "y").agg(F.min(F.struct("hash", F.octet_length("text").alias("size"))).alias("t")).select("order", "y", "t.*").collect()
     room = {0: SAMPLE_BYTES // 2, 1: SAMPLE_BYTES // 2}
     take = []
-    for r in sorted(sizes, key=lambda r: (r["order"], r["size"])):
+    for r in sorted(sizes, key=lambda r: r["order"]):
         if r["size"] <= room[r["y"]]:
             room[r["y"]] -= r["size"]
-            take.append((r["order"], r["size"]))
+            take.append((r["order"], r["hash"]))
     if not take:
         return Model()
-    take = F.broadcast(spark.createDataFrame(sorted(set(take)), "o string, s int"))
-    got = texts.join(take, (F.col("order") == F.col("o")) & (F.octet_length("text") == F.col("s"))).select("order", "y", "text").collect()
-    got.sort(key=lambda r: (r["order"], r["text"]))
+    take = F.broadcast(spark.createDataFrame(take, "order string, hash bigint"))
+    got = texts.join(take, ["order", "hash"]).groupBy("order").agg(F.min("y").alias("y"), F.min("text").alias("text")).collect()
+    got.sort(key=lambda r: r["order"])
     return fit([r["text"] for r in got], [r["y"] for r in got])
 
 

@@ -61,6 +61,15 @@ def test_license_places(frame, odd_rows):
     assert out[2].n_base == 1 and out[2].first_word == 31
 
 
+def test_license_templates_may_be_given(frame):
+    notice = "You may copy this work, and you may change it, as long as you say so in plain words."
+    text = "preface " * 40 + notice.upper().replace("PLAIN ", "") + " rest" * 20
+    got = licenses.scan(frame([(1, text, "en", "s", 0), (2, "mit license", "en", "s", 0)]), notices=[("own", notice)]).collect()
+    assert {(r.doc_id, r.labels) for r in got} == {(1, "own"), (2, "mit")}
+    with pytest.raises(ValueError):
+        licenses.templates(notices=[("x", "a b c " * 30)] * 1000)
+
+
 @pytest.mark.parametrize("spread", [3, 400])
 def test_top_k_with_ties(spark, spread):
     r = np.random.default_rng(1)
@@ -105,6 +114,32 @@ def test_toxicity_learns_and_locates(frame, odd_rows, spark):
     assert toxicity.train(frame([]), known.limit(0)).weights.size == 0
 
 
+def test_a_document_is_the_noisy_or_of_its_sentences():
+    r = np.random.default_rng(4)
+    texts = [". ".join(" ".join(f"w{r.integers(40)}" for _ in range(5)) for _ in range(r.integers(1, 6))) + "! " for _ in range(120)]
+    model = toxicity.fit(texts, [int("w7" in t.split() or "w9" in t.split()) for t in texts], rounds=40)
+    assert len(model.keys)
+    import pyarrow as pa
+
+    for text in texts[:40] + ["", "?!", "w7"]:
+        parts = [p for p in re.split(r"[.!?\n]", text) if re.search(r"[A-Za-z0-9]", p)]
+        single = []
+        for p in parts:
+            data = np.frombuffer(p.encode(), np.uint8)
+            keys = set(toxicity.sentence_features(data, np.array([0, len(data)]))[0].tolist())
+            z = model.bias + sum(w for k, w in zip(model.keys.tolist(), model.weights) if k in keys)
+            single.append(1 / (1 + np.exp(-z)))
+        want = 1 - np.prod([1 - p for p in single])
+        assert abs(toxicity.document_scores(model, pa.array([text]))[0] - want) < 1e-9
+
+
+def test_repeated_rows_teach_once(frame, spark):
+    rows = [(i, f"clean words here {i % 7}" if i % 3 else f"you idiot {i % 5}", "en", "s", 0) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id bigint, toxic int")
+    once, often = toxicity.train(frame(rows), labels), toxicity.train(frame(rows + rows[:30] * 20), labels)
+    assert np.array_equal(once.keys, often.keys) and np.allclose(once.weights, often.weights)
+
+
 def test_token_counts_across_blocks(frame, odd_rows):
     enc = token_counts._encoding(open(tokenizer_path("byte_bpe_50k.tiktoken"), "rb").read())
     for size in (6, 1000, 1 << 20):

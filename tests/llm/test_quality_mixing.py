@@ -31,8 +31,8 @@ def test_ledger_on_odd_rows(frame, odd_rows):
     assert sorted((r.doc_id or -1, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
 
 
-def test_policies_and_ablations(frame, odd_rows):
-    table = quality.ledger(frame(odd_rows))
+def test_policies_and_ablations(frame, odd_rows, tmp_path):
+    table = quality.store(frame(odd_rows), f"file://{tmp_path}")
     kept = table.where(quality.passes("v1")).count()
     costs = {r.rule: r for r in quality.ablations(table, "v1").collect()}
     assert kept == quality.keep_good(frame(odd_rows)).count()
