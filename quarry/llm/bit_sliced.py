@@ -9,21 +9,26 @@ significant down to find the k-th highest indexed score; every row that the
 left-out bits could still bring to it is a boundary row and is scored exactly.
 Ties go to the smaller id, so results do not depend on how rows are dealt out.
 
-Candidate blocks and query blocks meet in pairs of blocks, an equi-join on
-block numbers with both sides repeated per opposite block; nothing is
-broadcast and a task holds one block of each.  Each pair keeps k rows a query,
-and the best of those are taken by query and group of blocks before the last
-step, so no task sees all rows of a query.
+The index is built once: each row block is one row that holds its ids, its
+exact values and its slices, kept in the shared folder (``build``).  Query
+blocks are streamed against it (``search``): while all of them take less than
+``BROADCAST_BYTES`` they are broadcast and the index is read where it lies; beyond,
+index and query blocks meet by block number.  Each pair of blocks keeps k rows
+a query, and the best of those are taken by query and group of blocks before
+the last step, so no task sees all rows of a query.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite
-components take no part; vectors of another length than the query's do not
-score with it; repeated candidates are candidates each; a query that repeats
-with one id and one vector is one query; an empty table gives an empty result.
+components take no part; components beyond +-2 ** 16 count as that, since sums
+of their products would leave 64 bits; vectors of another length than the
+query's do not score with it; repeated candidates are candidates each; a query
+that repeats with one id and one vector is one query; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +41,12 @@ from . import shared
 ROWS_A_BLOCK = 8192
 QUERIES_A_BLOCK = 1024
 QUERIES_AT_ONCE = 32
+GROUPS = 64
 #: Lowest bits of a component that the index leaves out.
 DROP = 4
+#: Components beyond this, scaled, count as this: a product of two fits 52 bits, and a thousand of them fit 62.
+MOST_VALUE = 1 << 26
+BROADCAST_BYTES = 64 << 20
 U64 = np.uint64
 
 
@@ -80,11 +89,13 @@ class BitSlices:
                 for b, s in enumerate(turned):
                     self._add(waiting, b + c, s & mask)
         out, weight = [], 0
-        while waiting:
+        while any(w >= weight for w in waiting):
             held = waiting.pop(weight, [])
             while len(held) > 1:  # two bitmaps of one weight: sum stays, carry moves up
                 x, y = held.pop(), held.pop()
-                waiting.setdefault(weight + 1, []).append(x & y)
+                carry = x & y
+                if carry.any():
+                    waiting.setdefault(weight + 1, []).append(carry)
                 held.append(x ^ y)
             out.append(held[0] if held else np.zeros((len(queries), self.words), dtype=U64))
             weight += 1
@@ -102,6 +113,8 @@ class BitSlices:
             ab = a ^ b
             waiting[weight] = [ab ^ c]
             x, weight = (a & b) | (c & ab), weight + 1
+            if not x.any():
+                return
 
     def candidates(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
         """Per query, the rows whose exact score may be among the k highest."""
@@ -137,11 +150,8 @@ class BitSlices:
 
     def top(self, queries: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query number, row ids, exact scores) of the k best rows but the query's own, ties to smaller ids."""
-        if self.n <= 4 * k:
-            picks = [np.arange(self.n)] * len(queries)
-        else:
-            repeats = int(np.unique(ids, return_counts=True)[1].max())
-            picks = self.candidates(queries, k + repeats)  # room for the query's own rows
+        repeats = int(np.unique(ids, return_counts=True)[1].max())
+        picks = self.candidates(queries, k + repeats)  # room for the query's own rows
         for i, rows in enumerate(picks):
             rows = rows[ids[rows] != own[i]]
             score = self.values[rows] @ queries[i]
@@ -149,58 +159,126 @@ class BitSlices:
             yield i, ids[rows][best], score[best]
 
 
+    def packed(self) -> tuple[bytes, bytes]:
+        """The slices' frame (drop, lows, bits) and their bitmaps, one after another."""
+        frame = np.array([self.drop, *self.low.tolist(), *self.bits], dtype=np.int64).tobytes()
+        return frame, b"".join(s.tobytes() for slices in self.slices for s in slices)
+
+    @classmethod
+    def opened(cls, values: np.ndarray, frame: bytes, bitmaps: bytes) -> BitSlices:
+        """Slices as ``packed`` left them, without building them again."""
+        self = cls.__new__(cls)
+        head = np.frombuffer(frame, np.int64)
+        dim = (len(head) - 1) // 2
+        self.values, self.n, self.drop, self.low = values, len(values), int(head[0]), head[1 : dim + 1]
+        self.bits, self.words = head[dim + 1 :].tolist(), -(-len(values) // 64)
+        flat = np.frombuffer(bitmaps, U64).reshape(-1, self.words)
+        ends = np.cumsum(self.bits)
+        self.slices = [list(flat[e - b : e]) for b, e in zip(self.bits, ends)]
+        return self
+
+
 def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, ascending, and their vectors."""
     column = table.column("v").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return table.column("id").to_numpy(), flat.reshape(len(column), -1).astype(np.int64)
-
-
-def _joined(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    out_q, out_id, out_score = [], [], []
-    if queries.num_rows and rows.num_rows:
-        ids, values = _vectors(rows)
-        own, q = _vectors(queries)
-        order = np.argsort(ids, kind="stable")
-        index = BitSlices(values[order])
-        ids = ids[order]
-        for lo in range(0, len(q), QUERIES_AT_ONCE):
-            for i, found, score in index.top(q[lo : lo + QUERIES_AT_ONCE], ids, own[lo : lo + QUERIES_AT_ONCE], k):
-                out_q.append(np.full(len(found), own[lo + i]))
-                out_id.append(found)
-                out_score.append(score)
-    cat = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-    return pa.table({"query_id": cat(out_q), "vec_id": cat(out_id), "score": cat(out_score)})
-
-
-def top_k(queries: DataFrame, rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k highest integer inner products over all rows but its own."""
-    spark = rows.sparkSession
-    shared.attach(spark)
+    ids = table.column("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], flat.reshape(len(column), -1).astype(np.int64)[order]
+
+
+INDEX = "dim int, block int, ids binary, vectors binary, frame binary, slices binary"
+QUERIES = "dim int, qb int, ids binary, vectors binary"
+
+
+def _indexed(table: pa.Table) -> pa.Table:
+    ids, values = _vectors(table)
+    frame, slices = BitSlices(values).packed()
+    row = [table.column("dim")[0].as_py(), table.column("block")[0].as_py(), ids.astype("<i8").tobytes(), values.astype("<i4").tobytes(), frame, slices]
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table([pa.array([x], k) for x, k in zip(row, kinds)], ["dim", "block", "ids", "vectors", "frame", "slices"])
+
+
+def _grouped(table: pa.Table) -> pa.Table:
+    ids, values = _vectors(table)
+    row = [table.column("dim")[0].as_py(), table.column("block")[0].as_py(), ids.astype("<i8").tobytes(), values.astype("<i4").tobytes()]
+    return pa.table([pa.array([x], k) for x, k in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["dim", "qb", "ids", "vectors"])
+
+
+def _quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
+    v = F.col(f"`{vector_col}`")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    bounded = lambda x: F.floor(F.least(F.greatest(x.cast("double") * F.lit(float(scale)), F.lit(float(-MOST_VALUE))), F.lit(float(MOST_VALUE)))).cast("bigint")
+    kept = df.where((F.size(v) > 0) & finite & F.col(f"`{id_col}`").isNotNull())
+    return kept.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.transform(v, bounded).alias("v"), F.size(v).alias("dim"))
 
-    def quantised(df: DataFrame) -> DataFrame:
-        v = F.col(f"`{vector_col}`")
-        finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        q = F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("bigint"))
-        return df.where((F.size(v) > 0) & finite & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), q.alias("v"))
-
-    folder = shared.shared_folder(spark)
-    r = shared.stored(quantised(rows), folder, "rows")
-    q = shared.stored(quantised(queries).distinct(), folder, "queries")
-    n_rows = max(1, -(-r.count() // ROWS_A_BLOCK))
-    n_queries = max(1, -(-q.count() // QUERIES_A_BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    r = r.select("id", "v", F.size("v").alias("dim"), block(n_rows).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"))
-    q = q.select("id", "v", F.size("v").alias("dim"), block(n_queries).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("rb"))
-    key = ["dim", "rb", "qb"]
-
-    def joined(a: pa.Table, b: pa.Table) -> pa.Table:
-        return _joined(a, b, k)
-
-    best = q.groupBy(*key).cogroup(r.groupBy(*key)).applyInArrow(joined, "query_id bigint, vec_id bigint, score bigint")
+
+def _blocks(rows: DataFrame, n: int) -> DataFrame:
+    return rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).select("id", "v", "dim", "block")
+
+
+def build(rows: DataFrame, folder: str, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
+    """The index of a table, kept below ``folder``: one row per block of about ``ROWS_A_BLOCK`` rows."""
+    shared.attach(rows.sparkSession)
+    r = shared.stored(_quantised(rows, id_col, vector_col, scale), folder, "rows")
+    n = max(1, -(-r.count() // ROWS_A_BLOCK))
+    return shared.stored(_blocks(r, n).groupBy("dim", "block").applyInArrow(_indexed, INDEX), folder, "index")
+
+
+def _found(index: tuple, queries: tuple, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query ids, row ids, scores) of one pair of blocks."""
+    dim, ids, vectors, frame, slices = index
+    own, q = np.frombuffer(queries[0], "<i8"), np.frombuffer(queries[1], "<i4").reshape(-1, dim).astype(np.int64)
+    ids = np.frombuffer(ids, "<i8")
+    held = BitSlices.opened(np.frombuffer(vectors, "<i4").reshape(-1, dim).astype(np.int64), frame, slices)
+    out = []
+    for lo in range(0, len(q), QUERIES_AT_ONCE):
+        for i, found, score in held.top(q[lo : lo + QUERIES_AT_ONCE], ids, own[lo : lo + QUERIES_AT_ONCE], k):
+            out.append((np.full(len(found), own[lo + i]), found, score))
+    return out
+
+
+def _searched(batches: Iterator[pa.RecordBatch], k: int, broadcast) -> Iterator[pa.RecordBatch]:
+    """Index blocks against the query blocks that are broadcast, or against the one that came with the row."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = [batch.column(c)[i].as_py() for c in range(batch.num_columns)]
+            mine = [q[1:] for q in broadcast.value if q[0] == row[0]] if broadcast is not None else [row[5:7]]
+            for queries in mine:
+                got = _found(tuple(row[:5]), queries, k)
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*got)], ["query_id", "vec_id", "score"])
+
+
+def search(index: DataFrame, queries: DataFrame, folder: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """query_id, rank, vec_id, score of the k highest scores of each query in an index; a row does not find its own id."""
+    spark = index.sparkSession
+    shared.attach(spark)
+    q = shared.stored(_quantised(queries, id_col, vector_col, scale).distinct(), folder, "queries")
+    n_queries, n_bytes = q.agg(F.count("*"), F.coalesce(F.sum(F.col("dim") * 4 + 8), F.lit(0))).first()
+    n_queries = max(1, -(-n_queries // QUERIES_A_BLOCK))
+    blocks = shared.stored(_blocks(q, n_queries).groupBy("dim", "block").applyInArrow(_grouped, QUERIES), folder, "query-blocks")
+    schema = "query_id bigint, vec_id bigint, score bigint"
+    rows = index.select("dim", "ids", "vectors", "frame", "slices")
+    if n_bytes <= broadcast_bytes:
+        held = spark.sparkContext.broadcast([tuple(r) for r in blocks.select("dim", "ids", "vectors").collect()])
+        # Blocks are few and heavy: each goes to a task of its own.
+        best = rows.repartition(max(1, index.count())).mapInArrow(partial(_searched, k=k, broadcast=held), schema)
+    else:
+        other = blocks.select("dim", "qb", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+        met = rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).join(other, ["dim", "qb"])
+        best = met.select("dim", "ids", "vectors", "frame", "slices", "q_ids", "q_vectors").mapInArrow(partial(_searched, k=k, broadcast=None), schema)
     order = [F.col("score").desc(), F.col("vec_id").asc()]
-    if n_rows > 64:
-        few = W.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, int(n_rows**0.5))))).orderBy(*order)
-        best = best.withColumn("rank", F.row_number().over(few)).where(F.col("rank") <= k).drop("rank")
+    # Each block pair gives k rows a query; the best of a group of blocks are taken before those of all.
+    few = W.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(GROUPS))).orderBy(*order)
+    best = best.withColumn("rank", F.row_number().over(few)).where(F.col("rank") <= k).drop("rank")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def top_k(queries: DataFrame, rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k highest integer inner products over all rows but its own."""
+    folder = shared.shared_folder(rows.sparkSession)
+    index = build(rows, folder, id_col, vector_col, scale)
+    return search(index, queries, folder, k, id_col, vector_col, scale, broadcast_bytes)

@@ -93,6 +93,34 @@ def test_top_k_frame(spark):
     assert bit_sliced.top_k(empty, empty).count() == 0
 
 
+def test_top_k_of_clashing_repeated_and_uneven_rows(spark):
+    r = np.random.default_rng(9)
+    rows = [(int(i), [float(x) for x in r.normal(size=5)]) for i in range(700)] + [(int(i), [float(x) for x in r.normal(size=3)]) for i in range(700, 760)]
+    rows += [rows[3]] * 4 + [(800, [1e300, -1e300, 0.0, 1.0, 2.0]), (900, [9e99] * 5)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for c in ("id", "v", "dim", "block", "rank", "score"):
+        df = df.selectExpr("*", f"'x' AS {c}")
+    most = bit_sliced.MOST_VALUE
+    whole = [(i, np.clip(np.floor(np.array(v) * 1024), -most, most).astype(np.int64)) for i, v in rows]
+    queries = {i: v for i, v in whole if i % 100 == 0}
+    want = set()
+    for i, q in queries.items():
+        held = sorted(((-int(v @ q), j) for j, v in whole if j != i and len(v) == len(q)))[:10]
+        want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(held)}
+    for limit in (1 << 26, 0):
+        got = bit_sliced.top_k(df.where("vec_id % 100 = 0"), df, 10, broadcast_bytes=limit).collect()
+        assert {tuple(x) for x in got} == want
+
+
+def test_an_index_serves_many_query_sets(spark, tmp_path):
+    r = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, [float(x) for x in r.normal(size=4)]) for i in range(300)], "vec_id bigint, embedding array<double>")
+    index = bit_sliced.build(df, f"file://{tmp_path}")
+    for part in ("vec_id < 5", "vec_id = 77"):
+        got = bit_sliced.search(index, df.where(part), f"file://{tmp_path}/q", 3).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, bit_sliced.top_k(df.where(part), df, 3).collect()))
+
+
 def test_toxicity_learns_and_locates(frame, odd_rows, spark):
     r = np.random.default_rng(0)
     rows, labels = [], []
