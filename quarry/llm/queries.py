@@ -137,8 +137,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = token_counts.flat_blocks(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
-    return token_counts.count(blocks).select(F.col("name").alias("doc_id"), "n_tokens")
+    return token_counts.document_counts(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

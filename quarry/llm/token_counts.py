@@ -1,12 +1,18 @@
 """Token counts by scanning flat token files for end-of-document ids.
 
 A token file is a run of fixed-width little-endian ids without index; documents
-end with a separator id.  Files are read as blocks cut at any multiple of the
-id width.  A block's scan is one vectorised comparison: it yields the block's
-length, its first and last separator and the lengths between separators.  A
-document may begin many blocks before it ends, so per file a prefix scan over
-the blocks, running length and running last separator, gives every block the
-start of the document it begins in; only numbers are shuffled, never tokens.
+end with a separator id.  Files of any size are read by byte ranges (``read_files``):
+small ones whole, others as fixed-length records that Spark splits, so no task
+holds a file.  A block's scan is one vectorised comparison: it yields the
+block's length, its first and last separator and the lengths between
+separators.  A document may begin many blocks before it ends, so per file a
+prefix scan over the blocks, running length and running last separator, gives
+every block the start of the document it begins in.  The scan has two levels,
+runs of ``RUN`` blocks and blocks within a run, over numbers alone; the lengths
+between separators stay with their block.
+
+``write_files`` makes such files from documents in a shared folder, a few MB to
+a file, with the documents' ids beside them.
 
 Defined cases: an empty file has no documents; ids after the last separator
 form a last document that has no end; two separators in a row enclose a
@@ -17,6 +23,7 @@ empty texts have 0 tokens; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -30,8 +37,13 @@ from pyspark.sql import functions as F
 from . import shared, words
 
 BLOCK_BYTES = 1 << 20
-BLOCKS = "file string, block bigint, payload binary, names array<bigint>"
-SCANNED = "file string, block bigint, n bigint, first bigint, last bigint, inner array<bigint>, names array<bigint>"
+#: Files made by ``write_files`` hold about so much; files up to ``WHOLE_BYTES`` are read as one row.
+FILE_BYTES = 16 << 20
+WHOLE_BYTES = 64 << 20
+#: Blocks of one run of the prefix scan.
+RUN = 1024
+BLOCKS = "file string, block bigint, payload binary, names array<string>"
+SCANNED = "file string, block bigint, n bigint, first bigint, last bigint, inner array<bigint>, names array<string>"
 
 #: The splitting pattern that belongs to the public byte-level BPE ranks (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -50,12 +62,12 @@ def _encoding(ranks: bytes):
 
 
 def _block(file: str, number: int, payload: bytes, names: list) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+    kinds = (pa.string(), pa.int64(), pa.binary(), pa.list_(pa.string()))
     return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((file, number, payload, names), kinds)], ["file", "block", "payload", "names"])
 
 
-def _flat(batches: Iterator[pa.RecordBatch], ranks, eod: int, dtype: str, block_bytes: int) -> Iterator[pa.RecordBatch]:
-    """A task's documents as one flat file, in blocks; names: the documents that end in a block."""
+def _flat(batches: Iterator[pa.RecordBatch], ranks, eod: int, dtype: str, block_bytes: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """A task's documents as one flat file, in blocks; names: the documents that end in a block.  ``whole`` cuts after documents only."""
     encoding, file = _encoding(ranks.value), f"part-{TaskContext.get().partitionId():05d}"
     end = np.array([eod], dtype=dtype).tobytes()
     held, names, number = bytearray(), [], 0
@@ -69,23 +81,36 @@ def _flat(batches: Iterator[pa.RecordBatch], ranks, eod: int, dtype: str, block_
                 names.append(name)
                 ends.append(len(held))
             while len(held) >= block_bytes:
-                done = int(np.searchsorted(ends, block_bytes, side="right"))
-                yield _block(file, number, bytes(held[:block_bytes]), names[:done])
-                del held[:block_bytes], names[:done], ends[:done]
-                ends = [e - block_bytes for e in ends]
+                done = len(ends) if whole else int(np.searchsorted(ends, block_bytes, side="right"))
+                cut = len(held) if whole else block_bytes
+                yield _block(file, number, bytes(held[:cut]), names[:done])
+                del held[:cut], names[:done], ends[:done]
+                ends = [e - cut for e in ends]
                 number += 1
     if held:
         yield _block(file, number, bytes(held), names)
 
 
-def flat_blocks(docs: DataFrame, ranks_path: str, eod: int = 50256, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def flat_blocks(docs: DataFrame, ranks_path: str, eod: int = 50256, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, whole: bool = False) -> DataFrame:
     """Documents as flat token files, one per partition, in blocks of ``block_bytes``."""
     spark = docs.sparkSession
     shared.attach(spark)
     with open(ranks_path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())  # the vocabulary: of a fixed size
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(partial(_flat, ranks=ranks, eod=eod, dtype=dtype, block_bytes=block_bytes), BLOCKS)
+    rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInArrow(partial(_flat, ranks=ranks, eod=eod, dtype=dtype, block_bytes=block_bytes, whole=whole), BLOCKS)
+
+
+def write_files(docs: DataFrame, ranks_path: str, folder: str, eod: int = 50256, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
+    """(path of the token files, file and names of each): the documents as flat token files below ``folder``.
+
+    Spark's text writer writes each file's bytes as they are and ends them with one byte, an incomplete id.
+    """
+    made = shared.stored(flat_blocks(docs, ranks_path, eod, dtype, id_col, text_col, FILE_BYTES, whole=True), folder, "flat")
+    path = f"{folder}/tokens"
+    named = made.select(F.concat_ws("-", "file", F.col("block").cast("string")).alias("file"), "payload", "names")
+    named.select("file", F.col("payload").cast("string").alias("value")).write.mode("overwrite").partitionBy("file").text(path)
+    return path, named.select("file", "names")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -96,11 +121,32 @@ def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.Rec
                 yield _block(path, at // block_bytes, bytes(data[at : at + block_bytes]), [])
 
 
-def read_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Token files below a path as blocks.  Spark reads a file as one row, so shards must stay below 2 GB."""
+def _record_bytes(size: int, width: int, block_bytes: int) -> int:
+    """The longest record of whole ids, up to ``block_bytes``, that a file consists of."""
+    if size % width:
+        raise ValueError(f"a file of more than {WHOLE_BYTES} bytes ends inside an id")
+    n = size // width
+    best = 1
+    for d in range(1, math.isqrt(n) + 1):
+        if n % d == 0:
+            best = max([best, *(x for x in (d, n // d) if x * width <= block_bytes)])
+    return best * width
+
+
+def read_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, width: int = 2, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """Token files below a path, of any size, as blocks."""
     shared.attach(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInArrow(partial(_cut, block_bytes=block_bytes), BLOCKS)
+    block_bytes -= block_bytes % width
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = rows.where(F.col("length") <= whole_bytes).select("path", "content").mapInArrow(partial(_cut, block_bytes=block_bytes), BLOCKS)
+    for big in rows.where(F.col("length") > whole_bytes).select("path", "length").collect():  # one row a large file
+        size = _record_bytes(big["length"], width, block_bytes)
+        conf = {"fixedlengthinputformat.record.length": str(size)}
+        name = big["path"]
+        records = spark.sparkContext.newAPIHadoopFile(name, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+        blocks = records.map(lambda kv, name=name: (name, int(kv[0]), bytes(kv[1]), []))
+        small = small.unionByName(spark.createDataFrame(blocks, BLOCKS))
+    return small
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], eod: int, dtype: str) -> Iterator[pa.RecordBatch]:
@@ -119,19 +165,44 @@ def _scanned(batches: Iterator[pa.RecordBatch], eod: int, dtype: str) -> Iterato
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, pa.array(inner, pa.list_(pa.int64())), batch.column(3)], ["file", "block", "n", "first", "last", "inner", "names"])
 
 
-def count(blocks: DataFrame, eod: int = 50256, dtype: str = "<u2") -> DataFrame:
+def count(blocks: DataFrame, eod: int = 50256, dtype: str = "<u2", folder: str | None = None) -> DataFrame:
     """file, doc_no, name, n_tokens: one row per document; name is null where the blocks hold no names."""
-    shared.attach(blocks.sparkSession)
-    rows = blocks.mapInArrow(partial(_scanned, eod=eod, dtype=dtype), SCANNED)
+    spark = blocks.sparkSession
+    shared.attach(spark)
+    rows = shared.stored(blocks.mapInArrow(partial(_scanned, eod=eod, dtype=dtype), SCANNED), folder or shared.shared_folder(spark), "scanned")
+    rows = rows.withColumn("run", F.floor(F.col("block") / RUN))
+    n_docs = F.size("inner") + F.when(F.col("first").isNotNull(), 1).otherwise(0)
+    # Blocks within their run.
+    run = W.partitionBy("file", "run").orderBy("block")
+    before = run.rowsBetween(W.unboundedPreceding, -1)
+    small = rows.select("file", "run", "block", "n", "last", n_docs.alias("held"))
+    small = small.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    small = small.withColumn("ended", F.max(F.col("at") + F.col("last")).over(before)).withColumn("docs", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    # Runs within their file.
+    runs = small.groupBy("file", "run").agg(F.sum("n").alias("n"), F.max(F.col("at") + F.col("last")).alias("last"), F.sum("held").alias("held"), F.max("block").alias("end"))
     file = W.partitionBy("file")
-    before = file.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    rows = rows.withColumn("ended", F.coalesce(F.max(F.col("at") + F.col("last")).over(before), F.lit(-1)))
-    rows = rows.withColumn("docs", F.coalesce(F.sum(F.size("inner") + F.when(F.col("first").isNotNull(), 1).otherwise(0)).over(before), F.lit(0)))
-    rows = rows.withColumn("final", F.col("block") == F.max("block").over(file))
+    earlier = file.orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.withColumn("run_at", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    runs = runs.withColumn("run_ended", F.max(F.col("run_at") + F.col("last")).over(earlier)).withColumn("run_docs", F.coalesce(F.sum("held").over(earlier), F.lit(0)))
+    runs = runs.withColumn("end", F.max("end").over(file)).select("file", "run", "run_at", "run_ended", "run_docs", "end")
+    place = small.select("file", "run", "block", "at", "ended", "docs").join(runs, ["file", "run"])
+    ended = F.coalesce(F.greatest(F.col("run_at") + F.col("ended"), F.col("run_ended")), F.lit(-1))
+    place = place.select("file", "block", (F.col("run_at") + F.col("at")).alias("at"), ended.alias("ended"), (F.col("run_docs") + F.col("docs")).alias("docs"), (F.col("block") == F.col("end")).alias("final"))
+    rows = rows.drop("run").join(place, ["file", "block"])
     begun = F.array(F.col("at") + F.col("first") - F.col("ended") - 1)
     whole = F.when(F.col("first").isNotNull(), F.concat(begun, "inner")).otherwise(F.array().cast("array<bigint>"))
     rest = F.col("at") + F.col("n") - 1 - F.greatest("ended", F.coalesce(F.col("at") + F.col("last"), F.lit(-1)))
     whole = F.when(F.col("final") & (rest > 0), F.concat(whole, F.array(rest))).otherwise(whole)
     out = rows.select("file", "docs", "names", F.posexplode(whole).alias("k", "n_tokens"))
     return out.select("file", (F.col("docs") + F.col("k")).alias("doc_no"), F.get("names", F.col("k")).alias("name"), "n_tokens")
+
+
+def document_counts(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", eod: int = 50256, dtype: str = "<u2") -> DataFrame:
+    """doc_id, n_tokens: documents written as token files, and those scanned; ids come back in the type they had."""
+    spark = docs.sparkSession
+    folder = shared.shared_folder(spark)
+    path, names = write_files(docs, ranks_path, folder, eod, dtype, id_col, text_col)
+    found = count(read_files(spark, path, width=np.dtype(dtype).itemsize), eod, dtype, folder)
+    own = found.select(F.regexp_extract("file", "file=([^/]+)/", 1).alias("file"), F.col("doc_no").cast("int").alias("doc_no"), "n_tokens")
+    each = names.select("file", F.posexplode("names").alias("doc_no", "doc_id"))
+    return each.join(own, ["file", "doc_no"]).select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "n_tokens")

@@ -168,20 +168,46 @@ def test_repeated_rows_teach_once(frame, spark):
     assert np.array_equal(once.keys, often.keys) and np.allclose(once.weights, often.weights)
 
 
-def test_token_counts_across_blocks(frame, odd_rows):
-    enc = token_counts._encoding(open(tokenizer_path("byte_bpe_50k.tiktoken"), "rb").read())
-    for size in (6, 1000, 1 << 20):
-        blocks = token_counts.flat_blocks(frame(odd_rows[:8]), tokenizer_path("byte_bpe_50k.tiktoken"), block_bytes=size)
-        got = sorted((r.name, r.n_tokens) for r in token_counts.count(blocks).collect())
-        assert got == sorted((r[0], len(enc.encode_ordinary(r[1] or ""))) for r in odd_rows[:8])
+RANKS = tokenizer_path("byte_bpe_50k.tiktoken")
+
+
+def test_token_counts_across_blocks(frame, odd_rows, monkeypatch):
+    with open(RANKS, "rb") as f:
+        enc = token_counts._encoding(f.read())
+    low = lambda x: (x[0] is None, x)
+    want = sorted(((None if r[0] is None else str(r[0]), len(enc.encode_ordinary(r[1] or ""))) for r in odd_rows), key=low)
+    for size, run in ((6, 3), (1000, 1024), (1 << 20, 1)):
+        monkeypatch.setattr(token_counts, "RUN", run)
+        rows = odd_rows[:8] + odd_rows[9:10] if size == 6 else odd_rows  # long texts make too many blocks of 6 bytes
+        blocks = token_counts.flat_blocks(frame(rows), RANKS, block_bytes=size)
+        got = sorted(((r.name, r.n_tokens) for r in token_counts.count(blocks).collect()), key=low)
+        assert got == [x for x in want if x[0] in {None if r[0] is None else str(r[0]) for r in rows}]
+
+
+def test_documents_are_counted_from_files(frame, odd_rows, monkeypatch):
+    with open(RANKS, "rb") as f:
+        enc = token_counts._encoding(f.read())
+    low = lambda x: (x[0] is None, x)
+    for size in (400, 1 << 24):
+        monkeypatch.setattr(token_counts, "FILE_BYTES", size)
+        got = token_counts.document_counts(frame(odd_rows).repartition(3), RANKS)
+        assert got.schema["doc_id"].dataType.simpleString() == "bigint"
+        want = sorted(((r[0], len(enc.encode_ordinary(r[1] or ""))) for r in odd_rows), key=low)
+        assert sorted(((r.doc_id, r.n_tokens) for r in got.collect()), key=low) == want
+    assert token_counts.document_counts(frame([]), RANKS).count() == 0
 
 
 def test_token_files(spark, tmp_path):
     np.array([9, 1, 2, 9, 9, 3, 9, 4, 5], "<u4").tofile(tmp_path / "a.bin")
     (tmp_path / "b.bin").write_bytes(b"")
     for size in (4, 8, 1 << 20):
-        rows = token_counts.count(token_counts.read_files(spark, f"file://{tmp_path}", size), eod=9, dtype="<u4").orderBy("doc_no").collect()
-        assert [r.n_tokens for r in rows] == [0, 2, 0, 1, 2]
+        for whole in (1 << 20, 8):  # as one row, or as records of a fixed length
+            blocks = token_counts.read_files(spark, f"file://{tmp_path}", size, width=4, whole_bytes=whole)
+            rows = token_counts.count(blocks, eod=9, dtype="<u4").orderBy("doc_no").collect()
+            assert [r.n_tokens for r in rows] == [0, 2, 0, 1, 2]
+    (tmp_path / "c.bin").write_bytes(b"123456789")
+    with pytest.raises(ValueError):
+        token_counts.read_files(spark, f"file://{tmp_path}", 8, width=4, whole_bytes=8)
 
 
 PAGE = '<html><head><title>t</title><script>var x = "</p><nav>";</script></head><body><header>Site</header><nav><ul><li>Home<li>News</ul></nav><div class="sidebar">side</div><article><h1>T &amp; {0}</h1><p>a<b>b</b> c{0}<p>d&nbsp;e<br>f<div class="comments"><p>no</p></div><form>f</form></article><div class="cookie-notice">z</div><footer>foot</footer></body></html>'
