@@ -42,9 +42,10 @@ def plan_for(query: Column, views: Sequence[str], tier: str = "balanced") -> Col
     return plan
 
 
-def cascade(mask: DataFrame, vectors: DataFrame, query: Sequence[float], vec: str, key: str, k: int) -> DataFrame:
-    """Vector ranking within each query's lexical candidates (query_id, key)."""
-    rows = mask.join(dense.scored(vectors, query, vec).select(key, "score"), key)
+def cascade(mask: DataFrame, vectors: DataFrame, queries: DataFrame, vec: str, key: str, k: int) -> DataFrame:
+    """Vector ranking within each query's lexical candidates (query_id, key); queries: query_id, vector."""
+    rows = mask.join(vectors.select(key, F.col(vec).alias("_v")), key).join(queries.select("query_id", F.col("vector").alias("_q")), "query_id")
+    rows = rows.withColumn("score", dense.dot(F.col("_v"), F.col("_q")))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), key))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", key, "score", "rank")
 

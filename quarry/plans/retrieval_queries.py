@@ -62,88 +62,110 @@ def t3_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 _Q = "(SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
-_IP = f"round(list_inner_product(embedding::DOUBLE[], {_Q}::DOUBLE[]), 6)"
+_RAW = f"list_inner_product(embedding::DOUBLE[], {_Q}::DOUBLE[])"
+_SIX = F.round("score", 6).alias("score")
 
 
 def _query_vector(spark: SparkSession, d: str) -> list[float]:
     return list(table(spark, d, "embeddings").orderBy("vec_id").select("embedding").first()[0])
 
 
-@query("t5_dense_topk", f"SELECT vec_id, {_IP} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
+@query("t5_dense_topk", f"SELECT vec_id, round({_RAW}, 6) AS score FROM embeddings ORDER BY {_RAW} DESC, vec_id LIMIT 10")
 def t5(spark: SparkSession, d: str) -> DataFrame:
-    return dense.search(table(spark, d, "embeddings"), _query_vector(spark, d), 10, "embedding", "vec_id").select("vec_id", "score")
+    return dense.search(table(spark, d, "embeddings"), _query_vector(spark, d), 10, "embedding", "vec_id").select("vec_id", _SIX)
 
 
-@query("t5_dense_l2", f"SELECT vec_id, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE - q[i]::DOUBLE) * (embedding[i]::DOUBLE - q[i]::DOUBLE))), 6) AS score FROM (SELECT *, {_Q} AS q FROM embeddings) ORDER BY score, vec_id LIMIT 10")
+@query("t5_dense_l2", f"SELECT vec_id, round(l, 6) AS score FROM (SELECT vec_id, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE - q[i]::DOUBLE) * (embedding[i]::DOUBLE - q[i]::DOUBLE))) AS l FROM (SELECT *, {_Q} AS q FROM embeddings)) ORDER BY l, vec_id LIMIT 10")
 def t5_l2(spark: SparkSession, d: str) -> DataFrame:
-    return dense.search(table(spark, d, "embeddings"), _query_vector(spark, d), 10, "embedding", "vec_id", metric="l2").select("vec_id", "score")
+    return dense.search(table(spark, d, "embeddings"), _query_vector(spark, d), 10, "embedding", "vec_id", metric="l2").select("vec_id", _SIX)
 
 
-@query("f11_threshold", f"SELECT vec_id, {_IP} AS score FROM embeddings WHERE {_IP} >= 0.2 ORDER BY score DESC, vec_id LIMIT 50")
+@query("f11_threshold", f"SELECT vec_id, round({_RAW}, 6) AS score FROM embeddings WHERE {_RAW} >= 0.2 ORDER BY {_RAW} DESC, vec_id LIMIT 50")
 def f11(spark: SparkSession, d: str) -> DataFrame:
-    return dense.search(table(spark, d, "embeddings"), _query_vector(spark, d), 50, "embedding", "vec_id", threshold=0.2).select("vec_id", "score")
+    return dense.search(table(spark, d, "embeddings"), _query_vector(spark, d), 50, "embedding", "vec_id", threshold=0.2).select("vec_id", _SIX)
 
 
-@query("j20_masked_dense", f"SELECT vec_id, {_IP} AS score FROM embeddings WHERE label = 0 ORDER BY score DESC, vec_id LIMIT 10")
+@query("t7_with_content", f"WITH t AS (SELECT vec_id, {_RAW} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 10) SELECT vec_id, round(s, 6) AS score, length(text)::INTEGER AS chars FROM t LEFT JOIN documents ON doc_id = vec_id")
+def t7(spark: SparkSession, d: str) -> DataFrame:
+    found = dense.search(table(spark, d, "embeddings"), _query_vector(spark, d), 10, "embedding", "vec_id").select("vec_id", _SIX)
+    return dense.with_content(found, table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.length("text").alias("chars")), "vec_id")
+
+
+@query("j20_masked_dense", f"SELECT vec_id, round({_RAW}, 6) AS score FROM embeddings WHERE label = 0 ORDER BY {_RAW} DESC, vec_id LIMIT 10")
 def j20(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    return dense.search_within(rows, rows.where("label = 0"), _query_vector(spark, d), 10, "embedding", "vec_id")
+    return dense.search_within(rows, rows.where("label = 0"), _query_vector(spark, d), 10, "embedding", "vec_id").select("vec_id", _SIX)
 
 
-@query("j21_postmask_dense", f"WITH t AS (SELECT vec_id, label, {_IP} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10) SELECT vec_id, score FROM t WHERE label = 0")
+@query("j21_postmask_dense", f"WITH t AS (SELECT vec_id, label, {_RAW} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 10) SELECT vec_id, round(s, 6) AS score FROM t WHERE label = 0")
 def j21(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    return dense.search_then_mask(rows, rows.where("label = 0"), _query_vector(spark, d), 10, "embedding", "vec_id").select("vec_id", "score")
+    return dense.search_then_mask(rows, rows.where("label = 0"), _query_vector(spark, d), 10, "embedding", "vec_id").select("vec_id", _SIX)
 
 
-@query("j23_hierarchical", f"""WITH f AS (SELECT label, max({_IP}) AS s FROM embeddings GROUP BY 1 ORDER BY s DESC, label LIMIT 2),
-t AS (SELECT vec_id, label, {_IP} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 30) SELECT vec_id, score FROM t WHERE label IN (SELECT label FROM f) ORDER BY score DESC, vec_id LIMIT 10""")
+@query("j23_hierarchical", f"""WITH f AS (SELECT label, max({_RAW}) AS s FROM embeddings GROUP BY 1 ORDER BY s DESC, label LIMIT 2),
+t AS (SELECT vec_id, label, {_RAW} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 30) SELECT vec_id, round(s, 6) AS score FROM t WHERE label IN (SELECT label FROM f) ORDER BY s DESC, vec_id LIMIT 10""")
 def j23(spark: SparkSession, d: str) -> DataFrame:
     rows, q = table(spark, d, "embeddings"), _query_vector(spark, d)
     best = dense.scored(rows, q, "embedding").groupBy("label").agg(F.max("score").alias("s")).orderBy(F.col("s").desc(), "label").limit(2)
-    return dense.search(rows, q, 30, "embedding", "vec_id").join(best.select("label"), "label", "left_semi").orderBy(*dense.order("ip", "vec_id")).limit(10).select("vec_id", "score")
+    found = dense.search(rows, q, 30, "embedding", "vec_id").join(best.select("label"), "label", "left_semi")
+    return found.orderBy(*dense.order("ip", "vec_id")).limit(10).select("vec_id", _SIX)
 
 
-@query("w12_best_vector_per_node", f"SELECT label, max({_IP}) AS score FROM embeddings GROUP BY 1 ORDER BY score DESC, label LIMIT 5")
+@query("w12_best_vector_per_node", f"SELECT label, round(max({_RAW}), 6) AS score FROM embeddings GROUP BY 1 ORDER BY max({_RAW}) DESC, label LIMIT 5")
 def w12(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    return dense.search_within(rows, rows.select("label").distinct(), _query_vector(spark, d), 5, "embedding", "label")
+    return dense.search_within(rows, rows.select("label").distinct(), _query_vector(spark, d), 5, "embedding", "label").select("label", _SIX)
 
 
-@query("t6_ivf_probe")
+@query("t6_ivf_probe", f"SELECT vec_id, round({_RAW}, 6) AS score FROM embeddings ORDER BY {_RAW} DESC, vec_id LIMIT 10")
 def t6(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     centres = dense.fit_centres(rows, 8, "embedding", "vec_id")
-    return dense.probe_until_sure(dense.inverted_lists(rows, centres, "embedding"), centres, _query_vector(spark, d), 3, 10, "embedding", "vec_id").select("vec_id", "score")
+    return dense.probe_until_sure(dense.inverted_lists(rows, centres, "embedding"), centres, _query_vector(spark, d), 3, 10, "embedding", "vec_id").select("vec_id", _SIX)
 
 
-@query("t10_indexed_rerank", f"""WITH c AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings WHERE vec_id % 7 = 0 AND vec_id < 300),
-s AS (SELECT vec_id, CASE WHEN label <> 1 THEN {_IP} END AS score FROM embeddings)
-SELECT c.vec_id, score, row_number() OVER (ORDER BY score IS NULL, score DESC, rank)::INTEGER AS rank FROM c JOIN s USING (vec_id)""")
+@query("t10_indexed_rerank", f"""WITH c AS (SELECT vec_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM embeddings JOIN documents ON doc_id = vec_id QUALIFY rank <= 100),
+s AS (SELECT vec_id, CASE WHEN label <> 1 THEN {_RAW} END AS s FROM embeddings) SELECT c.vec_id, round(s, 6) AS score, row_number() OVER (ORDER BY s IS NULL, s DESC, rank)::INTEGER AS rank FROM c JOIN s USING (vec_id)""")
 def t10(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     rows = table(spark, d, "embeddings")
-    candidates = rows.where("vec_id % 7 = 0 AND vec_id < 300").withColumn("rank", F.row_number().over(W.orderBy("vec_id"))).select("vec_id", "rank")
-    return dense.rerank_by_index(candidates, rows.where("label <> 1"), _query_vector(spark, d), "embedding", "vec_id", "rank").select("vec_id", "score", "rank")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "n_chars").join(rows.select("vec_id"), "vec_id", "left_semi")
+    top = docs.orderBy(F.col("n_chars").desc(), "vec_id").limit(100)
+    candidates = top.select("vec_id", F.row_number().over(W.orderBy(F.col("n_chars").desc(), "vec_id")).alias("rank"))
+    return dense.rerank_by_index(candidates, rows.where("label <> 1"), _query_vector(spark, d), "embedding", "vec_id", "rank").select("vec_id", _SIX, "rank")
 
 
-# Two branches per query: BM25, whose scores count as 0, and documents by closeness of length.
-_BRANCHES = f"""{bm25_sql(_TOKENS, 20)},
-ln AS (SELECT * FROM (SELECT b.item_id AS query_id, doc_id AS id, 1.0 / (1 + abs(n_chars - length(b.text))) AS score,
-  row_number() OVER (PARTITION BY b.item_id ORDER BY abs(n_chars - length(b.text)), doc_id) AS rank FROM documents, benchmark b) WHERE rank <= 20),
-br AS (SELECT query_id, id AS key, 0 AS branch, rank, 0.0 AS score FROM bm UNION ALL SELECT query_id, id, 1, rank, score FROM ln)"""
+# A query of the benchmark has the vector of its number.
+_QV = "qv AS (SELECT item_id AS query_id, embedding AS qe FROM benchmark JOIN embeddings ON vec_id = item_id)"
 
 
-def _branches(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
+def _query_vectors(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    return q.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+
+
+def dense_sql(k: int, name: str = "dn") -> str:
+    return f"""{_QV}, {name}0 AS (SELECT query_id, vec_id, list_inner_product(embedding::DOUBLE[], qe::DOUBLE[]) AS s FROM embeddings, qv),
+{name} AS (SELECT query_id, vec_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INTEGER AS rank FROM {name}0 QUALIFY rank <= {k})"""
 
+
+@query("q2_dense_batch", f"WITH {dense_sql(10)} SELECT query_id, vec_id, round(s, 6) AS score, rank FROM dn")
+def q2(spark: SparkSession, d: str) -> DataFrame:
+    out = dense.search_batch(table(spark, d, "embeddings"), _query_vectors(spark, d), 10, "embedding", "vec_id")
+    return out.select("query_id", "vec_id", _SIX, "rank")
+
+
+# Two branches per query: BM25, whose scores count as 0, and vectors (a vector's number is its document's).
+_BRANCHES = f"""{bm25_sql(_TOKENS, 20)}, {dense_sql(20)},
+br AS (SELECT query_id, id AS key, 0 AS branch, rank, 0.0 AS score FROM bm UNION ALL SELECT query_id, vec_id, 1, rank, s FROM dn)"""
+
+
+def _branches(spark: SparkSession, d: str) -> DataFrame:
     one = _bm25(spark, d, 20).select("query_id", F.col("id").alias("key"), F.lit(0).alias("branch"), "rank", F.lit(0.0).alias("score"))
-    docs = table(spark, d, "documents").select("doc_id", "n_chars")
-    asked = F.broadcast(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.length("text").alias("n")))  # the query set
-    gap = F.abs(F.col("n_chars") - F.col("n"))
-    two = docs.join(asked).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(gap, "doc_id"))).where("rank <= 20")
-    return one.unionByName(two.select("query_id", F.col("doc_id").alias("key"), F.lit(1).alias("branch"), "rank", (1.0 / (1 + gap)).alias("score")))
+    two = dense.search_batch(table(spark, d, "embeddings"), _query_vectors(spark, d), 20, "embedding", "vec_id")
+    return one.unionByName(two.select("query_id", F.col("vec_id").alias("key"), F.lit(1).alias("branch"), "rank", "score"))
 
 
 _FUSED = """SELECT query_id, key AS doc_id, score, rank FROM (SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first)::INTEGER AS rank
@@ -222,12 +244,11 @@ def p1(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d, False).select("doc_id", fusion.candidate_scores(raw, F.col("rank")).alias("score"))
 
 
-@query("q3_cascade", f"""WITH {bm25_sql(_TOKENS, 128)}, m AS (SELECT query_id, id FROM bm WHERE query_id < 5),
-s AS (SELECT query_id, vec_id, {_IP} AS score FROM m JOIN embeddings ON id = vec_id)
-SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 50""")
+@query("q3_cascade", f"""WITH {bm25_sql(_TOKENS, 128)}, {_QV}, s AS (SELECT bm.query_id, vec_id, list_inner_product(embedding::DOUBLE[], qe::DOUBLE[]) AS s FROM bm JOIN embeddings ON id = vec_id JOIN qv ON qv.query_id = bm.query_id)
+SELECT query_id, vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 50""")
 def q3(spark: SparkSession, d: str) -> DataFrame:
-    mask = _bm25(spark, d, 128).where("query_id < 5").select("query_id", F.col("id").alias("vec_id"))
-    return planner.cascade(mask, table(spark, d, "embeddings"), _query_vector(spark, d), "embedding", "vec_id", 50)
+    mask = _bm25(spark, d, 128).select("query_id", F.col("id").alias("vec_id"))
+    return planner.cascade(mask, table(spark, d, "embeddings"), _query_vectors(spark, d), "embedding", "vec_id", 50).select("query_id", "vec_id", _SIX, "rank")
 
 
 _ANY = lambda patterns, flag="": " OR ".join(f"regexp_matches(text, '{flag}{p}')" for p in patterns)
