@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import entity_queries, eval_queries, graph_queries, hierarchy_queries, projection_queries, retrieval_queries, route_queries, source_queries, text_queries  # noqa: F401  they register themselves
+from quarry.plans import composite_queries, entity_queries, eval_queries, graph_queries, hierarchy_queries, projection_queries, retrieval_queries, route_queries, source_queries, text_queries  # noqa: F401  they register themselves
 from quarry.registry import ORACLE_SQL, QUERIES
 
 

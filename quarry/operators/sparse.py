@@ -68,6 +68,12 @@ def first_chunks(chunks: DataFrame, key: list[str], order: str) -> DataFrame:
     return chunks.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(order))).where("_n = 1").drop("_n")
 
 
+def graph_documents(nodes: DataFrame) -> DataFrame:
+    """vid, text: what a lexical index of a graph holds: a symbol's display name, a file's or directory's name."""
+    box = F.col("type").isin("file", "directory")
+    return nodes.select("vid", F.when(box, F.col("name")).otherwise(F.coalesce("unified_name", "name")).alias("text"))
+
+
 def grep(nodes: DataFrame, pattern: str, content: Column, *, use_regex: bool = True, case_sensitive: bool = False, where: Column | None = None, max_chars: int | None = None) -> DataFrame:
     """Rows whose text matches, or its first ``max_chars`` characters; pre-filters come first so they reach the scan."""
     rows = nodes if where is None else nodes.where(where)

@@ -61,30 +61,31 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return out.unionByName(part("supplier", "5000000000 + s_nationkey", "4000000000 + s_suppkey", "contain", "'world'", "s_suppkey % 100"))
 
 
-# A code graph: the first 100 documents as files, parts as symbols of them (a class and its method share a file), order lines as references.
+# A code graph: documents as files, parts as symbols of them (a class and its method share a file), order lines as references.
 CODE_SQL = FILES_SQL + r""",
-cf AS (SELECT doc_id, replace(path, '\', '/') AS path, text FROM files WHERE doc_id < 100),
+cf AS (SELECT doc_id, replace(path, '\', '/') AS path, text FROM files),
 sym AS (SELECT 8000000000 + p_partkey AS vid, 'sym' || p_partkey AS name, path AS file,
   CASE p_partkey % 4 WHEN 0 THEN 'class' WHEN 1 THEN 'function' WHEN 2 THEN 'method' ELSE 'field' END AS type,
   CASE p_partkey % 4 WHEN 0 THEN 'Widget' || p_partkey WHEN 1 THEN 'get_' || string_split(p_name, ' ')[1] || '_' || p_partkey % 97 || '()'
     WHEN 2 THEN 'Widget' || (p_partkey - 2) || '.run' || p_partkey % 7 || '()' ELSE 'value' || p_partkey % 13 END AS label,
   (p_partkey % 300)::BIGINT AS start_line, (p_partkey % 300 + p_size)::BIGINT AS end_line
-  FROM part JOIN cf ON doc_id = ((p_partkey - p_partkey % 4) // 4) % 100),
+  FROM part JOIN cf ON doc_id = ((p_partkey - p_partkey % 4) // 4) % (SELECT count(*) FROM documents)),
 cn AS (SELECT vid, name, file || ':' || label AS unified_name, type, file, start_line, end_line FROM sym
   UNION ALL SELECT 7000000000 + doc_id, path, path, 'file', NULL, NULL, NULL FROM cf),
 ce AS (SELECT 7000000000 + doc_id AS src, vid AS dst, 'contain' AS type, NULL::VARCHAR AS anchor_file, NULL::BIGINT AS anchor_line FROM sym JOIN cf ON file = path WHERE type <> 'method'
   UNION ALL SELECT vid - 2, vid, 'contain', NULL, NULL FROM sym WHERE type = 'method'
-  UNION ALL SELECT 7000000000 + doc_id, 7000000000 + doc_id * 3 % 100, 'import', NULL, NULL FROM cf
+  UNION ALL SELECT 7000000000 + doc_id, 7000000000 + doc_id * 3 % (SELECT count(*) FROM documents), 'import', NULL, NULL FROM cf
   UNION ALL SELECT s.vid, 8000000000 + (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM part), 'reference', s.file, s.start_line + l_linenumber FROM lineitem JOIN sym s ON s.vid = 8000000000 + l_partkey)"""
 
 
 def code_files(spark: SparkSession, d: str) -> DataFrame:
     """path, text and doc_id of the code graph's files."""
-    return files(spark, d).where("doc_id < 100").withColumn("path", F.replace("path", F.lit("\\"), F.lit("/")))
+    return files(spark, d).withColumn("path", F.replace("path", F.lit("\\"), F.lit("/")))
 
 
 def _symbols(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part").withColumn("doc_id", F.expr("((p_partkey - p_partkey % 4) div 4) % 100"))
+    n = table(spark, d, "documents").agg(F.count("*")).scalar()
+    part = table(spark, d, "part").withColumn("doc_id", F.expr("(p_partkey - p_partkey % 4) div 4") % n)
     kind = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'class' WHEN 1 THEN 'function' WHEN 2 THEN 'method' ELSE 'field' END")
     label = F.expr("""CASE p_partkey % 4 WHEN 0 THEN concat('Widget', p_partkey) WHEN 1 THEN concat('get_', split(p_name, ' ')[0], '_', p_partkey % 97, '()')
       WHEN 2 THEN concat('Widget', p_partkey - 2, '.run', p_partkey % 7, '()') ELSE concat('value', p_partkey % 13) END""")
@@ -109,7 +110,7 @@ def code_edges(spark: SparkSession, d: str) -> DataFrame:
     f = code_files(spark, d)
     out = edge(s.where("type <> 'method'"), F.lit(7000000000) + F.col("doc_id"), F.col("vid"), "contain")
     out = out.unionByName(edge(s.where("type = 'method'"), F.col("vid") - 2, F.col("vid"), "contain"))
-    out = out.unionByName(edge(f, F.lit(7000000000) + F.col("doc_id"), F.lit(7000000000) + F.col("doc_id") * 3 % 100, "import"))
+    out = out.unionByName(edge(f, F.lit(7000000000) + F.col("doc_id"), F.lit(7000000000) + F.col("doc_id") * 3 % table(spark, d, "documents").agg(F.count("*")).scalar(), "import"))
     n = table(spark, d, "part").agg(F.count("*")).scalar()
     lines = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber").join(s, F.col("vid") == F.lit(8000000000) + F.col("l_partkey"))
     refs = edge(lines, F.col("vid"), F.lit(8000000000) + (F.col("l_partkey") * 7 + F.col("l_suppkey")) % n, "reference", F.col("file").alias("anchor_file"), (F.col("start_line") + F.col("l_linenumber")).alias("anchor_line"))
