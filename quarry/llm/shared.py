@@ -73,6 +73,11 @@ def dropped(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
+
+
 def buckets_for(df: DataFrame, column: str, bytes_each: int = 16 << 20) -> tuple[int, int]:
     """How many hash ranges keep about ``bytes_each`` of text in each, for a table of any size, and its bytes."""
     total = df.agg(F.sum(F.octet_length(column))).first()[0] or 0

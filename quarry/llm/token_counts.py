@@ -23,6 +23,7 @@ empty texts have 0 tokens; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import json
 import math
 from collections.abc import Iterator
 from functools import partial
@@ -101,16 +102,27 @@ def flat_blocks(docs: DataFrame, ranks_path: str, eod: int = 50256, dtype: str =
     return rows.mapInArrow(partial(_flat, ranks=ranks, eod=eod, dtype=dtype, block_bytes=block_bytes, whole=whole), BLOCKS)
 
 
+def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks that end with a document as the rows of two kinds of files: ids, and the names of the documents they are of."""
+    for batch in batches:
+        for file, number, payload, names in zip(*[batch.column(c).to_pylist() for c in range(4)]):
+            rows = [("tokens", payload), ("names", json.dumps(names).encode())]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([f"{file}-{number}"] * 2), pa.array([v for _, v in rows], pa.binary())], ["kind", "file", "value"])
+
+
 def write_files(docs: DataFrame, ranks_path: str, folder: str, eod: int = 50256, dtype: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
     """(path of the token files, file and names of each): the documents as flat token files below ``folder``.
 
-    Spark's text writer writes each file's bytes as they are and ends them with one byte, an incomplete id.
+    One job writes the ids and, in files of their own, the documents' names, so both always agree.  Spark's text writer
+    writes a file's bytes as they are and ends them with one byte, an incomplete id.
     """
-    made = shared.stored(flat_blocks(docs, ranks_path, eod, dtype, id_col, text_col, FILE_BYTES, whole=True), folder, "flat")
-    path = f"{folder}/tokens"
-    named = made.select(F.concat_ws("-", "file", F.col("block").cast("string")).alias("file"), "payload", "names")
-    named.select("file", F.col("payload").cast("string").alias("value")).write.mode("overwrite").partitionBy("file").text(path)
-    return path, named.select("file", "names")
+    spark = docs.sparkSession
+    made = flat_blocks(docs, ranks_path, eod, dtype, id_col, text_col, FILE_BYTES, whole=True).mapInArrow(_filed, "kind string, file string, value binary")
+    path = f"{folder}/flat"
+    made.select("kind", "file", F.col("value").cast("string").alias("value")).write.mode("overwrite").partitionBy("kind", "file").text(path)
+    # A table without rows writes no folder of names.
+    found = spark.read.schema("value string, kind string, file string").text(path, wholetext=True).where("kind = 'names'")
+    return f"{path}/kind=tokens", found.select("file", F.from_json("value", "array<string>").alias("names"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -137,7 +149,7 @@ def read_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, w
     """Token files below a path, of any size, as blocks."""
     shared.attach(spark)
     block_bytes -= block_bytes % width
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(path)
     small = rows.where(F.col("length") <= whole_bytes).select("path", "content").mapInArrow(partial(_cut, block_bytes=block_bytes), BLOCKS)
     for big in rows.where(F.col("length") > whole_bytes).select("path", "length").collect():  # one row a large file
         size = _record_bytes(big["length"], width, block_bytes)
@@ -201,8 +213,11 @@ def document_counts(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", te
     """doc_id, n_tokens: documents written as token files, and those scanned; ids come back in the type they had."""
     spark = docs.sparkSession
     folder = shared.shared_folder(spark)
+    kind = docs.schema[id_col].dataType
     path, names = write_files(docs, ranks_path, folder, eod, dtype, id_col, text_col)
+    if not shared.exists(spark, path):  # no documents, no files
+        return docs.limit(0).select(F.col(f"`{id_col}`").alias("doc_id"), F.lit(0).cast("bigint").alias("n_tokens"))
     found = count(read_files(spark, path, width=np.dtype(dtype).itemsize), eod, dtype, folder)
     own = found.select(F.regexp_extract("file", "file=([^/]+)/", 1).alias("file"), F.col("doc_no").cast("int").alias("doc_no"), "n_tokens")
     each = names.select("file", F.posexplode("names").alias("doc_no", "doc_id"))
-    return each.join(own, ["file", "doc_no"]).select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "n_tokens")
+    return each.join(own, ["file", "doc_no"]).select(F.col("doc_id").cast(kind).alias("doc_id"), "n_tokens")
