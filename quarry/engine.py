@@ -1,7 +1,8 @@
 """The engine as an object: a repository's views, and the searches over them.
 
-``Engine`` holds DataFrames and builds plans; every method returns a DataFrame,
-so calls compose and nothing runs before an action.
+``Engine`` holds DataFrames and builds plans; methods return DataFrames, so calls
+compose.  Searches are lazy; walks over the graph run a job for each level they
+take, and batches of vectors one to size and one to send their queries.
 """
 
 from __future__ import annotations
@@ -13,23 +14,62 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text
 from quarry.operators import dense, fusion, graph, intervals, sparse
-from quarry.plans import planner
-from quarry.sources import repository
+from quarry.plans import composite, planner
+from quarry.skills import Tools
+from quarry.sources import chunkers, repository
 
 
 class Engine:
     """Views of one repository: chunks, and, where built, vectors, nodes and edges, occurrences."""
 
-    def __init__(self, spark: SparkSession, chunks: DataFrame, vectors: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, occurrences: DataFrame | None = None):
-        self.spark, self.chunks, self.vectors, self.nodes, self.edges, self.occurrences = spark, chunks, vectors, nodes, edges, occurrences
+    def __init__(self, spark: SparkSession, chunks: DataFrame, vectors: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, occurrences: DataFrame | None = None, files: DataFrame | None = None):
+        self.spark, self.chunks, self.vectors, self.nodes, self.edges, self.occurrences, self.files = spark, chunks, vectors, nodes, edges, occurrences, files
 
     @classmethod
-    def from_repository(cls, spark: SparkSession, root: str) -> Engine:
-        """Scan a folder of source files and cut them into chunks at blank lines."""
+    def from_repository(cls, spark: SparkSession, root: str, embed=None) -> Engine:
+        """Scan a folder of source files into chunks, a symbol graph and vectors.
+
+        Files of known languages are cut into definitions, others at blank lines; ``embed`` maps a text column to a
+        vector column, hashed tokens by default.
+        """
         files = repository.scan(spark, root).where(~text.is_minified(F.col("text")))
-        chunks = repository.text_chunks(files.select(F.col("path").alias("file"), "text"))
-        chunks = chunks.withColumn("chunk_id", F.xxhash64("file", "chunk"))
-        return cls(spark, chunks)
+        code = chunkers.chunk_files(files).select("file", F.col("name").alias("chunk"), "first", "last", "content", "node_id")
+        plain = repository.text_chunks(files.where(chunkers.language_of(F.col("path")).isNull()).select(F.col("path").alias("file"), "text"))
+        chunks = code.unionByName(plain.select("file", F.col("chunk").cast("string").alias("chunk"), "first", "last", "content", F.col("file").alias("node_id")))
+        chunks = chunks.withColumn("chunk_id", F.xxhash64("file", "chunk", "first"))
+        embed = embed or (lambda c: dense.hashed_embedding(text.lexical_tokens(c)))
+        vectors = chunks.select("chunk_id", embed(F.col("content")).alias("vector"))
+        nodes, edges = chunkers.code_graph(files)
+        return cls(spark, chunks, vectors, nodes, edges, files=files)
+
+    def tools(self) -> Tools:
+        """The engine's functions with checked arguments."""
+        return Tools(self.composite_views(), self.occurrences)
+
+    def composite_views(self) -> composite.Views:
+        """The views as composite plans take them: a chunk's node is the symbol of its id and first line."""
+        chunks = self.chunks.withColumnRenamed("chunk_id", "key")
+        if self.nodes is not None and "node_id" in self.chunks.columns:
+            own = self.nodes.where("start_line IS NOT NULL").select(F.col("unified_name").alias("node_id"), F.col("start_line").alias("first"), "vid")
+            chunks = chunks.join(own, ["node_id", "first"], "left")
+        vectors = None if self.vectors is None else self.vectors.withColumnRenamed("chunk_id", "key")
+        return composite.Views(chunks, vectors, self.nodes, self.edges, self.files)
+
+    def index(self, root: str, version: int = 1) -> None:
+        """Write all views below a folder."""
+        repository.save_view(self.chunks, root, "chunks", version)
+        repository.save_postings(self.chunks.withColumn("body", F.concat_ws(" ", "file", "content")), "chunk_id", text.lexical_tokens(F.col("body")), root, version)
+        if self.vectors is not None:
+            repository.save_vectors(self.vectors.select(F.col("chunk_id").alias("node_id"), "vector", F.lit("l2").alias("level")), root, version)
+        if self.nodes is not None:
+            repository.save_graph(self.nodes, self.edges, root)
+
+    def search_with_context(self, questions: DataFrame, tier: str = "balanced", k: int = 10, expand: int = 3) -> DataFrame:
+        """Planned results for questions (query_id, query, vector) with neighbours and bounded excerpts."""
+        return composite.searched(self.composite_views(), questions, tier, k, expand)
+
+    def predecessors(self, seeds: DataFrame, types: list[str] | None = None) -> DataFrame:
+        return graph.predecessors(self.nodes, self.edges, seeds, types)
 
     @property
     def views(self) -> tuple[str, ...]:
@@ -56,9 +96,9 @@ class Engine:
 
     def hybrid(self, queries: DataFrame, neighbours: DataFrame, k: int = 10, tier: str = "balanced") -> DataFrame:
         """Reciprocal rank fusion of BM25 with given dense results (query_id, chunk_id, rank, score)."""
-        most, _ = planner.BUDGETS[tier]
-        one = self.bm25(queries, most).select("query_id", F.col("id").alias("key"), F.lit(0).alias("branch"), "rank", "score")
-        two = neighbours.select("query_id", F.col("chunk_id").alias("key"), F.lit(1).alias("branch"), "rank", "score")
+        most, _ = planner.BUDGETS[planner.tier_of(tier)]
+        one = neighbours.select("query_id", F.col("chunk_id").alias("key"), F.lit(0).alias("branch"), "rank", "score")
+        two = self.bm25(queries, most).select("query_id", F.col("id").alias("key"), F.lit(1).alias("branch"), "rank", "score")
         return planner.hybrid(one.unionByName(two), k, ["query_id"], tier)
 
     def plan(self, queries: DataFrame, tier: str = "balanced") -> DataFrame:

@@ -51,7 +51,7 @@ def cascade(mask: DataFrame, vectors: DataFrame, queries: DataFrame, vec: str, k
 
 
 def hybrid(branches: DataFrame, k: int, by: list[str], tier: str = "balanced") -> DataFrame:
-    """Reciprocal rank fusion of the sparse (branch 0) and dense (branch 1) results of each query."""
+    """Reciprocal rank fusion of the dense (branch 0) and sparse (branch 1) results of each query."""
     most, _ = BUDGETS[tier_of(tier)]
-    weights = [HYBRID_WEIGHTS["sparse"], HYBRID_WEIGHTS["dense"]]
+    weights = [HYBRID_WEIGHTS["dense"], HYBRID_WEIGHTS["sparse"]]
     return fusion.fuse(branches.where(F.col("rank") <= most), weights, k, fusion="rrf", by=by)
