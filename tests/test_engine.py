@@ -1,11 +1,12 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.engine import Engine
 from quarry.functions import text
 from quarry.operators import fusion, graph, incremental, intervals, metrics, reports
 from quarry.plans import planner
-from quarry.sources import repository
+from quarry.sources import indexes, repository
 from quarry.streaming import feed
 
 
@@ -20,10 +21,22 @@ def test_engine_over_a_folder(spark, tmp_path):
     assert {r.file for r in engine.chunks.collect()} == {"src/a.py", "tests/test_a.py"}
     queries = spark.createDataFrame([(1, "where is save_index")], "query_id bigint, query string")
     best = engine.bm25(queries, 1).join(engine.chunks, F.col("id") == F.col("chunk_id")).first()
-    assert best.file == "src/a.py" and best.first == 3 and best.score == 0.0
+    assert best.file == "src/a.py" and best["first"] == 3 and best.score == 0.0
     assert engine.bm25(queries, 5, drop_tests=True).count() <= engine.bm25(queries, 5).count()
     assert engine.grep("LOAD_index", glob="tests/*").count() == 1
-    assert engine.plan(queries).first().plan == "bm25"
+    assert engine.plan(queries).first().plan == "hybrid_fusion"
+    names = {r.unified_name for r in engine.nodes.collect()}
+    assert {"src/a.py:load_index()", "src/a.py:save_index()", "src/a.py"} <= names
+    assert engine.edges.where("type = 'reference'").count() == 0
+    asked = queries.select("query_id", "query", F.array(*[F.lit(1.0)] * 64).alias("vector"))
+    assert engine.search_with_context(asked, k=2).count() == 2
+    engine.index(f"file://{tmp_path}/views")
+    nodes, _ = repository.load_graph(spark, f"file://{tmp_path}/views")
+    assert nodes.count() == engine.nodes.count()
+    assert repository.load_vectors(spark, f"file://{tmp_path}/views", 1, "l2").count() == engine.chunks.count()
+    tools = engine.tools()
+    assert tools.get_manifest()["dense"] and tools.search_regex("save_").count() == 1
+    assert tools.find_files("*.py").count() == 2 and tools.read_source("src/a.py", 1, 1).first().content == "def load_index(path):"
 
 
 def test_paths(spark):
@@ -88,7 +101,11 @@ def test_near_duplicates_miss_no_pair(spark):
     sets = [sorted({f"t{x}" for x in r.integers(0, 14, 9)}) for _ in range(60)]
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if min(len(sets[i]), len(sets[j])) >= 6 and len(set(sets[i]) & set(sets[j])) / min(len(sets[i]), len(sets[j])) >= 0.85}
     df = spark.createDataFrame(list(enumerate(sets)), "id int, t array<string>")
-    assert {(x.left_id, x.right_id) for x in reports.near_duplicates(df, "id", F.col("t")).collect()} == want
+    got = reports.near_duplicates(df, "id", F.col("t")).collect()
+    first = {tuple(t): min(i for i, s in enumerate(sets) if s == t) for t in sets}
+    classes = {(first[tuple(sets[i])], first[tuple(sets[j])]) for i, j in want}
+    assert {(x.left_id, x.right_id) for x in got} == {(min(p), max(p)) for p in classes}
+    assert all(x.left_n == sum(s == sets[x.left_id] for s in sets) for x in got)
 
 
 def test_overlay_converges_to_a_rebuild(spark):
@@ -106,20 +123,26 @@ def test_stream_keeps_the_table_in_step(spark, tmp_path):
     for part, rows in enumerate([[("a", 1, "upsert", "x"), ("b", 1, "upsert", "y")], [("a", 2, "upsert", "z"), ("b", 3, "delete", None), ("b", 2, "upsert", "late")]]):
         df = spark.createDataFrame(rows, "k string, n int, op string, digest string").withColumn("ts", F.current_timestamp())
         df.select("ts", "k", "n", "op", "digest").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        feed.maintain(feed.read_feed(spark, str(tmp_path / "in"), schema), str(tmp_path / "state"), str(tmp_path / "cp"), "k", ["n"], "op").awaitTermination()
+        feed.maintain(feed.read_feed(spark, str(tmp_path / "in"), schema), str(tmp_path / "state"), str(tmp_path / "cp"), "k", ["n"]).awaitTermination()
         got = {(r.k, r.digest) for r in feed.current(spark, str(tmp_path / "state"), part, "k", ["n"], "op").collect()}
         assert got == ({("a", "x"), ("b", "y")} if part == 0 else {("a", "z")})
+    feed.compacted(spark, str(tmp_path / "state"), str(tmp_path / "small"), 1, "k", ["n"])
+    assert {(r.k, r.digest) for r in feed.current(spark, str(tmp_path / "small"), None, "k", ["n"], "op").collect()} == {("a", "z")}
 
 
-def test_occurrence_lines(spark):
-    df = spark.createDataFrame([("a.py|1,2,5|1|sym f\nb.py|3,0,4,1||local x\n",)], "value string")
-    got = [tuple(r) for r in repository.occurrences(df).collect()]
-    assert got == [("a.py", 1, 2, 1, 5, 1, "sym f"), ("b.py", 3, 0, 4, 1, 0, "local x")]
+def test_index_occurrences(spark):
+    body = 'metadata {\n}\ndocuments {\n  relative_path: "a.py"\n  occurrences {\n    range: 1\n    range: 2\n    range: 5\n    symbol: "sym `f`/"\n    symbol_roles: 1\n    enclosing_range: 1\n  }\n  occurrences {\n    range: 3\n    range: 0\n    range: 4\n    range: 1\n    symbol: "local 0"\n  }\n  occurrences {\n    range: 3\n    symbol: "x"\n  }\n}\ndocuments {\n  relative_path: "b.py"\n}\n'
+    got = [tuple(r) for r in indexes.index_occurrences(spark.createDataFrame([(body,)], "value string")).collect()]
+    assert got == [("a.py", 1, 2, 1, 5, 1, "sym `f`/"), ("a.py", 3, 0, 4, 1, 0, "local 0")]
 
 
 def test_plans_follow_the_views(spark):
-    df = spark.createDataFrame([("who calls foo",), ("parse_config",), ("how does caching work",)], "q string")
+    df = spark.createDataFrame([("who calls foo",), ("parse_config",), ("how does caching work",), ("definitions of bar",), ("callback url import map",)], "q string")
     pick = lambda **o: [r[0] for r in df.select(planner.plan_for(F.col("q"), **o)).collect()]
-    assert pick(views=("sparse", "dense", "graph")) == ["structural_graph", "hybrid_rrf", "hybrid_rrf"]
-    assert pick(views=("sparse", "dense"), tier="fast") == ["dense", "bm25", "dense"]
-    assert pick(views=("dense",)) == ["dense"] * 3 and pick(views=()) == [None] * 3
+    assert pick(views=("sparse", "dense", "graph")) == ["structural_graph", "hybrid_fusion", "semantic", "structural_graph", "hybrid_fusion"]
+    assert pick(views=("sparse", "dense"), tier="cheap") == ["fast_lexical", "fast_lexical", "semantic", "fast_lexical", "fast_lexical"]
+    assert pick(views=("dense",)) == ["semantic"] * 5 and pick(views=("sparse",)) == ["fast_lexical"] * 5
+    with pytest.raises(ValueError):
+        planner.plan_for(F.col("q"), views=("graph",))
+    with pytest.raises(ValueError):
+        planner.tier_of("slow")
