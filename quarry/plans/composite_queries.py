@@ -11,7 +11,7 @@ from quarry.operators import dense, drafting, fusion, incremental
 from quarry.registry import query, table
 
 from . import composite
-from .retrieval_queries import _QV, _SIX, _TOKENS, bm25_sql, dense_sql
+from .retrieval_queries import _QV, _six, _TOKENS, bm25_sql, dense_sql
 from .views import CODE_SQL, code_edges, code_files, code_nodes
 
 _C = f"WITH RECURSIVE {CODE_SQL}"
@@ -47,7 +47,7 @@ def q4(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT mk.query_id, key, list_inner_product(embedding::DOUBLE[], qe::DOUBLE[]) AS s FROM mk JOIN embeddings ON vec_id = key JOIN qv ON qv.query_id = mk.query_id)
 SELECT query_id, key, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key)::INTEGER AS rank FROM s QUALIFY rank <= 50""")
 def q4_masked(spark: SparkSession, d: str) -> DataFrame:
-    return composite.graph_seeded(_views(spark, d), _questions(spark, d), masked=True).select("query_id", "key", _SIX, "rank")
+    return composite.graph_seeded(_views(spark, d), _questions(spark, d), masked=True).select("query_id", "key", _six(), "rank")
 
 
 _HOPS = f"""re AS (SELECT DISTINCT src, dst FROM ce WHERE type = 'reference'), hp AS (SELECT query_id, vid AS seed, rank AS sr, dst AS vid, 0 AS side FROM sd JOIN re ON src = vid UNION ALL SELECT query_id, vid, rank, src, 1 FROM sd JOIN re ON dst = vid),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
@@ -63,7 +63,11 @@ def t3_first(spark: SparkSession, d: str) -> DataFrame:
 
 _Q = "(SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings))"
 _RAW = f"list_inner_product(embedding::DOUBLE[], {_Q}::DOUBLE[])"
-_SIX = F.round("score", 6).alias("score")
+
+
+def _six() -> Column:
+    return F.round("score", 6).alias("score")
+
 
 
 def _query_vector(spark: SparkSession, d: str) -> list[float]:
@@ -72,35 +76,35 @@ def _query_vector(spark: SparkSession, d: str) -> list[float]:
 
 @query("t5_dense_topk", f"SELECT vec_id, round({_RAW}, 6) AS score FROM embeddings ORDER BY {_RAW} DESC, vec_id LIMIT 10")
 def t5(spark: SparkSession, d: str) -> DataFrame:
-    return dense.search(table(spark, d, "embeddings"), _query_vector(spark, d), 10, "embedding", "vec_id").select("vec_id", _SIX)
+    return dense.search(table(spark, d, "embeddings"), _query_vector(spark, d), 10, "embedding", "vec_id").select("vec_id", _six())
 
 
 @query("t5_dense_l2", f"SELECT vec_id, round(l, 6) AS score FROM (SELECT vec_id, list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::DOUBLE - q[i]::DOUBLE) * (embedding[i]::DOUBLE - q[i]::DOUBLE))) AS l FROM (SELECT *, {_Q} AS q FROM embeddings)) ORDER BY l, vec_id LIMIT 10")
 def t5_l2(spark: SparkSession, d: str) -> DataFrame:
-    return dense.search(table(spark, d, "embeddings"), _query_vector(spark, d), 10, "embedding", "vec_id", metric="l2").select("vec_id", _SIX)
+    return dense.search(table(spark, d, "embeddings"), _query_vector(spark, d), 10, "embedding", "vec_id", metric="l2").select("vec_id", _six())
 
 
 @query("f11_threshold", f"SELECT vec_id, round({_RAW}, 6) AS score FROM embeddings WHERE {_RAW} >= 0.2 ORDER BY {_RAW} DESC, vec_id LIMIT 50")
 def f11(spark: SparkSession, d: str) -> DataFrame:
-    return dense.search(table(spark, d, "embeddings"), _query_vector(spark, d), 50, "embedding", "vec_id", threshold=0.2).select("vec_id", _SIX)
+    return dense.search(table(spark, d, "embeddings"), _query_vector(spark, d), 50, "embedding", "vec_id", threshold=0.2).select("vec_id", _six())
 
 
 @query("t7_with_content", f"WITH t AS (SELECT vec_id, {_RAW} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 10) SELECT vec_id, round(s, 6) AS score, length(text)::INTEGER AS chars FROM t LEFT JOIN documents ON doc_id = vec_id")
 def t7(spark: SparkSession, d: str) -> DataFrame:
-    found = dense.search(table(spark, d, "embeddings"), _query_vector(spark, d), 10, "embedding", "vec_id").select("vec_id", _SIX)
+    found = dense.search(table(spark, d, "embeddings"), _query_vector(spark, d), 10, "embedding", "vec_id").select("vec_id", _six())
     return dense.with_content(found, table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.length("text").alias("chars")), "vec_id")
 
 
 @query("j20_masked_dense", f"SELECT vec_id, round({_RAW}, 6) AS score FROM embeddings WHERE label = 0 ORDER BY {_RAW} DESC, vec_id LIMIT 10")
 def j20(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    return dense.search_within(rows, rows.where("label = 0"), _query_vector(spark, d), 10, "embedding", "vec_id").select("vec_id", _SIX)
+    return dense.search_within(rows, rows.where("label = 0"), _query_vector(spark, d), 10, "embedding", "vec_id").select("vec_id", _six())
 
 
 @query("j21_postmask_dense", f"WITH t AS (SELECT vec_id, label, {_RAW} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 10) SELECT vec_id, round(s, 6) AS score FROM t WHERE label = 0")
 def j21(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    return dense.search_then_mask(rows, rows.where("label = 0"), _query_vector(spark, d), 10, "embedding", "vec_id").select("vec_id", _SIX)
+    return dense.search_then_mask(rows, rows.where("label = 0"), _query_vector(spark, d), 10, "embedding", "vec_id").select("vec_id", _six())
 
 
 @query("j23_hierarchical", f"""WITH f AS (SELECT label, max({_RAW}) AS s FROM embeddings GROUP BY 1 ORDER BY s DESC, label LIMIT 2),
@@ -109,20 +113,20 @@ def j23(spark: SparkSession, d: str) -> DataFrame:
     rows, q = table(spark, d, "embeddings"), _query_vector(spark, d)
     best = dense.scored(rows, q, "embedding").groupBy("label").agg(F.max("score").alias("s")).orderBy(F.col("s").desc(), "label").limit(2)
     found = dense.search(rows, q, 30, "embedding", "vec_id").join(best.select("label"), "label", "left_semi")
-    return found.orderBy(*dense.order("ip", "vec_id")).limit(10).select("vec_id", _SIX)
+    return found.orderBy(*dense.order("ip", "vec_id")).limit(10).select("vec_id", _six())
 
 
 @query("w12_best_vector_per_node", f"SELECT label, round(max({_RAW}), 6) AS score FROM embeddings GROUP BY 1 ORDER BY max({_RAW}) DESC, label LIMIT 5")
 def w12(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    return dense.search_within(rows, rows.select("label").distinct(), _query_vector(spark, d), 5, "embedding", "label").select("label", _SIX)
+    return dense.search_within(rows, rows.select("label").distinct(), _query_vector(spark, d), 5, "embedding", "label").select("label", _six())
 
 
 @query("t6_ivf_probe", f"SELECT vec_id, round({_RAW}, 6) AS score FROM embeddings ORDER BY {_RAW} DESC, vec_id LIMIT 10")
 def t6(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
     centres = dense.fit_centres(rows, 8, "embedding", "vec_id")
-    return dense.probe_until_sure(dense.inverted_lists(rows, centres, "embedding"), centres, _query_vector(spark, d), 3, 10, "embedding", "vec_id").select("vec_id", _SIX)
+    return dense.probe_until_sure(dense.inverted_lists(rows, centres, "embedding"), centres, _query_vector(spark, d), 3, 10, "embedding", "vec_id").select("vec_id", _six())
 
 
 @query("t10_indexed_rerank", f"""WITH c AS (SELECT vec_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM embeddings JOIN documents ON doc_id = vec_id QUALIFY rank <= 100),
@@ -134,7 +138,7 @@ def t10(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "n_chars").join(rows.select("vec_id"), "vec_id", "left_semi")
     top = docs.orderBy(F.col("n_chars").desc(), "vec_id").limit(100)
     candidates = top.select("vec_id", F.row_number().over(W.orderBy(F.col("n_chars").desc(), "vec_id")).alias("rank"))
-    return dense.rerank_by_index(candidates, rows.where("label <> 1"), _query_vector(spark, d), "embedding", "vec_id", "rank").select("vec_id", _SIX, "rank")
+    return dense.rerank_by_index(candidates, rows.where("label <> 1"), _query_vector(spark, d), "embedding", "vec_id", "rank").select("vec_id", _six(), "rank")
 
 
 # A query of the benchmark has the vector of its number.
@@ -154,7 +158,7 @@ def dense_sql(k: int, name: str = "dn") -> str:
 @query("q2_dense_batch", f"WITH {dense_sql(10)} SELECT query_id, vec_id, round(s, 6) AS score, rank FROM dn")
 def q2(spark: SparkSession, d: str) -> DataFrame:
     out = dense.search_batch(table(spark, d, "embeddings"), _query_vectors(spark, d), 10, "embedding", "vec_id")
-    return out.select("query_id", "vec_id", _SIX, "rank")
+    return out.select("query_id", "vec_id", _six(), "rank")
 
 
 # Two branches per query: BM25, whose scores count as 0, and vectors (a vector's number is its document's).
@@ -248,7 +252,7 @@ def p1(spark: SparkSession, d: str) -> DataFrame:
 SELECT query_id, vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 50""")
 def q3(spark: SparkSession, d: str) -> DataFrame:
     mask = _bm25(spark, d, 128).select("query_id", F.col("id").alias("vec_id"))
-    return planner.cascade(mask, table(spark, d, "embeddings"), _query_vectors(spark, d), "embedding", "vec_id", 50).select("query_id", "vec_id", _SIX, "rank")
+    return planner.cascade(mask, table(spark, d, "embeddings"), _query_vectors(spark, d), "embedding", "vec_id", 50).select("query_id", "vec_id", _six(), "rank")
 
 
 _ANY = lambda patterns, flag="": " OR ".join(f"regexp_matches(text, '{flag}{p}')" for p in patterns)
