@@ -39,20 +39,20 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t,
                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-wins AS (SELECT doc_id, i, list_aggregate(ws[i:i + 4], 'string_agg', ' ') AS win
-         FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
-hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM wins) WHERE c > 1),
-cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM hit) GROUP BY 1),
-ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
-lines AS (SELECT doc_id, sum(c) AS n_lines, sum(c - 1) AS dup FROM
-          (SELECT doc_id, line, count(*) AS c FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2) GROUP BY 1),
+wins AS (SELECT row, i, list_aggregate(ws[i:i + 4], 'string_agg', ' ') AS win
+         FROM (SELECT row, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+hit AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, win) AS c FROM wins) WHERE c > 1),
+cover AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + 5)) AS p FROM hit) GROUP BY 1),
+ln AS (SELECT row, unnest(string_split(t, chr(10))) AS line FROM d),
+lines AS (SELECT row, sum(c) AS n_lines, sum(c - 1) AS dup FROM
+          (SELECT row, line, count(*) AS c FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2) GROUP BY 1),
 m AS (SELECT d.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
              length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
              length(t) - length(regexp_replace(t, '[A-ZÀ-ÖØ-Þ]', '', 'g')) AS n_upper,
              coalesce(n_lines, 0) AS n_lines, coalesce(dup, 0) AS n_dup_lines, coalesce(cover.n, 0) AS n_repeat_words
-      FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN cover USING (doc_id)),
+      FROM d LEFT JOIN lines USING (row) LEFT JOIN cover USING (row)),
 f AS (SELECT *, CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
              + CASE WHEN 100 * n_symbols > 25 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_upper > 50 * word_chars THEN 8 ELSE 0 END
              + CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 60 * n_lines THEN 16 ELSE 0 END
@@ -72,19 +72,19 @@ def _op3_sql() -> str:
     values = ", ".join(f"({i}, '{label}', {text!r}, {sorted(set(text))!r}, {share}, {str(phrase).lower()})" for i, label, text, share, phrase in rows)
     return rf"""
 WITH t(id, label, seq, tokens, share, phrase) AS (VALUES {values}),
-d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
-b AS (SELECT doc_id, k, ws[32 * k + 1:32 * k + 64] AS block FROM (SELECT doc_id, ws, unnest(range(0, (len(ws) + 31) // 32)) AS k FROM d)),
-m AS (SELECT doc_id, k, block, t.*, len(list_intersect(tokens, block)) AS common FROM b, t
+b AS (SELECT row, k, ws[32 * k + 1:32 * k + 64] AS block FROM (SELECT row, ws, unnest(range(0, (len(ws) + 31) // 32)) AS k FROM d)),
+m AS (SELECT row, k, block, t.*, len(list_intersect(tokens, block)) AS common FROM b, t
       WHERE list_has_any(tokens, block) AND len(list_intersect(tokens, block)) >= ceil(share * len(tokens) - 1e-9)),
-p AS (SELECT doc_id, label, phrase, common / len(tokens) AS score,
+p AS (SELECT row, label, phrase, common / len(tokens) AS score,
              CASE WHEN phrase THEN list_transform(list_filter(range(0, 32), lambda s: block[s + 1:s + len(seq)] = seq), lambda s: s + 32 * k) END AS places FROM m),
-g AS (SELECT doc_id, coalesce(sum(len(places)), 0) AS n, min(list_min(places)) AS f, max(list_max(places)) AS l, max(score) AS score,
+g AS (SELECT row, coalesce(sum(len(places)), 0) AS n, min(list_min(places)) AS f, max(list_max(places)) AS l, max(score) AS score,
              string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE phrase) AS base, string_agg(DISTINCT label, ',' ORDER BY label) AS every
       FROM p WHERE NOT phrase OR len(places) > 0 GROUP BY 1)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,
        coalesce(base, '') AS base_labels, coalesce(every, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
-FROM d LEFT JOIN g USING (doc_id)
+FROM d LEFT JOIN g USING (row)
 """
 
 
