@@ -292,7 +292,7 @@ def fragment_lines(files: DataFrame, asked: DataFrame) -> DataFrame:
 def containing(points: DataFrame, entities: DataFrame) -> DataFrame:
     """Every point (file, line) with the narrowest symbol that holds it: span, then later start, then name."""
     spans = entities.where(F.col("type").isin(*SYMBOL_TYPES) & F.col("start_line").isNotNull() & F.col("end_line").isNotNull())
-    order = [F.col("end_line") - F.col("start_line"), F.col("start_line").desc(), F.col("name").asc(), F.col("vid").asc()]
+    order = [F.col("end_line") - F.col("start_line"), -F.col("start_line"), F.col("name"), F.col("vid")]
     return intervals.points_in_intervals(points, spans, ["file"], "line", "start_line", "end_line", order)
 
 

@@ -28,11 +28,19 @@ def overlap_join(a: DataFrame, b: DataFrame, by: list[str], start_a: str, end_a:
 
 
 def points_in_intervals(points: DataFrame, spans: DataFrame, by: list[str], point: str, start: str, end: str, order: list[Column], bucket: int = BUCKET) -> DataFrame:
-    """Every point with the first interval, in the given order, that holds it."""
-    spans = spans.where(F.col(start) <= F.col(end)).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
-    points = points.withColumn("_bucket", F.floor(F.col(point) / bucket)).withColumn("_point", F.struct(*points.columns))
-    held = points.join(spans, [*by, "_bucket"]).where((F.col(point) >= F.col(start)) & (F.col(point) <= F.col(end)))
-    return held.withColumn("_n", F.row_number().over(W.partitionBy("_point").orderBy(*order))).where("_n = 1").drop("_n", "_bucket", "_point")
+    """Every distinct point (all columns) with the first interval, in the given ascending order, that holds it.
+
+    Of equal intervals only the first matters, and equal positions have one answer, so each distinct position meets
+    each distinct interval of its bucket once, however many points ask.
+    """
+    columns = [c for c in spans.columns if c not in by]
+    spans = spans.where(F.col(start) <= F.col(end)).select(*by, F.col(start).alias("_s"), F.col(end).alias("_e"), F.struct(*columns).alias("_span"), F.struct(*order).alias("_order"))
+    spans = spans.groupBy(*by, "_s", "_e").agg(F.min_by("_span", "_order").alias("_span"), F.min("_order").alias("_order"))
+    spans = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_s") / bucket), F.floor(F.col("_e") / bucket))))
+    places = points.select(*by, point).distinct().withColumn("_bucket", F.floor(F.col(point) / bucket))
+    held = places.join(spans, [*by, "_bucket"]).where(F.col(point).between(F.col("_s"), F.col("_e")))
+    first = held.groupBy(*by, point).agg(F.min_by("_span", "_order").alias("_span"))
+    return points.distinct().join(first, [*by, point]).select(*points.columns, *[F.col(f"_span.`{c}`") for c in columns])
 
 
 def balanced_split(chunks: DataFrame, start: str, end: str, limit: int) -> DataFrame:
@@ -59,26 +67,30 @@ def references(points: DataFrame, occurrences: DataFrame, include_declaration: b
 
 
 def at_position(points: DataFrame, occurrences: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """query_id and the narrowest occurrence that holds its position (end exclusive within a line).
+    """query_id, file and symbol of the narrowest occurrence that holds a query's position (end exclusive within a line).
 
-    Points and occurrences meet by file and bucket of lines, so a file with many of both is spread.
+    Distinct positions and distinct ranges meet by file and bucket of lines, so a file with many of both is spread.
     """
-    p = points.select("query_id", F.col("file"), "line", "character").withColumn("_bucket", F.floor(F.col("line") / bucket))
-    o = occurrences.where("start_line <= end_line").withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start_line") / bucket), F.floor(F.col("end_line") / bucket))))
+    ends = ["start_line", "start_char", "end_line", "end_char"]
+    o = occurrences.where("start_line <= end_line").groupBy("file", *ends).agg(F.min("symbol").alias("symbol"))
+    o = o.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start_line") / bucket), F.floor(F.col("end_line") / bucket))))
+    p = points.select("file", "line", "character").distinct().withColumn("_bucket", F.floor(F.col("line") / bucket))
     after = (F.col("start_line") < F.col("line")) | ((F.col("start_line") == F.col("line")) & (F.col("start_char") <= F.col("character")))
     before = (F.col("line") < F.col("end_line")) | ((F.col("line") == F.col("end_line")) & (F.col("character") < F.col("end_char")))
-    held = p.join(o, ["file", "_bucket"]).where(after & before)
-    narrow = [F.col("end_line") - F.col("start_line"), F.col("end_char") - F.col("start_char"), "start_line", "start_char", "symbol"]
-    return held.withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(*narrow))).where("_n = 1").drop("_n", "line", "character", "_bucket")
+    narrow = F.struct((F.col("end_line") - F.col("start_line")).alias("lines"), (F.col("end_char") - F.col("start_char")).alias("width"), "start_line", "start_char", "symbol")
+    held = p.join(o, ["file", "_bucket"]).where(after & before).groupBy("file", "line", "character").agg(F.min(narrow).alias("_held"))
+    asked = points.select("query_id", "file", "line", "character").join(held, ["file", "line", "character"])
+    return asked.groupBy("query_id").agg(F.min(F.struct("_held", "file")).alias("_f")).select("query_id", "_f.file", "_f._held.symbol")
 
 
 def _related(points: DataFrame, occurrences: DataFrame, keep: Column, k: int) -> DataFrame:
+    """The first places of each symbol are ranked once and joined to the queries that found it."""
     scope = F.when(F.col("symbol").startswith("local "), F.col("file")).otherwise(F.lit(""))
-    found = at_position(points, occurrences).select("query_id", "symbol", scope.alias("scope"))
-    others = occurrences.where(keep).withColumn("scope", scope)
-    out = found.join(others, ["symbol", "scope"]).select("query_id", "file", "start_line", "start_char", "end_line", "end_char", "symbol").distinct()
     place = ["file", "start_line", "start_char", "end_line", "end_char"]
-    return out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*place))).where(F.col("rank") <= max(1, k))
+    others = occurrences.where(keep).select("symbol", scope.alias("scope"), *place).distinct()
+    others = others.withColumn("rank", F.row_number().over(W.partitionBy("symbol", "scope").orderBy(*place))).where(F.col("rank") <= max(1, k))
+    found = at_position(points, occurrences).select("query_id", "symbol", scope.alias("scope"))
+    return found.join(others, ["symbol", "scope"]).select("query_id", *place, "symbol", "rank")
 
 
 def islands(rows: DataFrame, by: list[str], start: str, end: str, gap: int) -> DataFrame:

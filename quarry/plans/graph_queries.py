@@ -73,7 +73,7 @@ h AS (SELECT q, vid, row_number() OVER (PARTITION BY q ORDER BY end_line - start
 SELECT q, vid FROM h WHERE n = 1""")
 def j11(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS q", "concat('o', l_orderkey % 25) AS file", "l_orderkey * 7 % 500 AS line")
-    order = [F.col("end_line") - F.col("start_line"), F.col("start_line").desc(), F.col("vid").asc()]
+    order = [F.col("end_line") - F.col("start_line"), -F.col("start_line"), F.col("vid")]
     return intervals.points_in_intervals(points, nodes(spark, d), ["file"], "line", "start_line", "end_line", order).select("q", "vid")
 
 
@@ -271,7 +271,7 @@ def f18(spark: SparkSession, d: str) -> DataFrame:
 h AS (SELECT p.file, line, vid, row_number() OVER (PARTITION BY p.file, line ORDER BY end_line - start_line, start_line DESC, vid) AS n FROM p JOIN nodes ON nodes.file = p.file AND line BETWEEN start_line AND end_line) SELECT file, line, vid FROM h WHERE n = 1""")
 def e2(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "nation").selectExpr("concat('c', n_nationkey) AS file", "n_nationkey * 13 % 500 AS line")
-    order = [F.col("end_line") - F.col("start_line"), F.col("start_line").desc(), F.col("vid").asc()]
+    order = [F.col("end_line") - F.col("start_line"), -F.col("start_line"), F.col("vid")]
     return intervals.points_in_intervals(p, nodes(spark, d), ["file"], "line", "start_line", "end_line", order).select("file", "line", "vid")
 
 

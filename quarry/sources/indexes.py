@@ -61,7 +61,7 @@ def graph_from_occurrences(occurrences: DataFrame) -> tuple[DataFrame, DataFrame
     none = F.lit(None)
     file_nodes = files.select(vid("file").alias("vid"), F.col("file").alias("name"), F.col("file").alias("unified_name"), F.lit("file").alias("type"), none.cast("string").alias("file"), none.cast("bigint").alias("start_line"), none.cast("bigint").alias("end_line"))
     uses = shared.where(F.col("roles").bitwiseAND(1) == 0).select("symbol", "file", F.col("start_line").cast("bigint").alias("line")).distinct().join(nodes.select(F.col("name").alias("symbol"), F.col("vid").alias("dst")), "symbol")
-    order = [F.col("end_line") - F.col("start_line"), F.col("start_line").desc(), F.col("vid").asc()]
+    order = [F.col("end_line") - F.col("start_line"), -F.col("start_line"), F.col("vid")]
     spans = nodes.select("vid", "file", "start_line", "end_line").withColumn("end_line", F.least("end_line", F.col("start_line") + 100_000))
     placed = intervals.points_in_intervals(uses, spans, ["file"], "line", "start_line", "end_line", order, bucket=1 << 20).select("symbol", "file", "line", F.col("vid").alias("_in"))
     uses = uses.join(placed, ["symbol", "file", "line"], "left")
