@@ -258,3 +258,34 @@ def test_spans_and_sentences(spark):
 def test_generated_and_supporting_files(spark):
     df = spark.createDataFrame([("a/dist/x.js",), ("a/x.min.js",), ("docs/x.py",), ("README.md",), ("src/x.py",), (None,)], "p string")
     assert [tuple(r) for r in df.select(text.is_generated_file(F.col("p")), text.is_supporting(F.col("p"))).collect()] == [(True, True), (True, True), (False, True), (False, True), (False, False), (False, False)]
+
+
+def test_lookups_with_ties_against_plain_search(spark):
+    r = random.Random(9)
+    spans = [(f"f{r.randrange(2)}", a, a + r.choice([-1, 0, 3, 90]), v) for v in range(80) for a in [r.randrange(0, 200)]]
+    spans += [("f0", 5, 9, 900), ("f0", 5, 9, 901)]
+    points = [(q, f"f{r.randrange(3)}", r.randrange(0, 200)) for q in range(150)] + [(900, "f0", 7), (900, "f0", 7), (901, None, 7), (902, "f0", None)]
+    s = spark.createDataFrame(spans, "file string, first int, last int, vid int")
+    p = spark.createDataFrame(points, "q int, file string, line int")
+    order = [F.col("last") - F.col("first"), -F.col("first"), F.col("vid")]
+    got = {(x.q, x.vid) for x in intervals.points_in_intervals(p, s, ["file"], "line", "first", "last", order).collect()}
+    want = set()
+    for q, file, line in points:
+        held = [(b - a, -a, v) for f, a, b, v in spans if f == file and line is not None and a <= line <= b]
+        if held:
+            want.add((q, min(held)[2]))
+    assert got == want and len([x for x in got if x[0] == 900]) == 1
+    occ = [(f"f{r.randrange(2)}", a, c, a, c + r.randrange(1, 9), r.randrange(2), r.choice(["x", "y", "local 1"])) for _ in range(120) for a in [r.randrange(0, 70)] for c in [r.randrange(0, 20)]]
+    asked = [(i, f"f{r.randrange(2)}", r.randrange(0, 70), r.randrange(0, 20)) for i in range(60)]
+    o = spark.createDataFrame(occ, "file string, start_line int, start_char int, end_line int, end_char int, roles int, symbol string")
+    found = {}
+    for x in intervals.references(spark.createDataFrame(asked, "query_id int, file string, line int, character int"), o, k=5).orderBy("query_id", "rank").collect():
+        found.setdefault(x.query_id, []).append((x.file, x.start_line, x.start_char, x.end_line, x.end_char))
+    for i, file, line, ch in asked:
+        held = [(e - a, d - c, a, c, s) for f, a, c, e, d, _, s in occ if f == file and (a, c) <= (line, ch) < (e, d)]
+        if not held:
+            assert i not in found
+            continue
+        symbol = min(held)[4]
+        places = sorted({(f, a, c, e, d) for f, a, c, e, d, _, s in occ if s == symbol and (not s.startswith("local ") or f == file)})
+        assert found[i] == places[:5]
