@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_sliced, bpe, html_wrappers, licenses, mixing, ngram_join, quality, substring, token_counts, toxicity
+from . import bit_sliced, bpe, exact_dedup, fill_middle, html_wrappers, late_sessions, licenses, mixing, ngram_join, quality, substring, token_counts, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -148,6 +148,68 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrappers.extract(_read(spark, sf_dir, "pages"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(_read(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) AS keep_id,
+       count(*) OVER (PARTITION BY text_sha256)::BIGINT AS group_size,
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
+FROM d
+"""
+
+
+def op12_late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return late_sessions.versions(late_sessions.conversation_events(_read(spark, sf_dir, "conversations")))
+
+
+#: crc32 of an ASCII string, bit by bit: DuckDB has no function for it.
+_SQL_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]),
+                                 lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295)"""
+#: The sessions of a user after each of its batches, from all events so far, and for each what it replaces and what replaces it.
+OP12_SQL = f"""
+WITH t AS (SELECT conv_id, turn, {_SQL_CRC.format("conv_id::VARCHAR")} AS c, {_SQL_CRC.format("conv_id::VARCHAR || ':' || turn::VARCHAR")} AS h
+           FROM conversations WHERE turn IS NOT NULL AND conv_id IS NOT NULL),
+e AS MATERIALIZED (SELECT *, floor(s / 3600)::BIGINT + CASE WHEN (h // 600) % 3 = 0 THEN (h // 600) % 4 ELSE 0 END AS batch FROM
+      (SELECT 2 * floor(conv_id / 8)::BIGINT + c % 2 AS "user", (c // 2) % 7200 + 300 * turn + h % 600 AS s, h FROM t)),
+b AS (SELECT DISTINCT "user", batch AS b FROM e),
+so AS (SELECT e.*, b.b FROM e JOIN b ON e."user" = b."user" AND e.batch <= b.b),
+m AS (SELECT *, CASE WHEN s - lag(s) OVER w <= 420 THEN 0 ELSE 1 END AS cut,
+             CASE WHEN batch < b AND NOT coalesce(s - max(CASE WHEN batch < b THEN s END) OVER (PARTITION BY "user", b ORDER BY s, batch, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 420, false)
+                  THEN 1 ELSE 0 END AS old FROM so WINDOW w AS (PARTITION BY "user", b ORDER BY s, batch, h)),
+g AS (SELECT *, sum(cut) OVER (PARTITION BY "user", b ORDER BY s, batch, h ROWS UNBOUNDED PRECEDING) AS session FROM m),
+v AS MATERIALIZED (SELECT "user", b AS batch, min(s) AS start_s, max(s) AS end_s, count(*) AS n_events, count(*) FILTER (WHERE batch = b) AS n_new,
+             sum(old) AS n_retracted, sum(h) AS h_sum FROM g GROUP BY "user", b, session HAVING count(*) FILTER (WHERE batch = b) > 0),
+r AS (SELECT v."user", v.batch, v.start_s, min(x.batch) AS retracted_batch, arg_min(x.start_s, x.batch) AS retracted_start_s
+      FROM v JOIN v x ON v."user" = x."user" AND x.batch > v.batch AND x.start_s <= v.start_s AND v.start_s <= x.end_s GROUP BY 1, 2, 3)
+SELECT v."user", v.batch, v.start_s, v.end_s, n_events::BIGINT AS n_events, n_new::BIGINT AS n_new, n_retracted::BIGINT AS n_retracted, h_sum::BIGINT AS h_sum,
+       retracted_batch, retracted_start_s FROM v LEFT JOIN r ON v."user" = r."user" AND v.batch = r.batch AND v.start_s = r.start_s
+"""
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.transform(_read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS k,
+             sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, len(k) AS n, ('0x' || x[1:8])::BIGINT % (len(k) + 1) AS a, ('0x' || x[9:16])::BIGINT % (len(k) + 1) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || x[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+                  WHEN ('0x' || x[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(k[1:least(a, b)], '') AS prefix, array_to_string(k[least(a, b) + 1:greatest(a, b)], '') AS middle,
+             array_to_string(k[greatest(a, b) + 1:n], '') AS suffix FROM h)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -159,10 +221,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
     "op10_html_text": op10_html_text,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_late_sessions": op12_late_sessions,
+    "op13_fill_middle": op13_fill_middle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
     "op3_license_scan": _op3_sql(),
     "op4_top_k": OP4_SQL,
     "op5_mixing": OP5_SQL,
+    "op11_exact_dedup": OP11_SQL,
+    "op12_late_sessions": OP12_SQL,
+    "op13_fill_middle": OP13_SQL,
 }

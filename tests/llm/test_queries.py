@@ -34,6 +34,7 @@ def folder(spark, rows, tmp_path_factory):
         "labels": spark.createDataFrame([(i, int("idiot" in t), 0) for i, t, *_ in rows if 2000 <= i < 3000], "doc_id bigint, toxic int, spam int"),
         "pages": spark.createDataFrame([(i, f"https://h{i % 2}.org/{i}", ARTICLE.format(f"n{i}")) for i in range(12)] + [(12, None, ""), (13, "x", None)], "page_id bigint, url string, html string"),
         "embeddings": spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>"),
+        "conversations": spark.createDataFrame([(i // 5, i % 5, "user", f"t{i}") for i in range(400)] + [(77, k, "user", None) for k in range(150)] + [(3, 1, None, ""), (3, 1, "user", ""), (None, 2, "user", "x"), (4, None, "user", "x")], "conv_id bigint, turn bigint, role string, text string"),
     }
     for name, df in frames.items():
         df.coalesce(2).write.parquet(f"file://{path}/{name}.parquet")
@@ -43,7 +44,7 @@ def folder(spark, rows, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, folder, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     want = con.execute(queries.ORACLE_SQL[name])
     names = sorted(c[0] for c in want.description)
