@@ -11,6 +11,7 @@ user with any number of events is many small folds:
 1. events become cells: per user, batch and stretch of ``gap`` seconds their
    count, sum, first and last second (all events of one stretch always share a
    session), with partial aggregation, so repeated events cost one row a task;
+   the cells are written to the shared folder, and the rest reads only them;
 2. a cell begins an island unless the stretch before it ends within ``gap``.
    That is seen inside windows of ``SPAN`` stretches, each with a copy of the
    last stretch before it; an island's beginning is carried over windows level by level,
@@ -33,6 +34,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: Stretches in one window, and how often windows are gathered into larger ones: enough for 10 ** 5 years of seconds.
 SPAN, LEVELS = 512, 3
 _KEPT = ("batch", "start_s", "end_s", "n_events", "n_new", "n_retracted", "h_sum")
@@ -135,11 +138,12 @@ def _step(state: Column, batch: Column, pieces: Column, gap: int) -> Column:
     return _let(F.struct(first.alias("first"), last.alias("last")), parted)
 
 
-def versions(events: DataFrame, user_col: str = "user", second_col: str = "second", batch_col: str = "batch", weight_col: str = "weight", gap: int = 420) -> DataFrame:
+def versions(events: DataFrame, user_col: str = "user", second_col: str = "second", batch_col: str = "batch", weight_col: str = "weight", gap: int = 420, folder: str | None = None) -> DataFrame:
     """The version log: one row per session version with what it came from and what retracted it (null if it stands)."""
     numbers = {"second": second_col, "batch": batch_col, "weight": weight_col}
     named = events.select(F.col(f"`{user_col}`").alias("user"), *[F.col(f"`{c}`").cast("long").alias(name) for name, c in numbers.items()])
-    placed = islands(cells(named, gap), gap).repartition("user", "island")
+    table = shared.stored(cells(named, gap), folder or shared.shared_folder(events.sparkSession), "cells")
+    placed = islands(table, gap).repartition("user", "island")
     batches = placed.groupBy("user", "island", "batch").agg(F.collect_list(F.struct("lo", "hi", "n", "h")).alias("pieces"))
     folds = batches.groupBy("user", "island").agg(F.array_sort(F.collect_list(F.struct("batch", "pieces"))).alias("batches"))
     start = F.struct(_no_records(_VERSION).alias("standing"), _no_records(_VERSION).alias("log"))
