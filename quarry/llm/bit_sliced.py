@@ -11,15 +11,18 @@ Ties go to the smaller id, so results do not depend on how rows are dealt out.
 
 The index is built once: each row block is one row that holds its ids, its
 exact values and its slices, kept in the shared folder (``build``).  Query
-blocks are streamed against it (``search``): while all of them take less than
-``BROADCAST_BYTES`` they are broadcast and the index is read where it lies; beyond,
-index and query blocks meet by block number.  Each pair of blocks keeps k rows
-a query, and the best of those are taken by query and group of blocks before
-the last step, so no task sees all rows of a query.
+blocks are streamed against it (``search``): ``BROADCAST_BYTES`` of them at a time are broadcast and the index is read where it
+lies, once per such round; neither is ever copied for the other.  Each pair of
+blocks keeps k rows a query, and the best of those are taken by query and group
+of blocks before the last step, so no task sees all rows of a query.
+
+Scores are exact: where a sum could leave 62 bits, a block counts in Python's
+integers, and scores travel as two limbs of 64 bits.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite
-components take no part; components beyond +-2 ** 16 count as that, since sums
-of their products would leave 64 bits; vectors of another length than the
+components take no part; components beyond +-2 ** 47 count as that, since they
+leave the limbs; a score beyond 64 bits ranks by its true value and is shown as
+the largest or smallest 64-bit integer; vectors of another length than the
 query's do not score with it; repeated candidates are candidates each; a query
 that repeats with one id and one vector is one query; an empty table gives an
 empty result.
@@ -44,8 +47,8 @@ QUERIES_AT_ONCE = 32
 GROUPS = 64
 #: Lowest bits of a component that the index leaves out.
 DROP = 4
-#: Components beyond this, scaled, count as this: a product of two fits 52 bits, and a thousand of them fit 62.
-MOST_VALUE = 1 << 26
+#: Components beyond this, scaled, count as this: sums of up to 4,096 products of two fit 127 bits, the two limbs of a score.
+MOST_VALUE = 1 << 57
 BROADCAST_BYTES = 64 << 20
 U64 = np.uint64
 
@@ -116,9 +119,17 @@ class BitSlices:
             if not x.any():
                 return
 
+    def wide(self, queries: np.ndarray) -> bool:
+        """Whether a sum, or a sum of shifted values, could leave 62 bits."""
+        if not self.values.size or not queries.size:
+            return False
+        most = max(int(np.abs(self.values).max()), int(self.shifted.max()) << self.drop, 1 << self.drop)
+        return most * int(np.abs(queries).max()) * self.values.shape[1] >= 1 << 62
+
     def candidates(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
         """Per query, the rows whose exact score may be among the k highest."""
         slices = self.sums(queries)
+        number = object if self.wide(queries) else np.int64
         count = len(queries)
         live = np.zeros(self.words * 64, dtype=bool)
         live[: self.n] = True
@@ -126,39 +137,43 @@ class BitSlices:
         # From the most significant slice down: the k-th highest indexed sum, bit by bit.
         chosen = np.zeros((count, self.words), dtype=U64)
         even = np.tile(everyone, (count, 1))
-        bound = np.zeros(count, dtype=np.int64)
+        bound = np.zeros(count, dtype=number)
         for weight in range(len(slices) - 1, -1, -1):
             with_bit = even & slices[weight]
             enough = np.bitwise_count(chosen | with_bit).sum(axis=1) >= k
-            bound += np.where(enough, 1 << weight, 0)
+            bound += np.where(enough, number(1 << weight) if number is np.int64 else np.array(1 << weight, dtype=object), 0)
             pick = enough[:, None]
             chosen = np.where(pick, chosen, chosen | with_bit)
             even = np.where(pick, with_bit, even & ~slices[weight])
         # Left-out bits change q.x by an amount between -slack * sum|q<0| and slack * sum|q>0|.
         slack = (1 << self.drop) - 1
-        reach = slack * np.abs(queries).sum(axis=1)
+        reach = slack * np.abs(queries).astype(number).sum(axis=1)
         least = np.maximum(bound - (reach >> self.drop) - 1, 0)
         # Rows with an indexed sum of at least ``least``, again from the top slice down.
         above = np.zeros((count, self.words), dtype=U64)
         even = np.tile(everyone, (count, 1))
         for weight in range(len(slices) - 1, -1, -1):
-            want = ((least >> weight) & 1)[:, None] == 1
+            want = (((least >> weight) & 1) == 1).astype(bool)[:, None]
             above = np.where(want, above, above | (even & slices[weight]))
             even = np.where(want, even & slices[weight], even & ~slices[weight])
         flat = np.unpackbits((above | even).view(np.uint8), axis=1, bitorder="little")
         return [np.flatnonzero(row) for row in flat]
 
     def top(self, queries: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query number, row ids, exact scores) of the k best rows but the query's own, ties to smaller ids."""
+        """(query number, row ids, exact scores) of the k best rows but the query's own, ties to smaller ids; wide scores are Python's integers."""
+        wide = self.wide(queries)
         repeats = int(np.unique(ids, return_counts=True)[1].max())
         picks = self.candidates(queries, k + repeats)  # room for the query's own rows
         for i, rows in enumerate(picks):
             rows = rows[ids[rows] != own[i]]
-            score = self.values[rows] @ queries[i]
-            best = np.lexsort((ids[rows], -score))[:k]
+            if wide:
+                score = self.values[rows].astype(object) @ queries[i].astype(object)
+                best = np.array(sorted(range(len(rows)), key=lambda n: (-score[n], ids[rows[n]]))[:k], dtype=np.int64)
+            else:
+                score = self.values[rows] @ queries[i]
+                best = np.lexsort((ids[rows], -score))[:k]
             yield i, ids[rows][best], score[best]
 
-
     def packed(self) -> tuple[bytes, bytes]:
         """The slices' frame (drop, lows, bits) and their bitmaps, one after another."""
         frame = np.array([self.drop, *self.low.tolist(), *self.bits], dtype=np.int64).tobytes()
@@ -171,6 +186,7 @@ class BitSlices:
         head = np.frombuffer(frame, np.int64)
         dim = (len(head) - 1) // 2
         self.values, self.n, self.drop, self.low = values, len(values), int(head[0]), head[1 : dim + 1]
+        self.shifted = (values - self.low) >> self.drop
         self.bits, self.words = head[dim + 1 :].tolist(), -(-len(values) // 64)
         flat = np.frombuffer(bitmaps, U64).reshape(-1, self.words)
         ends = np.cumsum(self.bits)
@@ -192,17 +208,33 @@ INDEX = "dim int, block int, ids binary, vectors binary, frame binary, slices bi
 QUERIES = "dim int, qb int, ids binary, vectors binary"
 
 
+def _ints(values: np.ndarray) -> bytes:
+    """Vectors in four bytes a component where that holds them all, else in eight."""
+    return values.astype("<i4" if not values.size or np.abs(values).max() < 1 << 31 else "<i8").tobytes()
+
+
+def _from_ints(data: bytes, rows: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, "<i4" if len(data) == 4 * rows * dim else "<i8").reshape(rows, dim).astype(np.int64)
+
+
+def _limbs(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores as (high, low) pairs of signed 64-bit integers that order alike: score = high * 2 ** 64 + low + 2 ** 63."""
+    if score.dtype != object:
+        return score >> 63, (score.view(U64) ^ U64(1 << 63)).view(np.int64)
+    return np.array([int(x) >> 64 for x in score], dtype=np.int64), np.array([(int(x) & ((1 << 64) - 1)) - (1 << 63) for x in score], dtype=np.int64)
+
+
 def _indexed(table: pa.Table) -> pa.Table:
     ids, values = _vectors(table)
     frame, slices = BitSlices(values).packed()
-    row = [table.column("dim")[0].as_py(), table.column("block")[0].as_py(), ids.astype("<i8").tobytes(), values.astype("<i4").tobytes(), frame, slices]
+    row = [table.column("dim")[0].as_py(), table.column("block")[0].as_py(), ids.astype("<i8").tobytes(), _ints(values), frame, slices]
     kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     return pa.table([pa.array([x], k) for x, k in zip(row, kinds)], ["dim", "block", "ids", "vectors", "frame", "slices"])
 
 
 def _grouped(table: pa.Table) -> pa.Table:
     ids, values = _vectors(table)
-    row = [table.column("dim")[0].as_py(), table.column("block")[0].as_py(), ids.astype("<i8").tobytes(), values.astype("<i4").tobytes()]
+    row = [table.column("dim")[0].as_py(), table.column("block")[0].as_py(), ids.astype("<i8").tobytes(), _ints(values)]
     return pa.table([pa.array([x], k) for x, k in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["dim", "qb", "ids", "vectors"])
 
 
@@ -226,55 +258,64 @@ def build(rows: DataFrame, folder: str, id_col: str = "vec_id", vector_col: str
     return shared.stored(_blocks(r, n).groupBy("dim", "block").applyInArrow(_indexed, INDEX), folder, "index")
 
 
-def _found(index: tuple, queries: tuple, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, row ids, scores) of one pair of blocks."""
+def _found(index: tuple, queries: tuple, k: int) -> list[tuple[np.ndarray, ...]]:
+    """(query ids, row ids, high and low limbs of scores) of one pair of blocks."""
     dim, ids, vectors, frame, slices = index
-    own, q = np.frombuffer(queries[0], "<i8"), np.frombuffer(queries[1], "<i4").reshape(-1, dim).astype(np.int64)
-    ids = np.frombuffer(ids, "<i8")
-    held = BitSlices.opened(np.frombuffer(vectors, "<i4").reshape(-1, dim).astype(np.int64), frame, slices)
+    own, ids = np.frombuffer(queries[0], "<i8"), np.frombuffer(ids, "<i8")
+    q = _from_ints(queries[1], len(own), dim)
+    held = BitSlices.opened(_from_ints(vectors, len(ids), dim), frame, slices)
     out = []
     for lo in range(0, len(q), QUERIES_AT_ONCE):
         for i, found, score in held.top(q[lo : lo + QUERIES_AT_ONCE], ids, own[lo : lo + QUERIES_AT_ONCE], k):
-            out.append((np.full(len(found), own[lo + i]), found, score))
+            out.append((np.full(len(found), own[lo + i]), found, *_limbs(score)))
     return out
 
 
 def _searched(batches: Iterator[pa.RecordBatch], k: int, broadcast) -> Iterator[pa.RecordBatch]:
-    """Index blocks against the query blocks that are broadcast, or against the one that came with the row."""
+    """Index blocks against the query blocks that are broadcast."""
     for batch in batches:
         for i in range(batch.num_rows):
-            row = [batch.column(c)[i].as_py() for c in range(batch.num_columns)]
-            mine = [q[1:] for q in broadcast.value if q[0] == row[0]] if broadcast is not None else [row[5:7]]
-            for queries in mine:
-                got = _found(tuple(row[:5]), queries, k)
+            row = tuple(batch.column(c)[i].as_py() for c in range(batch.num_columns))
+            for queries in [q[1:] for q in broadcast.value if q[0] == row[0]]:
+                got = _found(row, queries, k)
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*got)], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*got)], ["query_id", "vec_id", "high", "low"])
+
+
+FOUND = "query_id bigint, vec_id bigint, high bigint, low bigint"
 
 
 def search(index: DataFrame, queries: DataFrame, folder: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """query_id, rank, vec_id, score of the k highest scores of each query in an index; a row does not find its own id."""
+    """query_id, rank, vec_id, score of the k highest scores of each query in an index; a row does not find its own id.
+
+    Queries that take one round are searched when the result is read; those of several are searched at once, round by round.
+    """
     spark = index.sparkSession
     shared.attach(spark)
     q = shared.stored(_quantised(queries, id_col, vector_col, scale).distinct(), folder, "queries")
-    n_queries, n_bytes = q.agg(F.count("*"), F.coalesce(F.sum(F.col("dim") * 4 + 8), F.lit(0))).first()
-    n_queries = max(1, -(-n_queries // QUERIES_A_BLOCK))
-    blocks = shared.stored(_blocks(q, n_queries).groupBy("dim", "block").applyInArrow(_grouped, QUERIES), folder, "query-blocks")
-    schema = "query_id bigint, vec_id bigint, score bigint"
-    rows = index.select("dim", "ids", "vectors", "frame", "slices")
-    if n_bytes <= broadcast_bytes:
-        held = spark.sparkContext.broadcast([tuple(r) for r in blocks.select("dim", "ids", "vectors").collect()])
-        # Blocks are few and heavy: each goes to a task of its own.
-        best = rows.repartition(max(1, index.count())).mapInArrow(partial(_searched, k=k, broadcast=held), schema)
-    else:
-        other = blocks.select("dim", "qb", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
-        met = rows.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)))).join(other, ["dim", "qb"])
-        best = met.select("dim", "ids", "vectors", "frame", "slices", "q_ids", "q_vectors").mapInArrow(partial(_searched, k=k, broadcast=None), schema)
-    order = [F.col("score").desc(), F.col("vec_id").asc()]
+    n_queries, n_bytes = q.agg(F.count("*"), F.coalesce(F.sum(F.col("dim") * 8 + 8), F.lit(0))).first()
+    rounds = max(1, -(-n_bytes // max(broadcast_bytes, 1)))
+    n_blocks = max(1, -(-n_queries // QUERIES_A_BLOCK), min(rounds, n_queries))
+    rounds = min(rounds, n_blocks)
+    blocks = shared.stored(_blocks(q, n_blocks).groupBy("dim", "block").applyInArrow(_grouped, QUERIES), folder, "query-blocks")
+    rows = index.select("dim", "ids", "vectors", "frame", "slices").repartition(max(1, index.count()))  # blocks are few and heavy: each goes to a task of its own
+    for n in range(rounds):
+        mine = blocks.where(F.pmod("qb", F.lit(rounds)) == n).select("dim", "ids", "vectors")
+        held = spark.sparkContext.broadcast([tuple(r) for r in mine.collect()])  # about broadcast_bytes
+        best = rows.mapInArrow(partial(_searched, k=k, broadcast=held), FOUND)
+        if rounds > 1:
+            best.write.mode("overwrite").parquet(f"{folder}/found/round={n}")
+            held.destroy()
+    if rounds > 1:
+        best = spark.read.schema(FOUND).parquet(f"{folder}/found").drop("round")
+    order = [F.col("high").desc(), F.col("low").desc(), F.col("vec_id").asc()]
     # Each block pair gives k rows a query; the best of a group of blocks are taken before those of all.
     few = W.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(GROUPS))).orderBy(*order)
     best = best.withColumn("rank", F.row_number().over(few)).where(F.col("rank") <= k).drop("rank")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    low = F.col("low").bitwiseXOR(F.lit(-(1 << 63)))
+    score = F.when(F.shiftright(low, 63) == F.col("high"), low).when(F.col("high") < 0, F.lit(-(1 << 63))).otherwise(F.lit((1 << 63) - 1))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
