@@ -2,8 +2,8 @@
 
 A token file is a run of fixed-width little-endian ids without index; documents
 end with a separator id.  Files of any size are read by byte ranges (``read_files``):
-small ones whole, others as fixed-length records that Spark splits, so no task
-holds a file.  A block's scan is one vectorised comparison: it yields the
+small ones whole, others block by block, each block a row of its own wherever
+it lies, so no task holds a file.  A block's scan is one vectorised comparison: it yields the
 block's length, its first and last separator and the lengths between
 separators.  A document may begin many blocks before it ends, so per file a
 prefix scan over the blocks, running length and running last separator, gives
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import base64
 import json
-import math
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -133,32 +133,30 @@ def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.Rec
                 yield _block(path, at // block_bytes, bytes(data[at : at + block_bytes]), [])
 
 
-def _record_bytes(size: int, width: int, block_bytes: int) -> int:
-    """The longest record of whole ids, up to ``block_bytes``, that a file consists of."""
-    if size % width:
-        raise ValueError(f"a file of more than {WHOLE_BYTES} bytes ends inside an id")
-    n = size // width
-    best = 1
-    for d in range(1, math.isqrt(n) + 1):
-        if n % d == 0:
-            best = max([best, *(x for x in (d, n // d) if x * width <= block_bytes)])
-    return best * width
+def _ranged(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows (path, block) with the bytes of the block; the last one of a file is shorter."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for path, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            store, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+            with store.open_input_file(name) as f:
+                yield _block(path, number, f.read_at(block_bytes, number * block_bytes), [])
 
 
 def read_files(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES, width: int = 2, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
-    """Token files below a path, of any size, as blocks."""
+    """Token files below a path, of any size and number, as blocks numbered from each file's beginning.
+
+    Files beyond ``whole_bytes`` are opened by their path in the tasks, so they must lie where pyarrow reads (local and
+    shared folders, object stores, HDFS); smaller ones are read by Spark itself.
+    """
     shared.attach(spark)
-    block_bytes -= block_bytes % width
+    block_bytes = max(width, block_bytes - block_bytes % width)
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(path)
     small = rows.where(F.col("length") <= whole_bytes).select("path", "content").mapInArrow(partial(_cut, block_bytes=block_bytes), BLOCKS)
-    for big in rows.where(F.col("length") > whole_bytes).select("path", "length").collect():  # one row a large file
-        size = _record_bytes(big["length"], width, block_bytes)
-        conf = {"fixedlengthinputformat.record.length": str(size)}
-        name = big["path"]
-        records = spark.sparkContext.newAPIHadoopFile(name, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
-        blocks = records.map(lambda kv, name=name: (name, int(kv[0]), bytes(kv[1]), []))
-        small = small.unionByName(spark.createDataFrame(blocks, BLOCKS))
-    return small
+    numbers = F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("length") - 1, F.lit(block_bytes).cast("long")))
+    ranges = rows.where(F.col("length") > whole_bytes).select("path", F.explode(numbers).alias("block"))
+    return small.unionByName(ranges.repartition("path", "block").mapInArrow(partial(_ranged, block_bytes=block_bytes), BLOCKS))
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], eod: int, dtype: str) -> Iterator[pa.RecordBatch]:
