@@ -11,11 +11,14 @@ order are merged, an item only one side has becomes optional, a text that
 differs becomes a variable slot.  The result is the host's wrapper.
 
 Its slots are judged once per host.  The content root is the article, else the
-main element, else an element named as content, else the element whose variable
-slots hold most text.  A text that stands in one place of the wrapper on
-``TEMPLATE_SHARE`` of the host's pages, and on ``TEMPLATE_PAGES`` at least, is the
-template's and left out, in an article too, unless the page would lose more
-than half of its content so.  Menus, headers outside of the article, footers,
+main element, else an element named as content: what such an element holds is
+the author's, and nothing equal on all pages is taken from it.  On a host
+without one, the root is the element whose variable slots hold most text, and
+texts in it that ``TEMPLATE_SHARE`` of the host's pages, and ``TEMPLATE_PAGES`` at
+least, hold in one place of the wrapper are the template's where they stand
+before the first or after the last of a page's other texts; between them they
+stay, as a heading that all pages share.  A host without variable slots tells
+nothing of a template.  Menus, headers outside of the article, footers,
 sidebars, notices, adverts, forms and comments are left out by element, role or
 name; a name counts if all its parts are such names or plain words of layout.
 Each page is then read through its host's wrapper.
@@ -56,9 +59,9 @@ SALTS = 16
 HELD = 4000
 PERIODS = (2, 3, 4)
 DEEP = 100
-#: A text is the template's if at least this share of a host's pages with content holds it in one place, and at least so many pages.
+#: A text may be the template's if at least this share of a host's pages with content holds it in one place, and at least so many pages.
 TEMPLATE_SHARE = 0.9
-TEMPLATE_PAGES = 3
+TEMPLATE_PAGES = 2
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -290,12 +293,12 @@ def shape(item: list) -> str:
     return f"{item[0]}{item[1]}{item[2]}({','.join(map(shape, item[3]))})"
 
 
-def fold(items: list) -> list:
-    """Equal neighbours, and groups of up to four items that repeat, become one repeated item."""
+def fold(items: list, along: bool = True) -> list:
+    """Equal neighbours, and groups of up to four items that repeat, become one repeated item; ``along``: all are of one page."""
     out: list = []
     for item in items:
         if out and out[-1][0] == item[0]:
-            out[-1] = merge(out[-1], item)
+            out[-1] = merge(out[-1], item, along)
             out[-1][2] = 1
         else:
             out.append(item)
@@ -309,7 +312,7 @@ def fold(items: list) -> list:
             if times > 1:
                 body = out[at : at + period]
                 for t in range(1, times):
-                    body = [merge(a, b) for a, b in zip(body, out[at + t * period : at + (t + 1) * period])]
+                    body = [merge(a, b, along) for a, b in zip(body, out[at + t * period : at + (t + 1) * period])]
                 folded.append(["()", 0, 1, body])
                 at += times * period
             else:
@@ -319,27 +322,31 @@ def fold(items: list) -> list:
     return out
 
 
-def merge(a: list, b: list) -> list:
-    """The least expression of this kind that covers two items of one label."""
+def merge(a: list, b: list, along: bool = False) -> list:
+    """The least expression of this kind that covers two items of one label.
+
+    Texts that differ are variable; those of one page (``along``) are a list, which other pages may hold as well.
+    """
     optional, repeated = a[1] | b[1], a[2] | b[2]
     if a[0] == "#":
-        return ["#", optional, repeated, a[3] if a[3] == b[3] else 0, a[4] + b[4]]
-    return [a[0], optional, repeated, align(a[3], b[3])]
+        several = _hash(f"{a[3]} {b[3]}") if along and a[3] and b[3] else 0
+        return ["#", optional, repeated, a[3] if a[3] == b[3] and not along else several, a[4] + b[4]]
+    return [a[0], optional, repeated, align(a[3], b[3], along)]
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, along: bool = False) -> list:
     """Merge two sequences: common items in order, the others optional."""
     if [x[0] for x in a] == [x[0] for x in b]:
-        return [merge(x, y) for x, y in zip(a, b)]
+        return [merge(x, y, along) for x, y in zip(a, b)]
     out: list = []
     i = j = 0
     for p, q in common([v[0] for v in a], [v[0] for v in b]):
         out += [[v[0], 1, *v[2:]] for v in a[i:p]] + [[v[0], 1, *v[2:]] for v in b[j:q]]
-        out.append(merge(a[p], b[q]))
+        out.append(merge(a[p], b[q], along))
         i, j = p + 1, q + 1
     out += [[v[0], 1, *v[2:]] for v in a[i:]] + [[v[0], 1, *v[2:]] for v in b[j:]]
     # Optional neighbours of one label are one repeated item.
-    return fold(out)
+    return fold(out, along)
 
 
 def _lengths(a: list[str], b: list[str]) -> list[int]:
@@ -424,7 +431,7 @@ def path_of(above: int, label: str) -> int:
 
 
 def compiled(wrapper: list, template: dict[int, frozenset[int]] | None = None) -> Slots:
-    """Elements of a wrapper with their judgement; ``template``: the template's texts by path."""
+    """Elements of a wrapper with their judgement; ``template``: the texts of (nearly) all pages by path."""
     root = Slots("", False, 0, False)
     root.take(wrapper[3])
     usable = [s for s in root.every() if not s.out]
@@ -433,7 +440,8 @@ def compiled(wrapper: list, template: dict[int, frozenset[int]] | None = None) -
     roots = [s for s in usable if tag(s) == "article"]
     roots = roots or [s for s in usable if tag(s) == "main" or "@main" in s.label]
     roots = roots or [s for s in usable if tag(s) in ("div", "section", "td") and named(s)]
-    if not roots:
+    told = not roots
+    if told:
         gain = lambda s: s.weight + sum(k.weight for k in s.kids.values() if not k.out and tag(k) not in ("div", "section", "td", "body"))
         best = max(usable, key=gain)
         # Without a variable text the pages tell nothing of the template.
@@ -444,13 +452,14 @@ def compiled(wrapper: list, template: dict[int, frozenset[int]] | None = None) -
         if not s.out:
             s.content = True
             todo += s.kids.values()
-    for s in root.every():
-        s.fixed = (template or {}).get(s.path, frozenset())
+    if told and any(s.weight for s in root.every() if s.content):
+        for s in root.every():
+            s.fixed = (template or {}).get(s.path, frozenset())
     return root
 
 
 def main_text(page: str | None, wrapper: Slots) -> str:
-    """Content of a page read through its host's wrapper: blocks joined by line ends."""
+    """Content of a page read through its host's wrapper: blocks joined by line ends, the template's around them left out."""
     blocks: list[tuple[str, bool]] = []
     stack: list[Slots | None] = [wrapper]
     for kind, value, _ in walked(page or ""):
@@ -462,10 +471,8 @@ def main_text(page: str | None, wrapper: Slots) -> str:
             stack.append(here.kids.get(value) if here is not None else None)
         else:
             stack.pop()
-    own = [text for text, fixed in blocks if not fixed]
-    if 2 * sum(map(len, own)) < sum(len(text) for text, _ in blocks):
-        own = [text for text, _ in blocks]
-    return "\n".join(own)
+    own = [n for n, (_, fixed) in enumerate(blocks) if not fixed]
+    return "\n".join(text for text, _ in blocks[own[0] : own[-1] + 1]) if own else ""
 
 
 SEEN = "host string, salt int, shape string, wrapper string, path bigint, text bigint, pages bigint"
@@ -473,7 +480,7 @@ SEEN = "host string, salt int, shape string, wrapper string, path bigint, text b
 
 def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a task's pages: one expression per host and shape, and on how many pages each text stands in each place."""
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 3]
     names = ["host", "salt", "shape", "wrapper", "path", "text", "pages"]
     shapes: dict[tuple[str, str], list] = {}
     places: dict[tuple[str, int, int], int] = {}
@@ -533,7 +540,7 @@ def _merged(table: pa.Table) -> pa.Table:
 
 
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html", folder: str | None = None) -> DataFrame:
-    """host, wrapper (an expression as JSON), pages (those with content), template (path, text hashes): one row per host."""
+    """host, wrapper (an expression as JSON), pages (those with content), template (path, text hash of what nearly all pages hold): one row per host."""
     spark = pages.sparkSession
     shared.attach(spark)
     rows = pages.select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))

@@ -56,13 +56,20 @@ def alone(page):
     return html_wrappers.main_text(page, html_wrappers.compiled(html_wrappers.expression(page)))
 
 
+def test_nothing_equal_on_all_pages_is_taken_from_an_article(spark):
+    page = "<article><h1>Title {0}</h1><h2>Ingredients</h2><p>Body {0}.</p><p>Serves four</p></article>"
+    for n in (1, 2, 3, 6):
+        assert texts_of(spark, [page.format(k) for k in NUMBERS[:n]]) == {i: f"Title {k}\nIngredients\nBody {k}.\nServes four" for i, k in enumerate(NUMBERS[:n])}
+
+
 def test_the_other_pages_of_a_host_change_a_text(spark):
-    page = "<article><h1>Title {0}</h1><p>Body {0} that is long enough to stand.</p><p>Share this on social</p></article>"
+    page = "<div><p>Our site</p><ul><li>Home</li><li>News</li></ul><h1>Title {0}</h1><h2>Ingredients</h2><p>Body {0} that is long enough to stand.</p><hr>Share this on social</div>"
     pages = [page.format(n) for n in NUMBERS[:6]]
-    assert alone(pages[0]).endswith("Share this on social")
-    got = texts_of(spark, pages)
-    assert got[0] == "Title one\nBody one that is long enough to stand."
-    # Copies of one page tell nothing of the template: it would lose everything, so it keeps all.
+    # Alone, a page says nothing of its template; aligned with others, what stands constant around their variable part goes.
+    assert alone(pages[0]) == "Our site\nHome\nNews\nTitle one\nIngredients\nBody one that is long enough to stand.\nShare this on social"
+    for n in (2, 3, 6):
+        assert texts_of(spark, pages[:n])[0] == "Title one\nIngredients\nBody one that is long enough to stand."
+    # Copies of one page tell nothing either.
     assert set(texts_of(spark, pages[:1] * 5).values()) == {alone(pages[0])}
 
 

@@ -70,6 +70,21 @@ def test_license_templates_may_be_given(frame):
         licenses.templates(notices=[("x", "a b c " * 30)] * 1000)
 
 
+def test_long_license_templates_are_matched_whole(frame):
+    words = [f"w{i}" for i in range(100)]
+    far = ["z"] * 90
+    texts = {1: words[:32], 2: words[20:], 3: far + words[20:] + far, 4: words[21:], 5: far[:77] + words, 6: words[::-1], 7: words[:50] + far + far + words[50:]}
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in texts.items()] + [(8, " ".join(f"w{i}" for i in range(20, 40)), "en", "s", 0)]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(frame(rows), notices=[("long", " ".join(words)), ("short", " ".join(words[20:40]))]).collect()}
+    # Blocks of the long template hold 256 words and start every 128: brute force over them, as over those of 64 words.
+    share = lambda t, w, step: max(len(set(w) & set(t[k : k + 2 * step])) / len(w) for k in range(0, len(t), step))
+    for i, t in (*texts.items(), (8, words[20:40])):
+        scores = {"long": share(t, words, 128), "short": share(t, words[20:40], 32)}
+        found = sorted(k for k, s in scores.items() if s >= 0.8)
+        assert got[i] == (",".join(found), max([0.0, *[scores[k] for k in found]])), i
+    assert got[1] == ("", 0.0) and got[2] == ("long,short", 1.0) and got[4][0] == "short" and got[5][0] == "long,short" and got[6][0] == "long,short"
+
+
 @pytest.mark.parametrize("spread", [3, 400])
 def test_top_k_with_ties(spark, spread):
     r = np.random.default_rng(1)
@@ -105,13 +120,38 @@ def test_top_k_of_clashing_repeated_and_uneven_rows(spark):
     queries = {i: v for i, v in whole if i % 100 == 0}
     want = set()
     for i, q in queries.items():
-        held = sorted(((-int(v @ q), j) for j, v in whole if j != i and len(v) == len(q)))[:10]
-        want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(held)}
+        held = sorted(((-sum(int(a) * int(b) for a, b in zip(v, q)), j) for j, v in whole if j != i and len(v) == len(q)))[:10]
+        want |= {(i, n + 1, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, j) in enumerate(held)}
     for limit in (1 << 26, 0):
         got = bit_sliced.top_k(df.where("vec_id % 100 = 0"), df, 10, broadcast_bytes=limit).collect()
         assert {tuple(x) for x in got} == want
 
 
+def test_top_k_of_large_components(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [70000.0]), (2, [100000.0]), (3, [-9e9]), (100, [-2.5e9]), (5, [2.0**46]), (6, [2.0**46 + 1])], "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in bit_sliced.top_k(df.where("vec_id % 100 = 0"), df, 10).collect()}
+    assert got[0, 3] == (2, 104857600000) and got[0, 4] == (1, 73400320000) and got[0, 1] == (6, (1 << 63) - 1) and got[0, 2] == (5, (1 << 63) - 1)
+    # The true scores decide, also where two of them do not fit 64 bits.
+    assert [got[100, k] for k in (1, 2)] == [(3, (1 << 63) - 1), (0, -2560000000000 * 1024)] and [got[100, k][0] for k in (5, 6)] == [5, 6]
+
+
+@pytest.mark.parametrize("size", [1 << 20, 1 << 31, 1 << 45])
+def test_wide_sums_are_exact(size):
+    r = np.random.default_rng(size % 97)
+    values = r.integers(-size, size + 1, (300, 5))
+    values[50:90] = values[50]
+    index, ids = bit_sliced.BitSlices(values), np.arange(300)
+    reopened = bit_sliced.BitSlices.opened(values, *index.packed())
+    assert index.wide(values[:12]) == (size > 1 << 29)
+    for held in (index, reopened):
+        for i, found, score in held.top(values[:12], ids, ids[:12], 10):
+            exact = [sum(int(a) * int(b) for a, b in zip(v, values[i])) for v in values]
+            want = sorted((n for n in range(300) if n != i), key=lambda n: (-exact[n], n))[:10]
+            assert found.tolist() == want and [int(s) for s in score] == [exact[n] for n in want]
+            high, low = bit_sliced._limbs(score)
+            assert [int(h) * (1 << 64) + int(x) + (1 << 63) for h, x in zip(high, low)] == [exact[n] for n in want]
+
+
 def test_an_index_serves_many_query_sets(spark, tmp_path):
     r = np.random.default_rng(2)
     df = spark.createDataFrame([(i, [float(x) for x in r.normal(size=4)]) for i in range(300)], "vec_id bigint, embedding array<double>")
@@ -201,13 +241,17 @@ def test_token_files(spark, tmp_path):
     np.array([9, 1, 2, 9, 9, 3, 9, 4, 5], "<u4").tofile(tmp_path / "a.bin")
     (tmp_path / "b.bin").write_bytes(b"")
     for size in (4, 8, 1 << 20):
-        for whole in (1 << 20, 8):  # as one row, or as records of a fixed length
+        for whole in (1 << 20, 8):  # as one row, or by ranges
             blocks = token_counts.read_files(spark, f"file://{tmp_path}", size, width=4, whole_bytes=whole)
             rows = token_counts.count(blocks, eod=9, dtype="<u4").orderBy("doc_no").collect()
             assert [r.n_tokens for r in rows] == [0, 2, 0, 1, 2]
-    (tmp_path / "c.bin").write_bytes(b"123456789")
-    with pytest.raises(ValueError):
-        token_counts.read_files(spark, f"file://{tmp_path}", 8, width=4, whole_bytes=8)
+    # An odd byte at the end is left out, and a prime number of ids makes no more blocks than any other.
+    (tmp_path / "c.bin").write_bytes(np.array([9, 7] * 5 + [8], "<u4").tobytes() + b"x")
+    for whole in (1 << 20, 8):
+        blocks = token_counts.read_files(spark, f"file://{tmp_path}", 12, width=4, whole_bytes=whole)
+        assert blocks.where("file like '%c.bin'").agg({"block": "max"}).first()[0] == 3
+        rows = token_counts.count(blocks, eod=9, dtype="<u4").where("file like '%c.bin'").orderBy("doc_no").collect()
+        assert [r.n_tokens for r in rows] == [0, 1, 1, 1, 1, 2]
 
 
 PAGE = '<html><head><title>t</title><script>var x = "</p><nav>";</script></head><body><header>Site</header><nav><ul><li>Home<li>News</ul></nav><div class="sidebar">side</div><article><h1>T &amp; {0}</h1><p>a<b>b</b> c{0}<p>d&nbsp;e<br>f<div class="comments"><p>no</p></div><form>f</form></article><div class="cookie-notice">z</div><footer>foot</footer></body></html>'
@@ -219,7 +263,7 @@ def test_html_wrappers(spark):
     for limit in (1 << 26, 0):  # wrappers broadcast, wrappers joined
         got = {r.page_id: r for r in html_wrappers.extract(df, broadcast_bytes=limit).collect()}
         assert len(got) == len(pages)
-        assert got[3].text == "T & 3\nab c3" and got[3].n_chars == len(got[3].text)
+        assert got[3].text == "T & 3\nab c3\nd e f" and got[3].n_chars == len(got[3].text)
         assert got[20].text == got[21].text == "" and got[22].text == "plain text" and got[23].text == "one\ntwo"
     assert html_wrappers.extract(df.limit(0)).count() == 0
 
