@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import dense, fusion, graph, intervals, sparse
+from quarry.operators import dense, fusion, graph, impact, intervals, sparse
 from quarry.plans import composite, planner
 from quarry.skills import Tools
 from quarry.sources import chunkers, repository
@@ -25,6 +25,14 @@ class Engine:
     def __init__(self, spark: SparkSession, chunks: DataFrame, vectors: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, occurrences: DataFrame | None = None, files: DataFrame | None = None):
         self.spark, self.chunks, self.vectors, self.nodes, self.edges, self.occurrences, self.files = spark, chunks, vectors, nodes, edges, occurrences, files
 
+    #: The kept lexical view that searches read, once ``open_lexical`` has named it.
+    postings: impact.View | None = None
+
+    def open_lexical(self, root: str) -> Engine:
+        """Let searches read the postings that ``index`` wrote below a folder, instead of the chunks' texts."""
+        self.postings = impact.load(self.spark, f"{root}/lexical")
+        return self
+
     @classmethod
     def from_repository(cls, spark: SparkSession, root: str, embed=None) -> Engine:
         """Scan a folder of source files into chunks, a symbol graph and vectors.
@@ -59,6 +67,7 @@ class Engine:
         """Write all views below a folder."""
         repository.save_view(self.chunks, root, "chunks", version)
         repository.save_postings(self.chunks.withColumn("body", F.concat_ws(" ", "file", "content")), "chunk_id", text.lexical_tokens(F.col("body")), root, version)
+        impact.build(self.chunks, "chunk_id", text.lexical_tokens(F.concat_ws(" ", "file", "content")), f"{root}/lexical")
         if self.vectors is not None:
             repository.save_vectors(self.vectors.select(F.col("chunk_id").alias("node_id"), "vector", F.lit("l2").alias("level")), root, version)
         if self.nodes is not None:
@@ -80,7 +89,7 @@ class Engine:
         asked = text.lexical_tokens(F.col("query"))
         body = text.lexical_tokens(F.concat_ws(" ", "file", "content"))
         test = text.is_test_path(F.col("file")) if drop_tests else None
-        return sparse.search(self.chunks, queries, "chunk_id", "query_id", k, max(k, 128), body, asked, test)
+        return sparse.search(self.chunks, queries, "chunk_id", "query_id", k, max(k, 128), body, asked, test, self.postings)
 
     def grep(self, pattern: str, *, glob: str | None = None, case_sensitive: bool = False) -> DataFrame:
         where = text.matches_any(F.col("file"), [glob]) if glob else None

@@ -24,11 +24,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage in the folder that spark.checkpoint.dir names; a local one is set only where all runs on one machine."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(_base(df.sparkSession))
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()
 
 
-def _base(spark) -> str:
+def shared_base(spark) -> str:
+    """The folder all machines share, without a slash at its end."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
@@ -41,7 +42,7 @@ class Rounds:
     """States of an iteration as tables of the shared folder; a state goes when the one after its successor is written."""
 
     def __init__(self, spark):
-        self.spark, self.folder, self.n = spark, f"{_base(spark)}/rounds-{uuid.uuid4().hex}", 0
+        self.spark, self.folder, self.n = spark, f"{shared_base(spark)}/rounds-{uuid.uuid4().hex}", 0
 
     def put(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{self.n}"

@@ -102,31 +102,71 @@ def islands(rows: DataFrame, by: list[str], start: str, end: str, gap: int) -> D
     return out.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
 
-def first_fit_windows(anchors: DataFrame, gap: int = 8, most: int = 200) -> DataFrame:
+#: Lines of a stretch; a file's spans are looked at stretch by stretch when islands are cut.
+STRETCH = 4096
+
+
+def with_island(spans: DataFrame, gap: int, first: str = "first", last: str = "last", by: str = "file", stretch: int = STRETCH) -> DataFrame:
+    """Adds ``island``: spans of a file share one unless more than ``gap`` points lie between them, over any number of spans between.
+
+    No task sees all spans of a file.  A span reaches into one stretch or more; per stretch, where the spans that begin
+    earlier end is a running maximum over stretches.  A span begins an island if it starts beyond what all spans before it
+    reach; the number of an island is its first point.  Spans without first or last point, or that end before they
+    begin, are islands of their own.
+    """
+    whole = spans.withColumn("_ok", F.coalesce(F.col(first) <= F.col(last), F.lit(False)))
+    part = F.call_function("div", F.col(first).cast("bigint") - F.pmod(F.col(first).cast("bigint"), F.lit(stretch)), F.lit(stretch).cast("bigint"))
+    distinct = whole.where("_ok").groupBy(by, F.col(first).alias("_first"), part.alias("_part")).agg(F.max(last).alias("_reach"))
+    ends = distinct.groupBy(by, "_part").agg(F.max("_reach").alias("_end"))
+    before = W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(by, "_part", F.max("_end").over(before).alias("_before"))
+    order = W.partitionBy(by, "_part").orderBy("_first")
+    reach = F.max("_reach").over(order.rowsBetween(W.unboundedPreceding, -1))
+    placed = distinct.join(ends, [by, "_part"]).withColumn("_reached", F.greatest(reach, "_before"))
+    begins = F.when(F.coalesce(F.col("_first") > F.col("_reached") + gap + 1, F.lit(True)), F.col("_first"))
+    placed = placed.withColumn("_begin", F.max(begins).over(order))
+    starts = placed.groupBy(by, "_part").agg(F.max("_begin").alias("_last"))
+    starts = starts.select(by, "_part", F.max("_last").over(before).alias("_carried"))
+    placed = placed.join(starts, [by, "_part"]).select(by, F.col("_first").alias(first), F.coalesce("_begin", "_carried").alias("island"))
+    out = whole.join(placed, [by, first], "left")
+    return out.withColumn("island", F.when(F.col("_ok"), F.col("island"))).drop("_ok")
+
+
+def first_fit_windows(anchors: DataFrame, gap: int = 8, most: int = 200, stretch: int = STRETCH) -> DataFrame:
     """file, first, last: anchors (file, rank, first, last) join, in rank order, the first window they fit into.
 
-    The outcome depends on the order of anchors, so a file's anchors are read in one go.
+    Anchors with more than ``gap`` points between them never share a window, nor do windows of different islands ever meet,
+    so each island of a file is folded alone; its windows are kept in the order in which they began, and an anchor looks
+    only at those that begin near it.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         windows: list[list[int]] = []
-        for row in pdf.sort_values("rank").itertuples():
-            for w in windows:
-                low, high = min(w[0], row.first), max(w[1], row.last)
-                if row.first <= w[1] + gap and row.last >= w[0] - gap and high - low + 1 <= most:
+        near: dict[int, set[int]] = {}  # numbers of windows by the stretches of ``most`` points that they may take anchors from
+        for first, last in pdf.sort_values(["rank", "first", "last"])[["first", "last"]].itertuples(index=False):
+            found = sorted(near.get(first // most, ()))
+            for n in found:
+                w = windows[n]
+                low, high = min(w[0], first), max(w[1], last)
+                if first <= w[1] + gap and last >= w[0] - gap and high - low + 1 <= most:
                     w[0], w[1] = low, high
                     break
             else:
-                windows.append([row.first, row.last])
+                n = len(windows)
+                windows.append([first, last])
+            for k in range((windows[n][0] - most) // most, (windows[n][1] + gap) // most + 1):
+                near.setdefault(k, set()).add(n)
         return pd.DataFrame({"file": pdf["file"].iloc[0], "first": [w[0] for w in windows], "last": [w[1] for w in windows]})
 
-    return anchors.groupBy("file").applyInPandas(fit, "file string, first bigint, last bigint")
+    anchors = anchors.where("first is not null and last is not null")
+    return with_island(anchors, gap, stretch=stretch).groupBy("file", "island").applyInPandas(fit, "file string, first bigint, last bigint")
 
 
-def distinct_spans(spans: DataFrame, by: list[str] | None = None) -> DataFrame:
+def distinct_spans(spans: DataFrame, by: list[str] | None = None, stretch: int = STRETCH) -> DataFrame:
     """Spans (file, rank, first, last) that overlap no span kept before them, for each file (or each ``by``).
 
-    Kept spans are disjoint, so a new one is compared with its two neighbours alone.
+    Spans of different islands do not overlap, so each island is folded alone.  Kept spans are disjoint: a new one is
+    compared with its two neighbours.
     """
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -141,9 +181,11 @@ def distinct_spans(spans: DataFrame, by: list[str] | None = None) -> DataFrame:
             firsts.insert(at, first)
             lasts.insert(at, last)
             kept.append(i)
-        return pdf.iloc[kept]
+        return pdf.iloc[kept][columns]
 
-    return spans.groupBy(*(by or ["file"])).applyInPandas(keep, spans.schema)
+    by, columns = by or ["file"], spans.columns
+    rows = spans.withColumn("_group", F.struct(*by))
+    return with_island(rows, -1, by="_group", stretch=stretch).groupBy(*by, "island").applyInPandas(keep, spans.schema)
 
 
 def chunk_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.functions import text
+from quarry.functions import text, trigrams
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
+from . import impact
+from .impact import B, EPSILON, K1
 
 
 def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
@@ -26,9 +27,11 @@ def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: int, doc_tokens: Column, query_tokens: Column) -> DataFrame:
-    """query_id, id, score, rank: Okapi scores of the k best documents of each query that hold one of its terms.
+    """query_id, id, score, rank: Okapi scores of the min(k, n) best documents of each query, from the texts themselves.
 
-    A term's negative idf is replaced by EPSILON times the mean idf of all terms; a term asked twice counts twice.
+    A term's negative idf is replaced by EPSILON times the mean idf of all terms; a term asked twice counts twice; a
+    document without any of the terms scores 0.  Repeated searches of one corpus read a kept view (``impact``), which
+    ranks alike.
     Document frequencies are counted map-side over each text's distinct terms; only asked terms reach the shuffle of
     term frequencies.  The corpus' size and means are scalar subqueries, so no job runs before the result is asked for.
     """
@@ -46,17 +49,24 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: in
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
     held = held.select("term", "id", share.alias("share"))
     hits = held.join(asked.join(weight, "term"), "term")
-    scored = hits.groupBy("query_id", "id").agg(F.sum(F.col("times") * F.col("idf") * F.col("share")).alias("score"))
-    return top_k(scored.withColumn("score", F.round("score", 6)), ["query_id"], [F.col("score").desc(), F.col("id").asc()], k)
+    scored = hits.groupBy("query_id", "id").agg(F.sum(impact.contribution(F.col("times") * F.col("idf"), F.col("share"))).alias("units"))
+    return impact.ranked(scored, queries.select(F.col(query_col).alias("query_id")), rows, floor, k)
 
 
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def search(docs: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: int, max_k: int, doc_tokens: Column, query_tokens: Column, is_test: Column | None = None) -> DataFrame:
-    """BM25 candidates, then the test filter, then the cut: fewer than k rows may stay.  ``score`` is 0, the true one is ``bm25``."""
-    rows = bm25(docs, queries, id_col, query_col, max_k, doc_tokens, query_tokens).withColumnRenamed("score", "bm25")
+def search(docs: DataFrame, queries: DataFrame, id_col: str, query_col: str, k: int, max_k: int, doc_tokens: Column, query_tokens: Column, is_test: Column | None = None, view: impact.View | None = None) -> DataFrame:
+    """BM25 candidates, then the test filter, then the cut: fewer than k rows may stay.  ``score`` is 0, the true one is ``bm25``.
+
+    With a kept view of the documents no text is tokenised.
+    """
+    if view is not None:
+        rows = impact.search(view, queries, query_col, max_k, query_tokens)
+    else:
+        rows = bm25(docs, queries, id_col, query_col, max_k, doc_tokens, query_tokens)
+    rows = rows.withColumnRenamed("score", "bm25")
     if is_test is not None:
         rows = rows.join(docs.where(~is_test).select(F.col(id_col).alias("id")), "id")
     rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where(F.col("rank") <= k)
@@ -104,14 +114,14 @@ def occurrences(chunks: DataFrame, identifier: str, content: Column, name: Colum
     return rows.withColumn("calls", calls).withColumn("context", common).orderBy(F.col("context").desc(), F.col("calls").desc(), order).limit(k)
 
 
-def trigrams(value: Column) -> Column:
+def grams(value: Column) -> Column:
     """Distinct lower-case trigrams, cut in one pass over the text."""
     return F.array_distinct(F.regexp_extract_all(F.lower(value), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
 
 
 def trigram_index(docs: DataFrame, id_col: str, content: Column) -> DataFrame:
     """gram, id: which documents hold a trigram.  Made once per corpus and stored; searches read the grams they need."""
-    return docs.select(F.explode(trigrams(content)).alias("gram"), F.col(id_col).alias("id"))
+    return docs.select(F.explode(grams(content)).alias("gram"), F.col(id_col).alias("id"))
 
 
 def parsed_query(query: str) -> dict:
@@ -131,18 +141,27 @@ def parsed_query(query: str) -> dict:
     return out
 
 
-def literal_runs(pattern: str) -> list[str]:
-    """Texts of three characters or more that every match of a pattern holds; none if the pattern has alternatives."""
-    if re.search(r"[|(\[?{]|\\[^.\-/_ ()]", pattern):
-        pattern = re.split(r"[|(\[?{\\]", pattern)[0][:-1] if "|" not in pattern else ""
-    runs = re.split(r".[*?]|[.^$+]", re.sub(r"\\([.\-/_ ()])", "\0", pattern))
-    return [r for r in runs if len(r) >= 3 and "\0" not in r]
+def keep_trigrams(docs: DataFrame, id_col: str, content: Column, folder: str) -> DataFrame:
+    """The trigram index written below a folder, ordered by gram, so a search reads the row groups of its grams."""
+    index = trigram_index(docs, id_col, content)
+    index.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(folder)
+    return docs.sparkSession.read.schema(index.schema).parquet(folder)
+
+
+def candidates(index: DataFrame, plans: list[trigrams.Plan]) -> DataFrame | None:
+    """id of the documents whose trigrams meet all conditions; None if these say nothing.  An id's row holds asked grams only."""
+    plan = trigrams.joined("and", plans)
+    if plan is True:
+        return None
+    grams = sorted(trigrams.grams_of(plan))
+    held = index.where(F.col("gram").isin(grams)).groupBy("id").agg(F.collect_set("gram").alias("held"))
+    return held.where(trigrams.holds(plan, F.col("held"))).select("id")
 
 
 def trigram_search(docs: DataFrame, query: str, id_col: str, content: Column, path: Column | None = None, index: DataFrame | None = None) -> DataFrame:
     """Documents in which every atom of the query holds.
 
-    With an index, documents that lack a trigram of a literal part are never read; the atoms themselves decide.
+    With an index, documents whose trigrams rule an atom out are never read; the atoms themselves decide.
     Without one the texts are scanned once.
     """
     q = parsed_query(query)
@@ -151,10 +170,9 @@ def trigram_search(docs: DataFrame, query: str, id_col: str, content: Column, pa
     for f in q["files"]:
         out = out.where(path.rlike(f)) if path is not None else out.limit(0)
     if index is not None:
-        literals = q["plain"] + [r for p in q["regex"] for r in literal_runs(p)]
-        wanted = sorted({t.lower()[i : i + 3] for t in literals for i in range(len(t) - 2)})
-        if wanted:
-            found = index.where(F.col("gram").isin(wanted)).groupBy("id").agg(F.countDistinct("gram").alias("n")).where(F.col("n") == len(wanted))
+        plain = [trigrams.of_texts(frozenset([t.lower()])) for t in q["plain"] if t.isascii()]
+        found = candidates(index, [*plain, *map(trigrams.plan_of, q["regex"])])
+        if found is not None:
             out = out.join(found.select(F.col("id").alias(id_col)), id_col, "left_semi")
     for t in q["plain"]:
         out = out.where(fold(content).contains(t if q["case"] else t.lower()))

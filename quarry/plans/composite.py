@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import dense, fusion, graph, intervals, projection, routes, sparse
+from quarry.operators import dense, fusion, graph, impact, intervals, projection, routes, sparse
 
 from . import planner
 
@@ -28,6 +28,7 @@ class Views:
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
     files: DataFrame | None = None
+    postings: impact.View | None = None
     extra: dict = field(default_factory=dict)
 
     @property
@@ -39,7 +40,7 @@ def lexical(views: Views, questions: DataFrame, k: int, drop_tests: bool = False
     """query_id, key, score (0), rank by BM25."""
     tokens = T.lexical_tokens(F.col("content"))
     test = T.is_test_path(F.col("file")) if drop_tests else None
-    out = sparse.search(views.chunks, questions, "key", "query_id", k, max(k, 128), tokens, T.lexical_tokens(F.col("query")), test)
+    out = sparse.search(views.chunks, questions, "key", "query_id", k, max(k, 128), tokens, T.lexical_tokens(F.col("query")), test, views.postings)
     return out.select("query_id", F.col("id").alias("key"), "score", "rank")
 
 

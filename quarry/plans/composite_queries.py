@@ -12,7 +12,7 @@ from quarry.registry import query, table
 
 from . import composite
 from .retrieval_queries import _QV, _six, _TOKENS, bm25_sql, dense_sql
-from .views import CODE_SQL, code_edges, code_files, code_nodes
+from .views import CODE_SQL, code_edges, code_files, code_nodes, lexical_view
 
 _C = f"WITH RECURSIVE {CODE_SQL}"
 _USABLE = "start_line <> end_line AND NOT regexp_matches(lower(file), '(^|/)(test|tests|spec|specs|__tests__)/') AND NOT regexp_matches(regexp_extract(lower(file), '[^/]*$'), '^test|_test[.][a-z]+$|[.](test|spec)[.]')"
@@ -26,7 +26,7 @@ def _views(spark: SparkSession, d: str) -> composite.Views:
     chunks = code_files(spark, d).select(F.col("doc_id").alias("key"), F.col("path").alias("file"), F.col("text").alias("content"), (F.lit(8000000000) + F.col("doc_id") * 4 + 1).alias("vid"))
     chunks = chunks.join(own.withColumn("_has", F.lit(1)), "vid", "left").withColumn("vid", F.when(F.col("_has") == 1, F.col("vid"))).drop("_has")
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
-    return composite.Views(chunks, vectors, nodes, code_edges(spark, d), code_files(spark, d))
+    return composite.Views(chunks, vectors, nodes, code_edges(spark, d), code_files(spark, d), lexical_view(spark, d))
 
 
 def _questions(spark: SparkSession, d: str, more: str = "") -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import dense, fusion, sparse
+from quarry.operators import dense, fusion, impact, sparse
 from quarry.registry import query, table
 
 from . import planner
+from .views import lexical_view, word_tokens
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(regexp_replace({}, '\\(\\)', '', 'g')), '[^a-z0-9]+'), lambda t: t <> '')"
 _SPACE = "list_filter(regexp_split_to_array({}, '\\s+'), lambda t: t <> '')"
@@ -22,23 +23,26 @@ po AS (SELECT id, len(ts) AS dl, term, count(*) AS tf FROM (SELECT id, ts, unnes
 i0 AS (SELECT term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM po, st GROUP BY 1),
 i1 AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM i0) ELSE idf END AS idf FROM i0),
 qt AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({tokens.format('text')}) AS term FROM benchmark) GROUP BY ALL),
-sc AS (SELECT query_id, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))), 6) AS score FROM qt JOIN i1 USING (term) JOIN po USING (term), st GROUP BY ALL),
-{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM sc) WHERE rank <= {k})"""
-
-
-def _space_tokens(c: str):
-    return F.filter(F.split(F.col(c), r"\s+"), lambda t: t != "")
+sc AS (SELECT query_id, id, sum(round(times * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean))) * 1099511627776.0)::BIGINT)::BIGINT AS units FROM qt JOIN i1 USING (term) JOIN po USING (term), st GROUP BY ALL),
+sd0 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY units DESC, id) AS r FROM sc),
+sz AS (SELECT item_id AS query_id, id, 0::BIGINT AS units FROM benchmark, (SELECT DISTINCT id FROM dt WHERE id IS NOT NULL) WHERE item_id NOT IN (SELECT query_id FROM sd0 WHERE units > 0 AND r = {k})),
+sa AS (SELECT query_id, id, units FROM sd0 WHERE r <= {k} UNION ALL SELECT sz.* FROM sz LEFT JOIN sc ON sc.query_id = sz.query_id AND sc.id = sz.id WHERE sc.id IS NULL),
+{name} AS (SELECT query_id, id, round(units / 1099511627776.0, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY units DESC, id)::INTEGER AS rank FROM sa QUALIFY rank <= {k})"""
 
 
 def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
-    tokens = text.lexical_tokens(F.col("text"))
-    return sparse.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", k, tokens, tokens)
+    return impact.search(lexical_view(spark, d), table(spark, d, "benchmark"), "item_id", k, text.lexical_tokens(F.col("text")))
 
 
 @query("t1_bm25_topk", f"WITH {bm25_sql(_SPACE, 10)} SELECT query_id, id AS doc_id, score, rank FROM bm")
 def t1(spark: SparkSession, d: str) -> DataFrame:
-    tokens = _space_tokens("text")
-    out = sparse.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", 10, tokens, tokens)
+    out = impact.search(lexical_view(spark, d, words=True), table(spark, d, "benchmark"), "item_id", 10, word_tokens("text"))
+    return out.select("query_id", F.col("id").alias("doc_id"), "score", "rank")
+
+
+@query("t1_bm25_scan", f"WITH {bm25_sql(_SPACE, 10)} SELECT query_id, id AS doc_id, score, rank FROM bm")
+def t1_scan(spark: SparkSession, d: str) -> DataFrame:
+    out = sparse.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", 10, word_tokens("text"), word_tokens("text"))
     return out.select("query_id", F.col("id").alias("doc_id"), "score", "rank")
 
 
@@ -46,10 +50,17 @@ def t1(spark: SparkSession, d: str) -> DataFrame:
 SELECT query_id, id AS doc_id, 0.0::DOUBLE AS score, bm25, rank FROM k WHERE rank <= 10""")
 def t2(spark: SparkSession, d: str) -> DataFrame:
     tokens = text.lexical_tokens(F.col("text"))
-    out = sparse.search(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", 10, 20, tokens, tokens, is_test=F.col("doc_id") % 5 == 0)
+    out = sparse.search(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id", 10, 20, tokens, tokens, is_test=F.col("doc_id") % 5 == 0, view=lexical_view(spark, d))
     return out.select("query_id", F.col("id").alias("doc_id"), "score", "bm25", "rank")
 
 
+@query("sc21_lexical_view", f"""WITH d AS (SELECT doc_id AS id, {_TOKENS.format('text')} AS ts FROM documents), p AS (SELECT id, term, count(*) AS tf, any_value(len(ts)) AS dl FROM (SELECT id, ts, unnest(ts) AS term FROM d) GROUP BY 1, 2),
+s AS (SELECT term, least(7, floor(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(len(ts)) FROM d))) * 3.2))::INTEGER AS level FROM p)
+SELECT level, count(*) AS postings, count(DISTINCT term) AS terms FROM s GROUP BY 1""")
+def sc21(spark: SparkSession, d: str) -> DataFrame:
+    return lexical_view(spark, d).levels.groupBy("level").agg(F.sum("n").alias("postings"), F.count("*").alias("terms"))
+
+
 @query("t3_postings", f"WITH d AS (SELECT doc_id AS id, {_TOKENS.format('text')} AS ts FROM documents) SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT id, unnest(ts) AS term FROM d) GROUP BY 1")
 def t3(spark: SparkSession, d: str) -> DataFrame:
     post = sparse.postings(table(spark, d, "documents"), "doc_id", text.lexical_tokens(F.col("text")))

@@ -9,7 +9,7 @@ from quarry.functions import text
 from quarry.operators import intervals, sparse
 from quarry.registry import query, table
 
-from .views import FILES_SQL, files
+from .views import FILES_SQL, files, kept
 
 
 @query("p15_lexical_tokens", """
@@ -157,17 +157,25 @@ def f14(spark: SparkSession, d: str) -> DataFrame:
     return sparse.trigram_search(files(spark, d), "License regex:\"(mit|apache) licen[sc]e\" file:py$", "doc_id", F.col("text"), F.col("path")).select("doc_id")
 
 
-@query("f14_trigram_index", """WITH d AS (SELECT item_id, lower(text) AS t FROM benchmark), g AS (SELECT DISTINCT item_id, substr(t, i, 3) AS gram FROM (SELECT item_id, t, unnest(range(1, length(t) - 1)) AS i FROM d))
+def _trigrams(spark: SparkSession, d: str) -> DataFrame:
+    folder = kept(spark, d, "trigrams", lambda to: sparse.keep_trigrams(table(spark, d, "documents"), "doc_id", F.col("text"), to))
+    return spark.read.schema("gram string, id bigint").parquet(folder)
+
+
+@query("f14_trigram_index", """WITH d AS (SELECT doc_id, lower(text) AS t FROM documents), g AS (SELECT DISTINCT doc_id, substr(t, i, 3) AS gram FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM d))
 SELECT gram, count(*) AS n FROM g GROUP BY 1""")
 def f14_index(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.trigram_index(table(spark, d, "benchmark"), "item_id", F.col("text")).groupBy("gram").agg(F.count("*").alias("n"))
+    return _trigrams(spark, d).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-@query("f14_indexed_search", "SELECT item_id FROM benchmark WHERE contains(lower(text), 'that')")
+@query("f14_indexed_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'that')")
 def f14_indexed(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "benchmark")
-    index = sparse.trigram_index(rows, "item_id", F.col("text"))
-    return sparse.trigram_search(rows, "That", "item_id", F.col("text"), index=index).select("item_id")
+    return sparse.trigram_search(table(spark, d, "documents"), "That", "doc_id", F.col("text"), index=_trigrams(spark, d)).select("doc_id")
+
+
+@query("f14_regex_plan", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(apache|mit|bsd) licen[sc]es?|cc[ -]by|warrant(y|ies)')")
+def f14_regex(spark: SparkSession, d: str) -> DataFrame:
+    return sparse.trigram_search(table(spark, d, "documents"), 'regex:"(apache|mit|bsd) licen[sc]es?|cc[ -]by|warrant(y|ies)"', "doc_id", F.col("text"), index=_trigrams(spark, d)).select("doc_id")
 
 
 @query("f15_file_matches", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)

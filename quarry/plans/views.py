@@ -2,11 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import text
+from quarry.operators import impact
+from quarry.operators.graph import shared_base
 from quarry.registry import table
 
+#: Views this application has built over the test tables: folder by (application, tables, name).
+_BUILT: dict[tuple[str, str, str], str] = {}
+
+
+def kept(spark: SparkSession, d: str, name: str, build) -> str:
+    """The folder of a view over the tables of ``d``, built at its first use and read by all later queries of the application."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _BUILT:
+        folder = f"{shared_base(spark)}/views-{uuid.uuid4().hex}/{name}"
+        build(folder)
+        _BUILT[key] = folder
+    return _BUILT[key]
+
+
+def word_tokens(column: str) -> Column:
+    """Tokens between white space, as they are."""
+    return F.filter(F.split(F.col(column), r"\s+"), lambda t: t != "")
+
+
+def lexical_view(spark: SparkSession, d: str, words: bool = False) -> impact.View:
+    """The kept lexical view of ``documents``: of lower-cased letters and digits, or of the words between white space."""
+    tokens = word_tokens("text") if words else text.lexical_tokens(F.col("text"))
+    folder = kept(spark, d, "words" if words else "lexical", lambda to: impact.build(table(spark, d, "documents"), "doc_id", tokens, to))
+    return impact.load(spark, folder)
+
 FILES_SQL = r"""files AS (SELECT doc_id, text, lang, source, n_chars, source || CASE doc_id % 5 WHEN 0 THEN '/tests/mod' WHEN 1 THEN '/src/test_'
   WHEN 2 THEN '/lib/WidgetTest' WHEN 3 THEN '\src\core' ELSE '/pkg/mod' END || doc_id || CASE lang WHEN 'en' THEN '.py' WHEN 'de' THEN '.go'
   WHEN 'fr' THEN '.d.ts' ELSE '.MD' END AS path FROM documents)"""
