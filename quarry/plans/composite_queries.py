@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import dense, drafting, fusion, incremental
+from quarry.operators import dense, drafting, fusion, graph, incremental
 from quarry.registry import query, table
+from quarry.sources import generations
 
 from . import composite
 from .retrieval_queries import _QV, _six, _TOKENS, bm25_sql, dense_sql
@@ -350,10 +353,23 @@ def i18(spark: SparkSession, d: str) -> DataFrame:
     return _manifest(spark, d).groupBy("repository", "generation").agg(F.count("*").alias("views"))
 
 
-@query("i19_job_leases")
-def i19(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "events").select((F.col("user_id") % 5).alias("job"), F.col("event_id").alias("at"), F.col("event_type").alias("owner"), (F.col("event_id") % 17 + 1).alias("lasts"))
-    return incremental.leases(r)
+@query("e42_fact_generations", """WITH u AS (SELECT o_orderpriority AS unit, count(*) AS n FROM orders GROUP BY 1), f AS (SELECT *, row_number() OVER (ORDER BY unit) = 1 AS changed FROM u)
+SELECT unit, 2::BIGINT AS generation, n - CASE WHEN changed THEN (SELECT count(*) FROM orders WHERE o_orderpriority = f.unit AND o_orderkey % 10 = 0) ELSE 0 END AS rows, NOT changed AS reused FROM f""")
+def e42(spark: SparkSession, d: str) -> DataFrame:
+    """The orders of each priority as a unit, published twice; the first unit loses every tenth key in between."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    names = [r[0] for r in orders.select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()]  # a handful of units
+    root = f"{graph.shared_base(spark)}/generations-{uuid.uuid4().hex}"
+    units = {n: orders.where(F.col("o_orderpriority") == n) for n in names}
+    generations.publish(spark, root, "facts", units, 0)
+    units[names[0]] = units[names[0]].where("o_orderkey % 10 <> 0")
+    reused = generations.publish(spark, root, "facts", units, 1)
+    at = generations.newest(spark, root, "facts")
+    held = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("unit"), F.lit(at).cast("bigint").alias("generation"), "rows", F.lit(reused[n]).alias("reused")) for n, df in generations.load(spark, root, "facts").items()]
+    out = held[0]
+    for other in held[1:]:
+        out = out.unionByName(other)
+    return out
 
 
 @query("i20_admission", f"WITH i AS (SELECT path::VARCHAR AS path, digest FROM ({_OLD})), r AS (SELECT path::VARCHAR AS path, digest FROM ({_NEW})), x AS (SELECT count(*) AS n FROM i FULL JOIN r ON i.path = r.path WHERE i.digest IS DISTINCT FROM r.digest) SELECT n AS differences, n = 0 AS admitted FROM x")

@@ -336,12 +336,6 @@ def a39_groups(spark: SparkSession, d: str) -> DataFrame:
     return reports.representative_groups(table(spark, d, "part"), "p_brand", "p_size", "p_partkey")
 
 
-@query("a40_percentile_places", "SELECT * FROM (VALUES (0, []::INTEGER[]), (1, [0]), (4, [0, 1, 2, 3]), (5, [0, 1, 2, 3, 4]), (7, [0, 2, 3, 4, 6]), (12, [0, 3, 6, 8, 11]), (100, [0, 25, 50, 74, 99])) t(n, places)")
-def a40(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(n,) for n in (0, 1, 4, 5, 7, 12, 100)], "n int")
-    return rows.select("n", reports.percentile_places(F.col("n"), 5, [0.25, 0.5, 0.75]).alias("places"))
-
-
 @query("a41_repo_quotas", """WITH a AS (SELECT c_custkey AS repo, c_nationkey % 4 AS grp, count(o_orderkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2), b AS (SELECT *, least(n, 3) AS base FROM a), t AS (SELECT 3 * count(*) + 77 AS total, sum(n) AS every, sum(base) AS based FROM b),
 m AS (SELECT repo, grp, unnest(range(0, n - base)) AS r FROM b), o AS (SELECT *, row_number() OVER (ORDER BY r, grp, repo) AS p FROM m), x AS (SELECT repo, count(*) AS extra FROM o, t WHERE p <= total - based GROUP BY 1)
 SELECT b.repo, grp, n AS available, (CASE WHEN total > every THEN n ELSE base + coalesce(extra, 0) END)::BIGINT AS quota FROM b LEFT JOIN x ON x.repo = b.repo, t""")

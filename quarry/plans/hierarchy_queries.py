@@ -18,7 +18,8 @@ imp AS (SELECT vid, round(ln(1 + degree) / ln(1 + (SELECT max(degree) FROM dg)),
 tn AS (SELECT 'root' AS hid, NULL AS parent, 'root' AS kind, NULL::BIGINT AS vid, NULL AS file, 0.0::DOUBLE AS doi
   UNION ALL SELECT DISTINCT 'dir::' || array_to_string(p[1:k], '/'), CASE WHEN k = 1 THEN 'root' ELSE 'dir::' || array_to_string(p[1:k - 1], '/') END, 'directory', NULL, NULL, 0.0 FROM pth, (VALUES (1), (2), (3), (4)) t(k) WHERE k < len(p)
   UNION ALL SELECT 'file::' || path, CASE WHEN len(p) = 1 THEN 'root' ELSE 'dir::' || array_to_string(p[1:len(p) - 1], '/') END, 'file', NULL, path, 0.0 FROM pth
-  UNION ALL SELECT 'symbol::' || vid, CASE WHEN type = 'method' THEN 'symbol::' || (vid - 2) ELSE 'file::' || file END, 'symbol', vid, file, importance FROM sym JOIN imp USING (vid)),
+  UNION ALL SELECT 'symbol::' || vid, CASE WHEN type = 'method' THEN 'symbol::' || (vid - 2) ELSE 'file::' || file END, 'symbol', vid, file, importance FROM sym JOIN imp USING (vid))"""
+_CHAINS = f"""{_TREE},
 chn(hid, chain, top) AS (SELECT hid, [hid], parent FROM tn UNION ALL SELECT chn.hid, list_append(chain, tn.hid), tn.parent FROM chn JOIN tn ON tn.hid = chn.top),
 ch AS (SELECT hid, chain FROM chn WHERE top IS NULL)"""
 
@@ -27,19 +28,19 @@ def _tree(spark: SparkSession, d: str) -> DataFrame:
     return graph.checkpointed(containment.tree(code_files(spark, d).select("path"), code_nodes(spark, d), code_edges(spark, d)))
 
 
-@query("g28_containment_tree", f"{_C}, {_TREE} SELECT hid, parent, kind, doi FROM tn")
+@query("g28_containment_tree", f"WITH {CODE_SQL}, {_TREE} SELECT hid, parent, kind, doi FROM tn")
 def g28(spark: SparkSession, d: str) -> DataFrame:
     return _tree(spark, d).select("hid", "parent", "kind", "doi")
 
 
-@query("g29_rollup", f"""{_C}, {_TREE}, x AS (SELECT unnest(chain) AS up, hid FROM ch), s AS (SELECT up AS hid, count(*) FILTER (WHERE kind = 'symbol') AS symbol_count, round(max(doi), 4) AS doi FROM x JOIN tn ON tn.hid = x.hid GROUP BY 1)
+@query("g29_rollup", f"""{_C}, {_CHAINS}, x AS (SELECT unnest(chain) AS up, hid FROM ch), s AS (SELECT up AS hid, count(*) FILTER (WHERE kind = 'symbol') AS symbol_count, round(max(doi), 4) AS doi FROM x JOIN tn ON tn.hid = x.hid GROUP BY 1)
 SELECT hid, (SELECT count(*) FROM tn c WHERE c.parent = s.hid) AS child_count, symbol_count, doi FROM s""")
 def g29(spark: SparkSession, d: str) -> DataFrame:
     t = _tree(spark, d)
     return containment.rollup(t, containment.chains(t))
 
 
-@query("g30_depths", f"{_C}, {_TREE} SELECT kind, (len(chain) - 1)::INTEGER AS depth, count(*) AS n FROM ch JOIN tn USING (hid) GROUP BY 1, 2")
+@query("g30_depths", f"{_C}, {_CHAINS} SELECT kind, (len(chain) - 1)::INTEGER AS depth, count(*) AS n FROM ch JOIN tn USING (hid) GROUP BY 1, 2")
 def g30(spark: SparkSession, d: str) -> DataFrame:
     t = _tree(spark, d)
     return containment.with_depths(t, containment.chains(t)).groupBy("kind", "depth").agg(F.count("*").alias("n"))
@@ -53,13 +54,13 @@ def _refs(spark: SparkSession, d: str) -> DataFrame:
     return code_edges(spark, d).where("type = 'reference' AND src <> dst").select(F.col("src").alias("source"), F.col("dst").alias("target")).distinct()
 
 
-@query("g32_routes", f"{_C}, {_TREE}, {_RT} SELECT source, target, lca, len(a[1:list_position(a, lca)] || b[1:list_position(b, lca) - 1])::INTEGER AS length FROM lc")
+@query("g32_routes", f"{_C}, {_CHAINS}, {_RT} SELECT source, target, lca, len(a[1:list_position(a, lca)] || b[1:list_position(b, lca) - 1])::INTEGER AS length FROM lc")
 def g32(spark: SparkSession, d: str) -> DataFrame:
     t = _tree(spark, d)
     return containment.routed_edges(_refs(spark, d), t, containment.chains(t)).select("source", "target", "lca", F.size("bundle_path").alias("length"))
 
 
-@query("g34_edge_routes", f"""{_C}, {_TREE}, {_RT} SELECT source, target, array_to_string(a[1:list_position(a, lca)] || list_reverse(b[1:list_position(b, lca) - 1]), '>') AS path, t.kind AS lca_kind, (SELECT file FROM sym WHERE vid = source) <> (SELECT file FROM sym WHERE vid = target) AS cross_file
+@query("g34_edge_routes", f"""{_C}, {_CHAINS}, {_RT} SELECT source, target, array_to_string(a[1:list_position(a, lca)] || list_reverse(b[1:list_position(b, lca) - 1]), '>') AS path, t.kind AS lca_kind, (SELECT file FROM sym WHERE vid = source) <> (SELECT file FROM sym WHERE vid = target) AS cross_file
 FROM lc JOIN tn t ON t.hid = lca""")
 def g34(spark: SparkSession, d: str) -> DataFrame:
     t = _tree(spark, d)

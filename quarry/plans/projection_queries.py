@@ -173,11 +173,6 @@ def j24(spark: SparkSession, d: str) -> DataFrame:
     return incremental.benchmark_cases(cases, sources, require=True).select("item_id", "doc_id")
 
 
-@query("u10_fusion_names", "SELECT * FROM (VALUES ('rrf', 'rrf'), ('reciprocal', 'rrf'), ('linear', 'weighted'), ('none', 'weighted'), ('weighted', 'weighted')) t(name, fusion)")
-def u10(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(n, fusion.normalized_fusion(n)) for n in ("rrf", "reciprocal", "linear", "none", "weighted")], "name string, fusion string")
-
-
 @query("o8_early_limit", f"WITH {_RANKED} SELECT doc_id, rank::INTEGER AS rank FROM r WHERE rank <= 100 AND lang = 'en' ORDER BY rank LIMIT 7")
 def o8(spark: SparkSession, d: str) -> DataFrame:
     return fusion.filtered(_ranked(spark, d, 100), [F.col("lang") == "en"], 7).select("doc_id", "rank")

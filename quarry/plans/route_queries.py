@@ -60,12 +60,6 @@ def p23(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", routes.symbol_seeds(text).alias("seeds"))
 
 
-@query("f23_specific_seeds", "SELECT * FROM (VALUES ('parse_config', true), ('Parser', false), ('fooBar', true), ('HTTP', true), ('ab', false), ('docs.python.org', false), ('Foo.barBaz()', true), ('a/b', true), ('x y', false), ('f(x)', false), ('v2X', true), ('', false)) t(seed, specific)")
-def f23(spark: SparkSession, d: str) -> DataFrame:
-    seeds = ("parse_config", "Parser", "fooBar", "HTTP", "ab", "docs.python.org", "Foo.barBaz()", "a/b", "x y", "f(x)", "v2X", "")
-    return spark.createDataFrame([(s,) for s in seeds], "seed string").select("seed", routes.is_specific_seed(F.col("seed")).alias("specific"))
-
-
 @query("p24_scenario", "SELECT item_id, 'python:' || (item_id % 2 = 0)::VARCHAR AS scenario FROM benchmark")
 def p24(spark: SparkSession, d: str) -> DataFrame:
     text = F.when(F.expr("item_id % 2 = 0"), F.concat("text", F.lit("\nTraceback (most recent call last):\n"))).otherwise(F.col("text"))

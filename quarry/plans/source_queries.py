@@ -73,10 +73,28 @@ def sc12(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.regexp_extract("file", "m([0-9]+)", 1).cast("bigint").alias("doc_id"), "content")
 
 
-@query("sc13_languages", "SELECT * FROM (VALUES ('a.py', 'python'), ('b/c.go', 'go'), ('x.RS', 'rust'), ('y.hpp', 'cpp'), ('q.cs', 'csharp'), ('J.java', 'java'), ('k.kt', 'kotlin'), ('l.lua', 'lua'), ('p.php', 'php'), ('r.rb', 'ruby'), ('s.scala', 'scala'), ('w.swift', 'swift'), ('t.tsx', 'typescript'), ('j.mjs', 'javascript'), ('n.txt', NULL)) t(path, language)")
+_ENDINGS = {".py": "python", ".go": "go", ".RS": "rust", ".hpp": "cpp", ".h": "cpp", ".cs": "csharp", ".java": "java", ".kt": "kotlin", ".lua": "lua", ".php": "php", ".rb": "ruby", ".scala": "scala", ".swift": "swift", ".tsx": "typescript", ".mjs": "javascript", ".txt": None, "": None}
+_ENDING_SQL = f"[{', '.join(repr(e) for e in _ENDINGS)}][doc_id % {len(_ENDINGS)} + 1]"
+_LANGUAGE_SQL = f"[{', '.join('NULL' if v is None else repr(v) for v in _ENDINGS.values())}][doc_id % {len(_ENDINGS)} + 1]"
+
+
+def _any_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files of many languages."""
+    ending = F.element_at(F.array(*[F.lit(e) for e in _ENDINGS]), (F.col("doc_id") % len(_ENDINGS) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/m"), F.col("doc_id").cast("string"), ending).alias("path"))
+
+
+@query("sc13_languages", f"SELECT source || '/m' || doc_id || {_ENDING_SQL} AS path, {_LANGUAGE_SQL} AS language FROM documents")
 def sc13(spark: SparkSession, d: str) -> DataFrame:
-    paths = ("a.py", "b/c.go", "x.RS", "y.hpp", "q.cs", "J.java", "k.kt", "l.lua", "p.php", "r.rb", "s.scala", "w.swift", "t.tsx", "j.mjs", "n.txt")
-    return spark.createDataFrame([(p,) for p in paths], "path string").select("path", chunkers.language_of(F.col("path")).alias("language"))
+    return _any_files(spark, d).select("path", chunkers.language_of(F.col("path")).alias("language"))
+
+
+@query("e48_language_map", f"SELECT {_LANGUAGE_SQL} AS language, count(*) AS files FROM documents WHERE {_LANGUAGE_SQL} IS NOT NULL AND source IS NOT NULL GROUP BY 1")
+def e48(spark: SparkSession, d: str) -> DataFrame:
+    known = chunkers.extension_languages()
+    pairs = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    ending = F.lower(F.regexp_extract("path", r"(\.[A-Za-z]+)$", 1))
+    return _any_files(spark, d).select(F.get(F.array(pairs), F.lit(0))[ending].alias("language")).where("language is not null").groupBy("language").agg(F.count("*").alias("files"))
 
 
 @query("w9_file_bounds", "SELECT source || '/m' || doc_id || '.py' AS file, 2::BIGINT AS header_last, 13::BIGINT AS epilogue_first FROM documents")
@@ -172,20 +190,6 @@ def e38(spark: SparkSession, d: str) -> DataFrame:
     return new.agg(F.count_if(F.col("type") == "file").alias("lost"), F.count("*").alias("added"))
 
 
-@query("e48_language_map", "SELECT * FROM (VALUES ('.py', 'python'), ('.go', 'go'), ('.rs', 'rust'), ('.h', 'cpp'), ('.mjs', 'javascript'), ('.tsx', 'typescript')) t(extension, language)")
-def e48(spark: SparkSession, d: str) -> DataFrame:
-    known = chunkers.extension_languages()
-    return spark.createDataFrame([(e, known[e]) for e in (".py", ".go", ".rs", ".h", ".mjs", ".tsx")], "extension string, language string")
-
-
-@query("e47_excluded_subtrees", "SELECT * FROM (VALUES ('a/b'), ('c')) t(path)")
-def e47(spark: SparkSession, d: str) -> DataFrame:
-    from quarry.operators import incremental
-
-    paths = incremental.exclusive_subtrees(["/repo/a/b/", "a/b/c", "c/", "/elsewhere/d", "../up", "."], "/repo")
-    return spark.createDataFrame([(p,) for p in paths], "path string")
-
-
 @query("f10_generated_files", f"WITH {FILES_SQL} SELECT doc_id, doc_id % 3 = 0 OR ends_with(path, '.d.ts') AS generated FROM files")
 def f10(spark: SparkSession, d: str) -> DataFrame:
     path = F.when(F.expr("doc_id % 3 = 0"), F.concat(F.lit("x/dist/"), "path")).otherwise(F.col("path"))
