@@ -24,6 +24,7 @@ any of the terms score 0: every query gets min(k, n) rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
@@ -72,16 +73,33 @@ def contribution(weight: Column, share: Column) -> Column:
     return F.round(weight * share * UNIT).cast("bigint")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, tokens) as (id, dl, term, tf): a document's terms are counted where it is read, so no token is shuffled."""
+    for batch in batches:
+        tokens = batch.column(1)
+        starts = tokens.offsets.to_numpy()
+        sizes = np.diff(starts).astype(np.int64)
+        words = tokens.flatten().dictionary_encode()
+        vocabulary = max(len(words.dictionary), 1)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        keys, tf = np.unique(row * vocabulary + words.indices.to_numpy().astype(np.int64), return_counts=True)
+        rows, terms = keys // vocabulary, keys % vocabulary
+        columns = [batch.column(0).take(pa.array(rows)), pa.array(sizes[rows]), words.dictionary.take(pa.array(terms)), pa.array(tf.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "dl", "term", "tf"])
+
+
 def build(docs: DataFrame, id_col: str, tokens: Column, folder: str) -> View:
-    """Write the view of documents; one pass over the texts for their lengths and one for the postings."""
+    """Write the view of documents, whose ids are unique; one pass over the texts for their lengths and one for the postings."""
     spark = docs.sparkSession
+    attach(spark)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), tokens.alias("tokens"))
     rows.select("id", F.size("tokens").cast("bigint").alias("dl")).write.mode("overwrite").parquet(f"{folder}/lengths")
     lengths = spark.read.parquet(f"{folder}/lengths")
     n, mean = lengths.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(0.0))).first()
     shards = max(1, -(-n // SHARD))
     parts = min(16 * shards, MOST_PARTS)
-    held = rows.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
+    kind = rows.schema["id"].dataType.simpleString()
+    held = rows.where("tokens is not null").mapInArrow(_counted, f"id {kind}, dl bigint, term string, tf bigint")
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
     level = F.least(F.floor(F.col("share") * (LEVELS / (K1 + 1))), F.lit(LEVELS - 1)).cast("int")
     held = held.select("id", "term", share.alias("share")).withColumn("level", level).withColumn("shard", hashed(F.col("id"), shards))
