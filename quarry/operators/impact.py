@@ -103,9 +103,11 @@ def build(docs: DataFrame, id_col: str, tokens: Column, folder: str) -> View:
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
     level = F.least(F.floor(F.col("share") * (LEVELS / (K1 + 1))), F.lit(LEVELS - 1)).cast("int")
     held = held.select("id", "term", share.alias("share")).withColumn("level", level).withColumn("shard", hashed(F.col("id"), shards))
-    blocks = held.groupBy("term", "level", "shard").agg(F.array_sort(F.collect_list(F.struct("id", "share"))).alias("p"), F.max("share").alias("most"), F.min("share").alias("least"))
-    blocks = blocks.select("term", "level", "shard", F.col("p.id").alias("ids"), F.col("p.share").alias("shares"), "most", "least", F.size("p").cast("bigint").alias("n"), hashed(F.col("term"), parts).alias("part"))
-    blocks.repartition("part", "shard").sortWithinPartitions("part", "term", "level").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/blocks")
+    # One shuffle: a task holds the postings of some terms in one shard, and writes its blocks.
+    held = held.withColumn("part", hashed(F.col("term"), parts)).repartition("part", "shard")
+    blocks = held.groupBy("part", "term", "level", "shard").agg(F.array_sort(F.collect_list(F.struct("id", "share"))).alias("p"), F.max("share").alias("most"), F.min("share").alias("least"))
+    blocks = blocks.select("term", "level", "shard", F.col("p.id").alias("ids"), F.col("p.share").alias("shares"), "most", "least", F.size("p").cast("bigint").alias("n"), "part")
+    blocks.sortWithinPartitions("part", "term", "level").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/blocks")
     blocks = _table(spark, folder, "blocks", BLOCKS.format(lengths.schema["id"].dataType.simpleString()))
     levels = blocks.groupBy("part", "term", "level").agg(F.max("most").alias("most"), F.min("least").alias("least"), F.sum("n").alias("n"))
     levels.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/levels")
