@@ -39,35 +39,47 @@ def sc8(spark: SparkSession, d: str) -> DataFrame:
     return repository.statistics(files(spark, d), F.col("path"), F.col("n_chars"))
 
 
+# A file a document: a function with the text as its docstring, a definition in that too, then a class of one method or two.
+_SOURCE_SQL = """s AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, source || '/m' || doc_id || '.py' AS file, length(t) - length(replace(t, chr(10), '')) + 2 AS b, length(t) % 2 = 0 AS two, length(t) + 9 AS widest FROM s)"""
+
+
 def _sources(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as Python files: two functions and a class around the text, so that definitions are known."""
-    body = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z ]", " ")
-    code = F.concat(F.lit("import os\n\n\ndef first_"), "doc_id", F.lit("(x):\n    return x\n\n\nclass Holder"), "doc_id", F.lit(":\n    def get(self):\n        return first_"), "doc_id", F.lit("(1)\n\n    def put(self, y):\n        pass\n\n\nNOTE = '"), F.left(body, F.lit(40)), F.lit("'\n"))
+    """Documents as Python files: the text is the docstring of a function, with what looks like a definition; every other text has a second method."""
+    body = F.translate(F.coalesce("text", F.lit("")), "\"'\\", "   ")
+    put = F.when(F.length(F.coalesce("text", F.lit(""))) % 2 == 0, "\n    def put(self, y):\n        pass\n").otherwise("")
+    code = F.concat(
+        F.lit("import os\n\n\ndef first_"), "doc_id", F.lit('(x):\n    """What it does.\ndef fake():\n'), body, F.lit('\n"""\n    return x\n\n\nclass Holder'), "doc_id",
+        F.lit(":\n    def get(self):\n        return first_"), "doc_id", F.lit("(1)\n"), put, F.lit("\n\nNOTE = '"), F.translate(body, "\n", " "), F.lit("'\n"),
+    )
     return table(spark, d, "documents").select(F.concat("source", F.lit("/m"), "doc_id", F.lit(".py")).alias("path"), code.alias("text"), "doc_id")
 
 
-_CHUNKS = """c(kind, nm, first, last) AS (VALUES ('header', 'header', 0, 2), ('function', 'first_{}', 3, 4), ('method', 'Holder{}.get', 8, 9), ('method', 'Holder{}.put', 11, 12), ('epilogue', 'epilogue', 13, 16))"""
+_CHUNKS = _SOURCE_SQL + """, c AS (SELECT doc_id, file, unnest([{'kind': 'header', 'name': 'header', 'first': 0, 'last': 2}, {'kind': 'function', 'name': 'first_' || doc_id, 'first': 3, 'last': 6 + b},
+  {'kind': 'method', 'name': 'Holder' || doc_id || '.get', 'first': 10 + b, 'last': 11 + b}, {'kind': 'method', 'name': 'Holder' || doc_id || '.put', 'first': 13 + b, 'last': 14 + b},
+  {'kind': 'epilogue', 'name': 'epilogue', 'first': 12 + b + if(two, 3, 0), 'last': 15 + b + if(two, 3, 0)}]) AS x, two FROM m),
+k AS (SELECT doc_id, file, x.kind AS kind, x.name AS name, x.first::BIGINT AS first, x.last::BIGINT AS last FROM c WHERE two OR x.name NOT LIKE '%.put')"""
 
 
-@query("sc9_definition_chunks", f"WITH {_CHUNKS} SELECT source || '/m' || doc_id || '.py' AS file, kind, replace(nm, '{{}}', doc_id::VARCHAR) AS name, first::BIGINT AS first, last::BIGINT AS last FROM documents, c")
+@query("sc9_definition_chunks", f"WITH {_CHUNKS} SELECT file, kind, name, first, last FROM k")
 def sc9(spark: SparkSession, d: str) -> DataFrame:
     return chunkers.chunk_files(_sources(spark, d)).select("file", "kind", "name", "first", "last")
 
 
-@query("sc4_chunked_repository", f"WITH {_CHUNKS}, x AS (SELECT doc_id, kind, replace(nm, '{{}}', doc_id::VARCHAR) AS nm FROM documents, c) SELECT kind, count(*) AS n, count(DISTINCT nm) AS names FROM x GROUP BY 1")
+@query("sc4_chunked_repository", f"WITH {_CHUNKS} SELECT kind, count(*) AS n, count(DISTINCT name) AS names FROM k JOIN m USING (doc_id) WHERE widest <= 10000 GROUP BY 1")
 def sc4(spark: SparkSession, d: str) -> DataFrame:
     rows = repository.discovered(_sources(spark, d), F.col("path"), F.col("text"), chunkers.extension_languages())
     return chunkers.chunk_files(rows).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"))
 
 
-@query("sc10_chunk_order", "SELECT doc_id, 'header,function,method,method,epilogue' AS kinds FROM documents")
+@query("sc10_chunk_order", f"WITH {_CHUNKS} SELECT doc_id, string_agg(kind, ',' ORDER BY first) AS kinds FROM k GROUP BY 1")
 def sc10(spark: SparkSession, d: str) -> DataFrame:
     rows = chunkers.chunk_files(_sources(spark, d)).withColumn("doc_id", F.regexp_extract("file", "m([0-9]+)", 1).cast("bigint"))
     ordered = F.array_sort(F.collect_list(F.struct("first", "kind")))
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["kind"]), ",").alias("kinds"))
 
 
-@query("sc12_skeletons", "SELECT doc_id, 'def first_' || doc_id || '(x):' || chr(10) || 'class Holder' || doc_id || ':' || chr(10) || '    def get(self):' || chr(10) || '    def put(self, y):' AS content FROM documents")
+@query("sc12_skeletons", f"WITH {_SOURCE_SQL} SELECT doc_id, 'def first_' || doc_id || '(x):' || chr(10) || 'class Holder' || doc_id || ':' || chr(10) || '    def get(self):' || if(two, chr(10) || '    def put(self, y):', '') AS content FROM m")
 def sc12(spark: SparkSession, d: str) -> DataFrame:
     rows = chunkers.chunk_files(_sources(spark, d), skeleton=True)
     return rows.select(F.regexp_extract("file", "m([0-9]+)", 1).cast("bigint").alias("doc_id"), "content")
@@ -97,17 +109,20 @@ def e48(spark: SparkSession, d: str) -> DataFrame:
     return _any_files(spark, d).select(F.get(F.array(pairs), F.lit(0))[ending].alias("language")).where("language is not null").groupBy("language").agg(F.count("*").alias("files"))
 
 
-@query("w9_file_bounds", "SELECT source || '/m' || doc_id || '.py' AS file, 2::BIGINT AS header_last, 13::BIGINT AS epilogue_first FROM documents")
+@query("w9_file_bounds", f"WITH {_SOURCE_SQL} SELECT file, 2::BIGINT AS header_last, (12 + b + if(two, 3, 0))::BIGINT AS epilogue_first FROM m")
 def w9(spark: SparkSession, d: str) -> DataFrame:
     rows = _sources(spark, d)
     found = chunkers.chunk_files(rows).where("kind NOT IN ('header', 'epilogue')")
     return chunkers.file_bounds(found, rows.select(F.col("path").alias("file"), F.size(F.split("text", "\n")).alias("n_lines")))
 
 
-@query("sc16_code_graph", "SELECT 'contain' AS type, 3 * count(*) AS n FROM documents UNION ALL SELECT 'reference', count(*) FROM documents")
+@query("sc16_code_graph", f"""WITH {_CHUNKS}, n AS (SELECT *, file || ':' || name || '()' AS symbol FROM k WHERE kind IN ('function', 'method'))
+SELECT 'contain' AS type, file AS src, symbol AS dst, NULL::VARCHAR AS anchor_file, NULL::BIGINT AS anchor_line FROM n
+UNION ALL SELECT 'reference', a.symbol, b.symbol, a.file, a.last FROM n a JOIN n b USING (doc_id) WHERE a.name LIKE '%.get' AND b.kind = 'function'""")
 def sc16(spark: SparkSession, d: str) -> DataFrame:
-    _, edges = chunkers.code_graph(_sources(spark, d))
-    return edges.groupBy("type").agg(F.count("*").alias("n"))
+    nodes, edges = chunkers.code_graph(_sources(spark, d))
+    end = lambda name: nodes.select(F.col("vid").alias(name), F.col("unified_name").alias(f"_{name}"))
+    return edges.join(end("src"), "src").join(end("dst"), "dst").select("type", F.col("_src").alias("src"), F.col("_dst").alias("dst"), "anchor_file", "anchor_line")
 
 
 def _index_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -181,13 +196,13 @@ def sc27(spark: SparkSession, d: str) -> DataFrame:
     return repository.entry_points(repos.join(rows, "k").select("repo", "path", "text")).select("repo", "path")
 
 
-@query("e38_supplemented_graph", "SELECT count(*) FILTER (WHERE doc_id % 2 = 0) AS lost, 4 * count(*) FILTER (WHERE doc_id % 2 = 0) AS added FROM documents")
+@query("e38_supplemented_graph", f"WITH {_SOURCE_SQL} SELECT file, 3 + two::BIGINT AS added FROM m WHERE doc_id % 2 = 0")
 def e38(spark: SparkSession, d: str) -> DataFrame:
     rows = _sources(spark, d)
     nodes, edges = chunkers.code_graph(rows.where("doc_id % 2 = 1"))
     more, _ = indexes.supplemented(nodes, edges, rows)
     new = more.join(nodes.select("vid"), "vid", "left_anti")
-    return new.agg(F.count_if(F.col("type") == "file").alias("lost"), F.count("*").alias("added"))
+    return new.groupBy(F.coalesce("file", "name").alias("file")).agg(F.count("*").alias("added"))
 
 
 @query("f10_generated_files", f"WITH {FILES_SQL} SELECT doc_id, doc_id % 3 = 0 OR ends_with(path, '.d.ts') AS generated FROM files")

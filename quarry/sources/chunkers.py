@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
+from functools import cache, partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,7 +28,7 @@ from quarry.operators import intervals
 
 @dataclass(frozen=True)
 class Language:
-    """extensions; (kind, pattern) of lines that begin a definition, the name as group ``name`` and an owner as ``owner``; ends: brace, indent or word."""
+    """extensions; (kind, pattern) of lines that begin a definition, the name as group ``name`` and an owner as ``owner``; ends: brace, indent or word; spans: (opening, closing, backslash escapes) of strings and comments that may hold lines."""
 
     name: str
     extensions: tuple[str, ...]
@@ -36,6 +36,7 @@ class Language:
     ends: str = "brace"
     comment: str = "//"
     quotes: str = "\"'"
+    spans: tuple[tuple[str, str, bool], ...] = ()
     containers: frozenset[str] = field(default_factory=lambda: frozenset({"class", "struct", "interface", "trait", "impl", "module", "object", "enum", "namespace"}))
 
 
@@ -45,20 +46,20 @@ _C_TYPE = r"(?:[A-Za-z_][\w:<>,\[\]?&*. ]*?[\s*&]+)"
 _CALL = r"\s*\([^;{]*(?:\{.*)?$"
 
 LANGUAGES: tuple[Language, ...] = (
-    Language("python", (".py", ".pyx", ".pyi"), (("class", rf"class\s+{_ID}"), ("function", rf"(?:async\s+)?def\s+{_ID}")), "indent", "#"),
-    Language("go", (".go",), (("method", rf"func\s+\(\s*\w*\s*\*?(?P<owner>\w+)[^)]*\)\s*{_ID}"), ("function", rf"func\s+{_ID}"), ("struct", rf"type\s+{_ID}\s+struct\b"), ("interface", rf"type\s+{_ID}\s+interface\b"), ("type", rf"type\s+{_ID}\s+\S")), quotes="\"`"),
-    Language("rust", (".rs",), (("function", rf"(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+\"[^\"]*\"\s+)*fn\s+{_ID}"), ("struct", rf"(?:pub(?:\([^)]*\))?\s+)?struct\s+{_ID}"), ("enum", rf"(?:pub(?:\([^)]*\))?\s+)?enum\s+{_ID}"), ("trait", rf"(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+{_ID}"), ("impl", r"(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(?P<name>\w+)"), ("module", rf"(?:pub\s+)?mod\s+{_ID}\s*\{{")), quotes='"'),
-    Language("cpp", (".cpp", ".cxx", ".cc", ".c", ".hpp", ".h", ".hxx"), (("class", rf"(?:template\s*<.*>\s*)?class\s+{_ID}[^;]*$"), ("struct", rf"(?:typedef\s+)?(?:template\s*<.*>\s*)?struct\s+{_ID}[^;(]*$"), ("enum", rf"enum\s+(?:class\s+)?{_ID}[^;(]*$"), ("namespace", rf"namespace\s+{_ID}"), ("method", rf"{_C_TYPE}?(?P<owner>\w+)::~?{_ID}{_CALL}"), ("function", rf"(?!(?:return|else|if|for|while|switch|typedef|using)\b){_C_TYPE}{_ID}{_CALL}"))),
-    Language("csharp", (".cs",), (("class", rf"{_MODS}(?:class|record)\s+{_ID}"), ("struct", rf"{_MODS}struct\s+{_ID}"), ("interface", rf"{_MODS}interface\s+{_ID}"), ("enum", rf"{_MODS}enum\s+{_ID}"), ("namespace", rf"namespace\s+(?P<name>[\w.]+)"), ("function", rf"(?!(?:return|else|if|for|foreach|while|switch|using|new|throw)\b){_MODS}{_C_TYPE}{_ID}(?:<[^>]*>)?{_CALL}"))),
-    Language("java", (".java",), (("class", rf"{_MODS}(?:class|record)\s+{_ID}"), ("interface", rf"{_MODS}@?interface\s+{_ID}"), ("enum", rf"{_MODS}enum\s+{_ID}"), ("function", rf"(?!(?:return|else|if|for|while|switch|new|throw)\b){_MODS}(?:<[^>]*>\s*)?{_C_TYPE}{_ID}{_CALL}"))),
-    Language("javascript", (".js", ".jsx", ".mjs"), (("class", rf"(?:export\s+)?(?:default\s+)?class\s+{_ID}"), ("function", rf"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{_ID}"), ("function", rf"(?:export\s+)?(?:const|let|var)\s+{_ID}\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>"), ("method", rf"(?!(?:if|for|while|switch|return|function|catch)\b)(?:static\s+)?(?:async\s+)?(?:get\s+|set\s+)?\*?#?{_ID}\s*\([^)]*\)\s*\{{")), quotes="\"'`"),
-    Language("typescript", (".ts", ".tsx", ".mts", ".cts"), (("class", rf"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?class\s+{_ID}"), ("interface", rf"(?:export\s+)?(?:declare\s+)?interface\s+{_ID}"), ("enum", rf"(?:export\s+)?(?:const\s+)?enum\s+{_ID}"), ("type", rf"(?:export\s+)?type\s+{_ID}\s*(?:<[^=]*>)?\s*="), ("function", rf"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{_ID}"), ("function", rf"(?:export\s+)?(?:const|let|var)\s+{_ID}[^=]*=\s*(?:async\s*)?(?:\([^)]*\)[^=]*|\w+)\s*=>"), ("method", rf"(?!(?:if|for|while|switch|return|function|catch)\b){_MODS}(?:get\s+|set\s+)?#?{_ID}\s*(?:<[^>]*>)?\([^)]*\)[^;]*\{{")), quotes="\"'`"),
-    Language("kotlin", (".kt", ".kts"), (("class", rf"{_MODS}(?:enum\s+)?class\s+{_ID}"), ("interface", rf"{_MODS}(?:fun\s+)?interface\s+{_ID}"), ("object", rf"{_MODS}(?:companion\s+)?object\s+{_ID}"), ("function", rf"{_MODS}fun\s+(?:<[^>]*>\s*)?(?:[\w<>?]+\.)?{_ID}"))),
-    Language("lua", (".lua", ".luau"), (("method", rf"(?:local\s+)?function\s+(?P<owner>\w+)[.:]{_ID}"), ("function", rf"(?:local\s+)?function\s+{_ID}"), ("function", rf"(?:local\s+)?{_ID}\s*=\s*function\b")), "word", "--"),
-    Language("php", (".php", ".phtml"), (("class", rf"{_MODS}class\s+{_ID}"), ("interface", rf"interface\s+{_ID}"), ("trait", rf"trait\s+{_ID}"), ("function", rf"{_MODS}function\s+&?{_ID}"))),
-    Language("ruby", (".rb",), (("class", r"class\s+(?P<name>[A-Z][\w:]*)"), ("module", r"module\s+(?P<name>[A-Z][\w:]*)"), ("function", r"def\s+(?:self\.)?(?P<name>[A-Za-z_]\w*[?!=]?)")), "word", "#"),
-    Language("scala", (".scala", ".sc"), (("class", rf"{_MODS}class\s+{_ID}"), ("object", rf"{_MODS}object\s+{_ID}"), ("trait", rf"{_MODS}trait\s+{_ID}"), ("function", rf"{_MODS}def\s+{_ID}"))),
-    Language("swift", (".swift",), (("class", rf"{_MODS}class\s+{_ID}"), ("struct", rf"{_MODS}struct\s+{_ID}"), ("enum", rf"{_MODS}(?:indirect\s+)?enum\s+{_ID}"), ("interface", rf"{_MODS}protocol\s+{_ID}"), ("class", rf"{_MODS}extension\s+{_ID}"), ("function", rf"{_MODS}func\s+{_ID}"))),
+    Language("python", (".py", ".pyx", ".pyi"), (("class", rf"class\s+{_ID}"), ("function", rf"(?:async\s+)?def\s+{_ID}")), "indent", "#", spans=(('"""', '"""', True), ("'''", "'''", True))),
+    Language("go", (".go",), (("method", rf"func\s+\(\s*\w*\s*\*?(?P<owner>\w+)[^)]*\)\s*{_ID}"), ("function", rf"func\s+{_ID}"), ("struct", rf"type\s+{_ID}\s+struct\b"), ("interface", rf"type\s+{_ID}\s+interface\b"), ("type", rf"type\s+{_ID}\s+\S")), quotes='"', spans=(("`", "`", False),)),
+    Language("rust", (".rs",), (("function", rf"(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+\"[^\"]*\"\s+)*fn\s+{_ID}"), ("struct", rf"(?:pub(?:\([^)]*\))?\s+)?struct\s+{_ID}"), ("enum", rf"(?:pub(?:\([^)]*\))?\s+)?enum\s+{_ID}"), ("trait", rf"(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+{_ID}"), ("impl", r"(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(?P<name>\w+)"), ("module", rf"(?:pub\s+)?mod\s+{_ID}\s*\{{")), quotes="", spans=(('r#"', '"#', False), ('"', '"', True))),
+    Language("cpp", (".cpp", ".cxx", ".cc", ".c", ".hpp", ".h", ".hxx"), (("class", rf"(?:template\s*<.*>\s*)?class\s+{_ID}[^;]*$"), ("struct", rf"(?:typedef\s+)?(?:template\s*<.*>\s*)?struct\s+{_ID}[^;(]*$"), ("enum", rf"enum\s+(?:class\s+)?{_ID}[^;(]*$"), ("namespace", rf"namespace\s+{_ID}"), ("method", rf"{_C_TYPE}?(?P<owner>\w+)::~?{_ID}{_CALL}"), ("function", rf"(?!(?:return|else|if|for|while|switch|typedef|using)\b){_C_TYPE}{_ID}{_CALL}")), spans=(('R"(', ')"', False),)),
+    Language("csharp", (".cs",), (("class", rf"{_MODS}(?:class|record)\s+{_ID}"), ("struct", rf"{_MODS}struct\s+{_ID}"), ("interface", rf"{_MODS}interface\s+{_ID}"), ("enum", rf"{_MODS}enum\s+{_ID}"), ("namespace", rf"namespace\s+(?P<name>[\w.]+)"), ("function", rf"(?!(?:return|else|if|for|foreach|while|switch|using|new|throw)\b){_MODS}{_C_TYPE}{_ID}(?:<[^>]*>)?{_CALL}")), spans=(('"""', '"""', False), ('@"', '"', False))),
+    Language("java", (".java",), (("class", rf"{_MODS}(?:class|record)\s+{_ID}"), ("interface", rf"{_MODS}@?interface\s+{_ID}"), ("enum", rf"{_MODS}enum\s+{_ID}"), ("function", rf"(?!(?:return|else|if|for|while|switch|new|throw)\b){_MODS}(?:<[^>]*>\s*)?{_C_TYPE}{_ID}{_CALL}")), spans=(('"""', '"""', True),)),
+    Language("javascript", (".js", ".jsx", ".mjs"), (("class", rf"(?:export\s+)?(?:default\s+)?class\s+{_ID}"), ("function", rf"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{_ID}"), ("function", rf"(?:export\s+)?(?:const|let|var)\s+{_ID}\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>"), ("method", rf"(?!(?:if|for|while|switch|return|function|catch)\b)(?:static\s+)?(?:async\s+)?(?:get\s+|set\s+)?\*?#?{_ID}\s*\([^)]*\)\s*\{{")), quotes="\"'", spans=(("`", "`", True),)),
+    Language("typescript", (".ts", ".tsx", ".mts", ".cts"), (("class", rf"(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?class\s+{_ID}"), ("interface", rf"(?:export\s+)?(?:declare\s+)?interface\s+{_ID}"), ("enum", rf"(?:export\s+)?(?:const\s+)?enum\s+{_ID}"), ("type", rf"(?:export\s+)?type\s+{_ID}\s*(?:<[^=]*>)?\s*="), ("function", rf"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{_ID}"), ("function", rf"(?:export\s+)?(?:const|let|var)\s+{_ID}[^=]*=\s*(?:async\s*)?(?:\([^)]*\)[^=]*|\w+)\s*=>"), ("method", rf"(?!(?:if|for|while|switch|return|function|catch)\b){_MODS}(?:get\s+|set\s+)?#?{_ID}\s*(?:<[^>]*>)?\([^)]*\)[^;]*\{{")), quotes="\"'", spans=(("`", "`", True),)),
+    Language("kotlin", (".kt", ".kts"), (("class", rf"{_MODS}(?:enum\s+)?class\s+{_ID}"), ("interface", rf"{_MODS}(?:fun\s+)?interface\s+{_ID}"), ("object", rf"{_MODS}(?:companion\s+)?object\s+{_ID}"), ("function", rf"{_MODS}fun\s+(?:<[^>]*>\s*)?(?:[\w<>?]+\.)?{_ID}")), spans=(('"""', '"""', False),)),
+    Language("lua", (".lua", ".luau"), (("method", rf"(?:local\s+)?function\s+(?P<owner>\w+)[.:]{_ID}"), ("function", rf"(?:local\s+)?function\s+{_ID}"), ("function", rf"(?:local\s+)?{_ID}\s*=\s*function\b")), "word", "--", spans=(("--[[", "]]", False), ("[[", "]]", False))),
+    Language("php", (".php", ".phtml"), (("class", rf"{_MODS}class\s+{_ID}"), ("interface", rf"interface\s+{_ID}"), ("trait", rf"trait\s+{_ID}"), ("function", rf"{_MODS}function\s+&?{_ID}")), quotes="", spans=(("'", "'", True), ('"', '"', True))),
+    Language("ruby", (".rb",), (("class", r"class\s+(?P<name>[A-Z][\w:]*)"), ("module", r"module\s+(?P<name>[A-Z][\w:]*)"), ("function", r"def\s+(?:self\.)?(?P<name>[A-Za-z_]\w*[?!=]?)")), "word", "#", quotes="'", spans=(('"', '"', True),)),
+    Language("scala", (".scala", ".sc"), (("class", rf"{_MODS}class\s+{_ID}"), ("object", rf"{_MODS}object\s+{_ID}"), ("trait", rf"{_MODS}trait\s+{_ID}"), ("function", rf"{_MODS}def\s+{_ID}")), spans=(('"""', '"""', False),)),
+    Language("swift", (".swift",), (("class", rf"{_MODS}class\s+{_ID}"), ("struct", rf"{_MODS}struct\s+{_ID}"), ("enum", rf"{_MODS}(?:indirect\s+)?enum\s+{_ID}"), ("interface", rf"{_MODS}protocol\s+{_ID}"), ("class", rf"{_MODS}extension\s+{_ID}"), ("function", rf"{_MODS}func\s+{_ID}")), spans=(('"""', '"""', True),)),
 )
 BY_NAME = {x.name: x for x in LANGUAGES}
 
@@ -81,44 +82,48 @@ def language_of(path: Column) -> Column:
     return F.try_element_at(known, T.extension(path))
 
 
-def _bare_lines(lines: list[str], language: Language) -> list[str]:
-    """Lines without strings and comments, so that only code is counted."""
-    out, block = [], False
-    for line in lines:
-        kept, i, quote = [], 0, ""
-        while i < len(line):
-            c = line[i]
-            if block:
-                if line.startswith("*/", i):
-                    block, i = False, i + 1
-            elif quote:
-                if c == "\\":
-                    i += 1
-                elif c == quote:
-                    quote = ""
-            elif line.startswith(language.comment, i):
-                break
-            elif language.comment == "//" and line.startswith("/*", i):
-                block, i = True, i + 1
-            elif c in language.quotes and not (c == "'" and i and line[i - 1].isalnum()):
-                quote = c
-            else:
-                kept.append(c)
-            i += 1
-        out.append("".join(kept))
-    return out
+@cache
+def _opaque(language: Language) -> re.Pattern:
+    """Comments and strings of a language, the longest opening first; what is not closed runs to the end of the line, or of the text if it may hold lines."""
+    esc = re.escape
+    parts = []
+    for left, right, escapes in language.spans:
+        inner = rf"(?:\\[\s\S]|(?!{esc(right)})[\s\S])*" if escapes else rf"(?:(?!{esc(right)})[\s\S])*"
+        parts.append((left, rf"{esc(left)}{inner}(?:{esc(right)}|\Z)"))
+    parts.append((language.comment, rf"{esc(language.comment)}[^\n]*"))
+    if language.comment == "//":
+        parts.append(("/*", r"/\*[\s\S]*?(?:\*/|\Z)"))
+    for q in language.quotes:
+        # After a letter an apostrophe belongs to a word or a number, unless the letters are a string's prefix.
+        before = r"(?:(?<![^\W_])|(?<=\b[rbfuRBFU])|(?<=\b[rbfuRBFU][rbfRBF]))" if q == "'" else ""
+        parts.append((q, rf"{before}{q}(?:\\[\s\S]|[^{q}\\\n])*(?:{q}|(?=\n)|\Z)"))
+    return re.compile("|".join(p for _, p in sorted(parts, key=lambda x: -len(x[0]))))
+
+
+def _bare_lines(text: str, language: Language) -> tuple[list[str], frozenset[int]]:
+    """Lines without strings and comments, so that only code is counted, and the lines that begin inside one."""
+    out, within, at, line = [], set(), 0, 0
+    for m in _opaque(language).finditer(text):
+        out.append(text[at : m.start()])
+        line += out[-1].count("\n")
+        held = m.group().count("\n")
+        within.update(range(line + 1, line + held + 1))
+        line += held
+        out.append("\n" * held)
+        at = m.end()
+    return ("".join(out) + text[at:]).split("\n"), frozenset(within)
 
 
 def _indent(line: str) -> int:
     return len(line) - len(line.lstrip())
 
 
-def _end(bare: list[str], lines: list[str], at: int, language: Language) -> int:
-    """The last line of the definition that begins at a line."""
+def _end(bare: list[str], lines: list[str], within: frozenset[int], at: int, language: Language) -> int:
+    """The last line of the definition that begins at a line; lines that begin inside a string or comment end none."""
     if language.ends == "indent":
         own, last, depth = _indent(lines[at]), at, 0
         for i in range(at, len(lines)):
-            if i > at and depth <= 0 and lines[i].strip() and _indent(lines[i]) <= own and not lines[i].lstrip().startswith((")", "]", "}", language.comment)):
+            if i > at and depth <= 0 and i not in within and lines[i].strip() and _indent(lines[i]) <= own and not lines[i].lstrip().startswith((")", "]", "}", language.comment)):
                 break
             depth += sum(bare[i].count(c) for c in "([{") - sum(bare[i].count(c) for c in ")]}")
             if lines[i].strip():
@@ -129,7 +134,7 @@ def _end(bare: list[str], lines: list[str], at: int, language: Language) -> int:
         if re.search(r"\bend\b", bare[at]):
             return at
         for i in range(at + 1, len(lines)):
-            if lines[i].strip() and _indent(lines[i]) <= own and re.match(r"\s*end\b", bare[i]):
+            if i not in within and lines[i].strip() and _indent(lines[i]) <= own and re.match(r"\s*end\b", bare[i]):
                 return i
         return len(lines) - 1
     depth, opened = 0, False
@@ -143,7 +148,7 @@ def _end(bare: list[str], lines: list[str], at: int, language: Language) -> int:
                     return i
             elif c == ";" and not opened and depth == 0:
                 return i
-        if not opened and i > at and not bare[i].strip():
+        if not opened and i > at and i not in within and not bare[i].strip():
             return i - 1
     return len(lines) - 1
 
@@ -151,21 +156,21 @@ def _end(bare: list[str], lines: list[str], at: int, language: Language) -> int:
 def definitions(text: str, language: Language) -> list[tuple[str, str, int, int, str]]:
     """(kind, name, first, last, owner) of a file's top-level definitions and of the members of its types, in source order."""
     lines = text.split("\n")
-    bare = _bare_lines(lines, language)
+    bare, within = _bare_lines(text, language)
     starts = [(kind, re.compile(r"\s*" + p)) for kind, p in language.starts]
     out: list[tuple[str, str, int, int, str]] = []
 
     def scan(at: int, stop: int, owner: str, level: int) -> None:
         i = at
         while i < stop:
-            hit = next(((k, m) for k, p in starts if (m := p.match(bare[i] if language.ends != "word" else lines[i]))), None) if bare[i].strip() else None
+            hit = next(((k, m) for k, p in starts if (m := p.match(bare[i] if language.ends != "word" else lines[i]))), None) if bare[i].strip() and i not in within else None
             if hit is None:
                 # A body that belongs to nothing known is passed over.
-                i = max(i, _end(bare, lines, i, language)) + 1 if language.ends == "brace" and "{" in bare[i] and "}" not in bare[i] else i + 1
+                i = max(i, _end(bare, lines, within, i, language)) + 1 if language.ends == "brace" and "{" in bare[i] and "}" not in bare[i] else i + 1
                 continue
             kind, m = hit
             own = m.groupdict().get("owner") or owner
-            name, last = m["name"], min(_end(bare, lines, i, language), stop - 1)
+            name, last = m["name"], min(_end(bare, lines, within, i, language), stop - 1)
             first = i
             while first > at and lines[first - 1].lstrip().startswith("@") and language.ends != "word":
                 first -= 1

@@ -235,6 +235,22 @@ SOURCES = {
 }
 
 
+LINES_IN_STRINGS = [
+    ("python", 'def f(x):\n    """Says\ndef fake():\n    }\n"""\n    return f"{"\n\nclass A:\n    s = \'\'\'\n  def g(self):\n\'\'\'\n    def m(self):\n        pass\n', [("function", "f", 0, 5), ("method", "A.m", 11, 12)]),
+    ("go", "func A() string {\n\treturn `}\nfunc Fake() {\n`\n}\n\nfunc B() {\n}\n", [("function", "A", 0, 4), ("function", "B", 6, 7)]),
+    ("javascript", "function a() {\n  return `}\nfunction fake() {\n${x} \\` `;\n}\nfunction b() {\n}\n", [("function", "a", 0, 4), ("function", "b", 5, 6)]),
+    ("rust", 'fn a() -> &str {\n    "}\nfn fake() {"\n}\nfn b() { r#"}"#; }\n', [("function", "a", 0, 3), ("function", "b", 4, 4)]),
+    ("kotlin", 'fun a(): String {\n  return """}\nfun fake() {\n"""\n}\nfun b() { /* }\nfun fake() { */\n}\n', [("function", "a", 0, 4), ("function", "b", 5, 7)]),
+    ("php", "<?php\nfunction a() {\n  return '}\nfunction fake() {\n';\n}\nfunction b() { }\n", [("function", "a", 1, 5), ("function", "b", 6, 6)]),
+    ("lua", "function a()\n  local s = [[\nend\nfunction fake()\n]]\nend\nfunction b()\nend\n", [("function", "a", 0, 5), ("function", "b", 6, 7)]),
+]
+
+
+@pytest.mark.parametrize("name, source, want", LINES_IN_STRINGS)
+def test_definitions_are_not_found_or_ended_inside_strings(name, source, want):
+    assert [(k, n, a, b) for k, n, a, b, _ in chunkers.definitions(source, chunkers.BY_NAME[name]) if k != "class"] == want
+
+
 @pytest.mark.parametrize("name", sorted(SOURCES))
 def test_definitions_of_every_language(name):
     source, want = SOURCES[name]
