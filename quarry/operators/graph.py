@@ -398,19 +398,6 @@ def module_hops(projection: DataFrame, root: str) -> DataFrame:
     return bfs(e, seeds, "both", 64).select(F.col("vid").alias("module"), F.col("depth").alias("hops"))
 
 
-def module_scores(modules: DataFrame, projection: DataFrame, rounds: int = 20) -> DataFrame:
-    """module, importance, ref_count, entry_score: percentile of weighted PageRank, edges in, and the share of edges out."""
-    e = projection.select(F.col("source").alias("src"), F.col("target").alias("dst"), "weight")
-    ranks = pagerank(e, modules.select(F.col("module").alias("vid")), rounds=rounds, weight="weight")
-    n = ranks.agg(F.count("*")).scalar()
-    place = F.row_number().over(W.orderBy(F.round("rank", 12), "vid")) - 1  # a map shows at most some dozen modules
-    into = e.groupBy(F.col("dst").alias("vid")).agg(F.count("*").alias("_in"))
-    out = e.groupBy(F.col("src").alias("vid")).agg(F.count("*").alias("_out"))
-    rows = ranks.withColumn("importance", F.round(place / F.greatest(n - 1, F.lit(1)), 4)).join(into, "vid", "left").join(out, "vid", "left").fillna(0, ["_in", "_out"])
-    entry = F.when(F.col("_in") + F.col("_out") > 0, F.round(F.col("_out") / (F.col("_in") + F.col("_out")), 4)).otherwise(0.0)
-    return rows.select(F.col("vid").alias("module"), "importance", F.col("_in").alias("ref_count"), entry.alias("entry_score"))
-
-
 def module_degree(projection: DataFrame) -> DataFrame:
     ends = projection.select(F.col("source").alias("module"), "weight").union(projection.select(F.col("target").alias("module"), "weight"))
     return ends.groupBy("module").agg(F.sum("weight").alias("degree"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.operators import containment, facts, graph, intervals
+from quarry.operators import communities, containment, facts, graph, intervals
 from quarry.registry import query, table
 
 from .views import GRAPH_SQL, edges, nodes
@@ -232,6 +232,12 @@ def g21_communities(spark: SparkSession, d: str) -> DataFrame:
     return graph.label_communities(graph.induced(edges(spark, d), n), n, 4)
 
 
+@query("g21_modularity_communities")
+def g21_modularity(spark: SparkSession, d: str) -> DataFrame:
+    n = nodes(spark, d)
+    return communities.modular_communities(edges(spark, d), n)
+
+
 @query("g5_display_labels", f"{_G} SELECT vid, CASE WHEN count(*) OVER (PARTITION BY file) > 1 THEN name ELSE file END AS display FROM nodes WHERE type = 'supplier'")
 def g5(spark: SparkSession, d: str) -> DataFrame:
     return graph.display_labels(nodes(spark, d).where("type = 'supplier'"), "file", "name").select("vid", "display")

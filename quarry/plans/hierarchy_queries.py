@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import containment, graph
+from quarry.operators import communities, containment, graph
 from quarry.registry import query
 
 from .views import CODE_SQL, code_edges, code_files, code_nodes
@@ -181,13 +181,13 @@ def g20(spark: SparkSession, d: str) -> DataFrame:
 @query("g21_module_scores")
 def g21(spark: SparkSession, d: str) -> DataFrame:
     p = graph.project_modules(_modules(spark, d), code_edges(spark, d), "module")
-    return graph.module_scores(p.select(F.col("source").alias("module")).union(p.select("target")).distinct(), p)
+    return communities.module_scores(p.select(F.col("source").alias("module")).union(p.select("target")).distinct(), p)
 
 
 @query("g22_symbol_scores")
 def g22(spark: SparkSession, d: str) -> DataFrame:
     n = code_nodes(spark, d).where("type <> 'file'")
-    return containment.symbol_scores(n, code_edges(spark, d), n.where("type = 'field'"))
+    return containment.symbol_scores(n, code_edges(spark, d), n.where("type = 'field'"), communities=True)
 
 
 @query("g23_codemap", f"""{_C}, b AS (SELECT src, dst FROM ce WHERE type = 'reference' UNION SELECT dst, src FROM ce WHERE type = 'reference'), w(vid, depth) AS (SELECT 8000000010::BIGINT, 0 UNION SELECT dst, depth + 1 FROM w JOIN b ON src = vid WHERE depth < 2),
