@@ -20,7 +20,9 @@ going to the others by weight until none is above.
 No task gets a whole source: its documents fall into about sqrt(rows) ranges
 of the shuffle key, ranges are summed first, and running sums are taken over
 the sums and then within each range; the global order is treated likewise.  The
-shuffle key holds the text too, so rows without id, or of one id, spread.
+shuffle key holds the text too, so rows without id, or of one id, spread.  Rows
+equal in id, source and text are one counted row until their turns are made,
+in blocks of COPIES each; rows without words get no turns.
 
 Defined cases: null and empty texts have no words and are never taken; null is
 a source of its own; rows equal in id, source and text are interchangeable;
@@ -42,6 +44,8 @@ from . import shared, words
 
 #: Up to so many sources their targets are broadcast (about 100 bytes each); beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 50_000
+#: Equal rows are listed by blocks of so many, which spread over tasks.
+COPIES = 1024
 #: The virtual time of turns of a source without target.
 NEVER = 1e300
 
@@ -91,7 +95,7 @@ def targets(rows: DataFrame, weights: Sequence[float], share: float = 1.0, most:
     return each.select("source", "source_size", target.alias("target"))
 
 
-def _running(rows: DataFrame, value: str, by: list[str], part: str, order: list, name: str, extra: dict[str, Column] | None = None) -> DataFrame:
+def _running(rows: DataFrame, value: str, by: list[str], part: str, order: list, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over all rows before, in the order of ``part`` and then ``order``, for each ``by``.
 
     Parts are summed first, so a task gets the sums or one part's rows.
@@ -101,32 +105,48 @@ def _running(rows: DataFrame, value: str, by: list[str], part: str, order: list,
     sums = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(part).alias("_part"), F.coalesce(ahead, F.lit(0)).alias("_ahead"))
     own = W.partitionBy(*by, part).orderBy(*order)
     upto = F.sum(value).over(own.rowsBetween(W.unboundedPreceding, W.currentRow))
-    out = rows.withColumns({"_upto": upto} | {k: c.over(own) for k, c in (extra or {}).items()})
+    out = rows.withColumn("_upto", upto)
     same = F.col(part) == F.col("_part")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     return out.join(sums, same).withColumn(name, F.col("_ahead") + F.col("_upto") - F.col(value)).drop("_upto", "_ahead", "_part", *[f"_{c}" for c in by])
 
 
-def served(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: int = 3, cut: str = "words", folder: str | None = None) -> DataFrame:
-    """The turns of the rows of ``sized`` with ``finish`` (virtual time), ``words`` and ``taken``: the words before the global cut.
+def _copies(groups: DataFrame, most: int) -> DataFrame:
+    """Each counted row as ``copies`` rows, numbered by ``copy`` from 0; ``most`` is the largest count."""
+    block, last = F.col("_block"), F.col("copies") - 1
+    out = groups.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / COPIES).cast("long"))))
+    if most > COPIES:
+        out = out.repartition("source", "key", "_block")
+    own = F.sequence(block * COPIES, F.least(last, block * COPIES + COPIES - 1))
+    return out.withColumn("copy", F.explode(own)).drop("_block")
 
-    source, range and nth name a turn's row; a row has ``most`` turns, a split one counts as two.
-    """
+
+def _grouped(rows: DataFrame, folder: str) -> tuple[DataFrame, int]:
+    """The stored rows of ``sized``, equal ones counted in ``copies``, and the largest count."""
+    groups = shared.stored(rows.groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("copies")), folder, "sizes")
+    return groups, groups.agg(F.coalesce(F.max("copies"), F.lit(0))).first()[0]
+
+
+def _goals(groups: DataFrame, weights: Sequence[float], share: float, most: int, folder: str) -> DataFrame:
+    whole = groups.select("source", (F.col("size") * F.col("copies")).alias("size"))
+    return shared.stored(targets(whole, weights, share, most), folder, "targets").withColumnRenamed("source", "g")
+
+
+def _with_goals(rows: DataFrame, goals: DataFrame, n_sources: int) -> DataFrame:
+    return rows.join(F.broadcast(goals) if n_sources <= BROADCAST_SOURCES else goals, F.col("source").eqNullSafe(F.col("g"))).drop("g")
+
+
+def _turns(groups: DataFrame, largest: int, goals: DataFrame, n_sources: int, share: float, most: int, cut: str) -> DataFrame:
+    """The turns of all rows with words: those of ``groups`` with ``copy``, ``finish`` (virtual time), ``words`` and ``taken``."""
     if cut not in ("words", "documents"):
         raise ValueError(f"unknown cut {cut}")
-    spark = rows.sparkSession
-    folder = folder or shared.shared_folder(spark)
-    rows = shared.stored(rows, folder, "sizes")  # ids and numbers, no texts
-    goals = shared.stored(targets(rows, weights, share, most), folder, "targets")
-    n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    n_sources, budget = goals.count(), int(total * share)
-    ranges = max(1, int(n_rows**0.5))
+    n_rows, total = groups.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.col("size") * F.col("copies")), F.lit(0))).first()
+    ranges, budget = max(1, int(n_rows**0.5)), int(total * share)
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    keyed = rows.withColumn("range", F.floor(place * F.lit(ranges) / F.lit(1 << 32)).cast("long"))
-    run = _running(keyed, "size", ["source"], "range", ["key", "doc_id", "size"], "before", {"nth": F.row_number()})
-    goals = goals.withColumnRenamed("source", "g")
-    run = run.join(F.broadcast(goals) if n_sources <= BROADCAST_SOURCES else goals, F.col("source").eqNullSafe(F.col("g"))).drop("g")
+    keyed = groups.where("size > 0").withColumn("range", F.floor(place * F.lit(ranges) / F.lit(1 << 32)).cast("long")).withColumn("_whole", F.col("size") * F.col("copies"))
+    run = _running(keyed, "_whole", ["source"], "range", ["key", "doc_id", "size"], "before").drop("_whole", "range")
+    run = _copies(_with_goals(run, goals, n_sources), largest).withColumn("before", F.col("before") + F.col("copy") * F.col("size"))
     turns = run.withColumn("start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: F.col("before") + p * F.col("source_size"))))
     end, goal = F.col("start") + F.col("size"), F.floor("target").cast("long")
     part = lambda a, b: F.struct(a.alias("start"), (b - a).alias("words"), F.when(F.col("target") > 0, b / F.col("target")).otherwise(NEVER).alias("finish"))
@@ -143,23 +163,32 @@ def served(rows: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
     return turns.withColumn("taken", taken)
 
 
-def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: int = 3, cut: str = "words", folder: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row per row of ``docs``."""
-    turns = served(sized(docs, id_col, text_col, source_col), **options)
-    out = turns.groupBy("source", "range", "nth", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    folder = folder or shared.shared_folder(docs.sparkSession)
+    groups, largest = _grouped(sized(docs, id_col, text_col, source_col), folder)
+    goals = _goals(groups, weights, share, most, folder)
+    n_sources = goals.count()
+    turns = _turns(groups, largest, goals, n_sources, share, most, cut)
+    served = turns.groupBy("key", "copy", "source", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken"))
+    without = _copies(_with_goals(groups.where("size = 0"), goals, n_sources), largest).withColumn("taken", F.lit(0).cast("long"))
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    return served.select(columns).unionByName(without.select(columns))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: int = 3, folder: str | None = None) -> DataFrame:
     """The mix itself: whole rows of ``docs`` in order of virtual finish time, range-sorted over all sources.
 
-    A document taken several times stands there several times.  Rows equal in id, source and text count as one
-    and keep all their turns.  Texts move twice: to their turns, and into order.
+    A document taken several times stands there several times.  Of rows equal in id, source and text one
+    stands for all their turns.  Texts move twice: to their turns, and into order.
     """
-    turns = served(sized(docs, id_col, text_col, source_col), cut="documents", **options).where("taken > 0")
-    turns = turns.groupBy("key").agg(F.array_sort(F.collect_list("finish")).alias("_times"))
+    folder = folder or shared.shared_folder(docs.sparkSession)
+    groups, largest = _grouped(sized(docs, id_col, text_col, source_col), folder)
+    goals = _goals(groups, weights, share, most, folder)
+    turns = _turns(groups, largest, goals, goals.count(), share, most, "documents").where("taken > 0").select("key", F.col("finish").alias("_time"))
     full = docs.select(_key(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.col(f"`{text_col}`")).alias("key"), F.struct("*").alias("_row"))
-    # The join leaves rows by key, so the window needs no further shuffle.
-    nth = F.row_number().over(W.partitionBy("key").orderBy("key"))
-    once = full.join(turns, "key").withColumn("_nth", nth).where("_nth = 1").select("_row", "key", F.explode("_times").alias("_time"))
+    if largest > 1:
+        # The limit of one a key applies before the shuffle too, so copies do not travel.
+        full = full.withColumn("_nth", F.row_number().over(W.partitionBy("key").orderBy("key"))).where("_nth = 1").drop("_nth")
+    once = full.join(turns, "key")
     return once.orderBy("_time", F.col(f"_row.`{source_col}`").asc_nulls_last(), "key").select("_row.*")

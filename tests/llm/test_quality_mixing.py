@@ -129,3 +129,15 @@ def test_mix_returns_whole_rows_in_order(frame, odd_rows):
     got = out.collect()
     assert got and all(r.text in texts and r.text for r in got)
     assert mixing.mix(frame([])).count() == 0 and mixing.taken(frame([])).count() == 0
+
+
+def test_many_equal_rows_and_many_empty_rows(frame, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 8)
+    rows = [(None, "same words here", None, None, 0)] * 50 + [(None, None, None, "void", 0)] * 40 + [(i, f"t{i} x", "en", "a", 0) for i in range(30)]
+    want, order = served_by_hand(rows, "words")
+    low = lambda x: (x[0] is None, *[y or 0 for y in x])
+    got = mixing.taken(frame(rows).repartition(3))
+    assert sorted(((r.doc_id, r.size, r.taken) for r in got.collect()), key=low) == sorted(want, key=low)
+    assert {(r.size, r.target) for r in got.where("size = 0").collect()} == {(0, 0.0)}
+    _, order = served_by_hand(rows, "documents")
+    assert [r.doc_id for r in mixing.mix(frame(rows).repartition(3)).collect()] == order
