@@ -16,30 +16,18 @@ from quarry.llm import bpe, mixing, ngram_join, quality, shared, substring
 from quarry.llm.queries import tokenizer_path
 
 
-#: Folders of a stage's tables, deleted when a later stage begins.
-_scratch: list[str] = []
-
-
-def _folder(spark: SparkSession) -> str:
-    """A folder for the tables of the stage that begins; those of stages before it go, as their results are written by now."""
-    while _scratch:
-        shared.dropped(spark, _scratch.pop())
-    _scratch.append(shared.shared_folder(spark))
-    return _scratch[-1]
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str, folder: str | None = None) -> DataFrame:
     """Documents that fail the policy go."""
     return quality.keep_good(docs, "v1")
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, folder: str | None = None) -> DataFrame:
     """Of each group of documents linked by similarity one stays, that of the smallest id (null last); equal rows of one id and text stay once.
 
     Rows are known by id and text, so another text of a repeated id is a document of its own.
     """
     key = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"), 1)
-    folder = _folder(spark)
+    folder = folder or shared.shared_folder(spark)
     linked = ngram_join.join(docs.select(key.alias("_key"), "text"), "_key", folder=folder).select(F.col("doc_id").alias("_key"), "n_shingles", "component_id")
     linked = shared.stored(linked, folder, "groups")
     ids = docs.select(key.alias("_key"), "doc_id").distinct()
@@ -57,20 +45,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str, folder: str | None = None) -> DataFrame:
     """Words in windows of 35 that start elsewhere too go; the rest of such a text is joined by single spaces, other texts stay as they are."""
-    out = substring.dedup(docs, carry="_row", texts=True, folder=_folder(spark))
+    out = substring.dedup(docs, carry="_row", texts=True, folder=folder)
     lost = F.col("n_removed") > 0
     made = {"text": F.col("kept_text"), "n_chars": F.when(lost, F.char_length("kept_text").cast("long")).otherwise(F.col("_row.n_chars"))}
     return out.select(*[(made[c] if c in made else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str, folder: str | None = None) -> DataFrame:
     """Documents in the order of the mix, as often as it takes them."""
-    return mixing.mix(docs, folder=_folder(spark))
+    return mixing.mix(docs, folder=folder)
 
 
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, folder: str | None = None) -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded text of every document of the mix."""
     return bpe.encode(docs, tokenizer_path("word_bpe_49k.json"))
 
@@ -92,9 +80,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared.shared_folder(spark)
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        own = f"{folder}/{k}-{name}-tables"
+        docs = stage(spark, docs, sf_dir, folder=own)
         if k < len(STAGES) - 1:
             docs = shared.stored(docs, folder, f"{k}-{name}")
+            shared.dropped(spark, own)
             if k:
                 shared.dropped(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
