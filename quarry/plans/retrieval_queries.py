@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import dense, fusion, impact, sparse
+from quarry.operators import cells, dense, fusion, impact, sparse
 from quarry.registry import query, table
 
 from . import planner
-from .views import lexical_view, word_tokens
+from .views import lexical_view, vector_view, word_tokens
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(regexp_replace({}, '\\(\\)', '', 'g')), '[^a-z0-9]+'), lambda t: t <> '')"
 _SPACE = "list_filter(regexp_split_to_array({}, '\\s+'), lambda t: t <> '')"
@@ -135,9 +135,20 @@ def w12(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t6_ivf_probe", f"SELECT vec_id, round({_RAW}, 6) AS score FROM embeddings ORDER BY {_RAW} DESC, vec_id LIMIT 10")
 def t6(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings")
-    centres = dense.fit_centres(rows, 8, "embedding", "vec_id")
-    return dense.probe_until_sure(dense.inverted_lists(rows, centres, "embedding"), centres, _query_vector(spark, d), 3, 10, "embedding", "vec_id").select("vec_id", _six())
+    asked = spark.createDataFrame([(0, _query_vector(spark, d))], "query_id bigint, vector array<double>")
+    return cells.search(vector_view(spark, d), asked, 10).select(F.col("key").alias("vec_id"), _six())
+
+
+@query("sc22_vector_cells", """WITH q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, list_inner_product(embedding::DOUBLE[], qe::DOUBLE[]) AS s FROM embeddings, q)
+SELECT query_id, vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)::INTEGER AS rank FROM s QUALIFY rank <= 10""")
+def sc22(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return cells.search(vector_view(spark, d), asked, 10).select("query_id", F.col("key").alias("vec_id"), _six(), "rank")
+
+
+@query("sc22_vector_counts", "SELECT count(*) AS vectors, len(any_value(embedding))::BIGINT * count(*) AS components FROM embeddings WHERE embedding IS NOT NULL")
+def sc22_counts(spark: SparkSession, d: str) -> DataFrame:
+    return vector_view(spark, d).blocks.agg(F.sum(F.size("keys")).alias("vectors"), F.sum(F.size("vectors").cast("bigint")).alias("components"))
 
 
 @query("t10_indexed_rerank", f"""WITH c AS (SELECT vec_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM embeddings JOIN documents ON doc_id = vec_id QUALIFY rank <= 100),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.operators import impact
+from quarry.operators import cells, impact
 from quarry.operators.graph import shared_base
 from quarry.registry import table
 
@@ -37,6 +37,12 @@ def lexical_view(spark: SparkSession, d: str, words: bool = False) -> impact.Vie
     folder = kept(spark, d, "words" if words else "lexical", lambda to: impact.build(table(spark, d, "documents"), "doc_id", tokens, to))
     return impact.load(spark, folder)
 
+
+def vector_view(spark: SparkSession, d: str) -> cells.View:
+    """The kept view of ``embeddings`` by cell."""
+    return cells.load(spark, kept(spark, d, "vectors", lambda to: cells.build(table(spark, d, "embeddings"), "vec_id", "embedding", to)))
+
+
 FILES_SQL = r"""files AS (SELECT doc_id, text, lang, source, n_chars, source || CASE doc_id % 5 WHEN 0 THEN '/tests/mod' WHEN 1 THEN '/src/test_'
   WHEN 2 THEN '/lib/WidgetTest' WHEN 3 THEN '\src\core' ELSE '/pkg/mod' END || doc_id || CASE lang WHEN 'en' THEN '.py' WHEN 'de' THEN '.go'
   WHEN 'fr' THEN '.d.ts' ELSE '.MD' END AS path FROM documents)"""
