@@ -120,6 +120,49 @@ def j17(spark: SparkSession, d: str) -> DataFrame:
     return facts.resolve_edges(e, part.withColumnRenamed("p_partkey", "symbol"), "moniker", "symbol").select("l_orderkey", "l_linenumber", "target", "provenance")
 
 
+# Edges name parts by type (and by size and brand); a pass for those that are unique, then one within the brand.
+_PASSES = """WITH f AS (SELECT p_partkey AS symbol, p_type || p_size % 5 AS moniker, p_brand AS file FROM part),
+e AS (SELECT l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS id, any_value(p_type || p_size % 5) AS moniker, any_value(p_brand) AS file FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
+u AS (SELECT moniker, min(symbol) AS target FROM f GROUP BY 1 HAVING count(*) = 1), o AS (SELECT file, moniker, min(symbol) AS target FROM f GROUP BY 1, 2 HAVING count(*) = 1),
+r AS (SELECT id, coalesce(u.target, o.target) AS target, CASE WHEN u.target IS NOT NULL THEN 'exact' WHEN o.target IS NOT NULL THEN 'same_file' END AS pass FROM e LEFT JOIN u USING (moniker) LEFT JOIN o USING (file, moniker))"""
+
+
+def _passes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    part = table(spark, d, "part").selectExpr("p_partkey AS symbol", "concat(p_type, p_size % 5) AS moniker", "p_brand AS file")
+    e = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("symbol")).selectExpr("l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS id", "moniker", "file").dropDuplicates(["id"])
+    return facts.resolve_in_passes(e, part, [("exact", facts.exact_pass), ("same_file", facts.same_file_pass)])
+
+
+@query("x6_resolved_in_passes", f"{_PASSES} SELECT id, target, pass FROM r")
+def x6(spark: SparkSession, d: str) -> DataFrame:
+    return _passes(spark, d)[0].select("id", "target", "pass")
+
+
+@query("x6_pass_report", f"""{_PASSES} SELECT 'exact' AS pass, 0 AS place, count(*) AS seen, count(*) FILTER (WHERE pass = 'exact') AS resolved FROM r
+UNION ALL SELECT 'same_file', 1, count(*) FILTER (WHERE pass IS DISTINCT FROM 'exact'), count(*) FILTER (WHERE pass = 'same_file') FROM r""")
+def x6_report(spark: SparkSession, d: str) -> DataFrame:
+    return _passes(spark, d)[1]
+
+
+@query("j18_rule_edges", """WITH f AS (SELECT p_partkey AS symbol, p_type || p_size AS moniker FROM part), u AS (SELECT moniker, min(symbol) AS symbol FROM f GROUP BY 1 HAVING count(*) = 1),
+r AS (SELECT DISTINCT a.p_type || a.p_size AS source_moniker, b.p_type || b.p_size AS target_moniker FROM lineitem JOIN part a ON l_partkey = a.p_partkey JOIN part b ON b.p_partkey = l_partkey // 2 + l_suppkey)
+SELECT s.symbol AS source, t.symbol AS target, 'route' AS kind, 0.9::DOUBLE AS confidence FROM r JOIN u s ON s.moniker = source_moniker JOIN u t ON t.moniker = target_moniker""")
+def j18(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "part").selectExpr("p_partkey AS symbol", "concat(p_type, p_size) AS moniker")
+    pairs = table(spark, d, "lineitem").selectExpr("l_partkey AS one", "l_partkey div 2 + l_suppkey AS two").distinct()
+    one, two = f.selectExpr("symbol AS one", "moniker AS source_moniker"), f.selectExpr("symbol AS two", "moniker AS target_moniker")
+    return facts.rule_edges(pairs.join(one, "one").join(two, "two").select("source_moniker", "target_moniker").distinct(), f, "route")
+
+
+@query("e39_fact_batches", """WITH s AS (SELECT p_brand AS file, p_size::BIGINT AS line, p_partkey AS symbol, p_name AS name FROM part),
+n AS (SELECT *, (row_number() OVER (PARTITION BY file ORDER BY line, symbol) - 1) // 50 AS part FROM s),
+b AS (SELECT file, part, count(*) AS symbols, '{"file":' || to_json(file) || ',"part":' || part || ',"symbols":[' || string_agg('{"line":' || line || ',"name":' || to_json(name) || ',"symbol":' || symbol || '}', ',' ORDER BY line, symbol) || ']}' AS j FROM n GROUP BY 1, 2)
+SELECT file, part, symbols, sha256(j) AS digest FROM b""")
+def e39(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "part").selectExpr("p_brand AS file", "CAST(p_size AS BIGINT) AS line", "p_partkey AS symbol", "p_name AS name")
+    return facts.batches(s, "file", ["line", "symbol", "name"], 50).select("file", "part", F.size("symbols").cast("bigint").alias("symbols"), "digest")
+
+
 @query("j22_span_overlap", f"""{_G} SELECT a.vid AS a, b.vid AS b FROM nodes a JOIN nodes b ON a.file = b.file AND a.start_line <= b.end_line AND b.start_line <= a.end_line WHERE a.type = 'supplier' AND b.type = 'supplier' AND a.vid < b.vid""")
 def j22(spark: SparkSession, d: str) -> DataFrame:
     s = nodes(spark, d).where("type = 'supplier'")

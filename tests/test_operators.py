@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,17 +166,19 @@ def test_balanced_cases_of_uneven_groups(spark):
 
 
 def test_bootstrap_draws_whole_clusters(spark):
-    import zlib
-
     rows = [(c, float((c * 7 + i) % 5)) for c in range(9) for i in range(c % 4 + 1)]
-    sums = [(sum(v for k, v in rows if k == c), sum(1 for k, _ in rows if k == c)) for c in range(9)]
+    df = spark.createDataFrame(rows, "c int, v double")
+    sums = [(r.h, sum(v for k, v in rows if k == r.c), sum(1 for k, _ in rows if k == r.c)) for r in df.select("c", F.xxhash64(F.lit(False), "c").alias("h")).distinct().collect()]
+    sums.sort()
     means = []
-    for sample in range(1, 41):
-        drawn = [sums[zlib.crc32(f"3:{sample}:{k}".encode()) % 9] for k in range(1, 10)]
-        means.append(sum(s for s, _ in drawn) / sum(n for _, n in drawn))
+    for sample in range(40):
+        # All clusters are one range, which gets all draws.
+        times = np.random.default_rng([3, sample, 0]).multinomial(9, [1 / 9] * 9)
+        assert times.sum() == 9
+        means.append(sum(t * s for t, (_, s, _) in zip(times, sums)) / sum(t * n for t, (_, _, n) in zip(times, sums)))
     means.sort()
     at = lambda q: means[int(q * 39)] + (q * 39 - int(q * 39)) * (means[min(int(q * 39) + 1, 39)] - means[int(q * 39)])
-    got = reports.bootstrap(spark.createDataFrame(rows, "c int, v double"), "c", "v", 40, 3).first()
+    got = reports.bootstrap(df, "c", "v", 40, 3).first()
     assert abs(got.low - at(0.025)) < 1e-12 and abs(got.high - at(0.975)) < 1e-12 and abs(got["mean"] - sum(v for _, v in rows) / len(rows)) < 1e-12
 
 
