@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from quarry.llm import bit_sliced, bpe, html_wrappers, licenses, token_counts, toxicity
+from quarry.llm import bit_sliced, bpe, html_wrappers, licenses, queries, token_counts, toxicity
 from quarry.llm.queries import tokenizer_path
 
 
@@ -61,6 +61,13 @@ def test_license_places(frame, odd_rows):
     assert out[2].n_base == 1 and out[2].first_word == 31
 
 
+def test_license_query_follows_the_phrases_of_its_contract(spark, tmp_path):
+    texts = {1: "Under the MIT License and under the mit-license", 2: "MIT License", 3: "the mit license, apache license version 2", 4: "CC BY-NC by nc " + "z " * 29 + "under the mit license", 5: None}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in queries.op3_license_scan(spark, str(tmp_path)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()}
+    assert got == {(1, 9, 2, 0, 5, "mit"), (2, 2, 0, None, None, ""), (3, 7, 1, 3, 3, "apache-2"), (4, 38, 2, 0, 34, "cc-by-nc,mit"), (5, 0, 0, None, None, "")}
+
+
 def test_license_templates_may_be_given(frame):
     notice = "You may copy this work, and you may change it, as long as you say so in plain words."
     text = "preface " * 40 + notice.upper().replace("PLAIN ", "") + " rest" * 20
