@@ -23,3 +23,16 @@ def test_specific_seeds(spark):
     want = {"parse_config": True, "Parser": False, "fooBar": True, "HTTP": True, "ab": False, "docs.python.org": False, "Foo.barBaz()": True, "a/b": True, "x y": False, "f(x)": False, "v2X": True, "": False}
     rows = spark.createDataFrame([(s,) for s in want], "seed string").select("seed", routes.is_specific_seed(F.col("seed")).alias("specific"))
     assert {r.seed: r.specific for r in rows.collect()} == want
+
+
+def test_rebuild_speedup_rounds_halves_up_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from quarry import catalog
+
+    keys = [k for k in range(1, 997 * 60, 997) if k % 5][:39] + [2]  # 39 patches of one second, one of two: a mean of 1.025
+    spark.createDataFrame([(k, 1) for k in (*keys, 5)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"file://{tmp_path}/orders.parquet")
+    (got,) = catalog.QUERIES["a30_rebuild_speedup"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert [tuple(got)] == con.execute(catalog.ORACLE_SQL["a30_rebuild_speedup"]).fetchall() == [(1, 41, 40, 5.0, 1.03, 4.9)]
