@@ -62,3 +62,20 @@ def test_islands_are_the_runs_without_a_gap(spark, stretch):
             assert got[file, rank] == island
     # Groups follow the gaps, not the files.
     assert len({i for (f, _), i in got.items() if f == "a"}) > 20
+
+
+def test_many_small_groups_are_folded_without_a_python_call_each(spark):
+    r = random.Random(8)
+    table = [(q, f, n, first := r.randrange(60), first + r.randrange(-1, 20)) for q in range(300) for f in "ab" for n in range(r.randrange(1, 7))]
+    df = spark.createDataFrame([*table, (7, None, 0, 1, 2), (7, "a", 9, None, 3)], "q bigint, file string, rank int, first bigint, last bigint").repartition(4)
+    out = intervals.distinct_spans(df, by=["q", "file"])
+    kept = Counter({(7, None, 0, 1, 2): 1, (7, "a", 9, None, 3): 1})
+    for key in {row[:2] for row in table}:
+        for proper in (True, False):  # spans that end before they begin meet only their like
+            held = []
+            for row in sorted(row for row in table if row[:2] == key and (row[3] <= row[4]) == proper):
+                if all(row[4] < a or row[3] > b for *_, a, b in held) or not held:
+                    held.append(row)
+            kept.update(held) if proper else None
+    assert Counter(x for x in map(tuple, out.collect()) if x[3] is None or x[3] <= x[4]) == kept
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
