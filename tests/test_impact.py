@@ -91,3 +91,35 @@ def test_a_shard_skips_what_cannot_matter():
     assert dict(zip(ids, units.tolist()))[19] == int(np.floor(9 * 2.4 * impact.UNIT + 0.5)) + int(np.floor(0.1 * 1.0 * impact.UNIT + 0.5))
     everyone, _ = shard.best([("rare", 9.0), ("often", 0.1)], None)
     assert len(everyone) == 10000
+
+
+def test_long_texts_make_more_shards_and_no_posting_is_shuffled(spark, tmp_path, monkeypatch):
+    """Shards are bounded by tokens too, and what the building shuffles is texts: a row a document, not a row a posting."""
+    monkeypatch.setattr(impact, "TOKENS", 2000)
+    r = random.Random(7)
+    docs = {i: [f"w{r.randrange(700)}" for _ in range(500)] for i in range(40)}
+    queries = {1: ["w3", "w5"], 2: ["w690", "w690", "w2"]}
+    d, q = frames(spark, docs, queries)
+    store = spark._jsc.sc().statusStore()
+    view = impact.build(d, "key", WORDS("body"), f"file://{tmp_path}")
+    none = spark._jvm.java.util.ArrayList()
+    stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+    texts = [stages.apply(i) for i in range(stages.size()) if stages.apply(i).shuffleWriteRecords() == len(docs)]
+    assert view.shards == 10 and texts
+    got = impact.search(view, q, "question", 5, WORDS("asked")).select("query_id", "id", "score", "rank")
+    assert Counter(map(tuple, got.collect())) == by_hand(docs, queries, 5)
+
+
+def test_blocks_do_not_depend_on_how_tokens_come(monkeypatch):
+    """Long batches are counted in stretches; a posting's term, share and place stay the same."""
+    r = random.Random(5)
+    tokens = [[f"w{r.randrange(30)}" for _ in range(r.randrange(0, 60))] for _ in range(50)]
+    ids = r.sample(range(1000), 50)
+    table = pa.table([pa.array(ids), pa.array(tokens, pa.list_(pa.string())), pa.array([4] * 50, pa.int32())], ["id", "tokens", "shard"])
+    whole = impact._blocked(table, 30.0)
+    counted = impact._counted
+    monkeypatch.setattr(impact, "_counted", lambda batch: counted(batch, 100))
+    parts = impact._blocked(pa.Table.from_batches(table.to_batches(max_chunksize=7)), 30.0)
+    key = [("term", "ascending"), ("level", "ascending")]
+    assert whole.sort_by(key).equals(parts.sort_by(key)) and sum(whole.column("n").to_pylist()) == sum(len(set(t)) for t in tokens)
+    assert all(x == sorted(x) for x in whole.column("ids").to_pylist())
