@@ -38,3 +38,37 @@ def test_pairs_walk_no_further_than_half_way(spark, monkeypatch):
     edges = [(0, k) for k in range(1, 31)] + [(a, 31 + b) for a in range(1, 31) for b in range(30)] + [(31 + a, 100 + b) for a in range(30) for b in range(200)] + [(100, 999)]
     (row,) = entities.distances(spark.createDataFrame(edges, "src bigint, dst bigint"), spark.createDataFrame([(0, 999)], "first bigint, second bigint"), 4).collect()
     assert row.distance == 4 and max(df.count() for df in kept[1:]) <= 61
+
+
+def test_ways_of_any_length_and_pairs_without_one(spark):
+    r = random.Random(8)
+    edges = [(r.randrange(50), r.randrange(50)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(40)] + [(140, 7), (200, 201), (201, 200)]
+    pairs = [(r.randrange(50), r.randrange(50)) for _ in range(60)] + [(100, 139), (138, 100), (100, 200), (200, 100), (100, 7), (777, 100), (100, 777), (778, 779), (777, 777)]
+    want = sorted((a, b, min(steps(edges, a, b, 99), steps(edges, b, a, 99)) % 100) for a, b in pairs)
+    want = [(a, b, -1 if a != b and n == 0 else n) for a, b, n in want]
+    edges, pairs = spark.createDataFrame(edges, "src bigint, dst bigint"), spark.createDataFrame(pairs, "first bigint, second bigint")
+    kinds = spark.createDataFrame([(i, "low" if i < 100 else "high" if i < 160 else "loop") for i in range(300)], "vid bigint, type string")
+    for of in (None, kinds):
+        assert sorted(map(tuple, entities.distances(edges, pairs, None, of).collect())) == want
+
+
+def test_query_finds_ways_of_more_than_four_steps(spark):
+    from quarry import catalog
+    from quarry.plans.views import code_edges
+
+    tables = "/root/testdata/sf0.1"
+    got = {(r.first, r.second): r.distance for r in catalog.QUERIES["e5_distance"](spark, tables).collect()}
+    out = {}
+    for r in code_edges(spark, tables).select("src", "dst").distinct().toPandas().itertuples(index=False):
+        out.setdefault(r.src, set()).add(r.dst)
+
+    def plain(start, goal):
+        layer, seen, n = {start}, {start}, 0
+        while layer and goal not in layer:
+            layer = set().union(*(out.get(v, ()) for v in layer)) - seen
+            seen |= layer
+            n += 1
+        return n if layer else -1
+
+    far = [p for p, n in got.items() if n > 4]
+    assert far and all(got[p] == plain(*p) for p in far)
